@@ -63,7 +63,7 @@ def fixture_sql(name: str) -> str:
     return FIXTURE_SQL[name].replace("{" + base + "}", base)
 
 
-def with_fixtures(body: str, *names: str) -> str:
-    """Prefix DuckDB SQL with CTEs for the derived tables it uses."""
-    ctes = ",\n".join(f"{n} AS ({fixture_sql(n)})" for n in names)
-    return f"WITH {ctes}\n{body}" if names else body
+def with_fixtures(body: str, *names: str, ctes: tuple = ()) -> str:
+    """Prefix DuckDB SQL with CTEs for the derived tables it uses, then any extra ``(name, sql)`` CTEs."""
+    parts = [f"{n} AS ({fixture_sql(n).strip()})" for n in names] + [f"{a} AS ({b})" for a, b in ctes]
+    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body

@@ -27,7 +27,7 @@ def first_values(df: DataFrame, columns: list[str], order_by, n: int, *, text: b
     """
     keys = _order_cols(order_by)
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, pos int, value string")
+        return df.sparkSession.createDataFrame([], "column string, pos bigint, value string")
     tmp_keys = [f"__k{i}" for i in range(len(keys))]
     projected = [col(k).alias(t) for k, t in zip(keys, tmp_keys)]
     for i, c in enumerate(columns):
@@ -44,5 +44,5 @@ def first_values(df: DataFrame, columns: list[str], order_by, n: int, *, text: b
     return (
         long.withColumn("pos", F.row_number().over(w))
         .where(F.col("pos") <= n)
-        .select(F.element_at(names, F.col("__slot")).alias("column"), "pos", "value")
+        .select(F.element_at(names, F.col("__slot")).alias("column"), F.col("pos").cast("bigint").alias("pos"), "value")
     )
