@@ -25,6 +25,7 @@ def exact_median(df: DataFrame, value: Column, *, n: int | None = None, accuracy
     lo = hi = None
     below, m = 0, n
     eps = 2.0 / accuracy
+    prev_m = None
     for _ in range(max_rounds):
         sub = v
         if lo is not None:
@@ -33,8 +34,24 @@ def exact_median(df: DataFrame, value: Column, *, n: int | None = None, accuracy
             vals = sorted(r["v"] for r in sub.collect())
             a, b = vals[ranks[0] - below], vals[ranks[1] - below]
             return (a + b) / 2.0
-        p_lo = max(0.0, (ranks[0] - below) / m - eps)
-        p_hi = min(1.0, (ranks[1] - below + 1) / m + eps)
+        if prev_m is not None and m > prev_m / 2:
+            # no progress: the bracket is mostly repeats of a few values. Their (value, count) pairs are
+            # few, so walk the ranks over them (a bounded top-k of the grouped bracket).
+            groups = sub.groupBy("v").count().orderBy("v").limit(max_collect + 1).collect()
+            if len(groups) <= max_collect:
+                picked, cum = [], 0
+                for r in groups:
+                    cum += r["count"]
+                    while len(picked) < 2 and cum > ranks[len(picked)] - below:
+                        picked.append(r["v"])
+                return (picked[0] + picked[1]) / 2.0
+            # many distinct values but no progress: sharpen the sketch (exact once m < accuracy)
+            accuracy = min(accuracy * 10, 2**31 - 1)
+            eps = 2.0 / accuracy
+        prev_m = m
+        # percentile_approx(p) returns the value of 1-based rank ceil(p * m); aim at the middle of each target
+        p_lo = max(0.0, (ranks[0] - below + 0.5) / m - eps)
+        p_hi = min(1.0, (ranks[1] - below + 0.5) / m + eps)
         qa, qb = sub.agg(F.percentile_approx("v", [p_lo, p_hi], accuracy).alias("q")).collect()[0]["q"]
         c = sub.agg(F.count(F.when(F.col("v") < qa, 1)).alias("lt"),
                     F.count(F.when(F.col("v") <= qb, 1)).alias("le")).collect()[0]

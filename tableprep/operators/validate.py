@@ -44,7 +44,11 @@ def validate(df: DataFrame | None, *, max_rows: int | None = MAX_ROWS, max_colum
         return Validation(False, [("no_data", "", "")])
     if not df.columns:
         return Validation(False, [("empty_table", "", "0 columns")])
-    prof = prof or profile(df)
+    if prof is None:
+        from .standardize import drop_duplicate_columns
+
+        # duplicate names cannot be resolved by Spark; profile the first of each (V4 reports the rest)
+        prof = profile(drop_duplicate_columns(df))
     if prof.rows == 0:
         return Validation(False, [("empty_table", "", "0 rows")], prof=prof)
     errors, warnings = [], []
