@@ -99,7 +99,8 @@ def ordered_fill(
     bounds = boundaries(df, keys[0], nb)
     b = "__bucket"
     x = with_bucket(df, keys[0], bounds, b)
-    order_struct = F.struct(*[col(k) for k in keys])
+    # a single key orders max_by/min_by directly (fixed width: hash aggregation for numeric values)
+    order_struct = col(keys[0]) if len(keys) == 1 else F.struct(*[col(k) for k in keys])
     vals = {c: F.when(~is_missing(col(c), field_type(df, c)), col(c)) for c in columns}
 
     # phase 2: edge value per (partition keys, bucket)

@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_text, col, field_type, is_missing
+from ..functions.columns import FRACTIONAL_TYPES, INTEGRAL_TYPES, TEMPORAL_TYPES, as_text, col, field_type, is_missing
+
+# Tables with at least this many rows first look for a key cut-off holding the first n values of every
+# column, so that only that prefix is unpivoted and sorted (the result is the same).
+PREFILTER_MIN_ROWS = 2_000_000
 
 
 def _order_cols(order_by) -> list[str]:
@@ -20,7 +24,39 @@ def _order_cols(order_by) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
-def first_values(df: DataFrame, columns: list[str], order_by, n: int, *, text: bool = True) -> DataFrame:
+def key_cutoff(df: DataFrame, columns: list[str], key: str, n: int, min_rows: int = PREFILTER_MIN_ROWS):
+    """A filter ``key IS NULL OR key <= t`` that keeps the first ``n`` non-missing values of every column.
+
+    Hash aggregates only (no sort): non-missing counts, one ``percentile_approx`` of the key, and a count
+    under the filter that proves the cut-off keeps enough values (widened until it does). ``None`` when the
+    table is small or the prefix would not be much smaller than the table.
+    """
+    dt = field_type(df, key)
+    if not isinstance(dt, INTEGRAL_TYPES + FRACTIONAL_TYPES + TEMPORAL_TYPES):
+        return None
+    aggs = [F.count(F.lit(1)).alias("rows")] + [
+        F.count(F.when(~is_missing(col(c), field_type(df, c)), 1)).alias(f"n{i}") for i, c in enumerate(columns)]
+    r = df.agg(*aggs).collect()[0]
+    rows = r["rows"]
+    if rows < min_rows:
+        return None
+    nn = [r[f"n{i}"] for i in range(len(columns))]
+    live = [i for i in range(len(columns)) if nn[i] > 0]
+    if not live:
+        return None
+    q = max(min(1.0, 4.0 * n / nn[i]) for i in live)
+    while q < 0.5:
+        t = df.agg(F.percentile_approx(col(key), q, 10000).alias("t")).collect()[0]["t"]
+        cond = col(key).isNull() | (col(key) <= F.lit(t).cast(dt))
+        got = df.where(cond).agg(*aggs[1:]).collect()[0]
+        if all(got[f"n{i}"] >= min(n, nn[i]) for i in live):
+            return cond
+        q *= 4
+    return None
+
+
+def first_values(df: DataFrame, columns: list[str], order_by, n: int, *, text: bool = True,
+                 prefilter_min_rows: int = PREFILTER_MIN_ROWS) -> DataFrame:
     """Long frame ``(column, pos, value)`` with up to ``n`` rows per column, ``pos`` from 1.
 
     Missing cells (null, NaN) are skipped, as ``dropna()`` does. ``value`` is the cell as text.
@@ -28,6 +64,10 @@ def first_values(df: DataFrame, columns: list[str], order_by, n: int, *, text: b
     keys = _order_cols(order_by)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, pos bigint, value string")
+    if len(keys) == 1 and prefilter_min_rows is not None:
+        cond = key_cutoff(df, columns, keys[0], n, prefilter_min_rows)
+        if cond is not None:
+            df = df.where(cond)
     tmp_keys = [f"__k{i}" for i in range(len(keys))]
     projected = [col(k).alias(t) for k, t in zip(keys, tmp_keys)]
     for i, c in enumerate(columns):

@@ -48,3 +48,18 @@ def test_sample_is_first_values_in_order(spark):
     df = spark.createDataFrame([(i, None if i % 2 else str(100 - i)) for i in range(100)], "i int, v string").repartition(7)
     got = [r.value for r in first_values(df, ["v"], "i", 5).orderBy("pos").collect()]
     assert got == ["100", "98", "96", "94", "92"]
+
+
+def test_sample_prefilter_is_exact(spark):
+    from pyspark.sql import functions as F
+
+    from tableprep.operators.sample import first_values, key_cutoff
+
+    df = spark.range(0, 200000).select(
+        (F.col("id") * 7 % 200000).alias("k"),
+        F.when(F.col("id") % 1000 == 3, F.col("id").cast("string")).alias("sparse"),
+        F.col("id").cast("string").alias("dense"))
+    assert key_cutoff(df, ["sparse", "dense"], "k", 20, min_rows=0) is not None
+    a = first_values(df, ["sparse", "dense"], "k", 20, prefilter_min_rows=0)
+    b = first_values(df, ["sparse", "dense"], "k", 20, prefilter_min_rows=None)
+    assert a.count() == 40 and a.exceptAll(b).count() == 0
