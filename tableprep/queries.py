@@ -1075,7 +1075,35 @@ def q_change_summary(spark, sf):
                                  "rows_added bigint, columns_added bigint, new_columns string, removed_columns string")
 
 
-@query("quality_report")
+def _metrics_sql():
+    def dbl(x):
+        return f"CAST({x} AS DOUBLE)"
+
+    parts = []
+    for side, t, cols, n in (("original", "orders_gaps", GAPS_COLS, 6), ("processed", "after_t", AFTER_COLS, 4)):
+        parts.append(f"SELECT 'basic' AS section, 'rows' AS metric, NULL AS column, {S.lit(side)} AS side, {dbl('count(*)')} AS value FROM {t}")
+        parts.append(f"SELECT 'basic', 'columns', NULL, {S.lit(side)}, {dbl(n)}")
+        for c in cols:
+            parts.append(f"SELECT 'missing', 'missing_pct', {S.lit(c)}, {S.lit(side)}, round((count(*) - count({c})) / count(*) * 100, 2) FROM {t}")
+    for side, m, nn in (("original", MB, NB), ("processed", MA, NA)):
+        parts.append(f"SELECT 'missing', 'total_missing', NULL, {S.lit(side)}, {dbl(m)}")
+        parts.append(f"SELECT 'missing', 'missing_rate', NULL, {S.lit(side)}, round(({m}) / {nn} * 100, 2)")
+    parts.append(f"SELECT 'missing', 'missing_reduction', NULL, 'improvement', {dbl(f'({MB}) - ({MA})')}")
+    parts.append(f"SELECT 'missing', 'rate_improvement', NULL, 'improvement', round(({MB}) / {NB} * 100 - ({MA}) / {NA} * 100, 2)")
+    ob, oa = f"({COMP_B} * 0.6 + {CB} * 0.4)", f"({COMP_A} * 0.6 + {CA} * 0.4)"
+    for metric, b, a in (("completeness", COMP_B, COMP_A), ("consistency", CB, CA), ("overall", ob, oa)):
+        parts.append(f"SELECT 'score', {S.lit(metric)}, NULL, 'original', round({b} * 100, 2)")
+        parts.append(f"SELECT 'score', {S.lit(metric)}, NULL, 'processed', round({a} * 100, 2)")
+        parts.append(f"SELECT 'score', {S.lit(metric)}, NULL, 'improvement', round(({a} - {b}) * 100, 2)")
+    for c in ("o_orderkey", "o_totalprice"):
+        for side, t in (("original", "orders_gaps"), ("processed", "after_t")):
+            for k, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
+                parts.append(f"SELECT 'distribution', {S.lit(k)}, {S.lit(c)}, {S.lit(side)}, round({dbl(f'{f}({c})')}, 2) FROM {t}")
+            parts.append(f"SELECT 'distribution', 'unique_count', {S.lit(c)}, {S.lit(side)}, {dbl(f'count(DISTINCT {c})')} FROM {t}")
+    return _with_after(" UNION ALL ".join(parts))
+
+
+@query("quality_report", _metrics_sql())
 def q_quality_report(spark, sf):
     return _report(spark, sf).metrics_frame(spark)
 
