@@ -126,6 +126,13 @@ def q_write_json(spark, sf):
     return read_table(spark, path, "json").select(*PII_COLS)
 
 
+@query("read_table", "SELECT * FROM customer")
+def q_read_table(spark, sf):
+    path = scratch(spark, "parquet")
+    write_table(table(spark, sf, "customer"), path, "parquet")
+    return read_table(spark, path)          # format found from the folder's part files
+
+
 # ------------------------------------------------------------------------------------------------
 # 2.2 validation
 # ------------------------------------------------------------------------------------------------
@@ -178,6 +185,15 @@ def q_validate_only(spark, sf):
     return v.report(spark).where("level <> 'stat'").select("level", "code", "subject")
 
 
+@query("validation_gate", with_fixtures(
+    f"SELECT count(*) <= 10000 AND ({_gaps_missing}) / (count(*) * 6.0) <= 0.8 AS valid, "
+    f"CAST(count(*) > 10000 AS BIGINT) + CAST(({_gaps_missing}) / (count(*) * 6.0) > 0.8 AS BIGINT) AS n_errors "
+    f"FROM orders_gaps", GAPS))
+def q_validation_gate(spark, sf):
+    v = validate(fxt(spark, sf, GAPS), max_rows=10000)
+    return spark.createDataFrame([(v.valid, len(v.errors))], "valid boolean, n_errors bigint")
+
+
 @query("preview", with_fixtures("SELECT * FROM orders_gaps ORDER BY o_orderkey LIMIT 10", GAPS))
 def q_preview(spark, sf):
     return preview(fxt(spark, sf, GAPS), "o_orderkey", 10)
@@ -1169,6 +1185,16 @@ def _gain_sql():
                          f"round({after} * 100, 2) - round({before} * 100, 2) AS gain", EVT, ctes=(("nb", norm),))
 
 
+@query("run_log", "SELECT * FROM (VALUES ('data_validation', 'success'), ('table_standardization', 'success'), "
+                  "('missing_data_handling', 'success'), ('data_masking', 'success'), ('quality_report', 'success')) "
+                  "t(step, status) WHERE (SELECT count(*) FROM customer) > 0")
+def q_run_log(spark, sf):
+    from .plans.pipeline import run
+
+    res = run(fxt(spark, sf, PII), PrepOptions(order_by="c_custkey"), materialize=False)
+    return res.log_frame(spark).select("step", "status")
+
+
 @query("consistency_gain", _gain_sql())
 def q_consistency_gain(spark, sf):
     b = normalize_na(fxt(spark, sf, EVT))
