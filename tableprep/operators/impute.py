@@ -144,21 +144,21 @@ def fit_fills(df: DataFrame, opts: FillOptions = FillOptions(), prof: Profile |
     def under(c: str, e: Column) -> Column:
         return e if cond[c] is None else F.when(cond[c], e)
 
+    # Only columns with gaps in the whole table can have gaps under a row filter; others need nothing.
+    gappy = [c for c in cols if prof.missing[c] > 0]
     aggs, keys = [], []
-    for c in cols:
-        aggs.append(F.count(under(c, F.when(is_missing(col(c), dtypes[c]), 1))).alias(f"m{len(keys)}"))
-        keys.append((c, "missing"))
+    for c in gappy:
+        if cond[c] is not None:
+            aggs.append(F.count(under(c, F.when(is_missing(col(c), dtypes[c]), 1))).alias(f"m{len(keys)}"))
+            keys.append((c, "missing"))
         if strat[c] == "mean" and is_numeric_type(dtypes[c]):
             aggs.append(F.avg(under(c, F.when(~is_missing(col(c), dtypes[c]), col(c)))).alias(f"m{len(keys)}"))
             keys.append((c, "mean"))
-    stats: dict[tuple, object] = {}
-    if any(cond[c] is not None for c in cols) or any(k[1] == "mean" for k in keys):
+    stats: dict[tuple, object] = {(c, "missing"): prof.missing[c] for c in cols}
+    if aggs:
         r = df.agg(*aggs).collect()[0]
         for i, k in enumerate(keys):
             stats[k] = r[f"m{i}"]
-    else:
-        for c in cols:
-            stats[(c, "missing")] = prof.missing[c]
     need = [c for c in cols if (stats[(c, "missing")] or 0) > 0]
     mode_cols = {c: cond[c] for c in need if strat[c] == "mode"}
     mode_vals = modes(df, mode_cols)

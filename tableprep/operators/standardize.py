@@ -137,8 +137,12 @@ def infer_types(
     prof: Profile | None = None,
     *,
     categorical: bool = True,
+    datetime_formats: dict[str, str] | None = None,
 ) -> list[TypeDecision]:
-    """S11 for every column. Text columns get tests in the order boolean, numeric, datetime, categorical."""
+    """S11 for every column. Text columns get tests in the order boolean, numeric, datetime, categorical.
+
+    ``datetime_formats`` may carry formats already found on a shared sample (then no sample job runs here).
+    """
     prof = prof or profile(df, text_evidence=True, approx_distinct=categorical)
     lacks = any(isinstance(dt, T.StringType) and "bad_number" not in prof.stats.get(c, {})
                 for c, dt in prof.dtypes.items())
@@ -176,7 +180,10 @@ def infer_types(
                 need_dt.append(c)
         else:
             decisions[c] = TypeDecision(c, "text", phys, evidence="no handling for this type")
-    formats = _datetime_formats(df, need_dt, order_by) if need_dt else {}
+    if datetime_formats is not None:
+        formats = {c: datetime_formats[c] for c in need_dt if c in datetime_formats}
+    else:
+        formats = _datetime_formats(df, need_dt, order_by) if need_dt else {}
     for c in need_dt:
         if c in formats:
             decisions[c] = TypeDecision(c, "datetime", "string", target="timestamp_ntz", fmt=formats[c],

@@ -184,7 +184,9 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
                     {renames.get(c, c): raw_prof.dtypes[c] for c in kept},
                     {renames.get(c, c): raw_prof.missing[c] for c in kept},
                     {renames.get(c, c): raw_prof.stats.get(c, {}) for c in kept})
-        decisions = infer_types(x, order_by, p, categorical=False)
+        fmts, rates = _shared_sample(x, p, order_by)
+        decisions = infer_types(x, order_by, p, categorical=False,
+                                datetime_formats=fmts if order_by is not None else None)
         for d in decisions:
             if p.dtypes[d.column] != T.StringType() or d.detected not in ("numeric", "datetime", "boolean"):
                 continue
@@ -192,7 +194,9 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
                 continue
             auto_casts.append(Cast(d.column, d.detected, d.fmt, d.target == "bigint"))
         if so.protect_identifiers and order_by is not None:
-            auto_casts = _protect_identifiers(x, auto_casts, order_by)
+            # Text columns whose values look like phone or ID numbers are not turned into numbers
+            keep_text = {c for c, (ph, idc) in rates.items() if (ph or 0) > VALUE_RATE or (idc or 0) > VALUE_RATE}
+            auto_casts = [c for c in auto_casts if not (c.logical == "numeric" and c.column in keep_text)]
     fitted = FittedPrep(input_columns, dropped_empty, renames, auto_casts, [], so.text_booleans,
                         FillPlan([], [], 0), {}, MaskOptions(mo.seed, mo.salt, mo.hash_len), [], fo, {},
                         order_by, list(opts.partition_by), decisions)
@@ -221,7 +225,15 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
 
     # 3. missing values (one statistics job, plus mode / median jobs when used)
     t0 = time.time()
-    fitted.fill_plan = fit_fills(std, opts.missing_handling)
+    std_prof = None
+    if so.auto_detect_types and not fitted.custom_casts and all(c.logical in ("numeric", "boolean") for c in auto_casts):
+        # number and boolean casts add no gaps beyond blank text, so the raw profile still holds
+        miss = {renames.get(c, c): raw_prof.missing[c] for c in kept}
+        for c in auto_casts:
+            if c.logical == "numeric":
+                miss[c.column] += int(p.stats.get(c.column, {}).get("blank", 0) or 0)
+        std_prof = Profile(raw_prof.rows, list(std.columns), {f.name: f.dataType for f in std.schema.fields}, miss)
+    fitted.fill_plan = fit_fills(std, opts.missing_handling, prof=std_prof)
     filled = fitted.fill(std)
     log.append(("missing_data_handling", "success", "missing values handled",
                 {"plan": str(fitted.fill_plan.log())}, time.time() - t0))
@@ -262,15 +274,37 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
     return fitted
 
 
-def _protect_identifiers(x: DataFrame, casts: list[Cast], order_by) -> list[Cast]:
-    """Text columns whose values look like phone or ID numbers are not turned into numbers."""
-    num = [c.column for c in casts if c.logical == "numeric"]
-    if not num:
-        return casts
-    rates = {r["column"]: r for r in sample_rates(first_values(x, num, order_by, SAMPLE_SIZE)).collect()}
-    keep_text = {c for c in num if c in rates and ((rates[c]["phone_rate"] or 0) > VALUE_RATE
-                                                   or (rates[c]["id_card_rate"] or 0) > VALUE_RATE)}
-    return [c for c in casts if c.column not in keep_text]
+def _shared_sample(x: DataFrame, p: Profile, order_by):
+    """One sample job for the text columns that may convert: datetime formats (first 10 values, S9) and
+    phone / ID rates (first 20 values, A6) of number-like columns."""
+    from ..functions.columns import DATETIME_FORMATS, to_datetime
+    from ..functions.predicates import is_id_card, is_phone
+    from ..operators.standardize import DATETIME_SAMPLE
+
+    if order_by is None:
+        return {}, {}
+    cands = []
+    for c in p.columns:
+        st = p.stats.get(c, {})
+        if p.dtypes[c] == T.StringType() and p.non_missing(c) > 0 and "bad_number" in st:
+            if not any(st.get(f"bool_{i}") == 1 for i in range(5)):
+                cands.append(c)
+    if not cands:
+        return {}, {}
+    s = first_values(x, cands, order_by, SAMPLE_SIZE)
+    v = F.col("value")
+    head = F.col("pos") <= DATETIME_SAMPLE
+    aggs = [F.min(F.when(head, to_datetime(v, f).isNotNull().cast("int"))).alias(f"f{i}") for i, f in enumerate(DATETIME_FORMATS)]
+    aggs += [F.avg(is_phone(v).cast("double")).alias("ph"), F.avg(is_id_card(v).cast("double")).alias("idc")]
+    fmts, rates = {}, {}
+    for r in s.groupBy("column").agg(*aggs).collect():
+        for i, f in enumerate(DATETIME_FORMATS):
+            if r[f"f{i}"] == 1:
+                fmts[r["column"]] = f
+                break
+        if p.stats[r["column"]].get("bad_number", 1) == 0:
+            rates[r["column"]] = (r["ph"], r["idc"])
+    return fmts, rates
 
 
 @dataclass
@@ -329,22 +363,9 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
 
 
 def _report(before: DataFrame, after: DataFrame, ob_before, ob_after) -> QualityReport:
-    from ..operators.quality import QualityReport as QR, distribution, data_size
-    from ..operators.standardize import distinct_counts
-    from ..functions.columns import NUMERIC_TYPES
-
-    pb, pa = profile(before), profile(after)
     if ob_before is None or ob_after is None:
         raise ValueError("the quality report checks first values in row order: pass order_by")
-    cb, _ = consistency(before, pb, ob_before)
-    ca, _ = consistency(after, pa, ob_after)
-    common = [c for c in pb.columns if isinstance(pb.dtypes[c], NUMERIC_TYPES)
-              and c in pa.dtypes and isinstance(pa.dtypes[c], NUMERIC_TYPES)]
-    db, da = distribution(before, common), distribution(after, common)
-    dist = {c: {"original": db[c], "processed": da[c]} for c in common}
-    ub = {r["column"]: r["n_distinct"] for r in distinct_counts(before, common).collect()} if common else {}
-    ua = {r["column"]: r["n_distinct"] for r in distinct_counts(after, common).collect()} if common else {}
-    return QR(pb, pa, cb, ca, dist, ub, ua, data_size(before), data_size(after))
+    return quality_report(before, after, ob_before, order_by_after=ob_after)
 
 
 def run_path(spark, src: str, dst: str, opts: PrepOptions = PrepOptions(), fmt: str | None = None,
