@@ -52,8 +52,8 @@ def not_missing(c: Column, dt: T.DataType) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """Text that is empty after stripping whitespace."""
-    return F.regexp_replace(c, WS + "+", "") == F.lit("")
+    """Text that is empty after stripping whitespace (an anchored match: stops at the first visible char)."""
+    return c.rlike("^" + WS + "*$")
 
 
 def strip_ws(c: Column) -> Column:

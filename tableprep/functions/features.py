@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import WS, is_blank, is_missing, strip_ws
+from .columns import is_blank, is_missing
 
 
 def is_null_flag(c: Column, dt: T.DataType) -> Column:
@@ -25,10 +25,8 @@ def text_length(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """number of whitespace-separated words."""
-    s = strip_ws(c)
-    return F.when(c.isNull(), F.lit(None).cast("bigint")).when(s == "", F.lit(0).cast("bigint")).otherwise(
-        F.size(F.split(s, WS + "+")).cast("bigint"))
+    """number of whitespace-separated words (runs of non-space characters; no array is built)."""
+    return F.regexp_count(c, F.lit("(?U)\\S+")).cast("bigint")
 
 
 def is_empty_flag(c: Column) -> Column:

@@ -11,11 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import FRACTIONAL_TYPES, INTEGRAL_TYPES, TEMPORAL_TYPES, as_text, col, field_type, is_missing
+from pyspark.sql import types as T
 
-# Tables with at least this many rows first look for a key cut-off holding the first n values of every
-# column, so that only that prefix is unpivoted and sorted (the result is the same).
-PREFILTER_MIN_ROWS = 2_000_000
+from ..functions.columns import (
+    FRACTIONAL_TYPES,
+    INTEGRAL_TYPES,
+    TEMPORAL_TYPES,
+    col,
+    field_type,
+    is_missing,
+    py_float_text,
+)
+
+# Tables whose unpivoted size (rows x sampled columns) reaches this first look for a key cut-off holding
+# the first n values of every column, so that only that prefix is unpivoted and sorted (same result).
+PREFILTER_MIN_CELLS = 2_000_000
 
 
 def _order_cols(order_by) -> list[str]:
@@ -24,12 +34,14 @@ def _order_cols(order_by) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
-def key_cutoff(df: DataFrame, columns: list[str], key: str, n: int, min_rows: int = PREFILTER_MIN_ROWS):
+def key_cutoff(df: DataFrame, columns: list[str], key: str, n: int, min_cells: int = PREFILTER_MIN_CELLS):
     """A filter ``key IS NULL OR key <= t`` that keeps the first ``n`` non-missing values of every column.
 
-    Hash aggregates only (no sort): non-missing counts, one ``percentile_approx`` of the key, and a count
-    under the filter that proves the cut-off keeps enough values (widened until it does). ``None`` when the
-    table is small or the prefix would not be much smaller than the table.
+    ``key`` is the first order key; rows with a larger first key come after every kept row, so the
+    first ``n`` values in the full order are inside the prefix. Hash aggregates only (no sort):
+    non-missing counts, one ``percentile_approx`` of the key, and a count under the filter that proves
+    the cut-off keeps enough values (widened until it does). ``None`` when the unpivoted table would be
+    small or the prefix would not be much smaller than the table.
     """
     dt = field_type(df, key)
     if not isinstance(dt, INTEGRAL_TYPES + FRACTIONAL_TYPES + TEMPORAL_TYPES):
@@ -38,7 +50,7 @@ def key_cutoff(df: DataFrame, columns: list[str], key: str, n: int, min_rows: in
         F.count(F.when(~is_missing(col(c), field_type(df, c)), 1)).alias(f"n{i}") for i, c in enumerate(columns)]
     r = df.agg(*aggs).collect()[0]
     rows = r["rows"]
-    if rows < min_rows:
+    if rows * len(columns) < min_cells:
         return None
     nn = [r[f"n{i}"] for i in range(len(columns))]
     live = [i for i in range(len(columns)) if nn[i] > 0]
@@ -55,34 +67,52 @@ def key_cutoff(df: DataFrame, columns: list[str], key: str, n: int, min_rows: in
     return None
 
 
-def first_values(df: DataFrame, columns: list[str], order_by, n: int, *, text: bool = True,
-                 prefilter_min_rows: int = PREFILTER_MIN_ROWS) -> DataFrame:
+def _carried_text(c, dt: T.DataType):
+    """A cheap text form that survives the limit and is turned into the reference's text afterwards."""
+    if isinstance(dt, T.StringType):
+        return c
+    if isinstance(dt, FRACTIONAL_TYPES):
+        return c.cast("double").cast("string")   # exact round trip through text
+    return c.cast("string")
+
+
+def _final_text(v, dt: T.DataType):
+    if isinstance(dt, FRACTIONAL_TYPES):
+        return py_float_text(v.cast("double"))
+    if isinstance(dt, T.BooleanType):
+        return F.when(v == "true", F.lit("True")).when(v == "false", F.lit("False"))
+    return v
+
+
+def first_values(df: DataFrame, columns: list[str], order_by, n: int, *,
+                 prefilter_min_cells: int | None = PREFILTER_MIN_CELLS) -> DataFrame:
     """Long frame ``(column, pos, value)`` with up to ``n`` rows per column, ``pos`` from 1.
 
-    Missing cells (null, NaN) are skipped, as ``dropna()`` does. ``value`` is the cell as text.
+    Missing cells (null, NaN) are skipped, as ``dropna()`` does. ``value`` is the cell as the text
+    ``str(value)`` gives. The costly text form of numbers is built only for the rows that survive the
+    per-column limit.
     """
     keys = _order_cols(order_by)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, pos bigint, value string")
-    if len(keys) == 1 and prefilter_min_rows is not None:
-        cond = key_cutoff(df, columns, keys[0], n, prefilter_min_rows)
+    if prefilter_min_cells is not None:
+        cond = key_cutoff(df, columns, keys[0], n, prefilter_min_cells)
         if cond is not None:
             df = df.where(cond)
     tmp_keys = [f"__k{i}" for i in range(len(keys))]
     projected = [col(k).alias(t) for k, t in zip(keys, tmp_keys)]
+    types = [field_type(df, c) for c in columns]
     for i, c in enumerate(columns):
-        dt = field_type(df, c)
-        v = F.when(~is_missing(col(c), dt), as_text(col(c), dt))
-        projected.append(v.alias(f"__v{i}"))
-    wide = df.select(*projected)
-    long = wide.unpivot(tmp_keys, [f"__v{i}" for i in range(len(columns))], "__slot", "value").where(
-        F.col("value").isNotNull()
-    )
-    # Map slot names back to real column names with a literal map (names may hold dots or spaces).
-    names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(f"__v{i}"), F.lit(c))])
+        projected.append(F.when(~is_missing(col(c), types[i]), _carried_text(col(c), types[i])).alias(str(i)))
+    long = df.select(*projected).unpivot(tmp_keys, [str(i) for i in range(len(columns))], "__slot", "value").where(
+        F.col("value").isNotNull())
     w = Window.partitionBy("__slot").orderBy(*[F.col(t).asc_nulls_first() for t in tmp_keys])
-    return (
-        long.withColumn("pos", F.row_number().over(w))
-        .where(F.col("pos") <= n)
-        .select(F.element_at(names, F.col("__slot")).alias("column"), F.col("pos").cast("bigint").alias("pos"), "value")
-    )
+    top = long.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+    # back to real names (which may hold dots or spaces) and to the reference's text, on the few survivors
+    names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(str(i)), F.lit(c))])
+    text = F.col("value")
+    for i, dt in enumerate(types):
+        if isinstance(dt, FRACTIONAL_TYPES + (T.BooleanType,)):
+            text = F.when(F.col("__slot") == str(i), _final_text(F.col("value"), dt)).otherwise(text)
+    return top.select(F.element_at(names, F.col("__slot")).alias("column"), F.col("pos").cast("bigint").alias("pos"),
+                      text.alias("value"))
