@@ -25,7 +25,7 @@ from ..functions.columns import (
 
 # Tables whose unpivoted size (rows x sampled columns) reaches this first look for a key cut-off holding
 # the first n values of every column, so that only that prefix is unpivoted and sorted (same result).
-PREFILTER_MIN_CELLS = 2_000_000
+PREFILTER_MIN_CELLS = 1_000_000
 
 
 def _order_cols(order_by) -> list[str]:

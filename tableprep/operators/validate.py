@@ -85,7 +85,7 @@ def basic_stats(df: DataFrame) -> DataFrame:
         rows.alias("rows"),
         F.lit(n_cols).cast("bigint").alias("columns"),
         total.cast("bigint").alias("missing_cells"),
-        (total / (rows * F.lit(n_cols))).alias("missing_rate"),
+        F.try_divide(total, rows * F.lit(n_cols)).alias("missing_rate"),
     )
 
 

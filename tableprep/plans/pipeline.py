@@ -351,7 +351,7 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
             t0 = time.time()
             ob = opts.order_by if opts.order_by is not None else None
             ob_after = fitted.order_by
-            rep = _report(df, data, ob, ob_after)
+            rep = _report(df, data, ob, ob_after, opts.report_approx_distinct)
             log.append(("quality_report", "success", "quality report done",
                         {"scores": str(rep.scores())}, time.time() - t0))
         return RunResult(data, fitted, None, rep, log)
@@ -362,10 +362,10 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
         raise PrepError(f"processing failed: {e}", log) from e
 
 
-def _report(before: DataFrame, after: DataFrame, ob_before, ob_after) -> QualityReport:
+def _report(before: DataFrame, after: DataFrame, ob_before, ob_after, approx_distinct: bool = False) -> QualityReport:
     if ob_before is None or ob_after is None:
         raise ValueError("the quality report checks first values in row order: pass order_by")
-    return quality_report(before, after, ob_before, order_by_after=ob_after)
+    return quality_report(before, after, ob_before, order_by_after=ob_after, approx_distinct=approx_distinct)
 
 
 def run_path(spark, src: str, dst: str, opts: PrepOptions = PrepOptions(), fmt: str | None = None,

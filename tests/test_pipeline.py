@@ -67,3 +67,14 @@ def test_quality4_scores(spark):
     assert (s["overall"]["original"], s["overall"]["processed"]) == (69.0, 96.0)
     assert r.missing()["improvement"]["missing_reduction"] == 4
     assert "completeness: 75.0% -> 100.0%" in r.text()
+
+
+def test_quality_report_approx_distinct_close(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 20000).select("id", (F.col("id") % 997).alias("m"), (F.col("id") * 0.5).alias("h"))
+    exact = quality_report(df, df, "id")
+    approx = quality_report(df, df, "id", approx_distinct=True)
+    for c in ("m", "h"):
+        assert abs(approx.unique_before[c] - exact.unique_before[c]) <= 0.05 * exact.unique_before[c]
+    assert exact.unique_before["m"] == 997
