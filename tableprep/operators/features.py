@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions import features as fx
-from ..functions.columns import TEMPORAL_TYPES, col, is_numeric_type
+from ..functions.columns import col, is_numeric_type
 
 
 @dataclass(frozen=True)
@@ -65,5 +65,3 @@ def extract_features(df: DataFrame, has_values: dict[str, bool] | None = None,
     feats = [(n, e) for n, e in feats if n not in taken]
     return df.select(*[col(c) for c in df.columns], *[e.alias(n) for n, e in feats]), [n for n, _ in feats]
 
-
-_ = TEMPORAL_TYPES

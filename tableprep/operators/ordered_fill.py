@@ -85,9 +85,13 @@ def ordered_fill(
     direction: str = "forward",
     partition_by: list[str] | None = None,
     buckets: int | None = None,
+    bounds: list[float] | None = None,
 ) -> DataFrame:
     """Fill missing cells of ``columns`` from the previous (forward) or next (backward) non-missing
-    value in ``order_by`` order, within ``partition_by`` groups if given. Leading (trailing) gaps stay."""
+    value in ``order_by`` order, within ``partition_by`` groups if given. Leading (trailing) gaps stay.
+
+    ``bounds`` are bucket boundaries found earlier (any sorted list gives the same result; good ones
+    balance the buckets). Without them one ``percentile_approx`` job finds them now."""
     if not columns:
         return df
     if direction not in ("forward", "backward"):
@@ -95,8 +99,9 @@ def ordered_fill(
     keys = _keys(order_by)
     parts = list(partition_by or [])
     fwd = direction == "forward"
-    nb = min(buckets or default_buckets(df), MAX_BUCKETS)
-    bounds = boundaries(df, keys[0], nb)
+    if bounds is None:
+        nb = min(buckets or default_buckets(df), MAX_BUCKETS)
+        bounds = boundaries(df, keys[0], nb)
     b = "__bucket"
     x = with_bucket(df, keys[0], bounds, b)
     # a single key orders max_by/min_by directly (fixed width: hash aggregation for numeric values)

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
-from ..functions.predicates import PREDICATES
 from ..operators.features import extract_features, feature_columns
 from ..operators.impute import FillPlan, apply_fills, fit_fills
 from ..operators.masking import MaskOptions, MaskSpec, mask_columns, mask_summary
 from ..operators.profile import Profile, profile
-from ..operators.quality import QualityReport, consistency, quality_report
+from ..operators.quality import QualityReport, quality_report
 from ..operators.sample import first_values
 from ..operators.sensitive import SAMPLE_SIZE, VALUE_RATE, classify, mask_decision, name_candidates, sample_rates
 from ..operators.standardize import (
@@ -73,6 +72,8 @@ class FittedPrep:
     partition_by: list[str]
     type_decisions: list[TypeDecision] = field(default_factory=list)
     detections: list[dict] = field(default_factory=list)
+    # the filled fit table, checkpointed when fit was asked to (not a constant; used by run only)
+    filled_cache: DataFrame | None = None
 
     # -- transform pieces (each a lazy projection / filter) --
     def standardize(self, df: DataFrame) -> DataFrame:
@@ -133,10 +134,6 @@ class FittedPrep:
                                      "column string, masking_type string, strategy string")
 
 
-def _names_after(columns: list[str], dropped: list[str], renames: dict[str, str]) -> list[str]:
-    return [renames.get(c, c) for c in columns if c not in dropped]
-
-
 def _map_order(order_by, renames: dict[str, str]):
     if order_by is None:
         return None
@@ -145,7 +142,7 @@ def _map_order(order_by, renames: dict[str, str]):
 
 
 def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = None,
-        validation: Validation | None = None) -> FittedPrep:
+        validation: Validation | None = None, checkpoint_fill: bool = False) -> FittedPrep:
     spark = df.sparkSession
     log = log if log is not None else []
     so, mo, fo = opts.standardization, opts.masking_rules, opts.feature_extraction
@@ -235,6 +232,10 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
         std_prof = Profile(raw_prof.rows, list(std.columns), {f.name: f.dataType for f in std.schema.fields}, miss)
     fitted.fill_plan = fit_fills(std, opts.missing_handling, prof=std_prof)
     filled = fitted.fill(std)
+    if checkpoint_fill:
+        # written once to the shared checkpoint folder: detection and the output read it, the fill runs once
+        filled = cut_lineage(filled)
+        fitted.filled_cache = filled
     log.append(("missing_data_handling", "success", "missing values handled",
                 {"plan": str(fitted.fill_plan.log())}, time.time() - t0))
 
@@ -342,10 +343,11 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
     """Fit, transform, (checkpoint), report. Raises ``PrepError`` with the log on failure."""
     log: list = []
     try:
-        fitted = fit(df, opts, log)
-        data = fitted.transform(df)
-        if materialize:
-            data = cut_lineage(data)
+        fitted = fit(df, opts, log, checkpoint_fill=materialize)
+        if fitted.filled_cache is not None:
+            data = fitted.add_features(fitted.mask(fitted.filled_cache))   # projections over the written table
+        else:
+            data = fitted.transform(df)
         rep = None
         if report:
             t0 = time.time()
@@ -380,4 +382,4 @@ def run_path(spark, src: str, dst: str, opts: PrepOptions = PrepOptions(), fmt:
 
 
 __all__ = ["fit", "run", "run_path", "FittedPrep", "RunResult", "PrepError", "PrepOptions", "mask_summary",
-           "extract_features", "quality_report", "PREDICATES"]
+           "extract_features", "quality_report"]

@@ -20,15 +20,13 @@ from .functions import features as fx
 from .functions import masks as M
 from .functions import predicates as P
 from .functions.columns import as_text, col, number_to_text, to_boolean, to_datetime, to_number
-from .functions.naming import convert_names
 from .operators import impute as I
 from .operators.features import FeatureOptions, extract_features
 from .operators.masking import MaskSpec, mask_columns, mask_preview, mask_summary
-from .operators.ordered_fill import ordered_fill
 from .operators.profile import profile
-from .operators.quality import consistency, data_size, distribution, text_checks
+from .operators.quality import consistency, data_size, text_checks
 from .operators.sample import first_values
-from .operators.sensitive import classify, detect_sensitive, mask_decision, name_candidates, sample_rates
+from .operators.sensitive import detect_sensitive, mask_decision
 from .operators.standardize import (
     apply_type_mapping,
     convert_types,
@@ -39,7 +37,7 @@ from .operators.standardize import (
     rename_columns,
 )
 from .operators.validate import basic_stats, preview, validate
-from .plans.options import MaskingOptions, PrepOptions
+from .plans.options import PrepOptions
 from .session import ensure_checkpoint_dir
 from .sources.io import NA_TOKENS, normalize_na, read_csv, read_json, read_table, write_table
 
