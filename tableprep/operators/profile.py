@@ -68,8 +68,10 @@ def _column_exprs(name: str, dt: T.DataType, text_evidence: bool, approx_distinc
             ("not_long", F.count(F.when(nonblank & to_number(c, True).isNull(), 1))),
         ]
         low = F.lower(c)
+        short = F.char_length(c) <= max(len(w) for p in BOOLEAN_PAIRS for w in p)  # never lower-case long texts
         for i, pair in enumerate(BOOLEAN_PAIRS):
-            out.append((f"bool_{i}", F.min(F.when(c.isNotNull(), low.isin(list(pair)).cast("int")))))
+            hit = F.when(short, low.isin(list(pair))).otherwise(F.lit(False))
+            out.append((f"bool_{i}", F.min(F.when(c.isNotNull(), hit.cast("int")))))
         if approx_distinct:
             out.append(("approx_distinct", F.approx_count_distinct(c)))
     elif text_evidence and isinstance(dt, INTEGRAL_TYPES):
