@@ -43,7 +43,10 @@ MAX_BUCKETS = 100_000
 def key_as_double(c: F.Column, dt: T.DataType) -> F.Column:
     """A monotone double image of the order key (ties may merge; order inside a bucket uses the real key)."""
     if isinstance(dt, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        # zone-free: wall-clock microseconds since the epoch from the fields (no DST gaps or overlaps,
+        # whatever the session time zone)
+        minutes = F.unix_date(c.cast("date")).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
+        return (minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")).cast("double")
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c).cast("double")
     if isinstance(dt, T.DateType):

@@ -91,3 +91,17 @@ def test_custom_value_type_checked(spark):
     df = spark.createDataFrame([(1, None), (2, 1.0)], "k int, v double")
     with pytest.raises(ValueError):
         I.fit_fills(df, I.FillOptions(custom_fill_values={"v": "abc"}))
+
+
+def test_ordered_fill_wall_clock_keys_under_dst_zone(spark):
+    """Bucket keys of timestamp_ntz ignore the session zone (a spring-forward hour must not reorder rows)."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT explode(sequence(timestamp_ntz'2024-03-10 00:00:00', timestamp_ntz'2024-03-10 05:00:00', "
+                       "interval 10 minutes)) AS t").withColumn("v", F.when(F.minute("t") == 0, F.hour("t")))
+        a = ordered_fill(df, ["v"], "t", "forward", buckets=7)
+        b = ordered_fill_window(df, ["v"], "t", "forward")
+        assert a.exceptAll(b).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
