@@ -153,8 +153,13 @@ DATETIME_FORMATS = (
 
 
 def to_datetime(c: Column, fmt: str) -> Column:
-    """Text to a timestamp without time zone, bad values to null."""
-    return F.try_to_timestamp(strip_ws(c), F.lit(fmt)).cast("timestamp_ntz")
+    """Text to a wall-clock timestamp (no time zone), bad values to null.
+
+    The ``try_`` parse decides validity (it never throws under ANSI); the value is then parsed straight
+    to ``timestamp_ntz`` so no session zone (and no DST gap) can shift it.
+    """
+    s = strip_ws(c)
+    return F.when(F.try_to_timestamp(s, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(s, F.lit(fmt)))
 
 
 # Boolean text pairs (true word, false word).

@@ -48,3 +48,18 @@ def test_numeric_text(spark):
 def test_drop_duplicate_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("a", "b", "a")
     assert drop_duplicate_columns(df).collect()[0].asDict() == {"a": 1, "b": 2}
+
+
+def test_text_datetime_is_wall_clock_in_any_zone(spark):
+    from pyspark.sql import functions as F
+
+    from tableprep.functions.columns import to_datetime
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2024-03-10 02:30:00",), ("bad",), ("2024-11-03 01:30:00",)], "s string")
+        got = [r.t for r in df.select(to_datetime(F.col("s"), "yyyy-M-d H:m:s").alias("t")).collect()]
+        assert got == [dt.datetime(2024, 3, 10, 2, 30), None, dt.datetime(2024, 11, 3, 1, 30)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
