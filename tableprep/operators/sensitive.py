@@ -91,11 +91,12 @@ def mask_decision(
     spark = detections.sparkSession
     d = detections
     if verdicts is not None:
-        v = verdicts.select(
-            "column",
-            F.col("is_sensitive").cast("boolean").alias("v_sensitive"),
-            F.col("suggested_type").alias("v_type"),
-        )
+        # bound the caller's frame before broadcasting it: only the table's columns, one row each
+        names = detections.select("column")
+        v = (verdicts.join(F.broadcast(names), "column", "left_semi")
+             .groupBy("column")
+             .agg(F.max(F.col("is_sensitive").cast("boolean")).alias("v_sensitive"),
+                  F.min("suggested_type").alias("v_type")))
         d = d.join(F.broadcast(v), "column", "left")
     else:
         d = d.withColumn("v_sensitive", F.lit(None).cast("boolean")).withColumn("v_type", F.lit(None).cast("string"))

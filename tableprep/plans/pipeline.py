@@ -142,7 +142,10 @@ def _map_order(order_by, renames: dict[str, str]):
 
 
 def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = None,
-        validation: Validation | None = None, checkpoint_fill: bool = False) -> FittedPrep:
+        validation: Validation | None = None, checkpoint_fill: bool = False,
+        verdicts: DataFrame | None = None) -> FittedPrep:
+    """Gather the constants of a preparation. ``verdicts`` is an optional caller-supplied frame
+    ``(column, is_sensitive, suggested_type)`` that marks more columns as sensitive (D13)."""
     spark = df.sparkSession
     log = log if log is not None else []
     so, mo, fo = opts.standardization, opts.masking_rules, opts.feature_extraction
@@ -248,7 +251,7 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
         samples = first_values(filled, cols, order_by, SAMPLE_SIZE)
         rates = sample_rates(samples)
         det = classify(rates, name_candidates(spark, cols))
-        dec = mask_decision(det, threshold=mo.sensitivity_threshold, column_rules=rules,
+        dec = mask_decision(det, threshold=mo.sensitivity_threshold, column_rules=rules, verdicts=verdicts,
                             default_strategy=mo.default_strategy, enable_auto_detection=mo.enable_auto_detection)
         drows = dec.collect()
         fitted.detections = [r.asDict() for r in drows]
@@ -339,11 +342,12 @@ class RunResult:
         return self.report.text() if self.report else ""
 
 
-def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True, materialize: bool = True) -> RunResult:
+def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True, materialize: bool = True,
+        verdicts: DataFrame | None = None) -> RunResult:
     """Fit, transform, (checkpoint), report. Raises ``PrepError`` with the log on failure."""
     log: list = []
     try:
-        fitted = fit(df, opts, log, checkpoint_fill=materialize)
+        fitted = fit(df, opts, log, checkpoint_fill=materialize, verdicts=verdicts)
         if fitted.filled_cache is not None:
             data = fitted.add_features(fitted.mask(fitted.filled_cache))   # projections over the written table
         else:

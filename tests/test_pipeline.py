@@ -78,3 +78,11 @@ def test_quality_report_approx_distinct_close(spark):
     for c in ("m", "h"):
         assert abs(approx.unique_before[c] - exact.unique_before[c]) <= 0.05 * exact.unique_before[c]
     assert exact.unique_before["m"] == 997
+
+
+def test_verdicts_mark_more_columns(spark):
+    df = people5(spark)
+    verdicts = spark.createDataFrame([("salary", True, "text"), ("nope", True, "phone")],
+                                     "column string, is_sensitive boolean, suggested_type string")
+    out = run(df, PrepOptions(order_by="user_id"), materialize=False, report=False, verdicts=verdicts).data
+    assert out.orderBy("user_id").first()["salary"] == "50**.5"
