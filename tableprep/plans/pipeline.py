@@ -324,6 +324,13 @@ class RunResult:
         return spark.createDataFrame(
             [(s, st, m, {k: str(v) for k, v in d.items()}, float(t)) for s, st, m, d, t in self.log], LOG_SCHEMA)
 
+    def append_log(self, spark, path: str, run_id: str | None = None) -> None:
+        """Append this run's log to a Parquet table (one row per step), e.g. a job history."""
+        import uuid
+
+        rid = run_id or uuid.uuid4().hex
+        self.log_frame(spark).withColumn("run_id", F.lit(rid)).write.mode("append").parquet(path)
+
     def run_summary(self, spark) -> DataFrame:
         """Q19: step counts by status, masked columns, features."""
         lf = self.log_frame(spark)

@@ -31,9 +31,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (local tests) make a scratch one."""
+    """Use the cluster's ``spark.checkpoint.dir``; only when unset on a local master (tests) make a scratch one.
+
+    A machine-local folder is useless on a cluster (executors cannot read the driver's disk), so a
+    cluster session without the setting is an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (for example on HDFS or S3)")
         d = tempfile.mkdtemp(prefix="tableprep-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

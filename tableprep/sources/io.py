@@ -46,15 +46,20 @@ def normalize_na(df: DataFrame, tokens: list[str] | None = None, columns: list[s
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, *, na_tokens: list[str] | None = None) -> DataFrame:
-    """IO1: header row, all columns as text, missing tokens to null; types are inferred later."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True) \
+def read_csv(spark: SparkSession, path: str, *, na_tokens: list[str] | None = None, multiline: bool = False) -> DataFrame:
+    """IO1: header row, all columns as text, missing tokens to null; types are inferred later.
+
+    Files are split across tasks. ``multiline=True`` allows line breaks inside quoted fields, but then
+    every file is read by a single task, so keep it for inputs that need it.
+    """
+    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline) \
         .option("escape", '"').csv(path)
     return normalize_na(df, na_tokens)
 
 
 def read_json(spark: SparkSession, path: str, *, array: bool | None = None) -> DataFrame:
-    """IO2: a JSON array of records (``multiLine``) or one record per line."""
+    """IO2: a JSON array of records (``multiLine``: one task per file, inherent to the format) or one
+    record per line (splittable; what ``write_table`` produces)."""
     if array is None:
         array = _looks_like_array(path)
     return spark.read.option("multiLine", bool(array)).json(path)

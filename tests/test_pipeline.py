@@ -86,3 +86,15 @@ def test_verdicts_mark_more_columns(spark):
                                      "column string, is_sensitive boolean, suggested_type string")
     out = run(df, PrepOptions(order_by="user_id"), materialize=False, report=False, verdicts=verdicts).data
     assert out.orderBy("user_id").first()["salary"] == "50**.5"
+
+
+def test_log_appends(spark):
+    import os
+    import tempfile
+
+    d = os.path.join(tempfile.mkdtemp(prefix="tp-log-"), "log")
+    res = run(people5(spark), PrepOptions(order_by="user_id"), materialize=False, report=False)
+    res.append_log(spark, d, "a")
+    res.append_log(spark, d, "b")
+    got = spark.read.parquet(d)
+    assert got.select("run_id").distinct().count() == 2 and got.count() == 2 * len(res.log)
