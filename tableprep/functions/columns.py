@@ -60,6 +60,16 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, "^" + WS + "+|" + WS + "+$", "")
 
 
+def typed_lit(v, dt: T.DataType) -> Column:
+    """A literal of type ``dt`` from a collected Python value. Wall-clock timestamps go through text, so
+    no session zone shifts them (``F.lit(datetime)`` would build a zoned timestamp first)."""
+    if v is None:
+        return F.lit(None).cast(dt)
+    if isinstance(dt, T.TimestampNTZType) and hasattr(v, "isoformat"):
+        return F.lit(v.isoformat(sep=" ")).cast(dt)
+    return F.lit(v).cast(dt)
+
+
 # --- numbers as text -------------------------------------------------------------
 
 def number_to_text(c: Column) -> Column:

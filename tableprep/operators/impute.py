@@ -21,7 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import FRACTIONAL_TYPES, INTEGRAL_TYPES, col, field_type, is_missing, is_numeric_type
+from ..functions.columns import (
+    FRACTIONAL_TYPES,
+    INTEGRAL_TYPES,
+    col,
+    field_type,
+    is_missing,
+    is_numeric_type,
+    typed_lit,
+)
 from .ordered_fill import MAX_BUCKETS, boundaries, default_buckets, ordered_fill
 from .profile import Profile, profile
 from .quantile import exact_median
@@ -91,7 +99,7 @@ def _literal(v, dt: T.DataType) -> Column:
         return F.lit(v)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         if isinstance(v, (datetime, date)):
-            return F.lit(v).cast(dt)
+            return typed_lit(v, dt)
         return F.lit(str(v)).try_cast(dt)
     return F.lit(v)
 
@@ -195,7 +203,7 @@ def _fill_value(df: DataFrame, step: FillStep) -> Column:
         lit = F.lit(None).cast("double") if step.value is None else F.lit(float(step.value))
         return F.when(is_missing(col(step.column), dt), lit).otherwise(col(step.column).cast("double")) \
             if not isinstance(dt, FRACTIONAL_TYPES) else F.when(is_missing(col(step.column), dt), lit).otherwise(col(step.column))
-    lit = _literal(step.value, dt) if step.kind == "constant" else F.lit(step.value).cast(dt)
+    lit = _literal(step.value, dt) if step.kind == "constant" else typed_lit(step.value, dt)
     return F.when(is_missing(col(step.column), dt), lit).otherwise(col(step.column))
 
 

@@ -21,6 +21,7 @@ from ..functions.columns import (
     field_type,
     is_missing,
     py_float_text,
+    typed_lit,
 )
 
 # Tables whose unpivoted size (rows x sampled columns) reaches this first look for a key cut-off holding
@@ -59,7 +60,7 @@ def key_cutoff(df: DataFrame, columns: list[str], key: str, n: int, min_cells: i
     q = max(min(1.0, 4.0 * n / nn[i]) for i in live)
     while q < 0.5:
         t = df.agg(F.percentile_approx(col(key), q, 10000).alias("t")).collect()[0]["t"]
-        cond = col(key).isNull() | (col(key) <= F.lit(t).cast(dt))
+        cond = col(key).isNull() | (col(key) <= typed_lit(t, dt))
         got = df.where(cond).agg(*aggs[1:]).collect()[0]
         if all(got[f"n{i}"] >= min(n, nn[i]) for i in live):
             return cond

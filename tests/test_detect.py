@@ -76,3 +76,19 @@ def test_sample_text_of_numbers_and_composite_key(spark):
     got = {(r.column, r.pos): r.value for r in a.collect()}
     assert [got[("d", p)] for p in range(1, 7)] == ["13812345678.0", "0.1", "1e-05", "1.5e+16", "-2.5", "13812345678.0"]
     assert [got[("f", p)] for p in range(1, 4)] == ["True", "False", "True"]
+
+
+def test_sample_cutoff_on_wall_clock_key_in_other_zone(spark):
+    from tableprep.operators.sample import first_values
+
+    from .conftest import SF_MID
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ev = spark.read.parquet(f"{SF_MID}/events.parquet").select("ts", "event_type", "value")
+        a = first_values(ev, ["event_type", "value"], "ts", 20, prefilter_min_cells=0)
+        b = first_values(ev, ["event_type", "value"], "ts", 20, prefilter_min_cells=None)
+        assert a.count() == 40 and a.exceptAll(b).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
