@@ -92,14 +92,17 @@ def py_float_text(d: Column) -> Column:
     ``13812345678.0`` (not ``1.3812345678E10``), ``0.1``, ``1e-05``, ``1.5e+16``, ``nan``, ``inf``.
     """
     plain_range = (F.abs(d) >= F.lit(1e-4)) & (F.abs(d) < F.lit(1e16))
-    # The decimal cast of a double goes through its shortest text, so no digits are invented.
-    fixed = F.regexp_replace(d.cast("decimal(38,18)").cast("string"), "0+$", "")
+    # The decimal cast of a double goes through its shortest text, so no digits are invented; the scale
+    # leaves room for 17 significant digits (below 1: four leading zeros at most in the plain range).
+    as_dec = F.when(F.abs(d) < 1, d.cast("decimal(38,25)").cast("string")).otherwise(d.cast("decimal(38,20)").cast("string"))
+    fixed = F.regexp_replace(as_dec, "0+$", "")
     fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
     java = d.cast("string")  # e.g. 1.0E-5, 1.5E16
-    mant = F.regexp_extract(java, "^(-?[0-9.]+)E(-?)([0-9]+)$", 1)
-    mant = F.regexp_replace(mant, "\\.0$", "")
-    sign = F.when(F.regexp_extract(java, "^(-?[0-9.]+)E(-?)([0-9]+)$", 2) == "-", "-").otherwise("+")
-    expo = F.lpad(F.regexp_extract(java, "^(-?[0-9.]+)E(-?)([0-9]+)$", 3), 2, "0")
+    pat = "^(-?[0-9.]+)E(-?)([0-9]+)$"
+    mant = F.regexp_replace(F.regexp_extract(java, pat, 1), "\\.0$", "")
+    sign = F.when(F.regexp_extract(java, pat, 2) == "-", "-").otherwise("+")
+    digits = F.regexp_extract(java, pat, 3)
+    expo = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)   # lpad would cut 3 digits
     sci = F.concat(mant, F.lit("e"), sign, expo)
     return (
         F.when(d.isNull(), F.lit(None).cast("string"))
