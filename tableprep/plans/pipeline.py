@@ -128,6 +128,21 @@ class FittedPrep:
         check_streamable(self)
         return self.transform(stream)
 
+    def unchanged_columns(self) -> frozenset:
+        """Input columns whose values the preparation leaves exactly as they are (same name, no cast,
+        fill or mask, and no row dropped)."""
+        if any(st.kind == "drop" for st in self.fill_plan.steps):
+            return frozenset()
+        touched = {c.column for c in self.auto_casts + self.custom_casts}
+        touched |= {st.column for st in self.fill_plan.steps} | set(self.masks)
+        out = set()
+        for c in self.input_columns:
+            if c in self.dropped_empty or c in self.fill_plan.dropped_columns:
+                continue
+            if self.renames.get(c, c) == c and c not in touched:
+                out.add(c)
+        return frozenset(out)
+
     # -- P5 pieces --
     def masked_columns(self, spark) -> DataFrame:
         return spark.createDataFrame([(c, s.masking_type, s.strategy) for c, s in self.masks.items()],
@@ -364,7 +379,7 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
             t0 = time.time()
             ob = opts.order_by if opts.order_by is not None else None
             ob_after = fitted.order_by
-            rep = _report(df, data, ob, ob_after, opts.report_approx_distinct)
+            rep = _report(df, data, ob, ob_after, opts.report_approx_distinct, fitted.unchanged_columns())
             log.append(("quality_report", "success", "quality report done",
                         {"scores": str(rep.scores())}, time.time() - t0))
         return RunResult(data, fitted, None, rep, log)
@@ -375,10 +390,12 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
         raise PrepError(f"processing failed: {e}", log) from e
 
 
-def _report(before: DataFrame, after: DataFrame, ob_before, ob_after, approx_distinct: bool = False) -> QualityReport:
+def _report(before: DataFrame, after: DataFrame, ob_before, ob_after, approx_distinct: bool = False,
+            unchanged: frozenset = frozenset()) -> QualityReport:
     if ob_before is None or ob_after is None:
         raise ValueError("the quality report checks first values in row order: pass order_by")
-    return quality_report(before, after, ob_before, order_by_after=ob_after, approx_distinct=approx_distinct)
+    return quality_report(before, after, ob_before, order_by_after=ob_after, approx_distinct=approx_distinct,
+                          unchanged=unchanged)
 
 
 def run_path(spark, src: str, dst: str, opts: PrepOptions = PrepOptions(), fmt: str | None = None,

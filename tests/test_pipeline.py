@@ -98,3 +98,13 @@ def test_log_appends(spark):
     res.append_log(spark, d, "b")
     got = spark.read.parquet(d)
     assert got.select("run_id").distinct().count() == 2 and got.count() == 2 * len(res.log)
+
+
+def test_report_reuse_of_unchanged_columns_is_exact(spark):
+    from tableprep.operators.quality import quality_report
+
+    df = people5(spark)
+    res = run(df, PrepOptions(order_by="user_id"), materialize=False)
+    assert "user_id" in res.fitted.unchanged_columns() and "salary" not in res.fitted.unchanged_columns()
+    full = quality_report(df, res.data, "user_id")
+    assert res.report.metrics_frame(spark).exceptAll(full.metrics_frame(spark)).count() == 0
