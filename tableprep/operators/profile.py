@@ -114,17 +114,3 @@ def profile(
         missing=missing,
         stats=stats,
     )
-
-
-def profile_frame(spark, prof: Profile, side: str | None = None) -> DataFrame:
-    """Long form of a profile: (column, dtype, rows, missing, missing_rate)."""
-    data = [
-        (c, prof.dtypes[c].simpleString(), prof.rows, prof.missing[c],
-         (prof.missing[c] / prof.rows) if prof.rows else 0.0)
-        for c in prof.columns
-    ]
-    schema = "column string, dtype string, rows bigint, missing bigint, missing_rate double"
-    out = spark.createDataFrame(data, schema)
-    if side is not None:
-        out = out.withColumn("side", F.lit(side))
-    return out
