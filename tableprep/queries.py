@@ -816,17 +816,17 @@ def q_feat_is_empty(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", fx.is_empty_flag(col("text")).alias("text_is_empty"))
 
 
-@query("feat_year", "SELECT o_orderkey, year(o_orderdate) AS o_orderdate_year FROM orders")
+@query("feat_year", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year FROM orders")
 def q_feat_year(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", fx.year(col("o_orderdate")).alias("o_orderdate_year"))
 
 
-@query("feat_month", "SELECT o_orderkey, month(o_orderdate) AS o_orderdate_month FROM orders")
+@query("feat_month", "SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month FROM orders")
 def q_feat_month(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", fx.month(col("o_orderdate")).alias("o_orderdate_month"))
 
 
-@query("feat_dayofweek", "SELECT o_orderkey, isodow(o_orderdate) - 1 AS o_orderdate_dayofweek FROM orders")
+@query("feat_dayofweek", "SELECT o_orderkey, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_dayofweek FROM orders")
 def q_feat_dayofweek(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", fx.day_of_week(col("o_orderdate")).alias("o_orderdate_dayofweek"))
 
@@ -836,7 +836,8 @@ def _gaps_features_sql():
           "CAST(o_totalprice IS NULL AS INTEGER) AS o_totalprice_is_null, abs(o_totalprice) AS o_totalprice_abs"
     txt = ", ".join(f"CAST(length({c}) AS BIGINT) AS {c}_length, {S.word_count(c)} AS {c}_word_count, {S.is_empty(c)} AS {c}_is_empty"
                     for c in ("o_orderpriority", "mostly_missing"))
-    dt = "year(o_orderdate) AS o_orderdate_year, month(o_orderdate) AS o_orderdate_month, isodow(o_orderdate) - 1 AS o_orderdate_dayofweek"
+    dt = ("CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, "
+          "CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_dayofweek")
     return with_fixtures(f"SELECT *, {num}, {txt}, {dt} FROM orders_gaps", GAPS)
 
 
