@@ -138,13 +138,22 @@ def parses_as_number(c: Column) -> Column:
     return F.when(c.isNull() | is_blank(c), F.lit(None).cast("boolean")).otherwise(c.rlike(NUMBER_PATTERN))
 
 
+ASCII_WS = " \t\n\r\x0b\x0c"
+
+
 def to_number(c: Column, integral: bool) -> Column:
     """Text to bigint or double, bad values to null (never throws under ANSI)."""
-    s = F.regexp_replace(c, r"^\s+|\s+$", "")
+    s = F.btrim(c, F.lit(ASCII_WS))   # a character-set trim, no regular expression
     ok = c.rlike(NUMBER_PATTERN)
     return F.when(ok, s.try_cast("bigint" if integral else "double"))
 
 
+def is_long_text(c: Column) -> Column:
+    """Integer text that fits a bigint; only texts of 19+ digits can overflow, so only they are cast."""
+    s = F.btrim(c, F.lit(ASCII_WS))
+    return c.rlike(INTEGER_PATTERN) & ((F.length(s) < 19) | s.try_cast("bigint").isNotNull())
+
+
 # Datetime text formats tried in this order; one format per column.
 DATETIME_FORMATS = (
     "yyyy-M-d H:m:s.SSSSSS",

@@ -19,8 +19,8 @@ from ..functions.columns import (
     NUMBER_PATTERN,
     col,
     is_blank,
+    is_long_text,
     is_missing,
-    to_number,
 )
 
 MAX_EXPRS_PER_JOB = 400
@@ -65,7 +65,7 @@ def _column_exprs(name: str, dt: T.DataType, text_evidence: bool, approx_distinc
         out += [
             ("blank", F.count(F.when(c.isNotNull() & is_blank(c), 1))),
             ("bad_number", F.count(F.when(nonblank & ~c.rlike(NUMBER_PATTERN), 1))),
-            ("not_long", F.count(F.when(nonblank & to_number(c, True).isNull(), 1))),
+            ("not_long", F.count(F.when(nonblank & ~is_long_text(c), 1))),
         ]
         low = F.lower(c)
         short = F.char_length(c) <= max(len(w) for p in BOOLEAN_PAIRS for w in p)  # never lower-case long texts
