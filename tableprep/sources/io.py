@@ -35,7 +35,7 @@ def detect_format(path: str) -> str:
                 return e
             if f.endswith(".snappy.parquet") or f.endswith(".zstd.parquet"):
                 return "parquet"
-    raise ValueError(f"unsupported file format: {path}")
+    raise ValueError(f"unsupported file format: {path} (for a folder without an extension pass fmt=...)")
 
 
 def normalize_na(df: DataFrame, tokens: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -59,27 +59,14 @@ def read_csv(spark: SparkSession, path: str, *, na_tokens: list[str] | None = No
 
 def read_json(spark: SparkSession, path: str, *, array: bool | None = None) -> DataFrame:
     """IO2: a JSON array of records (``multiLine``: one task per file, inherent to the format) or one
-    record per line (splittable; what ``write_table`` produces)."""
+    record per line (splittable; what ``write_table`` produces). Without ``array`` the first line decides,
+    read through Spark so any file system works."""
     if array is None:
-        array = _looks_like_array(path)
+        first = spark.read.text(path).limit(1).collect()
+        array = bool(first) and first[0][0].lstrip().startswith("[")
     return spark.read.option("multiLine", bool(array)).json(path)
 
 
-def _looks_like_array(path: str) -> bool:
-    p = path
-    if os.path.isdir(p):
-        files = [os.path.join(p, f) for f in sorted(os.listdir(p)) if f.endswith(".json")]
-        if not files:
-            return False
-        p = files[0]
-    try:
-        with open(p, "rb") as fh:
-            head = fh.read(64).lstrip()
-        return head.startswith(b"[")
-    except OSError:
-        return False
-
-
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """IO3: choose the reader by extension or ``fmt``."""
     f = (fmt or detect_format(path)).lower()

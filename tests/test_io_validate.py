@@ -41,3 +41,25 @@ def test_validate(spark):
     assert not validate(df.where("k > 5")).valid
     sparse = spark.createDataFrame([(None, None, None, None, None, 1)], "a int, b int, c int, d int, e int, f int")
     assert any(e[0] == "missing_rate" for e in validate(sparse).errors)
+
+
+def test_json_array_detected(spark):
+    d = tempfile.mkdtemp(prefix="tp-json-")
+    p = os.path.join(d, "a.json")
+    with open(p, "w") as fh:
+        fh.write('[{"a": 1, "b": "x"},\n {"a": 2, "b": null}]')
+    df = read_table(spark, p)
+    assert sorted(r.a for r in df.collect()) == [1, 2]
+
+
+def test_options_are_checked():
+    from tableprep.operators.impute import FillOptions
+    from tableprep.plans.options import MaskingOptions, StandardizeOptions
+
+    for bad in (lambda: FillOptions(default_strategy="zero"), lambda: FillOptions(missing_threshold=2),
+                lambda: MaskingOptions(default_strategy="blur"), lambda: MaskingOptions(sensitivity_threshold=-1),
+                lambda: MaskingOptions(column_rules={"a": {"type": "iban"}}),
+                lambda: StandardizeOptions(naming_convention="kebab"),
+                lambda: StandardizeOptions(custom_type_mapping={"a": "money"})):
+        with pytest.raises(ValueError):
+            bad()
