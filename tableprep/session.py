@@ -36,13 +36,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A machine-local folder is useless on a cluster (executors cannot read the driver's disk), so a
     cluster session without the setting is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (for example on HDFS or S3)")
         d = tempfile.mkdtemp(prefix="tableprep-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:   # setting it again would make a new sub-folder every time
+        sc.setCheckpointDir(d)
     return d
 
 
