@@ -171,6 +171,14 @@ DATETIME_FORMATS = (
     "yyyyMMdd",
     "yyyy.M.d",
     "d.M.yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "yyyy-M-d'T'H:m:s.SSSSSSXXX",
+    "yyyy-M-d'T'H:m:sXXX",
+    "yyyy-M-d H:m:s.SSSSSSXXX",
+    "yyyy-M-d H:m:sXXX",
 )
 
 
@@ -181,7 +189,22 @@ def to_datetime(c: Column, fmt: str) -> Column:
     to ``timestamp_ntz`` so no session zone (and no DST gap) can shift it.
     """
     s = strip_ws(c)
-    return F.when(F.try_to_timestamp(s, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(s, F.lit(fmt)))
+    parsed = F.try_to_timestamp(s, F.lit(fmt))
+    if "X" in fmt:
+        # text with a zone offset names an instant: keep its UTC wall clock, built from epoch microseconds
+        return utc_wall_clock(parsed)
+    return F.when(parsed.isNotNull(), F.to_timestamp_ntz(s, F.lit(fmt)))
+
+
+def utc_wall_clock(ts: Column) -> Column:
+    """The UTC wall clock of an instant as ``timestamp_ntz``, independent of the session zone."""
+    us = F.unix_micros(ts)
+    day = F.floor(us / F.lit(86_400_000_000)).cast("int")
+    rem = us - day.cast("long") * 86_400_000_000
+    d = F.date_from_unix_date(day)
+    secs = (rem % 60_000_000).cast("decimal(16,6)") / 1_000_000
+    return F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), (rem / 3_600_000_000).cast("int"),
+                                ((rem % 3_600_000_000) / 60_000_000).cast("int"), secs)
 
 
 # Boolean text pairs (true word, false word).

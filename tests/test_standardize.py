@@ -63,3 +63,21 @@ def test_text_datetime_is_wall_clock_in_any_zone(spark):
         assert got == [dt.datetime(2024, 3, 10, 2, 30), None, dt.datetime(2024, 11, 3, 1, 30)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_zoned_and_month_name_dates(spark):
+    from pyspark.sql import functions as F
+
+    from tableprep.functions.columns import to_datetime
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.createDataFrame([("2024-01-05T10:00:00Z",), ("2024-01-05T10:00:00.5+08:00",), ("x",)], "s string")
+        z = [r.t for r in df.select(F.coalesce(to_datetime(F.col("s"), "yyyy-M-d'T'H:m:s.SSSSSSXXX"),
+                                               to_datetime(F.col("s"), "yyyy-M-d'T'H:m:sXXX")).alias("t")).collect()]
+        assert z == [dt.datetime(2024, 1, 5, 10, 0), dt.datetime(2024, 1, 5, 2, 0, 0, 500000), None]
+        m = spark.createDataFrame([("Jan 5, 2024",)], "s string").select(to_datetime(F.col("s"), "MMM d, yyyy").alias("t"))
+        assert m.first().t == dt.datetime(2024, 1, 5)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
