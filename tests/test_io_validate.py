@@ -63,3 +63,25 @@ def test_options_are_checked():
                 lambda: StandardizeOptions(custom_type_mapping={"a": "money"})):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_command_line_job(spark, tmp_path):
+    import subprocess
+    import sys
+
+    from tableprep.fixtures import fixture
+
+    from .conftest import SF_SMALL
+
+    src = str(tmp_path / "in.csv")
+    fixture(spark, SF_SMALL, "customer_pii").write.option("header", True).csv(src)
+    env = dict(os.environ, PYSPARK_SUBMIT_ARGS="--conf spark.ui.enabled=false --master local[2] pyspark-shell")
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    r = subprocess.run([sys.executable, "-m", "tableprep", src, str(tmp_path / "out"), "--order-by", "c_custkey",
+                        "--format", "csv", "--log", str(tmp_path / "log")], cwd=repo, env=env,
+                       capture_output=True, text=True, timeout=600)
+    assert r.returncode == 0, r.stderr[-2000:]
+    assert "Data quality report" in r.stdout
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == spark.read.option("header", True).csv(src).count()
+    assert out.where("phone LIKE '%****%'").count() > 0
