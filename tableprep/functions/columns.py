@@ -87,31 +87,42 @@ def number_to_text(c: Column) -> Column:
 
 
 def py_float_text(d: Column) -> Column:
-    """Text of a double the way Python's ``str(float)`` writes it.
+    """Text of a double the way Python's ``str(float)`` writes it: the shortest digits that read back as the
+    same double, positional for exponents -4..15, else ``1.5e+16`` / ``1e-05``; ``nan``, ``inf``, ``-0.0``.
 
-    ``13812345678.0`` (not ``1.3812345678E10``), ``0.1``, ``1e-05``, ``1.5e+16``, ``nan``, ``inf``.
+    The JVM's own text already has the shortest digits when it needs at most 15 significant digits; longer
+    ones (where Java 17 may add a digit) are searched from 1 to 17 digits with a read-back check.
     """
-    plain_range = (F.abs(d) >= F.lit(1e-4)) & (F.abs(d) < F.lit(1e16))
-    # The decimal cast of a double goes through its shortest text, so no digits are invented; the scale
-    # leaves room for 17 significant digits (below 1: four leading zeros at most in the plain range).
-    as_dec = F.when(F.abs(d) < 1, d.cast("decimal(38,25)").cast("string")).otherwise(d.cast("decimal(38,20)").cast("string"))
-    fixed = F.regexp_replace(as_dec, "0+$", "")
-    fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
-    java = d.cast("string")  # e.g. 1.0E-5, 1.5E16
-    pat = "^(-?[0-9.]+)E(-?)([0-9]+)$"
-    mant = F.regexp_replace(F.regexp_extract(java, pat, 1), "\\.0$", "")
-    sign = F.when(F.regexp_extract(java, pat, 2) == "-", "-").otherwise("+")
-    digits = F.regexp_extract(java, pat, 3)
-    expo = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)   # lpad would cut 3 digits
-    sci = F.concat(mant, F.lit("e"), sign, expo)
+    java = d.cast("string")                                   # 1863.84, 1.0E-5, 2.0000000000000002E23
+    mant = F.regexp_extract(java, "^-?([0-9.]+)", 1)
+    sig = F.regexp_replace(F.regexp_replace(F.regexp_replace(mant, "\\.", ""), "^0+", ""), "0+$", "")
+    n_sig = F.greatest(F.length(sig), F.lit(1))
+
+    def sci_with(p: Column) -> Column:                        # p significant digits, e.g. -1.2345e+03
+        return F.call_function("format_string", F.concat(F.lit("%."), (p - 1).cast("string"), F.lit("e")), d)
+
+    shortest = F.element_at(
+        F.filter(F.transform(F.sequence(F.lit(1), F.lit(17)), sci_with), lambda t: t.cast("double") == d), 1)
+    sci = F.when(n_sig <= 15, sci_with(n_sig)).otherwise(shortest)
+
+    def layout(t: Column) -> Column:
+        neg = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        digits = F.regexp_replace(F.regexp_extract(t, "^-?([0-9.]+)e", 1), "\\.", "")
+        e = F.regexp_extract(t, "e([+-][0-9]+)$", 1).cast("int")
+        k = F.length(digits)
+        int_part = F.rpad(digits, F.greatest(k, e + 1), "0").substr(F.lit(1), e + 1)
+        frac = F.when(k > e + 1, digits.substr(e + 2, F.lit(32))).otherwise(F.lit("0"))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        plain = F.concat(neg, F.when(e >= 0, F.concat(int_part, F.lit("."), frac)).otherwise(small))
+        return F.when((e >= -4) & (e < 16), plain).otherwise(t)   # Java's %e already reads 1.5e+16, 1e-05
+
     return (
         F.when(d.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(d), F.lit("nan"))
         .when(d == F.lit(float("inf")), F.lit("inf"))
         .when(d == F.lit(float("-inf")), F.lit("-inf"))
         .when(d == 0, d.cast("string"))  # 0.0 or -0.0, as Python
-        .when(plain_range, fixed)
-        .otherwise(sci)
+        .otherwise(F.element_at(F.transform(F.array(sci), layout), 1))   # binds sci once
     )
 
 

@@ -9,7 +9,8 @@ from tableprep.functions.columns import number_to_text, py_float_text, to_number
 def test_py_float_text_matches_python(spark):
     rnd = random.Random(7)
     vals = [0.0, -0.0, 0.1, 1e-4, 9.999e-5, 1e-5, 13812345678.0, 1e16, 1.5e16, 1e22, 3.3488001055878643e+212,
-            -0.00021280062724417204, 5000.5, 6000.0, float("inf"), -float("inf")]
+            -0.00021280062724417204, 5000.5, 6000.0, float("inf"), -float("inf"), 2e23, 6.558263133135596e+18,
+            8.275530396996133e+17, 0.30000000000000004, 1.7976931348623157e+308, 2.2250738585072014e-308]
     vals += [round(rnd.uniform(-1e7, 1e7), rnd.randrange(0, 5)) for _ in range(2000)]
     vals += [rnd.uniform(0, 1000) for _ in range(2000)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
