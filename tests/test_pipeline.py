@@ -108,3 +108,15 @@ def test_report_reuse_of_unchanged_columns_is_exact(spark):
     assert "user_id" in res.fitted.unchanged_columns() and "salary" not in res.fitted.unchanged_columns()
     full = quality_report(df, res.data, "user_id")
     assert res.report.metrics_frame(spark).exceptAll(full.metrics_frame(spark)).count() == 0
+
+
+def test_pipeline_ordered_fill_with_partition_keys(spark):
+    from tableprep.operators.impute import FillOptions
+    from tableprep.operators.ordered_fill import ordered_fill_window
+
+    rows = [(i, i % 3, None if i % 4 else float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, g int, v double")
+    opts = PrepOptions(order_by="k", partition_by=("g",), missing_handling=FillOptions(default_strategy="forward_fill"))
+    got = run(df, opts, report=False).data
+    want = ordered_fill_window(df, ["v"], "k", "forward", partition_by=["g"])
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
