@@ -33,7 +33,10 @@ def _keys(order_by) -> list[str]:
 def default_buckets(df: DataFrame) -> int:
     """One bucket per shuffle partition: the cluster sizes that setting to the data."""
     spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    except ValueError:  # e.g. "auto" on some platforms
+        shuffle = 200
     return max(2, shuffle)
 
 
