@@ -32,7 +32,7 @@ from ..functions.columns import (
 )
 from .ordered_fill import MAX_BUCKETS, boundaries, default_buckets, ordered_fill
 from .profile import Profile, profile
-from .quantile import exact_median
+from .quantile import exact_medians
 
 STRATEGIES = ("mean", "median", "mode", "forward_fill", "backward_fill", "drop", "custom")
 ORDERED = ("forward_fill", "backward_fill")
@@ -172,6 +172,16 @@ def fit_fills(df: DataFrame, opts: FillOptions = FillOptions(), prof: Profile |
     need = [c for c in cols if (stats[(c, "missing")] or 0) > 0]
     mode_cols = {c: cond[c] for c in need if strat[c] == "mode"}
     mode_vals = modes(df, mode_cols)
+    med_cols = [c for c in need if strat[c] == "median" and is_numeric_type(dtypes[c])]
+    if med_cols and opts.approx_median:
+        aggs = [F.percentile_approx(F.when(~is_missing(col(c), dtypes[c]) & (cond[c] if cond[c] is not None else F.lit(True)),
+                                           col(c).cast("double")), 0.5, 100000).alias(f"p{i}") for i, c in enumerate(med_cols)]
+        r = df.agg(*aggs).collect()[0]
+        med_vals = {c: r[f"p{i}"] for i, c in enumerate(med_cols)}
+    elif med_cols:   # all exact medians in lockstep: a few jobs whatever the number of columns
+        med_vals = exact_medians(df, {c: (col(c), cond[c]) for c in med_cols})
+    else:
+        med_vals = {}
     steps = []
     for c in need:
         s, dt, miss = strat[c], dtypes[c], int(stats[(c, "missing")])
@@ -181,13 +191,7 @@ def fit_fills(df: DataFrame, opts: FillOptions = FillOptions(), prof: Profile |
         elif s == "mean" and is_numeric_type(dt):
             steps.append(FillStep(c, "mean", stats[(c, "mean")], miss))
         elif s == "median" and is_numeric_type(dt):
-            sub = df if cond[c] is None else df.where(cond[c])
-            v = col(c).cast("double")
-            if opts.approx_median:
-                m = sub.where(~is_missing(col(c), dt)).agg(F.percentile_approx(v, 0.5, 100000)).collect()[0][0]
-            else:
-                m = exact_median(sub.where(~is_missing(col(c), dt)), v)
-            steps.append(FillStep(c, "median", m, miss))
+            steps.append(FillStep(c, "median", med_vals[c], miss))
         elif s == "mode":
             if c in mode_vals:
                 steps.append(FillStep(c, "mode", mode_vals[c], miss))

@@ -65,3 +65,144 @@ def exact_median(df: DataFrame, value: Column, *, n: int | None = None, accuracy
         below += lt
         m = le - lt
     raise RuntimeError("median did not converge")
+
+
+def exact_medians(df: DataFrame, specs: dict, *, accuracy: int = 10000, max_bracket: int = 20000,
+                  max_rounds: int = 12) -> dict:
+    """Exact medians of many columns in lockstep: per round one ``percentile_approx`` job and one count
+    job for all unresolved columns, so a wide table costs a handful of scans instead of several per column.
+
+    ``specs`` maps a name to ``(value, condition)``: the value column (cast to double) and an optional row
+    condition. Columns whose bracket holds at most ``max_bracket`` values are finished together in one
+    long-form window job (``row_number`` per column over the bracket: bounded, distributed); columns whose
+    ranks straddle two heavy values walk their grouped counts.
+    """
+    names = list(specs)
+    vals, live = {}, {}
+    for i, c in enumerate(names):
+        v, cond = specs[c]
+        v = v.cast("double")
+        ok = v.isNotNull() & ~F.isnan(v)
+        if cond is not None:
+            ok = ok & cond
+        vals[c] = v
+        live[c] = ok
+    counts = df.agg(*[F.count(F.when(live[c], 1)).alias(f"n{i}") for i, c in enumerate(names)]).collect()[0]
+    st = {}
+    out = {}
+    for i, c in enumerate(names):
+        n = counts[f"n{i}"]
+        if n == 0:
+            out[c] = None
+            continue
+        st[c] = {"ranks": ((n - 1) // 2, n // 2), "lo": None, "hi": None, "below": 0, "m": n,
+                 "eps": 2.0 / accuracy, "acc": accuracy, "prev": None}
+
+    def in_bracket(c):
+        s = st[c]
+        e = live[c]
+        if s["lo"] is not None:
+            e = e & (vals[c] >= F.lit(s["lo"])) & (vals[c] <= F.lit(s["hi"]))
+        return e
+
+    for _ in range(max_rounds):
+        if not st:
+            break
+        small = [c for c in st if st[c]["m"] <= max_bracket]
+        if small:
+            _finish_by_rank(df, small, vals, in_bracket, st, out)
+        stalled = [c for c in st if st[c]["prev"] is not None and st[c]["m"] > st[c]["prev"] / 2]
+        if stalled:
+            _finish_by_counts(df, stalled, vals, in_bracket, st, out, max_bracket)
+        big = list(st)
+        if not big:
+            break
+        qs = []
+        for c in big:
+            s = st[c]
+            s["prev"] = s["m"]
+            p_lo = max(0.0, (s["ranks"][0] - s["below"] + 0.5) / s["m"] - s["eps"])
+            p_hi = min(1.0, (s["ranks"][1] - s["below"] + 0.5) / s["m"] + s["eps"])
+            qs.append(F.percentile_approx(F.when(in_bracket(c), vals[c]), [p_lo, p_hi], s["acc"]))
+        qrow = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(qs)]).collect()[0]
+        bounds = {c: qrow[f"q{i}"] for i, c in enumerate(big)}
+        cnt = []
+        for c in big:
+            qa, qb = bounds[c]
+            cnt += [F.count(F.when(in_bracket(c) & (vals[c] < F.lit(qa)), 1)),
+                    F.count(F.when(in_bracket(c) & (vals[c] <= F.lit(qb)), 1))]
+        crow = df.agg(*[x.alias(f"c{i}") for i, x in enumerate(cnt)]).collect()[0]
+        for i, c in enumerate(big):
+            s = st[c]
+            qa, qb = bounds[c]
+            lt, le = crow[f"c{2 * i}"], crow[f"c{2 * i + 1}"]
+            r0, r1 = s["ranks"][0] - s["below"], s["ranks"][1] - s["below"]
+            if not (lt <= r0 and le > r1):
+                s["eps"] *= 4
+                s["prev"] = None
+                continue
+            if qa == qb:
+                out[c] = float(qa)
+                del st[c]
+                continue
+            s["lo"], s["hi"] = qa, qb
+            s["below"] += lt
+            s["m"] = le - lt
+    if st:
+        raise RuntimeError(f"median did not converge for {sorted(st)}")
+    return out
+
+
+def _finish_by_rank(df, cols, vals, in_bracket, st, out):
+    """Middle values of small brackets: long form (column, value) + row_number per column (one job)."""
+    from pyspark.sql import Window
+
+    parts = []
+    for i, c in enumerate(cols):
+        parts.append(df.where(in_bracket(c)).select(F.lit(i).alias("ci"), vals[c].alias("v")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    w = Window.partitionBy("ci").orderBy("v")
+    want = F.lit(False)
+    for i, c in enumerate(cols):
+        s = st[c]
+        r0, r1 = s["ranks"][0] - s["below"] + 1, s["ranks"][1] - s["below"] + 1
+        want = want | ((F.col("ci") == i) & F.col("rn").isin(r0, r1))
+    got: dict = {}
+    for r in u.withColumn("rn", F.row_number().over(w)).where(want).collect():
+        got.setdefault(r["ci"], {})[r["rn"]] = r["v"]
+    for i, c in enumerate(cols):
+        s = st[c]
+        r0, r1 = s["ranks"][0] - s["below"] + 1, s["ranks"][1] - s["below"] + 1
+        out[c] = (got[i][r0] + got[i][r1]) / 2.0
+        del st[c]
+
+
+def _finish_by_counts(df, cols, vals, in_bracket, st, out, max_bracket):
+    """Brackets that stopped shrinking hold few distinct values: walk their (value, count) pairs."""
+    parts = [df.where(in_bracket(c)).select(F.lit(i).alias("ci"), vals[c].alias("v")) for i, c in enumerate(cols)]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    g = u.groupBy("ci", "v").count()
+    nd = {r["ci"]: r["k"] for r in g.groupBy("ci").agg(F.count(F.lit(1)).alias("k")).collect()}
+    few = [i for i, c in enumerate(cols) if nd.get(i, 0) <= max_bracket]
+    if few:
+        rows: dict = {}
+        for r in g.where(F.col("ci").isin(few)).collect():   # at most max_bracket rows per column
+            rows.setdefault(r["ci"], []).append((r["v"], r["count"]))
+        for i in few:
+            c = cols[i]
+            s = st[c]
+            picked, cum = [], 0
+            for v, k in sorted(rows[i]):
+                cum += k
+                while len(picked) < 2 and cum > s["ranks"][len(picked)] - s["below"]:
+                    picked.append(v)
+            out[c] = (picked[0] + picked[1]) / 2.0
+            del st[c]
+    for i, c in enumerate(cols):
+        if c in st:   # many distinct values but no progress: sharpen the sketch (exact once m < accuracy)
+            st[c]["acc"] = min(st[c]["acc"] * 10, 2**31 - 1)
+            st[c]["eps"] = 2.0 / st[c]["acc"]

@@ -105,3 +105,21 @@ def test_ordered_fill_wall_clock_keys_under_dst_zone(spark):
         assert a.exceptAll(b).count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_exact_medians_in_lockstep_match_numpy(spark):
+    from tableprep.operators.quantile import exact_medians
+
+    rnd = np.random.default_rng(3)
+    n = 6001
+    a = rnd.normal(size=n)
+    b = np.where(rnd.random(n) < 0.5, 1.0, 2.0)            # ranks straddle two heavy values
+    c = np.concatenate([rnd.exponential(size=n - 3000), np.full(3000, 7.0)])
+    d = rnd.integers(0, 10, size=n).astype(float)
+    rows = [(i, float(a[i]), float(b[i]), float(c[i]), float(d[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double")
+    got = exact_medians(df, {x: (F.col(x), None) for x in "abcd"} | {"a_even": (F.col("a"), F.col("k") > 0)},
+                        accuracy=100, max_bracket=40)
+    for x, arr in zip("abcd", (a, b, c, d)):
+        assert got[x] == float(np.median(arr)), x
+    assert got["a_even"] == float(np.median(a[1:]))
