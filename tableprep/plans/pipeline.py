@@ -21,7 +21,7 @@ from ..operators.impute import FillPlan, apply_fills, fit_fills
 from ..operators.masking import MaskOptions, MaskSpec, mask_columns, mask_summary
 from ..operators.profile import Profile, profile
 from ..operators.quality import QualityReport, quality_report
-from ..operators.sample import first_values
+from ..operators.sample import PREFILTER_MIN_CELLS, first_values
 from ..operators.sensitive import SAMPLE_SIZE, VALUE_RATE, classify, mask_decision, name_candidates, sample_rates
 from ..operators.standardize import (
     CATEGORICAL_META,
@@ -263,7 +263,11 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
     rules = {c: r for c, r in mo.column_rules.items() if c in cols}
     need_detect = [c for c in cols if c not in rules] if mo.enable_auto_detection else []
     if order_by is not None:
-        samples = first_values(filled, cols, order_by, SAMPLE_SIZE)
+        # the key cut-off costs a few aggregate passes; over an unwritten ordered fill each pass would redo the
+        # fill's shuffle and window, so then one pass with the partial group limit is cheaper
+        ordered = any(st.kind in ("forward_fill", "backward_fill") for st in fitted.fill_plan.steps)
+        pm = None if (ordered and fitted.filled_cache is None) else PREFILTER_MIN_CELLS
+        samples = first_values(filled, cols, order_by, SAMPLE_SIZE, prefilter_min_cells=pm)
         rates = sample_rates(samples)
         det = classify(rates, name_candidates(spark, cols))
         dec = mask_decision(det, threshold=mo.sensitivity_threshold, column_rules=rules, verdicts=verdicts,
