@@ -85,3 +85,13 @@ def test_command_line_job(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == spark.read.option("header", True).csv(src).count()
     assert out.where("phone LIKE '%****%'").count() > 0
+
+
+def test_csv_multiline_and_custom_tokens(spark, tmp_path):
+    from tableprep.sources.io import read_csv
+
+    p = tmp_path / "m.csv"
+    p.write_text('k,note\n1,"two\nlines"\n2,-\n3,plain\n', encoding="utf-8")
+    df = read_csv(spark, str(p), multiline=True, na_tokens=["-"])
+    rows = {r.k: r.note for r in df.collect()}
+    assert rows == {"1": "two\nlines", "2": None, "3": "plain"}

@@ -68,3 +68,13 @@ def test_no_python_udf_in_plan(spark):
     df = spark.createDataFrame([("13812345678",)], "v string")
     plan = df.select(mask(F.col("v"), "phone"), mask(F.col("v"), "email", "hash"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_summary_hides_originals_unless_asked(spark):
+    from tableprep.operators.masking import MaskSpec, mask_summary
+
+    df = spark.createDataFrame([(i, f"1381234{i:04d}") for i in range(10)], "k int, phone string")
+    s = mask_summary(df, {"phone": MaskSpec("phone")}, "k").first()
+    assert "original_preview" not in s.asDict() and s.masked_preview == ["138****0000", "138****0001", "138****0002"]
+    s2 = mask_summary(df, {"phone": MaskSpec("phone")}, "k", include_originals=True).first()
+    assert s2.original_preview == ["13812340000", "13812340001", "13812340002"]
