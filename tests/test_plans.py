@@ -59,3 +59,14 @@ def test_names_with_dots_and_spaces(spark):
     df = spark.createDataFrame([(i, f"1381234{i:04d}") for i in range(30)], "`my.id` int, `contact phone` string")
     r = {x.column: x.detected_type for x in detect_sensitive(df, "my.id").collect()}
     assert r["contact phone"] == "phone"
+
+
+def test_run_output_reads_the_written_copy(spark):
+    from tableprep.plans.pipeline import run
+
+    pii = fixture(spark, SF_SMALL, "customer_pii")
+    res = run(pii, PrepOptions(order_by="c_custkey"), report=False)
+    plan = _plan(res.data)
+    ckpt = spark.conf.get("spark.checkpoint.dir")
+    assert "FileScan parquet" in plan and "tableprep-" in plan and ckpt.split("/")[-1] in plan
+    assert "Window" not in plan and "Exchange" not in plan      # nothing upstream is recomputed
