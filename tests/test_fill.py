@@ -123,3 +123,12 @@ def test_exact_medians_in_lockstep_match_numpy(spark):
     for x, arr in zip("abcd", (a, b, c, d)):
         assert got[x] == float(np.median(arr)), x
     assert got["a_even"] == float(np.median(a[1:]))
+
+
+def test_approx_median_option_close_to_exact(spark):
+    df = _gappy(spark)
+    exact = I.fit_fills(df, I.FillOptions(default_strategy="median", missing_threshold=1.0))
+    approx = I.fit_fills(df, I.FillOptions(default_strategy="median", missing_threshold=1.0, approx_median=True))
+    e = {s.column: s.value for s in exact.steps}
+    a = {s.column: s.value for s in approx.steps}
+    assert set(e) == set(a) == {"x"} and abs(e["x"] - a["x"]) < 0.01

@@ -120,3 +120,17 @@ def test_pipeline_ordered_fill_with_partition_keys(spark):
     got = run(df, opts, report=False).data
     want = ordered_fill_window(df, ["v"], "k", "forward", partition_by=["g"])
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_text_booleans_option(spark):
+    from pyspark.sql import types as T
+
+    from tableprep.plans.options import StandardizeOptions
+
+    df = spark.createDataFrame([(i, "yes" if i % 2 else "no") for i in range(20)], "k int, flag string")
+    keep = run(df, PrepOptions(order_by="k"), materialize=False, report=False).data
+    conv = run(df, PrepOptions(order_by="k", standardization=StandardizeOptions(text_booleans=True)),
+               materialize=False, report=False).data
+    assert isinstance(keep.schema["flag"].dataType, T.StringType)
+    assert isinstance(conv.schema["flag"].dataType, T.BooleanType)
+    assert conv.where("flag").count() == 10
