@@ -134,3 +134,15 @@ def test_text_booleans_option(spark):
     assert isinstance(keep.schema["flag"].dataType, T.StringType)
     assert isinstance(conv.schema["flag"].dataType, T.BooleanType)
     assert conv.where("flag").count() == 10
+
+
+def test_rules_only_and_missing_order_by(spark):
+    df = people5(spark)
+    opts = PrepOptions(order_by="user_id", masking_rules=MaskingOptions(enable_auto_detection=False,
+                                                                        column_rules={"email": {"type": "email"}}))
+    out = run(df, opts, materialize=False, report=False)
+    assert set(out.fitted.masks) == {"email"}
+    assert out.data.orderBy("user_id").first()["phone"] == "13812345678"
+    with pytest.raises(PrepError) as e:
+        run(df, PrepOptions(), materialize=False)
+    assert "order_by" in str(e.value)
