@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality_rules", "chat", "secrets"]
+MODULES = ["quality_rules", "chat", "secrets", "warc"]
 
 
 def queries():
