@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality_rules", "chat", "secrets", "warc", "packing"]
+MODULES = ["quality_rules", "chat", "secrets", "warc", "packing", "near_dedup"]
 
 
 def queries():
