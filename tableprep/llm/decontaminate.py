@@ -197,6 +197,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, opt: LeakOptions = LeakOptions(
                       F.col("x.n_tokens").alias("n_tokens"), F.col("x.n_matched").alias("n_matched"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, opt: LeakOptions = LeakOptions(), text: str = "text",
+                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no item leaks, with all their columns; a pass for each portion of the benchmark."""
+    at = docs.columns.index(text)
+    for portion in _portions(benchmark, item_id, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast([r["text"] for r in portion.collect()])
+
+        def run(batches, shared=shared):
+            tokens = Tokens()
+            index = Index([(i, t) for i, x in enumerate(shared.value) if len(t := tokens(x)) >= MIN_ITEM], opt)
+            for b in batches:
+                for first in range(0, b.num_rows, 500):
+                    part = b.slice(first, 500)
+                    bad = {x[0] for x in index.leaks([tokens(t.as_py()) for t in part.column(at)])}
+                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op5_spaced_seeds(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

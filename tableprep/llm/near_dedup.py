@@ -222,6 +222,14 @@ def near_components(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: s
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each component, with all their columns; rows that share an id count as
+    one document, of which one row stays; rows with a null id stay."""
+    keep = near_components(docs, opt, id_col, text).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
+    rows = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_keep"), "leftsemi").dropDuplicates([id_col])
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op6_hamming_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_components(docs, NearOptions(shingle=3, percent=85)).select("doc_id", "n_shingles", "component_id", "kept")

@@ -91,30 +91,42 @@ def frequent_lines(docs: DataFrame, limits: LineLimits, id_col: str, text: str,
     return lines.join(seen.select("_h", "_l"), ["_h", "_l"], "leftsemi").dropDuplicates(["_id", "_h", "_t", "pos"])
 
 
+def _host(host: str) -> Column:
+    return F.when(F.col(host).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(host).cast("string")))
+
+
 def _keyed(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
-    h = F.when(F.col(host).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(host).cast("string")))
-    return docs.select(F.col(id_col).alias("_id"), h.alias("_h"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+    return docs.select(F.col(id_col).alias("_id"), _host(host).alias("_h"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
 
 
 def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text: str = "text",
-                  host: str = "source", clean: bool = False) -> DataFrame:
-    """The columns of ``docs`` with the base counts, ``n_removed_words`` and ``kept``; with ``clean`` the frequent lines
-    are taken out of the text."""
+                  host: str = "source") -> DataFrame:
+    """One row per row of ``docs``: the id, the base counts, ``n_removed_words`` and ``kept``."""
+    df = docs.select(F.col(id_col).alias("_kid"), _host(host).alias("_kh"), F.col(text).alias("_ktext"))
+    return _judged(df, docs, limits, id_col, text, host).drop("_pos").withColumnRenamed("_kid", id_col)
+
+
+def kept_documents(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text: str = "text",
+                   host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns and without the frequent lines in their text."""
+    df = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_kid"), _host(host).alias("_kh"), F.col(text).alias("_ktext"))
+    out = _judged(df, docs, limits, id_col, text, host).where("kept")
+    t = F.col("_row")[text]
+    left = F.array_join(F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains("_pos", i)), "\n")
+    out = out.withColumn("_left", F.when(F.col("_pos").isNull(), t).otherwise(left))
+    return out.select(*(F.col("_left").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))
+
+
+def _judged(df: DataFrame, docs: DataFrame, limits: LineLimits, id_col: str, text: str, host: str) -> DataFrame:
     gone = frequent_lines(docs, limits, id_col, text, host).groupBy("_id", "_h", "_t").agg(
         F.sum("lw").cast("long").alias("_rw"), F.collect_list("pos").alias("_pos"))
-    keys = _keyed(docs.limit(0), id_col, text, host).columns[:3]
-    h = F.when(F.col(host).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(host).cast("string")))
-    out = base_counts(docs, text).withColumns({"_kid": F.col(id_col), "_kh": h, "_kt": F.xxhash64(text)})
-    if not clean:   # the text isn't needed any more, so it isn't shuffled
-        out = out.drop(text)
+    out = base_counts(df, "_ktext").withColumn("_kt", F.xxhash64("_ktext")).drop("_ktext")
     on = F.col("_kid").eqNullSafe(F.col("_id")) & (F.col("_kh") == F.col("_h")) & (F.col("_kt") == F.col("_t"))
-    out = out.join(gone, on, "left").drop(*keys, "_kid", "_kh", "_kt")
-    out = out.withColumn("n_removed_words", F.coalesce("_rw", F.lit(0).cast("long")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= limits.max_removed * F.col("n_words")))
-    if clean:
-        left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_pos", i)), "\n")
-        out = out.withColumn(text, F.when(F.col("_pos").isNull(), F.col(text)).otherwise(left))
-    return out.drop("_rw", "_pos")
+    out = out.join(gone, on, "left").drop("_id", "_h", "_t", "_kh", "_kt")
+    out = out.withColumn("n_removed_words", F.coalesce("_rw", F.lit(0).cast("long"))).drop("_rw")
+    # one comparison over both sides of the join: as two, a filter on it would be pushed below and repeat the counts' plans
+    most = F.when(F.col("base_failed"), F.lit(-1.0)).otherwise(limits.max_removed * F.col("n_words"))
+    return out.withColumn("kept", F.col("n_removed_words") <= most)
 
 
 def op10_line_frequency(spark, sf_dir):
