@@ -54,30 +54,27 @@ def record_chunks(pages: DataFrame, min_revisit_bytes: int = 0, chunk_bytes: int
     return p.select("record", "page_id", "url", "refers_to", "sha1", "bytes", "chunk_no", "n_chunks", chunk.alias("chunk"))
 
 
-def _safe_parts(chunk: bytes, mark: bytes) -> list[bytes]:
-    """The chunk in pieces that don't hold the separator."""
-    parts, at = [], 0
-    while (x := chunk.find(mark, at)) >= 0:
-        parts.append(chunk[at:x + 2])
-        at = x + 2
+def _safe_parts(chunk: bytes) -> list[bytes]:
+    """The chunk in pieces that don't make the separator, neither alone nor with the line ends before and after a block."""
+    mark, framed = SEPARATOR.encode(), b"\r\n\r\n" + chunk + b"\r\n\r\n"
+    parts, at, x = [], 0, framed.find(mark)
+    while x >= 0:
+        parts.append(chunk[at:x + 1])       # up to the W of the version line
+        at = x + 1
+        x = framed.find(mark, x + 1)
     return [*parts, chunk[at:]]
 
 
 def _segments(batches):
     """Chunk rows to WARC segments, one row of bytes each. A record's chunks come one after another."""
-    mark, number, current, tail = SEPARATOR.encode(), 0, None, b""
+    number, current = 0, None
     for b in batches:
         out = []
         for r in b.to_pylist():
             if r["record"] != current:
-                current, number, tail = r["record"], 0, b""
-            # what could begin a separator at a chunk's end goes into the next segment
-            data, tail = tail + r["chunk"], b""
+                current, number = r["record"], 0
             last = r["chunk_no"] == r["n_chunks"]
-            if not last:
-                keep = max(k for k in range(len(mark)) if data.endswith(mark[:k]))
-                data, tail = data[:len(data) - keep], data[len(data) - keep:]
-            parts = _safe_parts(data, mark)
+            parts = _safe_parts(r["chunk"])
             for i, part in enumerate(parts):
                 number += 1
                 end = last and i == len(parts) - 1
