@@ -22,15 +22,17 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, written
 
+PLANES = 8      # bits of a symbol that the distance looks at
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -88,7 +90,8 @@ class Shingler:
 
 
 def signatures(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, sig): digest names the whole set, sig holds k 16-bit symbols."""
+    """Rows (doc_id, n_shingles, digest, sig, planes): digest names the whole set, sig holds k 16-bit symbols, planes their
+    low PLANES bits, bit by bit, in longs of 64 symbols."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     rng = np.random.default_rng(20011)
     mult = (rng.integers(0, 1 << 63, opt.k, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -97,7 +100,7 @@ def signatures(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> Dat
     def run(batches):
         shingles = Shingler(opt.shingle)
         for b in batches:
-            n, digest, sigs = [], [], []
+            n, digest, sigs, planes = [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py())
                 n.append(len(s))
@@ -106,11 +109,15 @@ def signatures(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> Dat
                 for at in range(0, len(s), 2048):
                     part = s[at:at + 2048]
                     low = np.minimum(low, [(part * m + a).min() for m, a in zip(mult, add, strict=True)])
-                sigs.append((_mix(low) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary())],
-                                             names=["doc_id", "n_shingles", "digest", "sig"])
-
-    schema = T.StructType([df.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, digest binary, sig binary").fields])
+                low = _mix(low)
+                sigs.append((low & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if len(s) else None)
+                bits = (low[None, :] >> np.arange(PLANES, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.uint8)
+                bits = np.pad(bits, ((0, 0), (0, -opt.k % 64)))
+                planes.append(np.packbits(bits, axis=1).view(np.int64).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(planes, pa.list_(pa.int64()))],
+                                             names=["doc_id", "n_shingles", "digest", "sig", "planes"])
+
+    schema = T.StructType([df.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, digest binary, sig binary, planes array<long>").fields])
     return df.mapInArrow(run, schema)
 
 
@@ -136,9 +143,14 @@ def chunk_keys(classes: DataFrame, opt: NearOptions) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(run, f"key long, cls {kind}")
 
 
-def _distance(a, b, k: int):
-    """Symbols in which two signatures (k 16-bit symbols as hex text) differ."""
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substr(a, i * 4 + 1, F.lit(4)) != F.substr(b, i * 4 + 1, F.lit(4))))
+def _near(a: str, b: str, opt: NearOptions) -> Column:
+    """Whether two classes can be a link, by the sizes of their sets and the distance of their signatures: a symbol differs
+    where any of its planes does. a, b: the suffixes of the columns n and planes."""
+    longs = -(-opt.k // 64)
+    differ = [reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"planes{a}")[p * longs + i].bitwiseXOR(F.col(f"planes{b}")[p * longs + i]) for p in range(PLANES)]) for i in range(longs)]
+    distance = reduce(lambda x, y: x + y, [F.bit_count(d) for d in differ])
+    n = F.col(f"n{a}"), F.col(f"n{b}")
+    return (100 * F.least(*n) >= opt.percent * F.greatest(*n)) & (distance <= opt.radius)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> DataFrame:
@@ -192,22 +204,26 @@ def near_components(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: s
     n_links counts the confirmed links found for the document's class (a spanning part of all links)."""
     sig = written(signatures(docs, opt, id_col, text))
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.min("sig").alias("sig")))
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.min("sig").alias("sig"), F.min("planes").alias("planes"), F.min("n_shingles").alias("n")))
     keys = chunk_keys(classes, opt)
     shared = keys.groupBy("key").agg(F.min("cls").alias("rep"), F.count("*").alias("n")).where("n > 1")
     members = written(keys.join(shared.select("key", "rep"), "key"))      # keys of two classes or more
     star = members.where("cls <> rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct()
-    sigs = classes.select("cls", F.hex("sig").alias("sig"))
-    star = star.join(sigs.withColumnsRenamed({"cls": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"cls": "b", "sig": "sb"}), "b")
-    star = star.where(_distance(F.col("sa"), F.col("sb"), opt.k) <= opt.radius).select("a", "b")
+    sigs = classes.select("cls", "n", "planes")
+    side = lambda x: sigs.toDF(x, f"n{x}", f"planes{x}")
+    star = written(star.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", opt)).select("a", "b"))
     links = written(confirmed(star, docs, opt, id_col, text))
     comp = components(links)
     # members of different components under one key
     m = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("c"))
     mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    m = m.join(mixed, "key").join(sigs, "cls")
-    right = m.withColumnsRenamed({x: f"{x}2" for x in ("cls", "c", "sig")})
-    cross = m.join(right, (m["key"] == right["key"]) & (F.col("c") < F.col("c2")) & (_distance(F.col("sig"), F.col("sig2"), opt.k) <= opt.radius))
+    # sets of which one is more than 100 / percent times as large as the other aren't compared: by size, in steps of that
+    # ratio, a link lies in one step or in two that adjoin
+    step = F.floor(F.log("n") / math.log(100.0001 / opt.percent)).cast("int")
+    m = m.join(mixed, "key").join(sigs, "cls").withColumn("step", F.explode(F.array(step, step + 1)))
+    right = m.withColumnsRenamed({x: f"{x}2" for x in m.columns})
+    same = (m["key"] == right["key2"]) & (m["step"] == right["step2"]) & (F.col("c") < F.col("c2"))
+    cross = m.withColumnsRenamed({"n": "n1", "planes": "planes1"}).join(right, same & _near("1", "2", opt))
     cross = written(cross.select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "leftanti"))
     if cross.take(1):
         links = written(links.union(confirmed(cross, docs, opt, id_col, text)))
