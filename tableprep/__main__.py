@@ -17,8 +17,15 @@ from pyspark.sql import SparkSession
 
 from .operators.features import FeatureOptions
 from .operators.impute import FillOptions
-from .plans.options import PrepOptions
+from .operators.validate import preview, validate
+from .plans.options import MaskingOptions, PrepOptions, StandardizeOptions
 from .plans.pipeline import PrepError, run_path
+from .sources.io import read_table
+
+
+def _pairs(args: list[str]) -> dict[str, str]:
+    """COLUMN=VALUE arguments."""
+    return dict(x.split("=", 1) for x in args)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -30,15 +37,28 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out-format", default="parquet")
     p.add_argument("--features", action="store_true", help="add numeric, text and date features")
     p.add_argument("--fill", default="mean", help="default missing-value strategy")
-    p.add_argument("--no-row-limit", action="store_true", help="lift the 1,000,000-row limit")
+    p.add_argument("--max-rows", type=int, default=None, help="refuse tables with more rows")
+    p.add_argument("--validate-only", action="store_true", help="print the validation report and a preview, write nothing")
+    p.add_argument("--fill-column", action="append", default=[], metavar="COLUMN=STRATEGY")
+    p.add_argument("--type", action="append", default=[], metavar="COLUMN=TYPE", help="force a column's type")
+    p.add_argument("--mask", action="append", default=[], metavar="COLUMN=TYPE[:STRATEGY]", help="mask rule of a column")
+    p.add_argument("--threshold", type=float, default=0.7, help="sensitivity threshold")
     p.add_argument("--log", default=None, help="append the run log to this Parquet table")
     a = p.parse_args(argv)
     keys = [k.strip() for k in a.order_by.split(",") if k.strip()]
+    rules = {c: dict(zip(("type", "strategy"), r.split(":"))) for c, r in _pairs(a.mask).items()}
     opts = PrepOptions(order_by=keys if len(keys) > 1 else keys[0],
-                       missing_handling=FillOptions(default_strategy=a.fill),
-                       feature_extraction=FeatureOptions(enable_extraction=a.features),
-                       max_rows=None if a.no_row_limit else 1_000_000)
+                       standardization=StandardizeOptions(custom_type_mapping=_pairs(a.type)),
+                       missing_handling=FillOptions(default_strategy=a.fill, column_strategies=_pairs(a.fill_column)),
+                       masking_rules=MaskingOptions(column_rules=rules, sensitivity_threshold=a.threshold),
+                       feature_extraction=FeatureOptions(enable_extraction=a.features), max_rows=a.max_rows)
     spark = SparkSession.builder.appName("tableprep").getOrCreate()
+    if a.validate_only:
+        df = read_table(spark, a.src, a.format)
+        v = validate(df, max_rows=a.max_rows)
+        v.report(spark).show(100, truncate=False)
+        preview(df, opts.order_by).show(truncate=False)
+        return 0 if v.valid else 1
     try:
         res = run_path(spark, a.src, a.dst, opts, fmt=a.format, out_fmt=a.out_format)
     except PrepError as e:

@@ -141,6 +141,7 @@ def as_text(c: Column, dt: T.DataType) -> Column:
 
 # Text that parses as a number (pandas to_numeric semantics, ASCII digits).
 NUMBER_PATTERN = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\s*$"
+NAN_PATTERN = r"(?i)^\s*[+-]?nan\s*$"      # those of them that are missing once cast
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 
 

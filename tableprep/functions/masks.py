@@ -8,10 +8,13 @@ the same output within a run, and a task retry reproduces it exactly (A7).
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .columns import WS, is_blank, strip_ws
+from .predicates import PHONE_STRIP
 
 # Masking strategies and the remove marker.
 STRATEGIES = ("partial", "hash", "random", "remove")
@@ -52,7 +55,7 @@ def _right(c: Column, n: int) -> Column:
 
 def mask_phone(v: Column) -> Column:
     """K1: strip whitespace - ( ) +; 11+ chars keep first 3 and last 4, else all stars."""
-    c = F.regexp_replace(v, "(?U)[\\s\\-\\(\\)\\+]", "")
+    c = F.regexp_replace(v, PHONE_STRIP, "")
     return F.when(_len(c) >= 11, F.concat(_left(c, 3), F.lit("****"), _right(c, 4))).otherwise(stars(_len(c)))
 
 
@@ -171,8 +174,9 @@ def random_name(v: Column, seed: int) -> Column:
 def random_text(v: Column, seed: int) -> Column:
     """Random letters and digits, as long as the value (length > 0 by K15)."""
     positions = F.sequence(F.lit(1), F.greatest(F.char_length(v), F.lit(1)))
-    chars = F.transform(positions, lambda i: _pick(ALPHANUMERIC, v, seed, i))
-    return F.array_join(chars, "")
+    # the value is hashed once; as a lambda's variable the hash is not computed again for each character
+    text = F.transform(F.array(F.xxhash64(v, F.lit(seed))), lambda h: F.array_join(F.transform(positions, lambda i: _pick(ALPHANUMERIC, h, seed, i)), ""))
+    return F.element_at(text, 1)
 
 
 RANDOM = {
@@ -190,19 +194,19 @@ def mask(
     masking_type: str,
     strategy: str = "partial",
     *,
-    seed: int = 0,
+    seed: int | None = None,
     salt: str = "",
     hash_len: int = 8,
     marker: str = REMOVED_MARKER,
 ) -> Column:
     """The expression for one type and strategy; unknown strategy means partial.
 
-    ``v`` must be text. Null stays null; blank text is returned unchanged (K15).
+    ``seed`` keys the random masks; without one, another is drawn each time. ``v`` must be text. Null stays null; blank text is returned unchanged (K15).
     """
     if strategy == "hash":
         body = mask_hash(v, salt, hash_len)
     elif strategy == "random":
-        body = RANDOM.get(masking_type, random_text)(v, seed)
+        body = RANDOM.get(masking_type, random_text)(v, secrets.randbits(62) if seed is None else seed)
     elif strategy == "remove":
         body = mask_remove(v, marker)
     else:

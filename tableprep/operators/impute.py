@@ -51,7 +51,7 @@ class FillOptions:
             if s not in STRATEGIES:
                 raise ValueError(f"invalid missing strategy {s!r} for {c}; valid: {STRATEGIES}")
         if not 0 <= self.missing_threshold <= 1:
-            raise ValueError("missing_threshold must be between 0 and 1")
+            raise ValueError(f"missing_threshold is a share from 0 to 1, not {self.missing_threshold}")
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ class FillPlan:
         if self.dropped_columns:
             out.append(f"dropped sparse columns: {self.dropped_columns}")
         for s in self.steps:
-            out.append(f"{s.column}: {s.kind}" + (f" {s.value!r}" if s.value is not None else ""))
+            out.append(f"{s.column}: {s.kind}, {s.missing} missing")    # never the value: it may be a person's
         return out
 
 
@@ -134,7 +134,9 @@ def modes(df: DataFrame, specs: dict[str, Column | None]) -> dict[str, object]:
     return out
 
 
-def fit_fills(df: DataFrame, opts: FillOptions = FillOptions(), prof: Profile | None = None) -> FillPlan:
+def fit_fills(df: DataFrame, opts: FillOptions = FillOptions(), prof: Profile | None = None,
+              identifiers: frozenset = frozenset()) -> FillPlan:
+    """``identifiers``: columns of phone or ID numbers, which take no mean or median (their gaps stay)."""
     prof = prof or profile(df)
     rows = prof.rows
     # M1: drop columns above the missing threshold
@@ -143,6 +145,7 @@ def fit_fills(df: DataFrame, opts: FillOptions = FillOptions(), prof: Profile |
     dtypes = {c: field_type(df, c) for c in cols}
     # Strategies, and the row condition in force for each column
     strat = {c: _strategy(c, opts) for c in cols}
+    strat = {c: "keep" if c in identifiers and s in ("mean", "median") else s for c, s in strat.items()}
     cond: dict[str, Column | None] = {}
     running = None
     for c in cols:

@@ -20,7 +20,7 @@ class MaskSpec:
 
 @dataclass(frozen=True)
 class MaskOptions:
-    seed: int = 0
+    seed: int | None = None      # of random masks; None: another one for each call
     salt: str = ""
     hash_len: int = 8
     marker: str = REMOVED_MARKER

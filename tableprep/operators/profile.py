@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.columns import (
     BOOLEAN_PAIRS,
     INTEGRAL_TYPES,
+    NAN_PATTERN,
     NUMBER_PATTERN,
     col,
     is_blank,
@@ -65,6 +66,7 @@ def _column_exprs(name: str, dt: T.DataType, text_evidence: bool, approx_distinc
         out += [
             ("blank", F.count(F.when(c.isNotNull() & is_blank(c), 1))),
             ("bad_number", F.count(F.when(nonblank & ~c.rlike(NUMBER_PATTERN), 1))),
+            ("nan_text", F.count(F.when(c.rlike(NAN_PATTERN), 1))),
             ("not_long", F.count(F.when(nonblank & ~is_long_text(c), 1))),
         ]
         low = F.lower(c)

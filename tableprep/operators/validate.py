@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .profile import Profile, profile
 from .sample import _order_cols
 
-MAX_ROWS = 1_000_000        # fixed value: row limit (None disables)
-MAX_COLUMNS = 1_000         # fixed value: column limit
+MAX_ROWS = 1_000_000        # fixed value: the row limit, for callers that want one
+MAX_COLUMNS = 1_000         # fixed value: the column limit, likewise
 MAX_MISSING_RATE = 0.8      # fixed value: overall missing-rate cut-off
 
 
@@ -37,7 +37,7 @@ class Validation:
         return spark.createDataFrame(rows, "level string, code string, subject string, value string")
 
 
-def validate(df: DataFrame | None, *, max_rows: int | None = MAX_ROWS, max_columns: int | None = MAX_COLUMNS,
+def validate(df: DataFrame | None, *, max_rows: int | None = None, max_columns: int | None = None,
              max_missing_rate: float = MAX_MISSING_RATE, prof: Profile | None = None) -> Validation:
     """V1-V8. All errors but an empty table are collected before returning."""
     if df is None:

@@ -8,6 +8,7 @@ checkpoint folder once (lineage cut, executor loss safe) and reports on the writ
 
 from __future__ import annotations
 
+import secrets
 import time
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col
+from ..functions.columns import DATETIME_FORMATS, INTEGRAL_TYPES, col, is_blank, is_missing, to_datetime
 from ..operators.features import extract_features, feature_columns
 from ..operators.impute import FillPlan, apply_fills, fit_fills
 from ..operators.masking import MaskOptions, MaskSpec, mask_columns, mask_summary
@@ -31,10 +32,12 @@ from ..operators.standardize import (
     infer_types,
 )
 from ..functions.naming import convert_names
-from ..session import cut_lineage
+from ..functions.predicates import is_id_card, is_phone
+from ..session import remove_folder, write_and_read
 from ..operators.validate import Validation, validate
 from .options import PrepOptions
 
+IDENTIFIERS = ("phone", "id_card")     # sensitive types made of digits
 LOG_SCHEMA = "step string, status string, message string, details map<string,string>, seconds double"
 
 
@@ -72,8 +75,8 @@ class FittedPrep:
     partition_by: list[str]
     type_decisions: list[TypeDecision] = field(default_factory=list)
     detections: list[dict] = field(default_factory=list)
-    # the filled fit table, checkpointed when fit was asked to (not a constant; used by run only)
-    filled_cache: DataFrame | None = None
+    validation: Validation | None = None
+    cast_loss: dict[str, int] = field(default_factory=dict)     # text values that don't parse, by column
 
     # -- transform pieces (each a lazy projection / filter) --
     def standardize(self, df: DataFrame) -> DataFrame:
@@ -157,8 +160,7 @@ def _map_order(order_by, renames: dict[str, str]):
 
 
 def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = None,
-        validation: Validation | None = None, checkpoint_fill: bool = False,
-        verdicts: DataFrame | None = None) -> FittedPrep:
+        validation: Validation | None = None, verdicts: DataFrame | None = None) -> FittedPrep:
     """Gather the constants of a preparation. ``verdicts`` is an optional caller-supplied frame
     ``(column, is_sensitive, suggested_type)`` that marks more columns as sensitive (D13)."""
     spark = df.sparkSession
@@ -190,9 +192,10 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
         new = convert_names(kept, so.naming_convention)
         renames = {o: n for o, n in zip(kept, new) if o != n}
     order_by = _map_order(opts.order_by, renames)
+    ruled = {c for c, r in mo.column_rules.items() if r.get("type") in IDENTIFIERS} if so.protect_identifiers else set()
     x = x.drop(*dropped_empty) if dropped_empty else x
     x = x.toDF(*[renames.get(c, c) for c in x.columns]) if renames else x
-    auto_casts, decisions = [], []
+    auto_casts, decisions, lost = [], [], {}
     if so.auto_detect_types:
         # reuse the raw profile (same rows; columns renamed)
         p = Profile(raw_prof.rows, [renames.get(c, c) for c in kept],
@@ -212,9 +215,11 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
             # Text columns whose values look like phone or ID numbers are not turned into numbers
             keep_text = {c for c, (ph, idc) in rates.items() if (ph or 0) > VALUE_RATE or (idc or 0) > VALUE_RATE}
             auto_casts = [c for c in auto_casts if not (c.logical == "numeric" and c.column in keep_text)]
+        auto_casts = [c for c in auto_casts if not (c.logical == "numeric" and c.column in ruled)]
+        auto_casts = _without_loss(x, auto_casts, so.max_cast_loss, lost)
     fitted = FittedPrep(input_columns, dropped_empty, renames, auto_casts, [], so.text_booleans,
-                        FillPlan([], [], 0), {}, MaskOptions(mo.seed, mo.salt, mo.hash_len), [], fo, {},
-                        order_by, list(opts.partition_by), decisions)
+                        FillPlan([], [], 0), {}, MaskOptions(secrets.randbits(62) if mo.seed is None else mo.seed, mo.salt, mo.hash_len), [], fo, {},
+                        order_by, list(opts.partition_by), decisions, validation=v, cast_loss=lost)
     std = fitted._casts(x, auto_casts)
     custom = [Cast(c, t) for c, t in so.custom_type_mapping.items() if c in std.columns]
     if custom:
@@ -230,12 +235,16 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
         for c in custom:
             c.fmt = fmts.get(c.column)
             c.integral = integral.get(c.column)
+            if c.logical == "datetime" and c.fmt is None:
+                c.fmt = DATETIME_FORMATS[5] if c.column in text_dt else None
+        custom = _without_loss(std, custom, so.max_cast_loss, lost)
         fitted.custom_casts = custom
         std = fitted._casts(std, custom)
     changes = {f0.name: (f0.dataType.simpleString(), f1.dataType.simpleString())
                for f0, f1 in zip(x.schema.fields, std.schema.fields) if f0.dataType != f1.dataType}
     log.append(("table_standardization", "success", "table standardized",
-                {"dropped_empty": str(dropped_empty), "renamed": str(renames), "type_changes": str(changes)},
+                {"dropped_empty": str(dropped_empty), "renamed": str(renames), "type_changes": str(changes),
+                 "values_not_parsed": str({c: n for c, n in lost.items() if n})},
                 time.time() - t0))
 
     # 3. missing values (one statistics job, plus mode / median jobs when used)
@@ -246,14 +255,15 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
         miss = {renames.get(c, c): raw_prof.missing[c] for c in kept}
         for c in auto_casts:
             if c.logical == "numeric":
-                miss[c.column] += int(p.stats.get(c.column, {}).get("blank", 0) or 0)
+                st = p.stats.get(c.column, {})
+                miss[c.column] += int(st.get("blank", 0) or 0) + (0 if c.integral else int(st.get("nan_text", 0) or 0))
         std_prof = Profile(raw_prof.rows, list(std.columns), {f.name: f.dataType for f in std.schema.fields}, miss)
-    fitted.fill_plan = fit_fills(std, opts.missing_handling, prof=std_prof)
+    std_prof = std_prof or profile(std)
+    ids = set(ruled)
+    if so.protect_identifiers and order_by is not None:
+        ids |= _number_identifiers(std, std_prof, opts.missing_handling, order_by)
+    fitted.fill_plan = fit_fills(std, opts.missing_handling, prof=std_prof, identifiers=frozenset(ids))
     filled = fitted.fill(std)
-    if checkpoint_fill:
-        # written once to the shared checkpoint folder: detection and the output read it, the fill runs once
-        filled = cut_lineage(filled)
-        fitted.filled_cache = filled
     log.append(("missing_data_handling", "success", "missing values handled",
                 {"plan": str(fitted.fill_plan.log())}, time.time() - t0))
 
@@ -266,7 +276,7 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
         # the key cut-off costs a few aggregate passes; over an unwritten ordered fill each pass would redo the
         # fill's shuffle and window, so then one pass with the partial group limit is cheaper
         ordered = any(st.kind in ("forward_fill", "backward_fill") for st in fitted.fill_plan.steps)
-        pm = None if (ordered and fitted.filled_cache is None) else PREFILTER_MIN_CELLS
+        pm = None if ordered else PREFILTER_MIN_CELLS
         samples = first_values(filled, cols, order_by, SAMPLE_SIZE, prefilter_min_cells=pm)
         rates = sample_rates(samples)
         det = classify(rates, name_candidates(spark, cols))
@@ -297,11 +307,40 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
     return fitted
 
 
+def _without_loss(x: DataFrame, casts: list[Cast], most: float, lost: dict[str, int]) -> list[Cast]:
+    """The casts without those to datetime by which more than the share ``most`` of a text column's values would become
+    null; ``lost`` gets the number of values that don't parse, by column (one job for all)."""
+    text = [c for c in casts if c.logical == "datetime" and c.fmt and isinstance(x.schema[c.column].dataType, T.StringType)]
+    if not text:
+        return casts
+    aggs = []
+    for i, c in enumerate(text):
+        has = ~is_missing(col(c.column), T.StringType()) & ~is_blank(col(c.column))
+        aggs += [F.count(F.when(has, 1)).alias(f"n{i}"), F.count(F.when(has & to_datetime(col(c.column), c.fmt).isNull(), 1)).alias(f"b{i}")]
+    r = x.agg(*aggs).first()
+    bad = set()
+    for i, c in enumerate(text):
+        lost[c.column] = r[f"b{i}"]
+        if r[f"b{i}"] > most * r[f"n{i}"]:
+            bad.add(c.column)
+    return [c for c in casts if not (c in text and c.column in bad)]
+
+
+def _number_identifiers(std: DataFrame, p: Profile, fo, order_by) -> set[str]:
+    """Whole-number columns with gaps whose first values look like phone or ID numbers: a mean would turn them into
+    fractions, which no longer look like it and would stay unmasked."""
+    gappy = [c for c in p.columns if p.missing[c] > 0 and p.non_missing(c) > 0 and isinstance(p.dtypes[c], INTEGRAL_TYPES)
+             and c not in fo.custom_fill_values and fo.column_strategies.get(c, fo.default_strategy) in ("mean", "median")]
+    if not gappy:
+        return set()
+    rates = first_values(std, gappy, order_by, SAMPLE_SIZE).groupBy("column").agg(
+        F.avg(is_phone(F.col("value")).cast("double")).alias("ph"), F.avg(is_id_card(F.col("value")).cast("double")).alias("idc"))
+    return {r["column"] for r in rates.collect() if max(r["ph"] or 0, r["idc"] or 0) > VALUE_RATE}
+
+
 def _shared_sample(x: DataFrame, p: Profile, order_by):
     """One sample job for the text columns that may convert: datetime formats (first 10 values, S9) and
     phone / ID rates (first 20 values, A6) of number-like columns."""
-    from ..functions.columns import DATETIME_FORMATS, to_datetime
-    from ..functions.predicates import is_id_card, is_phone
     from ..operators.standardize import DATETIME_SAMPLE
 
     if order_by is None:
@@ -338,6 +377,15 @@ class RunResult:
     validation: Validation
     report: QualityReport | None
     log: list[tuple]
+    source: DataFrame | None = None      # the input, for previews
+    opts: PrepOptions = PrepOptions()
+    written: str | None = None           # folder of the written (masked) table, if there is one
+
+    def cleanup(self) -> None:
+        """Removes the written table below the checkpoint folder; ``data`` can't be read afterwards."""
+        if self.written:
+            remove_folder(self.data.sparkSession, self.written)
+            self.written = None
 
     def log_frame(self, spark) -> DataFrame:
         return spark.createDataFrame(
@@ -360,8 +408,14 @@ class RunResult:
         ).withColumn("masked_columns_count", F.lit(len(self.fitted.masks)).cast("bigint")) \
          .withColumn("extracted_features_count", F.lit(len(self.fitted.features)).cast("bigint"))
 
-    def masking_summary(self, spark) -> DataFrame:
-        return self.fitted.masked_columns(spark)
+    def masking_summary(self, spark, n: int = 3) -> DataFrame:
+        """Column, type, strategy and the first ``n`` masked values, with the clear ones beside them only where
+        ``include_originals`` asks for it."""
+        f, mo = self.fitted, self.opts.masking_rules
+        if not f.masks or f.order_by is None or self.source is None:
+            return f.masked_columns(spark)
+        filled = f.fill(f.standardize(self.source))
+        return mask_summary(filled, f.masks, f.order_by, include_originals=mo.include_originals, n=n, opts=f.mask_opts)
 
     @property
     def text_report(self) -> str:
@@ -373,9 +427,12 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
     """Fit, transform, (checkpoint), report. Raises ``PrepError`` with the log on failure."""
     log: list = []
     try:
-        fitted = fit(df, opts, log, checkpoint_fill=materialize, verdicts=verdicts)
-        if fitted.filled_cache is not None:
-            data = fitted.add_features(fitted.mask(fitted.filled_cache))   # projections over the written table
+        fitted = fit(df, opts, log, verdicts=verdicts)
+        folder = None
+        if materialize and any(s.kind in ("forward_fill", "backward_fill") for s in fitted.fill_plan.steps):
+            # an ordered fill shuffles and sorts, so it is written once - masked, no clear value is left behind
+            data, folder = write_and_read(fitted.mask(fitted.fill(fitted.standardize(df))))
+            data = fitted.add_features(data)
         else:
             data = fitted.transform(df)
         rep = None
@@ -386,7 +443,7 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
             rep = _report(df, data, ob, ob_after, opts.report_approx_distinct, fitted.unchanged_columns())
             log.append(("quality_report", "success", "quality report done",
                         {"scores": str(rep.scores())}, time.time() - t0))
-        return RunResult(data, fitted, None, rep, log)
+        return RunResult(data, fitted, fitted.validation, rep, log, df, opts, folder)
     except PrepError:
         raise
     except Exception as e:  # P7: an exception is a failed run with its log
@@ -403,13 +460,15 @@ def _report(before: DataFrame, after: DataFrame, ob_before, ob_after, approx_dis
 
 
 def run_path(spark, src: str, dst: str, opts: PrepOptions = PrepOptions(), fmt: str | None = None,
-             out_fmt: str = "parquet") -> RunResult:
-    """Read a file or folder, run, write the result (overwrite) to ``dst``."""
+             out_fmt: str = "parquet", verdicts: DataFrame | None = None) -> RunResult:
+    """Read a file or folder, run, write the result (overwrite) to ``dst`` and remove what the run wrote
+    below the checkpoint folder: afterwards read ``dst``, not ``data``."""
     from ..sources.io import read_table, write_table
 
     df = read_table(spark, src, fmt)
-    res = run(df, opts)
+    res = run(df, opts, verdicts=verdicts)
     write_table(res.data, dst, out_fmt)
+    res.cleanup()
     return res
 
 

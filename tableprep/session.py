@@ -48,6 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_and_read(df: DataFrame) -> tuple[DataFrame, str | None]:
+    """``cut_lineage`` with the folder it wrote (None where it fell back to a checkpoint)."""
+    out = cut_lineage(df)
+    files = out.inputFiles()
+    return out, files[0].rsplit("/", 1)[0] if files else None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in a fresh folder under the shared checkpoint folder and read it
     back: lineage is cut (survives executor loss), and later jobs get column pruning and vectorized reads,

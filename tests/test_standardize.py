@@ -1,17 +1,17 @@
 """Names and type inference (fixture types5) and casts."""
 import datetime as dt
 
-from tableprep.functions.naming import convert_names, to_camel, to_pascal, to_snake
+from tableprep.functions.naming import convert_names, named
 from tableprep.operators.standardize import convert_types, drop_duplicate_columns, infer_types, rename_columns
 
 
 def test_naming():
-    assert to_snake("User Name") == "user_name"
-    assert to_snake("userID") == "user_id"
-    assert to_snake("first-name") == "firstname"
-    assert to_snake("用户 Name!") == "用户_name"
-    assert to_camel("User Name") == "userName"
-    assert to_pascal("created date") == "CreatedDate"
+    assert named("User Name", "snake_case") == "user_name"
+    assert named("userID", "snake_case") == "user_id"
+    assert named("first-name", "snake_case") == "firstname"
+    assert named("用户 Name!", "snake_case") == "用户_name"
+    assert named("User Name", "camelCase") == "userName"
+    assert named("created date", "PascalCase") == "CreatedDate"
     assert convert_names(["User Name", "user_name", "USER NAME"], "snake_case") == ["user_name", "user_name_2", "user_name_3"]
     assert convert_names(["a b"], "kebab") == ["a b"]
 
