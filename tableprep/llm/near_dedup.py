@@ -6,11 +6,16 @@ a pair at the threshold exceeds with a probability below ``miss``. The signature
 chunks: by the pigeonhole principle two signatures within the radius have a chunk with at most one error. The allowed
 errors are enumerated by leaving out each symbol of a chunk in turn, so every pair within the radius shares a key.
 
-Documents with equal sets are one class from the start. Keys are shuffled as (key, class) rows of 16 bytes. Candidates are
-made without the pairs of a group: first each key's members are paired with the key's smallest class; pairs are
-confirmed on the full sets, and links give components. Then only members of *different* components that still share
-a key are paired, under the signature distance, and confirmed as well. A pair left out lies in one component already, so
-the components are those of all links within the radius.
+Documents with equal sets are one class from the start. Keys are shuffled as (key, class) rows of 16 bytes; only classes
+that share a key go on. Of those, the shingles found in no other such class are counted: they are in no
+intersection, so with u of n shingles alone, a pair's intersection is at most min(n1 - u1, n2 - u2), and pairs that can't reach
+the threshold by this bound, by their sizes or by the signature distance aren't looked at. Heavily edited copies have many
+shingles of their own, so a large group of them makes few pairs, and none that could be a link is lost.
+
+Candidates are made without the pairs of a group: first each key's members (of one size step) are paired with the
+smallest class; pairs are confirmed on the full sets, and links give components. Then only members of *different*
+components that still share a key are paired, and confirmed as well. A pair left out lies in one component already,
+so the components are those of all links within the radius.
 
 Defined results: a null or blank text has an empty set and links with nothing; a document with fewer words than a
 shingle has its whole word sequence as one shingle; repeated rows are a row each; rows with a null id form
@@ -26,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,22 +148,35 @@ def chunk_keys(classes: DataFrame, opt: NearOptions) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(run, f"key long, cls {kind}")
 
 
-def _near(a: str, b: str, opt: NearOptions) -> Column:
-    """Whether two classes can be a link, by the sizes of their sets and the distance of their signatures: a symbol differs
-    where any of its planes does. a, b: the suffixes of the columns n and planes."""
+def _near(a, b, opt: NearOptions) -> Column:
+    """Whether two classes can be a link: by the size of the largest possible intersection, and the distance of their
+    signatures, where a symbol differs if any of its planes does. a, b: functions from a name (n, u, planes) to its column."""
     longs = -(-opt.k // 64)
-    differ = [reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"planes{a}")[p * longs + i].bitwiseXOR(F.col(f"planes{b}")[p * longs + i]) for p in range(PLANES)]) for i in range(longs)]
+    differ = [reduce(lambda x, y: x.bitwiseOR(y), [a("planes")[p * longs + i].bitwiseXOR(b("planes")[p * longs + i]) for p in range(PLANES)]) for i in range(longs)]
     distance = reduce(lambda x, y: x + y, [F.bit_count(d) for d in differ])
-    n = F.col(f"n{a}"), F.col(f"n{b}")
-    return (100 * F.least(*n) >= opt.percent * F.greatest(*n)) & (distance <= opt.radius)
+    both = F.least(a("n") - a("u"), b("n") - b("u"))
+    return (100 * both >= opt.percent * (a("n") + b("n") - both)) & (distance <= opt.radius)
+
+
+def _shingle_rows(batches, opt: NearOptions):
+    shingles = Shingler(opt.shingle)
+    for b in batches:
+        sets = [shingles(t.as_py()) for t in b.column(1)]
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)), b.column(0).take(pa.array(at))], names=["shingle", "cls"])
+
 
+def lone_shingles(texts: DataFrame, opt: NearOptions) -> DataFrame:
+    """Rows (cls, u): how many of a class's shingles no other class of ``texts`` (cls, t) has."""
+    kind = texts.schema["cls"].dataType.simpleString()
+    rows = texts.select("cls", "t").mapInArrow(lambda b: _shingle_rows(b, opt), f"shingle long, cls {kind}")
+    lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).where("n = 1")
+    return lone.groupBy("cls").agg(F.count("*").alias("u"))
 
-def confirmed(pairs: DataFrame, docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> DataFrame:
-    """The pairs (a, b) of document ids whose full sets reach the threshold."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull())
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = written(texts.join(ids, "id", "leftsemi").dropDuplicates(["id"]))
-    two = pairs.join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
+
+def confirmed(pairs: DataFrame, texts: DataFrame, opt: NearOptions) -> DataFrame:
+    """The pairs (a, b) of classes of ``texts`` (cls, t) whose full sets reach the threshold."""
+    two = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches):
         shingles, last, of_last = Shingler(opt.shingle), None, None
@@ -205,28 +223,34 @@ def near_components(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: s
     sig = written(signatures(docs, opt, id_col, text))
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.min("sig").alias("sig"), F.min("planes").alias("planes"), F.min("n_shingles").alias("n")))
-    keys = chunk_keys(classes, opt)
-    shared = keys.groupBy("key").agg(F.min("cls").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    members = written(keys.join(shared.select("key", "rep"), "key"))      # keys of two classes or more
-    star = members.where("cls <> rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct()
-    sigs = classes.select("cls", "n", "planes")
-    side = lambda x: sigs.toDF(x, f"n{x}", f"planes{x}")
-    star = written(star.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", opt)).select("a", "b"))
-    links = written(confirmed(star, docs, opt, id_col, text))
-    comp = components(links)
-    # members of different components under one key
-    m = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("c"))
-    mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    # sets of which one is more than 100 / percent times as large as the other aren't compared: by size, in steps of that
-    # ratio, a link lies in one step or in two that adjoin
+    keys = chunk_keys(classes, opt).withColumn("c", F.count("*").over(Window.partitionBy("key")))
+    members = written(keys.where("c > 1").select("key", "cls"))
+    texts = docs.select(F.col(id_col).alias("cls"), F.col(text).alias("t")).join(members.select("cls").distinct(), "cls", "leftsemi")
+    texts = written(texts.dropDuplicates(["cls"]))
+    about = classes.select("cls", "n", "planes").join(texts.select("cls"), "cls", "leftsemi").join(lone_shingles(texts, opt), "cls", "left")
+    about = written(about.withColumn("u", F.coalesce("u", F.lit(0).cast("long"))).where(100 * (F.col("n") - F.col("u")) >= opt.percent * F.col("n")))
+    # a set that is more than 100 / percent times as large as another is no link of it: by size, in steps of that ratio,
+    # a link lies in one step or in two that adjoin
     step = F.floor(F.log("n") / math.log(100.0001 / opt.percent)).cast("int")
-    m = m.join(mixed, "key").join(sigs, "cls").withColumn("step", F.explode(F.array(step, step + 1)))
+    m = members.join(about, "cls").withColumn("step", F.explode(F.array(step, step + 1)))
+    m = m.select("key", "step", "cls", F.struct("n", "u", "planes").alias("x"))
+    first = F.first(F.struct("cls", "x")).over(Window.partitionBy("key", "step").orderBy("cls"))
+    star = m.withColumn("rep", first).where(F.col("cls") != F.col("rep.cls"))
+    star = star.where(_near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"rep.x.{c}"), opt))
+    star = written(star.select(F.col("cls").alias("a"), F.col("rep.cls").alias("b")).distinct())
+    links = written(confirmed(star, texts, opt))
+    comp = components(links)
+    # members of different components under one key and size step
+    m = m.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).drop("component")
+    every = Window.partitionBy("key", "step")
+    m = m.withColumn("lo", F.min("c").over(every)).withColumn("hi", F.max("c").over(every)).where("lo <> hi").drop("lo", "hi")
+    m = written(m)
     right = m.withColumnsRenamed({x: f"{x}2" for x in m.columns})
     same = (m["key"] == right["key2"]) & (m["step"] == right["step2"]) & (F.col("c") < F.col("c2"))
-    cross = m.withColumnsRenamed({"n": "n1", "planes": "planes1"}).join(right, same & _near("1", "2", opt))
-    cross = written(cross.select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "leftanti"))
+    cross = m.join(right, same & _near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"x2.{c}"), opt))
+    cross = written(cross.select(F.greatest("cls", "cls2").alias("a"), F.least("cls", "cls2").alias("b")).distinct().join(star, ["a", "b"], "leftanti"))
     if cross.take(1):
-        links = written(links.union(confirmed(cross, docs, opt, id_col, text)))
+        links = written(links.union(confirmed(cross, texts, opt)))
         comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = classes.select("digest", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").join(degree, "cls", "left")
