@@ -30,7 +30,7 @@ from ..functions.columns import (
     is_numeric_type,
     typed_lit,
 )
-from .ordered_fill import MAX_BUCKETS, boundaries, default_buckets, ordered_fill
+from .ordered_fill import boundaries, default_buckets, ordered_fill
 from .profile import Profile, profile
 from .quantile import exact_medians
 
@@ -67,8 +67,6 @@ class FillPlan:
     dropped_columns: list[str]
     steps: list[FillStep]
     missing_before: int
-    # bucket boundaries of the ordered fills, found once (fit-time constants, reused by every transform)
-    bounds: dict = field(default_factory=dict)
 
     def log(self) -> list[str]:
         out = []
@@ -218,7 +216,10 @@ def apply_fills(df: DataFrame, plan: FillPlan, order_by=None, partition_by=None,
     """The fill plan as one lazy DataFrame plan."""
     x = df.drop(*plan.dropped_columns) if plan.dropped_columns else df
     segment: list[FillStep] = []
-    seg_no = [0]
+    bounds = None
+    if any(s.kind in ORDERED for s in plan.steps):
+        # one list of boundaries of this table for all its ordered fills (any list is right, dropped rows only thin it out)
+        bounds = boundaries(x, order_by, buckets or default_buckets(x))
 
     def flush(x: DataFrame, seg: list[FillStep]) -> DataFrame:
         consts = {s.column: s for s in seg if s.kind not in ORDERED}
@@ -227,15 +228,7 @@ def apply_fills(df: DataFrame, plan: FillPlan, order_by=None, partition_by=None,
         for kind, direction in (("forward_fill", "forward"), ("backward_fill", "backward")):
             cs = [s.column for s in seg if s.kind == kind]
             if cs:
-                key = f"{seg_no[0]}:{kind}"
-                if key not in plan.bounds:
-                    keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
-                    if not keys:
-                        raise ValueError("ordered fill needs order_by")
-                    nb = min(buckets or default_buckets(x), MAX_BUCKETS)
-                    plan.bounds[key] = boundaries(x, keys[0], nb)
-                x = ordered_fill(x, cs, order_by, direction, partition_by, buckets, bounds=plan.bounds[key])
-        seg_no[0] += 1
+                x = ordered_fill(x, cs, order_by, direction, partition_by, buckets, bounds=bounds)
         return x
 
     for step in plan.steps:

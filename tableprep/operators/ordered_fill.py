@@ -2,21 +2,25 @@
 
 A window over the whole table puts every row into one task. Instead (two phases):
 
-1. ``percentile_approx`` of the first order key gives ``B - 1`` boundaries (one small job);
-   ``bucket`` = number of boundaries <= key, found by ``Bucketizer``'s binary search.
-   With a unique key every bucket holds about ``rows / B`` rows, whatever the key skew.
+1. The order key is turned into numbers that sort as it does (``key_images``: one for a number or time, two for a text,
+   further keys after the first). ``percentile_approx`` of the first gives boundaries; where one value of it holds
+   several quantiles (a date that many rows share), quantiles of the second split that value's rows. ``bucket`` is
+   found by binary search. Boundaries belong to the table that is filled and are found anew for each.
 2. Per ``(partition keys, bucket)`` the last (first) non-missing value and its key, via
    ``max_by``/``min_by`` (partially aggregated: one row per task and bucket).
 3. Carry across buckets on that small frame with a window ordered by bucket.
 4. Within each bucket a normal window; a missing cell takes the in-bucket value, else the carry.
 
-Without partition keys the carry frame has at most ``B`` rows (a proven bound) and is broadcast.
-With partition keys it has one row per (key, bucket) and is joined on the same keys the window
-shuffles on, so the big side is shuffled once. A hot key is split over all ``B`` buckets.
+Without partition keys the carry frame has a row per bucket, with them one per (key, bucket); it is joined on the keys the
+window shuffles on, so the big side is shuffled once. A hot partition key is split over all buckets.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +30,7 @@ from ..functions.columns import FRACTIONAL_TYPES, INTEGRAL_TYPES, TEMPORAL_TYPES
 
 def _keys(order_by) -> list[str]:
     if order_by is None:
-        raise ValueError("ordered fill needs order_by: a unique key (numeric or temporal first column)")
+        raise ValueError("ordered fill needs order_by: a unique key")
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
@@ -40,9 +44,6 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, shuffle)
 
 
-MAX_BUCKETS = 100_000
-
-
 def key_as_double(c: F.Column, dt: T.DataType) -> F.Column:
     """A monotone double image of the order key (ties may merge; order inside a bucket uses the real key)."""
     if isinstance(dt, T.TimestampNTZType):
@@ -57,31 +58,77 @@ def key_as_double(c: F.Column, dt: T.DataType) -> F.Column:
     return c.cast("double")
 
 
-def boundaries(df: DataFrame, key: str, buckets: int) -> list[float]:
-    """``buckets - 1`` approximate quantiles of the key (one small job; accuracy 10x the bucket count)."""
-    dt = field_type(df, key)
-    if not isinstance(dt, INTEGRAL_TYPES + FRACTIONAL_TYPES + TEMPORAL_TYPES + (T.DecimalType,)):
-        raise ValueError(f"order key {key!r} must be numeric or temporal for the two-phase fill; got {dt.simpleString()}")
-    if buckets <= 1:
-        return []
-    qs = [i / buckets for i in range(1, buckets)]
-    kd = key_as_double(col(key), dt)
-    r = df.agg(F.percentile_approx(kd, qs, max(10000, 10 * buckets)).alias("b")).collect()[0]["b"]
-    return sorted(set(float(x) for x in (r or []) if x is not None and x == x))
+TEXT_BYTES = 6      # of a text that one number holds exactly
 
 
-def with_bucket(df: DataFrame, key: str, bounds: list[float], out: str) -> DataFrame:
-    """Bucket = number of boundaries <= key, by a JVM-side binary search (``Bucketizer``).
-    Null keys sort first and go to bucket 0."""
+def key_images(df: DataFrame, keys: list[str]) -> list[F.Column]:
+    """Numbers that sort, taken one after another, as the order key does as far as they go (rows with equal numbers are
+    ordered by the key itself, within their bucket). Nulls come first."""
+    out = []
+    for k in keys:
+        dt = field_type(df, k)
+        if isinstance(dt, T.StringType):
+            raw = F.hex(F.encode(col(k), "UTF-8"))
+            parts = [F.rpad(F.substring(raw, 2 * TEXT_BYTES * i + 1, 2 * TEXT_BYTES), 2 * TEXT_BYTES, "0") for i in range(2)]
+            out += [F.conv(p, 16, 10).cast("double") for p in parts]
+        elif isinstance(dt, INTEGRAL_TYPES + FRACTIONAL_TYPES + TEMPORAL_TYPES + (T.DecimalType,)):
+            out.append(key_as_double(col(k), dt))
+        else:
+            raise ValueError(f"order key {k!r} can't be ordered: {dt.simpleString()}")
+    return [F.coalesce(x, F.lit(float("-inf"))) for x in out]
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """Boundaries of the first image, and of the second within values of the first that hold several quantiles."""
+    first: tuple[float, ...]
+    within: dict[float, tuple[float, ...]]
+
+
+def boundaries(df: DataFrame, order_by, buckets: int) -> Bounds:
+    """Approximate quantiles of the order key that cut ``df`` into about ``buckets`` even parts (one or two small jobs)."""
+    keys = _keys(order_by)
+    if buckets <= 1:
+        return Bounds((), {})
+    images = key_images(df, keys)
+    inf = float("inf")
+    accuracy = max(10_000, 10 * buckets)
+    r = df.agg(F.percentile_approx(images[0], [i / buckets for i in range(1, buckets)], accuracy).alias("b")).first()["b"]
+    found = [x for x in (r or []) if x == x]
+    times = Counter(found)
+    hot = {x: n for x, n in times.items() if n > 1}
+    within = {}
+    if hot and len(images) > 1:
+        parts = max(hot.values()) + 1
+        x = df.select(images[0].alias("a"), images[1].alias("b")).where(F.col("a").isin(list(hot)))
+        for r in x.groupBy("a").agg(F.percentile_approx("b", [i / parts for i in range(1, parts)], accuracy).alias("q")).collect():
+            cuts = r["q"][:: max(1, len(r["q"]) // hot[r["a"]])]
+            within[r["a"]] = tuple(sorted({c for c in cuts if c == c and -inf < c < inf}))
+    return Bounds(tuple(sorted(x for x in times if -inf < x < inf)), within)
+
+
+def with_bucket(df: DataFrame, order_by, bounds: Bounds, out: str) -> DataFrame:
+    """Bucket = number of boundaries of the first image <= its value, by a JVM-side binary search (``Bucketizer``), times a
+    stride, plus the part within a hot value; rows above the hot value come after its parts."""
     from pyspark.ml.feature import Bucketizer
 
     inf = float("inf")
-    kd = "__kd"
-    x = df.withColumn(kd, F.coalesce(key_as_double(col(key), field_type(df, key)), F.lit(-inf)))
-    if not bounds:
-        return x.withColumn(out, F.lit(0)).drop(kd)
-    bz = Bucketizer(splits=[-inf] + bounds + [inf], inputCol=kd, outputCol=out, handleInvalid="keep")
-    return bz.transform(x).withColumn(out, F.col(out).cast("int")).drop(kd)
+    images = key_images(df, _keys(order_by))
+    if not bounds.first and not bounds.within:
+        return df.withColumn(out, F.lit(0))
+    x = df.withColumn("__k1", images[0])
+    if bounds.first:
+        bz = Bucketizer(splits=[-inf, *bounds.first, inf], inputCol="__k1", outputCol="__b1", handleInvalid="keep")
+        x = bz.transform(x)
+    else:
+        x = x.withColumn("__b1", F.lit(0.0))
+    stride = max([0, *map(len, bounds.within.values())]) + 2
+    part = F.lit(stride - 1)
+    if bounds.within:
+        cuts = F.create_map(*[e for v, q in bounds.within.items() for e in (F.lit(v), F.array(*map(F.lit, q)).cast("array<double>"))])
+        x = x.withColumn("__q", F.try_element_at(cuts, F.col("__k1"))).withColumn("__k2", images[1])
+        part = F.when(F.col("__q").isNull(), part).otherwise(F.size(F.filter("__q", lambda q: q <= F.col("__k2"))))
+    return x.withColumn(out, (F.col("__b1") * stride + part).cast("int")).drop("__k1", "__b1", "__q", "__k2")
 
 
 def ordered_fill(
@@ -91,13 +138,13 @@ def ordered_fill(
     direction: str = "forward",
     partition_by: list[str] | None = None,
     buckets: int | None = None,
-    bounds: list[float] | None = None,
+    bounds: Bounds | None = None,
 ) -> DataFrame:
     """Fill missing cells of ``columns`` from the previous (forward) or next (backward) non-missing
     value in ``order_by`` order, within ``partition_by`` groups if given. Leading (trailing) gaps stay.
 
     ``bounds`` are bucket boundaries found earlier (any sorted list gives the same result; good ones
-    balance the buckets). Without them one ``percentile_approx`` job finds them now."""
+    balance the buckets). Without them they are found now."""
     if not columns:
         return df
     if direction not in ("forward", "backward"):
@@ -106,17 +153,23 @@ def ordered_fill(
     parts = list(partition_by or [])
     fwd = direction == "forward"
     if bounds is None:
-        nb = min(buckets or default_buckets(df), MAX_BUCKETS)
-        bounds = boundaries(df, keys[0], nb)
+        bounds = boundaries(df, keys, buckets or default_buckets(df))
     b = "__bucket"
-    x = with_bucket(df, keys[0], bounds, b)
+    x = with_bucket(df, keys, bounds, b)
     # a single key orders max_by/min_by directly (fixed width: hash aggregation for numeric values)
     order_struct = col(keys[0]) if len(keys) == 1 else F.struct(*[col(k) for k in keys])
     vals = {c: F.when(~is_missing(col(c), field_type(df, c)), col(c)) for c in columns}
 
     # phase 2: edge value per (partition keys, bucket)
     pick = F.max_by if fwd else F.min_by
-    edge_aggs = [pick(vals[c], F.when(vals[c].isNotNull(), order_struct)).alias(f"__e{i}") for i, c in enumerate(columns)]
+    def edge(v):
+        by_key = pick(v, F.when(v.isNotNull(), order_struct))
+        if len(keys) > 1:
+            return by_key
+        null_key = F.max(F.when(col(keys[0]).isNull(), v))     # max_by passes null keys over; the one of a unique key comes first
+        return F.coalesce(by_key, null_key) if fwd else F.coalesce(null_key, by_key)
+
+    edge_aggs = [edge(vals[c]).alias(f"__e{i}") for i, c in enumerate(columns)]
     group_cols = [col(p) for p in parts] + [F.col(b)]
     edges = x.groupBy(*group_cols).agg(*edge_aggs)
 
@@ -127,10 +180,9 @@ def ordered_fill(
     carry = edges.select(*[col(p) for p in parts], F.col(b),
                          *[take(f"__e{i}", ignorenulls=True).over(w_carry).alias(f"__c{i}") for i in range(len(columns))])
     join_keys = parts + [b]
-    if parts:
-        x = x.join(carry, join_keys, "left")
-    else:
-        x = x.join(F.broadcast(carry), join_keys, "left")  # at most B rows
+    # null partition keys are a group of their own
+    x = x.join(carry.toDF(*[f"__j{i}" if i < len(join_keys) else c for i, c in enumerate(carry.columns)]),
+               reduce(lambda p, q: p & q, [F.col(f"`{k}`").eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(join_keys)]), "left")
 
     # phase 4: within-bucket window, then the carry
     w_in = Window.partitionBy(*[col(p) for p in parts], F.col(b)).orderBy(*[col(k).asc_nulls_first() for k in keys])
@@ -146,21 +198,3 @@ def ordered_fill(
         else:
             out.append(col(f.name))
     return x.select(*out)
-
-
-def ordered_fill_window(df: DataFrame, columns: list[str], order_by, direction: str = "forward",
-                        partition_by: list[str] | None = None) -> DataFrame:
-    """Plain window version (one partition per key group); used as a brute-force check in tests."""
-    keys = _keys(order_by)
-    fwd = direction == "forward"
-    w = Window.partitionBy(*[col(p) for p in (partition_by or [])]).orderBy(*[col(k).asc_nulls_first() for k in keys])
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if fwd else w.rowsBetween(0, Window.unboundedFollowing)
-    take = F.last if fwd else F.first
-    out = []
-    for f in df.schema.fields:
-        if f.name in columns:
-            v = F.when(~is_missing(col(f.name), f.dataType), col(f.name))
-            out.append(take(v, ignorenulls=True).over(w).cast(f.dataType).alias(f.name))
-        else:
-            out.append(col(f.name))
-    return df.select(*out)

@@ -24,9 +24,7 @@ from ..functions.columns import (
     typed_lit,
 )
 
-# Tables whose unpivoted size (rows x sampled columns) reaches this first look for a key cut-off holding
-# the first n values of every column, so that only that prefix is unpivoted and sorted (same result).
-PREFILTER_MIN_CELLS = 1_000_000
+ACCURACY = 10_000       # of percentile_approx; it can't tell quantiles below 1 / ACCURACY from the least key
 
 
 def _order_cols(order_by) -> list[str]:
@@ -35,31 +33,32 @@ def _order_cols(order_by) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
-def key_cutoff(df: DataFrame, columns: list[str], key: str, n: int, min_cells: int = PREFILTER_MIN_CELLS):
+def key_cutoff(df: DataFrame, columns: list[str], key: str, n: int, counts: dict[str, int] | None = None, rows: int | None = None):
     """A filter ``key IS NULL OR key <= t`` that keeps the first ``n`` non-missing values of every column.
 
     ``key`` is the first order key; rows with a larger first key come after every kept row, so the
     first ``n`` values in the full order are inside the prefix. Hash aggregates only (no sort):
     non-missing counts, one ``percentile_approx`` of the key, and a count under the filter that proves
-    the cut-off keeps enough values (widened until it does). ``None`` when the unpivoted table would be
-    small or the prefix would not be much smaller than the table.
+    the cut-off keeps enough values (widened until it does). ``counts`` and ``rows`` are the non-missing counts and
+    the row count where the caller has them. ``None`` where the prefix would hold half the table and more, or the key
+    has no quantiles; the result is the same without it.
     """
     dt = field_type(df, key)
     if not isinstance(dt, INTEGRAL_TYPES + FRACTIONAL_TYPES + TEMPORAL_TYPES):
         return None
     aggs = [F.count(F.lit(1)).alias("rows")] + [
         F.count(F.when(~is_missing(col(c), field_type(df, c)), 1)).alias(f"n{i}") for i, c in enumerate(columns)]
-    r = df.agg(*aggs).collect()[0]
-    rows = r["rows"]
-    if rows * len(columns) < min_cells:
-        return None
-    nn = [r[f"n{i}"] for i in range(len(columns))]
+    if counts is None or rows is None:
+        r = df.agg(*aggs).collect()[0]
+        rows, nn = r["rows"], [r[f"n{i}"] for i in range(len(columns))]
+    else:
+        nn = [counts[c] for c in columns]
     live = [i for i in range(len(columns)) if nn[i] > 0]
     if not live:
         return None
-    q = max(min(1.0, 4.0 * n / nn[i]) for i in live)
+    q = max([2 / ACCURACY, *(min(1.0, 4.0 * n / nn[i]) for i in live)])
     while q < 0.5:
-        t = df.agg(F.percentile_approx(col(key), q, 10000).alias("t")).collect()[0]["t"]
+        t = df.agg(F.percentile_approx(col(key), q, ACCURACY).alias("t")).collect()[0]["t"]
         cond = col(key).isNull() | (col(key) <= typed_lit(t, dt))
         got = df.where(cond).agg(*aggs[1:]).collect()[0]
         if all(got[f"n{i}"] >= min(n, nn[i]) for i in live):
@@ -85,19 +84,20 @@ def _final_text(v, dt: T.DataType):
     return v
 
 
-def first_values(df: DataFrame, columns: list[str], order_by, n: int, *,
-                 prefilter_min_cells: int | None = PREFILTER_MIN_CELLS) -> DataFrame:
+def first_values(df: DataFrame, columns: list[str], order_by, n: int, *, cutoff: bool = True,
+                 counts: dict[str, int] | None = None, rows: int | None = None) -> DataFrame:
     """Long frame ``(column, pos, value)`` with up to ``n`` rows per column, ``pos`` from 1.
 
     Missing cells (null, NaN) are skipped, as ``dropna()`` does. ``value`` is the cell as the text
     ``str(value)`` gives. The costly text form of numbers is built only for the rows that survive the
-    per-column limit.
+    per-column limit. ``cutoff=False`` skips the search for a key cut-off (over a plan that is costly to run
+    more than once); ``counts`` and ``rows`` save its first pass.
     """
     keys = _order_cols(order_by)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, pos bigint, value string")
-    if prefilter_min_cells is not None:
-        cond = key_cutoff(df, columns, keys[0], n, prefilter_min_cells)
+    if cutoff:
+        cond = key_cutoff(df, columns, keys[0], n, counts, rows)
         if cond is not None:
             df = df.where(cond)
     tmp_keys = [f"__k{i}" for i in range(len(keys))]
@@ -112,8 +112,9 @@ def first_values(df: DataFrame, columns: list[str], order_by, n: int, *,
     # back to real names (which may hold dots or spaces) and to the reference's text, on the few survivors
     names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(str(i)), F.lit(c))])
     text = F.col("value")
-    for i, dt in enumerate(types):
-        if isinstance(dt, FRACTIONAL_TYPES + (T.BooleanType,)):
-            text = F.when(F.col("__slot") == str(i), _final_text(F.col("value"), dt)).otherwise(text)
+    for kind, dt in ((FRACTIONAL_TYPES, T.DoubleType()), (T.BooleanType, T.BooleanType())):    # one case for each kind
+        slots = [str(i) for i, t in enumerate(types) if isinstance(t, kind)]
+        if slots:
+            text = F.when(F.col("__slot").isin(slots), _final_text(F.col("value"), dt)).otherwise(text)
     return top.select(F.element_at(names, F.col("__slot")).alias("column"), F.col("pos").cast("bigint").alias("pos"),
                       text.alias("value"))

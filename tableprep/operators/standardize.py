@@ -192,8 +192,8 @@ def infer_types(
             need_cat.append(c)
     if need_cat and categorical:
         approx = {c: prof.stats[c].get("approx_distinct") for c in need_cat}
-        # exact counts only for columns that can still pass (approx screen with margin)
-        check = [c for c in need_cat if approx[c] is None or approx[c] < CATEGORICAL_MAX * 1.2]
+        # exact counts only for columns that can still pass; the estimate has to be off by half to drop one that could
+        check = [c for c in need_cat if approx[c] is None or approx[c] < CATEGORICAL_MAX * 2]
         exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, check).collect()} if check else {}
         for c in need_cat:
             nd = exact.get(c)

@@ -76,10 +76,9 @@ def basic_stats(df: DataFrame) -> DataFrame:
     from ..functions.columns import col, field_type, is_missing
 
     n_cols = len(df.columns)
-    miss = [F.count(F.when(is_missing(col(c), field_type(df, c)), 1)) for c in df.columns]
-    total = miss[0] if miss else F.lit(0)
-    for m in miss[1:]:
-        total = total + m
+    # the missing cells of a row as one flat array: a sum of many columns would nest as deep as the table is wide
+    gaps = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(is_missing(col(c), field_type(df, c)), 1) for c in df.columns]))
+    total = F.coalesce(F.sum(F.size(gaps)), F.lit(0))
     rows = F.count(F.lit(1))
     return df.agg(
         rows.alias("rows"),
@@ -92,3 +91,8 @@ def basic_stats(df: DataFrame) -> DataFrame:
 def preview(df: DataFrame, order_by, n: int = 10) -> DataFrame:
     """The first ``n`` rows in ``order_by`` order (a top-k: each task keeps ``n`` rows)."""
     return df.orderBy(*_order_cols(order_by)).limit(n)
+
+
+def preview_counts(df: DataFrame) -> DataFrame:
+    """Row, column and missing-cell counts shown above a preview (one row)."""
+    return basic_stats(df).select("rows", "columns", "missing_cells")

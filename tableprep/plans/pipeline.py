@@ -22,7 +22,7 @@ from ..operators.impute import FillPlan, apply_fills, fit_fills
 from ..operators.masking import MaskOptions, MaskSpec, mask_columns, mask_summary
 from ..operators.profile import Profile, profile
 from ..operators.quality import QualityReport, quality_report
-from ..operators.sample import PREFILTER_MIN_CELLS, first_values
+from ..operators.sample import first_values
 from ..operators.sensitive import SAMPLE_SIZE, VALUE_RATE, classify, mask_decision, name_candidates, sample_rates
 from ..operators.standardize import (
     CATEGORICAL_META,
@@ -276,8 +276,7 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
         # the key cut-off costs a few aggregate passes; over an unwritten ordered fill each pass would redo the
         # fill's shuffle and window, so then one pass with the partial group limit is cheaper
         ordered = any(st.kind in ("forward_fill", "backward_fill") for st in fitted.fill_plan.steps)
-        pm = None if ordered else PREFILTER_MIN_CELLS
-        samples = first_values(filled, cols, order_by, SAMPLE_SIZE, prefilter_min_cells=pm)
+        samples = first_values(filled, cols, order_by, SAMPLE_SIZE, cutoff=not ordered)
         rates = sample_rates(samples)
         det = classify(rates, name_candidates(spark, cols))
         dec = mask_decision(det, threshold=mo.sensitivity_threshold, column_rules=rules, verdicts=verdicts,
@@ -333,7 +332,7 @@ def _number_identifiers(std: DataFrame, p: Profile, fo, order_by) -> set[str]:
              and c not in fo.custom_fill_values and fo.column_strategies.get(c, fo.default_strategy) in ("mean", "median")]
     if not gappy:
         return set()
-    rates = first_values(std, gappy, order_by, SAMPLE_SIZE).groupBy("column").agg(
+    rates = first_values(std, gappy, order_by, SAMPLE_SIZE, counts={c: p.non_missing(c) for c in gappy}, rows=p.rows).groupBy("column").agg(
         F.avg(is_phone(F.col("value")).cast("double")).alias("ph"), F.avg(is_id_card(F.col("value")).cast("double")).alias("idc"))
     return {r["column"] for r in rates.collect() if max(r["ph"] or 0, r["idc"] or 0) > VALUE_RATE}
 
@@ -353,7 +352,7 @@ def _shared_sample(x: DataFrame, p: Profile, order_by):
                 cands.append(c)
     if not cands:
         return {}, {}
-    s = first_values(x, cands, order_by, SAMPLE_SIZE)
+    s = first_values(x, cands, order_by, SAMPLE_SIZE, counts={c: p.non_missing(c) for c in cands}, rows=p.rows)
     v = F.col("value")
     head = F.col("pos") <= DATETIME_SAMPLE
     aggs = [F.min(F.when(head, to_datetime(v, f).isNotNull().cast("int"))).alias(f"f{i}") for i, f in enumerate(DATETIME_FORMATS)]

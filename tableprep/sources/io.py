@@ -20,6 +20,18 @@ READERS = {"csv": "csv", "json": "json", "parquet": "parquet", "orc": "orc"}
 WRITERS = ("csv", "json", "parquet", "orc")
 
 
+def _files(path: str) -> list[str]:
+    """The names of the files in a folder, on whatever file system Spark reads it from; none where there is no folder."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        return []
+    return sorted(x.getPath().getName() for x in fs.listStatus(p))
+
+
 def detect_format(path: str) -> str:
     """IO3: format from the extension (lower-cased); unknown extensions are an error."""
     p = path.rstrip("/")
@@ -28,13 +40,10 @@ def detect_format(path: str) -> str:
         raise ValueError(f"unsupported file format: {path} (convert Excel files to CSV or Parquet first)")
     if ext in READERS:
         return ext
-    if os.path.isdir(p):  # a folder written by Spark: look at its part files
-        for f in sorted(os.listdir(p)):
-            e = os.path.splitext(f)[1].lower().lstrip(".")
-            if e in READERS:
-                return e
-            if f.endswith(".snappy.parquet") or f.endswith(".zstd.parquet"):
-                return "parquet"
+    for f in _files(p):     # a folder written by Spark: look at its part files
+        e = os.path.splitext(f)[1].lower().lstrip(".")
+        if e in READERS:
+            return e
     raise ValueError(f"unsupported file format: {path} (for a folder without an extension pass fmt=...)")
 
 
@@ -59,11 +68,12 @@ def read_csv(spark: SparkSession, path: str, *, na_tokens: list[str] | None = No
 
 def read_json(spark: SparkSession, path: str, *, array: bool | None = None) -> DataFrame:
     """IO2: a JSON array of records (``multiLine``: one task per file, inherent to the format) or one
-    record per line (splittable; what ``write_table`` produces). Without ``array`` the first line decides,
-    read through Spark so any file system works."""
+    record per line (splittable; what ``write_table`` produces). Without ``array`` the first line that isn't blank decides
+    (a file of records can't begin with a bracket), read through Spark so any file system works."""
     if array is None:
-        first = spark.read.text(path).limit(1).collect()
-        array = bool(first) and first[0][0].lstrip().startswith("[")
+        # a file may be one line: only its first characters leave the task
+        first = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).where("c <> ''").limit(1).collect()
+        array = bool(first) and first[0][0] == "["
     return spark.read.option("multiLine", bool(array)).json(path)
 
 

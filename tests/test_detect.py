@@ -59,9 +59,9 @@ def test_sample_prefilter_is_exact(spark):
         (F.col("id") * 7 % 200000).alias("k"),
         F.when(F.col("id") % 1000 == 3, F.col("id").cast("string")).alias("sparse"),
         F.col("id").cast("string").alias("dense"))
-    assert key_cutoff(df, ["sparse", "dense"], "k", 20, min_cells=0) is not None
-    a = first_values(df, ["sparse", "dense"], "k", 20, prefilter_min_cells=0)
-    b = first_values(df, ["sparse", "dense"], "k", 20, prefilter_min_cells=None)
+    assert key_cutoff(df, ["sparse", "dense"], "k", 20) is not None
+    a = first_values(df, ["sparse", "dense"], "k", 20, cutoff=True)
+    b = first_values(df, ["sparse", "dense"], "k", 20, cutoff=False)
     assert a.count() == 40 and a.exceptAll(b).count() == 0
 
 
@@ -70,8 +70,8 @@ def test_sample_text_of_numbers_and_composite_key(spark):
 
     rows = [(i // 3, i % 3, [13812345678.0, 0.1, 1e-05, 1.5e16, float("nan"), -2.5][i % 6], i % 2 == 0) for i in range(3000)]
     df = spark.createDataFrame(rows, "a long, b int, d double, f boolean")
-    a = first_values(df, ["d", "f"], ["a", "b"], 7, prefilter_min_cells=0)
-    b = first_values(df, ["d", "f"], ["a", "b"], 7, prefilter_min_cells=None)
+    a = first_values(df, ["d", "f"], ["a", "b"], 7, cutoff=True)
+    b = first_values(df, ["d", "f"], ["a", "b"], 7, cutoff=False)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     got = {(r.column, r.pos): r.value for r in a.collect()}
     assert [got[("d", p)] for p in range(1, 7)] == ["13812345678.0", "0.1", "1e-05", "1.5e+16", "-2.5", "13812345678.0"]
@@ -87,8 +87,8 @@ def test_sample_cutoff_on_wall_clock_key_in_other_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         ev = spark.read.parquet(f"{SF_MID}/events.parquet").select("ts", "event_type", "value")
-        a = first_values(ev, ["event_type", "value"], "ts", 20, prefilter_min_cells=0)
-        b = first_values(ev, ["event_type", "value"], "ts", 20, prefilter_min_cells=None)
+        a = first_values(ev, ["event_type", "value"], "ts", 20, cutoff=True)
+        b = first_values(ev, ["event_type", "value"], "ts", 20, cutoff=False)
         assert a.count() == 40 and a.exceptAll(b).count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprep.operators import impute as I
-from tableprep.operators.ordered_fill import ordered_fill, ordered_fill_window
+from tableprep.operators.ordered_fill import boundaries, ordered_fill, with_bucket
+
+from .window_fill import ordered_fill_window
 from tableprep.operators.quantile import exact_median
 
 from .conftest import SF_MID
@@ -132,3 +134,31 @@ def test_approx_median_option_close_to_exact(spark):
     e = {s.column: s.value for s in exact.steps}
     a = {s.column: s.value for s in approx.steps}
     assert set(e) == set(a) == {"x"} and abs(e["x"] - a["x"]) < 0.01
+
+
+def _days(spark, n=8000, days=1, at=0):
+    return spark.range(at, at + n).selectExpr(f"cast(date_add(date'2024-01-01', cast(id % {days} AS int)) AS date) AS day", "id", "concat('k', lpad(cast(id AS string), 9, '0')) AS name", "CASE WHEN id % 7 = 3 THEN id END AS v")
+
+
+@pytest.mark.parametrize("keys, days", [(["day", "id"], 1), (["day", "id"], 3), (["name"], 1), (["day", "name"], 2), (["id"], 1)])
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_ordered_fill_over_composite_and_text_keys(spark, keys, days, direction):
+    df = _days(spark, 3000, days)
+    a = ordered_fill(df, ["v"], keys, direction, buckets=16)
+    b = ordered_fill_window(df, ["v"], keys, direction)
+    assert a.exceptAll(b).count() == 0 and a.count() == 3000
+
+
+@pytest.mark.parametrize("keys, days", [(["day", "id"], 1), (["day", "id"], 5), (["id"], 1)])
+def test_no_bucket_holds_much_more_than_its_share(spark, keys, days):
+    for at in (0, 80_000):      # another table gets boundaries of its own
+        df = _days(spark, 8000, days, at)
+        sizes = [r["count"] for r in with_bucket(df, keys, boundaries(df, keys, 16), "b").groupBy("b").count().collect()]
+        assert sum(sizes) == 8000 and max(sizes) < 3 * 8000 / 16
+
+
+def test_null_order_and_partition_keys(spark):
+    rows = [(None, 1, 5), (None, 2, None), ("a", None, 7), ("a", 3, None), ("a", 4, None)]
+    df = spark.createDataFrame(rows, "g string, k int, v int")
+    got = sorted(ordered_fill(df, ["v"], "k", "forward", ["g"], buckets=3).collect(), key=str)
+    assert sorted(r["v"] for r in got) == [5, 5, 7, 7, 7]

@@ -110,7 +110,7 @@ def test_report_reuse_of_unchanged_columns_is_exact(spark):
 
 def test_pipeline_ordered_fill_with_partition_keys(spark):
     from tableprep.operators.impute import FillOptions
-    from tableprep.operators.ordered_fill import ordered_fill_window
+    from .window_fill import ordered_fill_window
 
     rows = [(i, i % 3, None if i % 4 else float(i)) for i in range(200)]
     df = spark.createDataFrame(rows, "k long, g int, v double")

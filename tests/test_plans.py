@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from tableprep.fixtures import fixture
 from tableprep.operators.features import FeatureOptions
 from tableprep.operators.impute import FillOptions
-from tableprep.operators.ordered_fill import ordered_fill, ordered_fill_window
+from tableprep.operators.ordered_fill import ordered_fill
+
+from .window_fill import ordered_fill_window
 from tableprep.operators.sample import first_values
 from tableprep.operators.standardize import distinct_counts
 from tableprep.plans.options import PrepOptions
@@ -31,7 +33,7 @@ def test_fitted_transform_is_native(spark):
 
 def test_sample_uses_partial_group_limit(spark):
     pii = fixture(spark, SF_SMALL, "customer_pii")
-    plan = _plan(first_values(pii, ["phone", "email"], "c_custkey", 20, prefilter_min_cells=None))
+    plan = _plan(first_values(pii, ["phone", "email"], "c_custkey", 20, cutoff=False))
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
@@ -62,10 +64,11 @@ def test_names_with_dots_and_spaces(spark):
 
 
 def test_run_output_reads_the_written_copy(spark):
+    from tableprep.operators.impute import FillOptions
     from tableprep.plans.pipeline import run
 
     pii = fixture(spark, SF_SMALL, "customer_pii")
-    res = run(pii, PrepOptions(order_by="c_custkey"), report=False)
+    res = run(pii, PrepOptions(order_by="c_custkey", missing_handling=FillOptions(default_strategy="forward_fill")), report=False)
     plan = _plan(res.data)
     ckpt = spark.conf.get("spark.checkpoint.dir")
     assert "FileScan parquet" in plan and "tableprep-" in plan and ckpt.split("/")[-1] in plan
