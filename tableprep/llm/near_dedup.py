@@ -13,9 +13,9 @@ the threshold by this bound, by their sizes or by the signature distance aren't
 shingles of their own, so a large group of them makes few pairs, and none that could be a link is lost.
 
 Candidates are made without the pairs of a group: first each key's members (of one size step) are paired with the
-smallest class; pairs are confirmed on the full sets, and links give components. Then only members of *different*
-components that still share a key are paired, and confirmed as well. A pair left out lies in one component already,
-so the components are those of all links within the radius.
+smallest class; pairs are confirmed on the full sets, and links give components. Then members of *different* components that
+still share a key are compared in blocks, on their full sets too. A pair left out lies in one component already, so
+the components are those of all links within the radius.
 
 Defined results: a null or blank text has an empty set and links with nothing; a document with fewer words than a
 shingle has its whole word sequence as one shingle; repeated rows are a row each; rows with a null id form
@@ -47,6 +47,7 @@ class NearOptions:
     percent: int = 80       # links need 100 * intersection >= percent * union
     k: int = 64             # symbols of a signature
     miss: float = 2e-4      # of a pair exactly at the threshold to be beyond the radius
+    block: int = 256        # classes of a group that are compared with as many others in one task
 
     @property
     def radius(self) -> int:
@@ -193,6 +194,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame, opt: NearOptions) -> DataFrame
     return two.select("a", "b", "ta", "tb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _compared(group: pa.Table, opt: NearOptions) -> pa.Table:
+    """Links between the components in one block, or two (``side`` 0 and 1): the fewest that join what is to be joined."""
+    cls, comp, side = (group[x].to_pylist() for x in ("cls", "c", "side"))
+    n = np.array(group["n"].to_pylist(), np.int64)
+    planes = np.array(group["planes"].to_pylist(), np.int64).reshape(len(cls), PLANES, -1)
+    shingles = Shingler(opt.shingle)
+    sets = [shingles(t.as_py()) for t in group["t"]]
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    here = np.zeros(len(flat) + 1, bool)
+    root = {c: c for c in comp}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out, two, where = [], len(set(side)) > 1, np.array(side)
+    for x in range(len(cls)):
+        if two and side[x]:
+            continue
+        later = where == 1 if two else np.arange(len(cls)) > x
+        differ = np.bitwise_or.reduce(planes ^ planes[x], axis=1)
+        distance = np.bitwise_count(differ.view(np.uint64)).sum(axis=1)
+        maybe = np.flatnonzero(later & (distance <= opt.radius) & (100 * np.minimum(n, n[x]) >= opt.percent * np.maximum(n, n[x])))
+        maybe = [y for y in maybe.tolist() if find(comp[y]) != find(comp[x])]
+        if not maybe:
+            continue
+        mine = flat[starts[x]:starts[x] + n[x]]
+        here[mine] = True
+        for y in maybe:
+            if find(comp[y]) == find(comp[x]):
+                continue
+            both = int(here[flat[starts[y]:starts[y] + n[y]]].sum())
+            if 100 * both >= opt.percent * (int(n[x]) + int(n[y]) - both):
+                out.append((cls[x], cls[y]))
+                root[find(comp[y])] = find(comp[x])
+        here[mine] = False
+    kind = group.schema.field("cls").type
+    return pa.table({"a": pa.array([max(p) for p in out], kind), "b": pa.array([min(p) for p in out], kind)})
+
+
+def _across(m: DataFrame, about: DataFrame, texts: DataFrame, opt: NearOptions) -> DataFrame:
+    """Links between different components that share a key and size step; m: rows (key, step, cls, c).
+
+    Components that share one are a group. Its classes are dealt into blocks of ``opt.block``, sorted by component, and each
+    pair of blocks that holds different components is compared in one task: a pair of classes is never a row, a
+    task holds two blocks whatever the group's size, and only links leave it."""
+    lo = F.min("c").over(Window.partitionBy("key", "step"))
+    edges = m.select(F.col("c").alias("a"), lo.alias("b")).where("a <> b").distinct()
+    groups = components(edges).withColumnsRenamed({"id": "c", "component": "g"})
+    one = m.select("cls", "c").distinct().join(groups, "c")
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("c", "cls"))
+    one = written(one.withColumn("block", F.floor((rank - 1) / opt.block).cast("int")))
+    blocks = one.groupBy("g", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    pairs = blocks.join(blocks.toDF("g", "block2", "lo2", "hi2"), "g").where("block <= block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("g", "block", "block2")
+    left = pairs.join(one, ["g", "block"]).withColumn("side", F.lit(0))
+    right = pairs.where("block < block2").join(one.withColumnRenamed("block", "block2"), ["g", "block2"]).withColumn("side", F.lit(1))
+    rows = left.unionByName(right).join(about.select("cls", "n", "planes"), "cls").join(texts, "cls")
+    kind = m.schema["cls"].dataType.simpleString()
+    return rows.groupBy("g", "block", "block2").applyInArrow(lambda t: _compared(t, opt), f"a {kind}, b {kind}")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (id, component): the smallest id reachable over ``links`` (a, b).
 
@@ -244,14 +308,8 @@ def near_components(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: s
     m = m.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).drop("component")
     every = Window.partitionBy("key", "step")
     m = m.withColumn("lo", F.min("c").over(every)).withColumn("hi", F.max("c").over(every)).where("lo <> hi").drop("lo", "hi")
-    m = written(m)
-    right = m.withColumnsRenamed({x: f"{x}2" for x in m.columns})
-    same = (m["key"] == right["key2"]) & (m["step"] == right["step2"]) & (F.col("c") < F.col("c2"))
-    cross = m.join(right, same & _near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"x2.{c}"), opt))
-    cross = written(cross.select(F.greatest("cls", "cls2").alias("a"), F.least("cls", "cls2").alias("b")).distinct().join(star, ["a", "b"], "leftanti"))
-    if cross.take(1):
-        links = written(links.union(confirmed(cross, texts, opt)))
-        comp = components(links)
+    links = written(links.union(_across(written(m), about, texts, opt)))
+    comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = classes.select("digest", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").join(degree, "cls", "left")
     named = named.select("digest", F.coalesce("component", "cls").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -53,10 +53,10 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
-def test_components_against_all_pairs(spark, n, percent):
+@pytest.mark.parametrize("n, percent, block", [(3, 85, 256), (5, 80, 5)])
+def test_components_against_all_pairs(spark, n, percent, block):
     rows = made(n)
-    got = N.near_components(documents(spark, rows), N.NearOptions(n, percent)).collect()
+    got = N.near_components(documents(spark, rows), N.NearOptions(n, percent, block=block)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, n, percent)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert len({r["component_id"] for r in got}) < len(rows) - 10
