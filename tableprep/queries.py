@@ -23,6 +23,7 @@ from .functions.columns import as_text, col, number_to_text, to_boolean, to_date
 from .operators import impute as I
 from .operators.features import FeatureOptions, extract_features
 from .operators.masking import MaskSpec, mask_columns, mask_preview, mask_summary
+from .operators.ordered_fill import ordered_fill
 from .operators.profile import profile
 from .operators.quality import consistency, data_size, text_checks
 from .operators.sample import first_values
@@ -36,7 +37,7 @@ from .operators.standardize import (
     infer_types,
     rename_columns,
 )
-from .operators.validate import basic_stats, preview, validate
+from .operators.validate import basic_stats, preview, preview_counts, validate
 from .plans.options import PrepOptions
 from .session import ensure_checkpoint_dir
 from .sources.io import NA_TOKENS, normalize_na, read_csv, read_json, read_table, write_table
@@ -1205,6 +1206,92 @@ def q_consistency_gain(spark, sf):
                                  "original double, processed double, gain double")
 
 
+# ------------------------------------------------------------------------------------------------
+# 2.11 what a run must not lose or show (tables derived from the generated ones)
+# ------------------------------------------------------------------------------------------------
+
+NUMBER_IDS = ("SELECT c_custkey, CASE WHEN c_custkey % 4 <> 1 THEN 13800000000 + c_custkey END AS phone, "
+              "CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS nation FROM customer")
+
+
+@query("protect_numeric_ids", f"SELECT c_custkey, '138****' || right(CAST(phone AS VARCHAR), 4) AS phone FROM ({NUMBER_IDS}) t")
+def q_protect_numeric_ids(spark, sf):
+    """A whole-number phone column with gaps takes no mean and is masked."""
+    from .plans.pipeline import run
+
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    return run(spark.sql(NUMBER_IDS), PrepOptions(order_by="c_custkey"), report=False).data.select("c_custkey", "phone")
+
+
+MIXED_DATES = ("SELECT o_orderkey, CASE WHEN o_orderkey <= (SELECT quantile_disc(o_orderkey, 0.5) FROM orders) "
+               "THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%d.%m.%Y') END AS day FROM orders")
+
+
+@query("cast_loss", "SELECT 'day' AS column, count(*) AS lost, false AS converted FROM orders "
+                    "WHERE o_orderkey > (SELECT quantile_disc(o_orderkey, 0.5) FROM orders)")
+def q_cast_loss(spark, sf):
+    """Dates in a format that the first values don't show: counted, and the column stays text."""
+    from .plans.pipeline import fit
+
+    o = table(spark, sf, "orders")
+    half = o.agg(F.percentile("o_orderkey", 0.5).alias("h")).select(F.floor("h").alias("h"))
+    d = o.crossJoin(F.broadcast(half)).select("o_orderkey", F.when(F.col("o_orderkey") <= F.col("h"), F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
+        F.date_format("o_orderdate", "dd.MM.yyyy")).alias("day"))
+    f = fit(d, PrepOptions(order_by="o_orderkey"))
+    rows = [(c, n, any(x.column == c for x in f.auto_casts)) for c, n in f.cast_loss.items()]
+    return spark.createDataFrame(rows, "column string, lost long, converted boolean")
+
+
+@query("fill_nan_text", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN (SELECT avg(o_custkey) FROM orders WHERE o_orderkey % 5 <> 0) "
+                        "ELSE CAST(o_custkey AS DOUBLE) END AS v FROM orders")
+def q_fill_nan_text(spark, sf):
+    """Text nan is missing once the column is numeric, and filled."""
+    from .plans.pipeline import run
+
+    d = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.lit("nan")).otherwise(F.col("o_custkey").cast("double").cast("string")).alias("v"))
+    return run(d, PrepOptions(order_by="o_orderkey"), report=False).data
+
+
+@query("fill_forward_composite", "SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_orderkey % 4 <> 1 THEN l_quantity END IGNORE NULLS) OVER "
+                                 "(ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM lineitem")
+def q_fill_forward_composite(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_orderkey") % 4 != 1, F.col("l_quantity")).alias("q"))
+    return ordered_fill(d, ["q"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).drop("l_shipdate", "l_partkey", "l_suppkey")
+
+
+@query("fill_forward_text_key", "SELECT k, first_value(CASE WHEN o_orderkey % 3 <> 1 THEN o_totalprice END IGNORE NULLS) OVER "
+                                "(ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v "
+                                "FROM (SELECT 'order-' || reverse(CAST(o_orderkey AS VARCHAR)) AS k, * FROM orders) t")
+def q_fill_forward_text_key(spark, sf):
+    d = table(spark, sf, "orders").select(F.concat(F.lit("order-"), F.reverse(F.col("o_orderkey").cast("string"))).alias("k"),
+                                          F.when(F.col("o_orderkey") % 3 != 1, F.col("o_totalprice")).alias("v"))
+    return ordered_fill(d, ["v"], "k", "backward")
+
+
+@query("column_errors", "SELECT 'too_many_columns' AS code, '' AS subject, '5 > 4' AS value, count(*) AS rows FROM nation "
+                        "UNION ALL SELECT 'duplicate_column', 'n_name', 'exact', count(*) FROM nation")
+def q_column_errors(spark, sf):
+    """V3, V4: too many columns, and a name that occurs twice, beside the row count of the same pass."""
+    n = table(spark, sf, "nation")
+    n = n.select("n_nationkey", "n_name", "n_regionkey", F.col("n_name"), F.lit(1).alias("a"), F.lit(2).alias("b"))
+    v = validate(n, max_columns=4)
+    return spark.createDataFrame([(*e, v.stats["rows"]) for e in v.errors], "code string, subject string, value string, rows long")
+
+
+@query("run_validation", "SELECT count(*) AS rows, CAST(5 AS BIGINT) AS columns, true AS valid FROM customer")
+def q_run_validation(spark, sf):
+    """P5: the validation in a run's result."""
+    from .plans.pipeline import run
+
+    v = run(table(spark, sf, "customer"), PrepOptions(order_by="c_custkey"), report=False).validation
+    return spark.createDataFrame([(v.stats["rows"], v.stats["columns"], v.valid)], "rows long, columns long, valid boolean")
+
+
+@query("preview_counts", with_fixtures(f"SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, CAST({_gaps_missing} AS BIGINT) AS missing_cells FROM orders_gaps", GAPS))
+def q_preview_counts(spark, sf):
+    return preview_counts(fxt(spark, sf, GAPS))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
