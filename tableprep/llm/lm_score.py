@@ -20,8 +20,7 @@ documents N = V = 0 and every token has probability 1; further columns are ignor
 
 from __future__ import annotations
 
-import io
-import math
+import gc
 import tempfile
 from dataclasses import dataclass
 
@@ -63,8 +62,7 @@ class EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
         bits = max(0, (int(v[-1]) // n).bit_length() - 1) if n else 0
-        low = (v & np.uint64((1 << bits) - 1))[:, None] >> np.arange(bits, dtype=np.uint64)[None, :] & np.uint64(1)
-        lows = np.packbits(low.astype(np.uint8).ravel())
+        lows = np.packbits(np.unpackbits(v.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - bits:].ravel(), bitorder="little")
         unary = np.zeros((int(v[-1] >> np.uint64(bits)) + n + 1) if n else 1, np.uint8)
         unary[(v >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
         highs = np.packbits(unary)
@@ -76,7 +74,7 @@ class EliasFano:
         out = np.zeros(len(i), np.uint64)
         for b in range(self.low_bits):
             at = i * self.low_bits + b
-            out |= ((self.lows[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(b)
+            out = out << np.uint64(1) | ((self.lows[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64)
         return out
 
     def get(self, i) -> np.ndarray:
@@ -94,10 +92,9 @@ class EliasFano:
         at = np.flatnonzero(np.unpackbits(self.highs))[:self.n]
         if not self.low_bits:
             return (at - i).astype(np.uint64)
-        bits = np.unpackbits(self.lows, count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        low = np.zeros(self.n, np.uint64)
-        for b in range(self.low_bits):
-            low |= bits[:, b].astype(np.uint64) << np.uint64(b)
+        bits = np.zeros((self.n, 64), np.uint8)
+        bits[:, 64 - self.low_bits:] = np.unpackbits(self.lows, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
+        low = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
         return (at - i).astype(np.uint64) << np.uint64(self.low_bits) | low
 
     def parts(self) -> list[np.ndarray]:
@@ -196,17 +193,23 @@ class _Ids(dict):
 def _zip(*arrays: np.ndarray) -> bytes:
     import zstandard
 
-    f = io.BytesIO()
-    for x in arrays:
-        np.lib.format.write_array(f, np.ascontiguousarray(x), allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(f.getvalue())
+    out = []
+    for x in arrays:    # byte by byte: the high bytes of small numbers compress to nothing
+        x = np.ascontiguousarray(x)
+        out.append(x.dtype.str.encode().ljust(8) + len(x).to_bytes(8, "little") + x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def _unzip(raw: bytes, n: int) -> list[np.ndarray]:
     import zstandard
 
-    f = io.BytesIO(zstandard.ZstdDecompressor().decompress(raw))
-    return [np.lib.format.read_array(f, allow_pickle=False) for _ in range(n)]
+    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    for _ in range(n):
+        kind, size = np.dtype(raw[at:at + 8].decode().strip()), int.from_bytes(raw[at + 8:at + 16], "little")
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at + 16).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += 16 + size * kind.itemsize
+    return out
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -400,6 +403,12 @@ def _answer(key, group: pa.Table, level: int, opt: LmOptions) -> pa.Table:
                      "n_types": pa.array([0] * m + [n_types], pa.int64())})
 
 
+def _release(spark) -> None:
+    """Lets Spark remove the shuffle files of the levels that are done: they go once the driver has no plan that uses them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _two(f):
     """``f`` with exactly the two arguments that applyInArrow looks for."""
     return lambda key, group: f(key, group)
@@ -437,6 +446,9 @@ def score(docs: DataFrame, train_on: Column, opt: LmOptions = LmOptions(), id_co
         if level == 1:
             types = new.agg(F.sum("n_types")).first()[0] or 0
         new = new.where("block >= 0").select("block", "level", "shard", "data")
+        del sent
+        rows = None
+        _release(docs.sparkSession)
         answers = new if answers is None else answers.unionByName(new)
         of_block = answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "data")).alias("answers"))
         rows = blocks.join(of_block, "block", "left")
