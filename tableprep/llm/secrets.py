@@ -1,9 +1,10 @@
 """Operator 4 - secret scans with a recursive decoding worklist.
 
 Every text is scanned by fixed patterns. Then layers are unwrapped from a worklist: URL escapes, Unicode and character
-escapes, base64 words, and gzip / zlib / bz2 / xz payloads below base64. Each new layer is scanned and unwrapped
-again until nothing new appears; a layer already seen at the same place ends a cycle. A find in a layer is reported at
-the span of the original text it comes from (code points, end exclusive).
+escapes, base64 (also wrapped into lines, after a prefix, or over binary data), UTF-16, and gzip / zlib / bz2 / xz
+payloads below base64, of any number of members. Each new layer, readable or not, is scanned and unwrapped again until
+nothing new appears; a layer already seen at the same place ends a cycle. A find in a layer is reported at the span of
+the original text it comes from (code points, end exclusive); in wrapped base64 these are the lines that hold it.
 
 Rows are independent: one pass of ``mapInArrow``, no shuffle. A decompressed payload is read in blocks of
 ``BLOCK`` characters with an overlap of ``OVERLAP``, so a decompression bomb costs time but no memory.
@@ -14,7 +15,6 @@ columns other than the id and the text are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -22,7 +22,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +40,14 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
-BASE64_BOTH = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 of either alphabet, or of both side by side, with its line breaks (also written as \\n, indented or quoted).
+ALPHABET = "[A-Za-z0-9+/_-]"
+BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>#*]*+")
+BASE64 = re.compile(rf"""(?<!{ALPHABET})(?:{ALPHABET}{{1,15}}+{BREAK.pattern})?{ALPHABET}{{16,}}+(?:{BREAK.pattern}{ALPHABET}++(?=[ \t]*+(?:[\r\n"'\\<=]|\Z)))*+={{0,2}}""")
+ONE_ALPHABET = re.compile(r"[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,}")
+# How the payloads of MAGIC begin in base64, and UTF-16 text read byte by byte.
+MARK64 = re.compile(r"H4sI|Qlpo|/Td6WFoA|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+WIDE = re.compile(r"(?:[\t\n\r -~]\0){6,}+|(?:\0[\t\n\r -~]){6,}+")
 URLSAFE = str.maketrans("-_", "+/")
 MAGIC = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 BLOCK, OVERLAP = 8 << 20, 64 << 10
@@ -116,63 +122,163 @@ def _replaced(layer: Layer, pattern: re.Pattern, unit: int) -> Layer | None:
     return Layer("".join(parts), layer, cuts)
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    bad = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and bad * 20 <= len(text) else None
-
-
-def _inflated(raw: bytes) -> Iterator[str]:
-    """The texts below a compressed payload, in blocks; nothing if it isn't one."""
-    if raw[:2] == b"\x1f\x8b":
-        codec = zlib.decompressobj(31)
-    elif raw[:3] == b"BZh":
-        codec = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        codec = lzma.LZMADecompressor()
-    else:
-        codec = zlib.decompressobj()
-    kept, feed = b"", raw
+def _codec(head: bytes):
+    if head.startswith(b"\x1f\x8b"):
+        return zlib.decompressobj(31)
+    if head.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head.startswith(b"\xfd7zXZ\x00") else zlib.decompressobj()
+
+
+def _inflated(pieces: Iterator[bytes], starts: set[int]) -> Iterator[tuple[bool, bytes]]:
+    """(first of a member, bytes) of the members of a compressed payload, to its end or to where it is damaged. ``starts``
+    gets the place of each member in the payload, and -1 when the payload is whole."""
+    codec, data, read = None, b"", 0
     while True:
+        while codec is None:
+            data, more = data.lstrip(b"\0") if starts else data, b""     # padding between members
+            if len(data) < 6:
+                more = next(pieces, b"")
+                data, read = data + more, read + len(more)
+            if not more:
+                if not data.startswith(MAGIC):
+                    starts.add(-1)
+                    return
+                starts.add(read - len(data))
+                codec, first = _codec(data), True
         try:
-            got = codec.decompress(feed, BLOCK)
+            got = codec.decompress(data, BLOCK)
         except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
             return
-        feed = getattr(codec, "unconsumed_tail", b"")
-        if not got:
-            return
-        block = kept + got
-        yield block.decode("utf-8", "replace") if not block.startswith(MAGIC) else block.decode("latin-1")
-        kept = block[-OVERLAP:] if len(got) >= BLOCK else b""
+        if got:
+            yield first, got
+            first = False
         if codec.eof:
-            return
+            codec, data = None, codec.unused_data
+            continue
+        data = getattr(codec, "unconsumed_tail", b"")
+        if not data and getattr(codec, "needs_input", len(got) < BLOCK):
+            data = next(pieces, b"")
+            read += len(data)
+            if not data:
+                return
+
+
+def _level(source: Callable[[], Iterator[tuple[bool, bytes]]], seen: set[bytes]) -> Iterator:
+    """The texts of what ``source`` yields, in blocks, then (source, member places) of each compressed payload it starts or a
+    member of it starts. Latin-1 keeps one character for a byte, and all that is looked for is ASCII."""
+    digest, size, fresh, block, held, heads = hashlib.sha1(), 0, 0, bytearray(), bytearray(), []
+    for first, piece in source():
+        if first:
+            heads = [h for h in heads if len(h[1]) < 6 or h[1].startswith(MAGIC)] + [[size, b""]]
+        for h in heads[-6:]:
+            h[1] += piece[:6 - len(h[1])] if len(h[1]) < 6 else b""
+        digest.update(piece)
+        size, fresh = size + len(piece), fresh + len(piece)
+        block += piece
+        if held is not None:
+            held += piece
+            held = held if size < BLOCK else None
+        if len(block) >= BLOCK + OVERLAP:
+            yield block.decode("latin-1")
+            del block[:-OVERLAP]
+            fresh = 0
+    if fresh:
+        yield block.decode("latin-1")
+    if not size or digest.digest() in seen:     # a payload that holds itself
+        return
+    seen.add(digest.digest())
+    covered: set[int] = set()
+    for at, head in heads:
+        if not head.startswith(MAGIC) or at in covered:
+            continue
+        own: set[int] = set()
+        if held is not None:
+            yield lambda at=at, own=own: _inflated(iter([bytes(held[at:])]), own)
+        else:
+            yield lambda at=at, own=own: _inflated(_from(source(), at), own)
+        covered |= {at + x for x in own if x >= 0}
 
 
-def _payloads(word: str) -> Iterator[str]:
-    """The texts a base64 word stands for."""
-    body = word.rstrip("=")
-    if len(body) % 4 == 1:
-        return
-    try:
-        raw = binascii.a2b_base64(body.translate(URLSAFE) + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return
-    while raw.startswith(MAGIC):
-        text = None
-        for text in _inflated(raw):
-            if text.encode("latin-1", "replace").startswith(MAGIC) and len(text) < BLOCK:
-                break   # a compressed payload inside
-            yield text
+def _from(pieces: Iterator[tuple[bool, bytes]], at: int) -> Iterator[bytes]:
+    for _, piece in pieces:
+        if at < len(piece):
+            yield piece[at:]
+        at = max(0, at - len(piece))
+
+
+def _decoded(word: str, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a base64 word in pieces; a last character that stands for no byte is left out."""
+    for i in range(0, len(word), step):
+        part = word[i:i + step]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        yield binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+
+def _payloads(word: str, whole: set[int]) -> Iterator[str]:
+    """The texts below the compressed payload a base64 word starts with; ``whole`` gets -1 if it came to its end."""
+    seen: set[bytes] = set()
+    work = [_level(lambda: _inflated(_decoded(word), whole), seen)]
+    while work:
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+        elif isinstance(x, str):
+            yield x
         else:
-            if text is None:
-                break
-            return
-        raw = text.encode("latin-1")
-    if (text := _readable(raw)) is not None:
-        yield text
+            work.append(_level(x, seen))
+
+
+def _wide(layer: Layer) -> Layer | None:
+    """The layer with its runs of UTF-16 text (ASCII characters beside NULs) as plain characters."""
+    parts, cuts, out = [], [], 0
+    for m in WIDE.finditer(layer.text):
+        said = m.group().replace("\0", "")
+        cuts += [(out + i, m.start() + 2 * i, min(m.start() + 2 * i + 128, m.end()), True) for i in range(0, len(said), 64)]
+        cuts.append((out + len(said), m.end() - 1, m.end(), True))
+        parts.append(said + "\0")
+        out += len(said) + 1
+    return Layer("".join(parts), layer, cuts) if parts else None
+
+
+def _base64_layers(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """The layers below a run of base64 characters, which may be wrapped into lines. Groups of four decode apart from each
+    other, so what starts anywhere in the run is read at one of four alignments; compressed payloads start at their mark."""
+    lines, at = [], m.start()     # (place in the joined run, start, end); a line of both alphabets is cut between them
+    run = m.group().rstrip("=")
+    ends = [(m.start() + s.start(), m.start() + s.end()) for s in BREAK.finditer(run)]
+    joined = 0
+    for end, after in [*ends, (m.start() + len(run), 0)]:
+        line, cuts = layer.text[at:end], {0, end - at}
+        if ("-" in line or "_" in line) and ("+" in line or "/" in line):
+            cuts.update(x for y in ONE_ALPHABET.finditer(line) for x in y.span())
+        cuts = sorted(cuts)
+        lines += [(joined + x, at + x, at + y) for x, y in zip(cuts, cuts[1:])]
+        joined, at = joined + end - at, after
+    lines[-1] = (*lines[-1][:2], m.end())
+    word = "".join(layer.text[a:b] for _, a, b in lines).rstrip("=").translate(URLSAFE)
+    for k in range(4):
+        said = b"".join(_decoded(word[k:])).decode("latin-1") if len(word) - k > 1 else ""
+        cuts = [(0, lines[0][1], lines[0][2], True)]
+        for (_, a, b), (s, c, d) in zip(lines, lines[1:]):
+            if s <= k:
+                cuts = [(0, c, d, True)]
+                continue
+            bits = 6 * (s - k)
+            if bits % 8:    # a byte over the break
+                cuts.append((bits // 8, a, d, True))
+            cuts.append((-(-bits // 8), c, d, True))
+        if said:
+            yield Layer(said, layer, cuts)
+    for mark in MARK64.finditer(word):
+        i = bisect_right(lines, mark.start(), key=lambda x: x[0]) - 1
+        end = lines[i + 1][0] if i + 1 < len(lines) else len(word)
+        whole: set[int] = set()
+        for said in _payloads(word[mark.start():end], whole):
+            yield Layer(said, layer, [(0, *lines[i][1:], True)])
+        if end < len(word) and -1 not in whole:
+            for said in _payloads(word[mark.start():], set()):
+                yield Layer(said, layer, [(0, lines[i][1], lines[-1][2], True)])
 
 
 def _children(layer: Layer) -> Iterator[Layer]:
@@ -181,13 +287,10 @@ def _children(layer: Layer) -> Iterator[Layer]:
         yield x
     if ("\\" in text or "&#" in text) and (x := _replaced(layer, ESCAPE_RUN, 0)):
         yield x
-    for m in BASE64_BOTH.finditer(text):
-        words = [(m.start(), m.group())]
-        if ("-" in m.group() or "_" in m.group()) and ("+" in m.group() or "/" in m.group()):  # of two alphabets: each apart
-            words = [(m.start() + y.start(), y.group()) for y in BASE64.finditer(m.group())]
-        for at, word in words:
-            for said in _payloads(word):
-                yield Layer(said, layer, [(0, at, at + len(word), True)])
+    if "\0" in text and (x := _wide(layer)):
+        yield x
+    for m in BASE64.finditer(text):
+        yield from _base64_layers(layer, m)
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:

@@ -3,6 +3,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -59,6 +60,74 @@ def test_layers(wrap):
     assert found and all(text[6:].startswith(said) and 6 <= a and b <= 6 + len(said) for a, _, b in found)
 
 
+def noise(n, seed):
+    rng = random.Random(seed)
+    return bytes(rng.randrange(256) for _ in range(n))
+
+
+def wrapped(x, width=64, end="\n"):
+    return end.join(b64(x)[i:i + width] for i in range(0, len(b64(x)), width))
+
+
+FILL = " ".join(f"word{i}" for i in range(40)) + "; "
+INNER = gzip.compress(FILL.encode() + SECRET.encode())
+
+
+@pytest.mark.parametrize("said", [
+    b64("caf\xe9 ".encode("latin-1") + SECRET.encode()), b64(f"powershell {SECRET}".encode("utf-16-le")), b64(f"x {SECRET}".encode("utf-16")),
+    b64(f"x {SECRET}".encode("utf-16-be")), b64(noise(300, 1) + SECRET.encode() + b" " + noise(300, 2)), b64(gzip.compress(noise(99, 3) + SECRET.encode("utf-16-le"))),
+    b64(f"p {SECRET}".encode("utf-16-le") + b64(noise(50, 4)).encode())], ids=range(7))
+def test_payloads_that_are_not_readable_text(said):
+    assert any(k == 0 and 6 <= a and b <= 6 + len(said) for a, k, b in S.all_spans(f"found {said} end"))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_all_members_of_a_payload(pack):
+    for last in (SECRET.encode(), gzip.compress(SECRET.encode())):
+        said = b64(pack(b"nothing here") + pack(b"") + pack(b"more") + pack(last))
+        assert (0, 0, len(said)) in S.all_spans(said)
+    said = b64(gzip.compress(b"padded") + b"\0" * 512 + pack(SECRET.encode()))
+    assert (0, 0, len(said)) in S.all_spans(said)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_large_payloads_inside_payloads(monkeypatch, pack):
+    monkeypatch.setattr(S, "BLOCK", 1 << 14)
+    monkeypatch.setattr(S, "OVERLAP", 1 << 10)
+    inner = pack(noise(50_000, 5) + SECRET.encode() + b" " + noise(20_000, 6))
+    assert len(inner) > 4 * S.BLOCK
+    for said in (b64(gzip.compress(inner)), b64(lzma.compress(zlib.compress(inner))), b64(gzip.compress(inner[:30_000]) + gzip.compress(inner[30_000:]))):
+        assert (0, 0, len(said)) in S.all_spans(said)
+
+
+@pytest.mark.parametrize("raw", [(FILL + SECRET + " " + FILL).encode(), noise(200, 7) + SECRET.encode() + noise(90, 8), INNER, lzma.compress(INNER)], ids=range(4))
+def test_wrapped_base64(raw):
+    for said in (wrapped(raw), wrapped(raw, 76, "\r\n"), wrapped(raw, 70, "\n    "), wrapped(raw, 61, "\n> "), wrapped(raw, 64, "\\n")):
+        text = f"-----BEGIN CERTIFICATE-----\n{said}\n-----END----- and more prose"
+        found = [(a, b) for a, k, b in S.all_spans(text) if k == 0]
+        assert found and all(28 <= a and b <= 28 + len(said) for a, b in found[:1])
+    lines = wrapped((FILL + SECRET + " " + FILL).encode())
+    at = {text_at for a, k, b in S.all_spans(lines) if k == 0 for text_at in (a, b)}
+    assert len(at) == 2 and max(at) - min(at) <= 2 * 64 + 1      # the lines that hold it, not the whole
+
+
+@pytest.mark.parametrize("prefix", ["x", "ab", "key", "data_", "files/a-b_c/"])
+def test_base64_after_a_prefix(prefix):
+    for raw in (f"{FILL}{SECRET} end".encode(), INNER, zlib.compress(f"{FILL}{SECRET}".encode())):
+        assert any(k == 0 for _, k, _ in S.all_spans(f"see {prefix}{b64(raw)}"))
+
+
+def test_long_regular_runs_end_soon():
+    for word in ("A", "QUFB", "abcd", "UUFB", "PAPP", "0123456789abcdef", "eJw", "H4sI", "VFVUVFVU", "SGVs"):
+        S.all_spans(word * 3000)
+
+
+def test_payload_that_holds_itself_ends(monkeypatch):
+    said = gzip.compress(b"x")
+    monkeypatch.setattr(S, "_inflated", lambda pieces, starts: iter([(True, said)] if b"".join(pieces) else []))
+    assert S.all_spans(b64(said)) == []
+
+
 def test_span_of_an_escape_is_exact():
     text = "x password%3Dabc%64efgh y"
     assert (2, 0, 23) in S.all_spans(text) and text[2:23] == "password%3Dabc%64efgh"
