@@ -22,7 +22,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: rejected documents go; lines above the limits are taken out of the others."""
-    return _documents(quality_rules.kept_documents(docs.select(*COLUMNS)))
+    return _documents(quality_rules.kept_documents(docs.select(*COLUMNS), quality_rules.HOSTS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed) and hashed. For each host the distinct
 documents (distinct texts, so exact copies count once) that hold a line are counted; a line is removed where it is
-in at least ``min_docs`` of them and in more than ``max_share`` of the host's distinct documents. A document that
-loses more than ``max_removed`` of its words is depleted and rejected.
+in at least ``min_docs`` of them and in more than ``max_share`` of the host's distinct documents, or in ``max_docs`` of
+them whatever their share. The query keeps to the limits of its SQL, which has no ``max_docs``; the pipeline takes
+``HOSTS``, which holds for hosts of any size. A document that loses more than ``max_removed`` of its words is depleted and rejected.
 
 Built from DataFrame functions only. The per-document counts never shuffle a text; the frequency part shuffles
 hashes (host, line, text), with partial aggregation, so a line or host with a third of all rows is a few rows a task.
@@ -30,6 +31,10 @@ class LineLimits:
     max_share: float = 0.10     # of the distinct documents of the host
     min_docs: int = 20          # below this many documents no line is frequent
     max_removed: float = 0.5    # share of a document's words; above it the document is depleted
+    max_docs: int | None = None     # from this many distinct documents of the host on, a line is frequent at any share
+
+
+HOSTS = LineLimits(min_docs=5, max_docs=100)    # small hosts have frequent lines, and so do hot ones
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -87,7 +92,11 @@ def frequent_lines(docs: DataFrame, limits: LineLimits, id_col: str, text: str,
         F.size(F.split(F.btrim("line", F.lit(WS)), WS_RUN)).alias("lw"))
     seen = lines.select("_h", "_l", "_t").distinct().groupBy("_h", "_l").agg(F.count("*").alias("n"))
     hosts = _keyed(docs, id_col, text, host).select("_h", "_t").distinct().groupBy("_h").agg(F.count("*").alias("n_docs"))
-    seen = seen.where(F.col("n") >= limits.min_docs).join(hosts, "_h").where(F.col("n") > limits.max_share * F.col("n_docs"))
+    often = (F.col("n") >= limits.min_docs) & (F.col("n") > limits.max_share * F.col("n_docs"))
+    if limits.max_docs is not None:
+        often |= F.col("n") >= limits.max_docs
+    least = min(limits.min_docs, limits.max_docs or limits.min_docs)
+    seen = seen.where(F.col("n") >= least).join(hosts, "_h").where(often)
     return lines.join(seen.select("_h", "_l"), ["_h", "_l"], "leftsemi").dropDuplicates(["_id", "_h", "_t", "pos"])
 
 

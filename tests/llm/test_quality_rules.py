@@ -49,6 +49,19 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert kept[0] == prose(70, 0) and kept[200].startswith(menu) and 100 not in kept
 
 
+def test_frequent_lines_of_hot_and_small_hosts(spark):
+    from corpus_pipeline import quality
+
+    own = lambda i: " ".join(f"{i}x{j}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(60))
+    rows = [(i, f"{own(i)}\nshare this page" if i < 110 else f"{own(i)}\nseldom said" if i < 200 else own(i), "hot") for i in range(1500)]
+    rows += [(2000 + i, f"all rights reserved 20{i:02d}\n{own(2000 + i)}" + ("\nfour of twelve" if i < 4 else ""), "small") for i in range(12)]
+    left = {r["doc_id"]: r["text"] for r in quality(spark, documents(spark, rows), "").collect()}
+    assert len(left) == len(rows)
+    assert all(left[i] == own(i) for i in range(110))       # 110 documents, but only 7 % of the host
+    assert all(left[i].endswith("seldom said") for i in range(110, 200))
+    assert all(left[2000 + i] == own(2000 + i) + ("\nfour of twelve" if i < 4 else "") for i in range(12))     # fewer than 20 documents
+
+
 def test_awkward_rows(spark):
     df = documents(spark, awkward(), CLASHES)
     got = Q.quality_rules(df).collect()
