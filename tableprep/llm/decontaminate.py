@@ -1,17 +1,21 @@
 """Operator 5 - benchmark decontamination with spaced seeds.
 
-Each mask covers ``SPAN`` tokens and ignores some of them; the hash of the kept tokens is equal in a benchmark item and a
-document although the ignored tokens differ. The three masks below catch every window of 16 tokens with any two tokens
-changed. A hit names a diagonal (document position minus item position); around it the overlap is grown token by
-token, without gaps, as long as matches outweigh changes, and it counts as a leak when it holds at least ``min_tokens``
-aligned tokens (or the whole of a shorter item) of which ``min_share`` match.
+Each mask covers a few tokens and ignores some of them; the hash of the kept tokens is equal in a benchmark item and a
+document although the ignored tokens differ. A hit names a diagonal (document position minus item position); around it
+the overlap is grown token by token, without gaps, as long as matches outweigh changes, and it counts as a leak when it
+holds at least ``min_tokens`` aligned tokens (or the whole of a shorter item) of which ``min_share`` match. The masks
+are chosen so that every overlap that counts by the default options has a hit, whatever tokens of it are changed:
+``MASKS`` for 13 tokens and more with a fifth of them changed, ``SHORT_MASKS`` for whole items of 8 to 12. Around a hit
+the overlap is grown from every match up to a gap no overlap crosses, so it doesn't matter which seed was hit.
+
+Words are split at white space; scripts written without it are cut into characters.
 
 Documents are never shuffled: their masked hashes are tested where they are read, against the hashes of the benchmark
 items. The items are brought to the tasks in portions of at most ``PORTION_TOKENS`` tokens, sized by a count made
 first; a benchmark within one portion takes one pass, a larger one a pass for each portion, and all of it is tested.
 
 Defined results: null or empty texts have no tokens and no leaks; items with fewer than ``MIN_ITEM`` tokens are too short
-to be evidence and match nothing; items shorter than a mask are searched whole; repeated rows of either table give
+to be evidence and match nothing; items shorter than ``min_tokens`` count only whole; repeated rows of either table give
 the same leak once for each (document id, item id); rows with a null id keep it; further columns are ignored.
 """
 
@@ -28,11 +32,15 @@ from pyspark.sql import types as T
 
 from .common import table
 
-MASKS = ("110011101011", "111110010011", "110100011111")
-SPAN = len(MASKS[0])
-MIN_ITEM = 8
+MASKS = ("1111011", "1110100011", "11000011011", "1110111")
+SHORT_MASKS = ("111011", "11010011", "11111")
+SPAN = max(map(len, MASKS + SHORT_MASKS))
+MIN_ITEM, LONG_ITEM = 8, 13
+HITS = 1 << 20      # compared at once
 PORTION_TOKENS = 2_000_000      # 16 MB of token hashes
 TOKEN = re.compile(r"[^\W_]+")
+# Thai, Lao, Myanmar, Khmer, kana, Chinese characters: no spaces between words.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 @dataclass(frozen=True)
@@ -60,7 +68,10 @@ class Tokens(dict):
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
+        text = (text or "").lower()
+        if not text.isascii() and SPACELESS.search(text):
+            text = SPACELESS.sub(r" \g<0> ", text)
+        words = text.split()
         h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
         return h[h != 0]
 
@@ -107,10 +118,12 @@ class Index:
 
     def __init__(self, items: list[tuple], opt: LeakOptions):
         self.items, self.opt, self.parts = items, opt, {}
-        short = sorted({len(t) for _, t in items if MIN_ITEM <= len(t) < SPAN})
-        self.masks = [(m, i) for i, m in enumerate([*MASKS, *("1" * n for n in short)])]
+        size = np.array([len(t) for _, t in items], np.int64)
+        brief = (size >= MIN_ITEM) & (size < (LONG_ITEM if opt.min_tokens >= LONG_ITEM else np.inf))
+        of = {m: np.flatnonzero(size >= LONG_ITEM) for m in MASKS} | {m: np.flatnonzero(brief) for m in SHORT_MASKS}
+        self.masks = [(m, i) for i, (m, own) in enumerate(of.items()) if len(own)]
         for mask, seed in self.masks:
-            own = [(i, t) for i, (_, t) in enumerate(items) if len(mask) < SPAN and len(t) == len(mask) or len(mask) == SPAN <= len(t)]
+            own = [(i, items[i][1]) for i in of[mask].tolist()]
             h = np.concatenate([np.empty(0, np.uint64), *(next(masked(t, [(mask, seed)]))[1] for _, t in own)])
             n = [len(t) - len(mask) + 1 for _, t in own]
             item = np.repeat(np.array([i for i, _ in own], np.int64), n)
@@ -125,31 +138,54 @@ class Index:
         ``docs``. The documents are searched end to end; hits over an end fall away when they are compared."""
         ends = np.cumsum([0, *(len(d) for d in docs)])
         best: dict = {}
-        done = set()
+        done: dict = {}
         for mask, h in masked(np.concatenate([np.empty(0, np.uint64), *docs]), self.masks):
-            keys, item, at, bits = self.parts[mask]
+            keys, items, ats, bits = self.parts[mask]
             maybe = np.flatnonzero(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
+            in_doc = np.searchsorted(ends, maybe, "right") - 1
+            inside = maybe + len(mask) <= ends[in_doc + 1]
+            maybe, in_doc = maybe[inside], in_doc[inside]
             lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
-            hit = hi > lo
-            for p, a, z in zip(maybe[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                doc = int(np.searchsorted(ends, p, "right")) - 1
-                if p + len(mask) > ends[doc + 1]:
-                    continue
-                p -= int(ends[doc])
-                for j in range(a, z):
-                    i, x = int(item[j]), int(at[j])
-                    if (doc, i, p - x, x) in done:
-                        continue
-                    name, tokens = self.items[i]
-                    start, n, same = grown(docs[doc], tokens, p - x, x, self.opt)
-                    done.update((doc, i, p - x, y) for y in range(start, start + n))
-                    if n >= min(self.opt.min_tokens, len(tokens)) and same >= self.opt.min_share * n:
-                        new = (same, -(start + p - x), -start, n)
-                        if (doc, i) not in best or new > best[doc, i]:
-                            best[doc, i] = new
+            upto = np.cumsum(hi - lo)
+            for first in range(0, int(upto[-1]) if len(upto) else 0, HITS):     # the hits by number
+                n = np.arange(first, min(first + HITS, int(upto[-1])))
+                k = np.searchsorted(upto, n, "right")
+                j = hi[k] - (upto[k] - n)
+                i, x = items[j], ats[j]
+                for hit in zip(in_doc[k].tolist(), i.tolist(), (maybe[k] - ends[in_doc[k]] - x).tolist(), x.tolist(), strict=True):
+                    if (spans := done.get(hit[:3])) is None or not any(a <= hit[3] < z for a, z in spans):
+                        done.setdefault(hit[:3], []).append(self._tried(docs[hit[0]], *hit, best))
         return [(doc, self.items[i][0], -b[1], -b[2], b[3], b[0]) for (doc, i), b in sorted(best.items())]
 
 
+    def _tried(self, tokens: np.ndarray, doc: int, i: int, diagonal: int, x: int, best: dict) -> tuple[int, int]:
+        """The stretch of item positions around ``x`` that no overlap leaves; leaks in it are put into ``best``."""
+        item, opt = self.items[i][1], self.opt
+        lo, hi = max(0, -diagonal), min(len(item), len(tokens) - diagonal)
+        same = item[lo:hi] == tokens[lo + diagonal:hi + diagonal]
+        least = min(opt.min_tokens, len(item))
+        if np.count_nonzero(same) < opt.min_share * least:
+            return lo, hi
+        gap = -(-opt.drop // -opt.change)   # so many changes in a row end any overlap
+        seen = np.cumsum(np.concatenate([[0], same]))
+        gaps = np.flatnonzero(seen[gap:] == seen[:-gap]) + lo
+        at = int(np.searchsorted(gaps, x))
+        start, end = int(gaps[at - 1]) + gap if at else lo, int(gaps[at]) if at < len(gaps) else hi
+        if np.count_nonzero(same[start - lo:end - lo]) < opt.min_share * least:
+            return start, end
+        leaks: list[tuple[int, int]] = []
+        for y in (np.flatnonzero(same[start - lo:end - lo]) + start).tolist():
+            if any(a <= y < z for a, z in leaks):
+                continue
+            a, n, matched = grown(tokens, item, diagonal, y, opt)
+            if n >= least and matched >= opt.min_share * n:
+                leaks.append((a, a + n))
+                new = (matched, -(a + diagonal), -a, n)
+                if (doc, i) not in best or new > best[doc, i]:
+                    best[doc, i] = new
+        return start, end
+
+
 LEAK = "doc_start long, item_start long, n_tokens long, n_matched long"
 
 

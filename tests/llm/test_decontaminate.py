@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import pytest
@@ -54,6 +56,53 @@ def test_changed_tokens_are_tolerated(spark, seed):
     assert {0, 1, 2, 3, 4} <= got <= want and len(want - got) <= 1
 
 
+def fewest_changes(masks, most):
+    """For each length the fewest changed tokens, first and last unchanged, that leave no seed of the masks: over all patterns."""
+    n = 1 << max(map(len, masks)) - 1      # the last tokens, a bit for each changed one
+    keep = [int(m, 2) for m in masks]
+    level, out = {n - 1: 0}, {}
+    for length in range(1, most + 1):
+        then = {}
+        for state, count in level.items():
+            for changed in (0, 1) if length > 1 else (0,):
+                full = state << 1 | changed
+                if all(full & k for k in keep):
+                    to = full & n - 1
+                    then[to] = min(then.get(to, most), count + changed)
+        level = then
+        out[length] = min((c for s, c in level.items() if not s & 1), default=most)
+    return out
+
+
+def test_every_overlap_that_counts_has_a_seed():
+    for masks, lengths in ((D.MASKS, range(13, 151)), (D.SHORT_MASKS, range(8, 13))):
+        fewest = fewest_changes(masks, max(lengths))
+        for n in lengths:
+            assert fewest[n] > n - math.ceil(0.8 * n), (masks, n)
+
+
+@pytest.mark.parametrize("n", range(8, 17))
+def test_every_pattern_of_changes_is_found(n):
+    """An item of n tokens, and for 13 and more also a part of a longer item."""
+    item = [f"i{j}" for j in range(n)]
+    docs = {}
+    for c in range(n - math.ceil(0.8 * n) + 1):
+        for at in itertools.combinations(range(n), c):
+            docs[c, at] = " ".join(["before", "it", *("changed" if j in at else w for j, w in enumerate(item)), "and", "after"])
+    for full in [item] + [[*(f"p{j}" for j in range(9)), *item, *(f"q{j}" for j in range(9))]] * (n >= 13):
+        index = D.Index([(7, D.Tokens()(" ".join(full)))], D.LeakOptions())
+        got = {list(docs)[x[0]] for x in index.leaks([D.Tokens()(t) for t in docs.values()])}
+        assert got == {d for d, _ in plain(list(docs.items()), [(7, " ".join(full))])}
+        assert {(c, at) for c, at in docs if not {0, 1, 2, n - 3, n - 2, n - 1} & set(at) and c < 2} <= got
+
+
+@pytest.mark.parametrize("item", ["什么是光合作用的主要产物", "しょくぶつはどこでひかりをつかいますか", "พืชใช้แสงที่ไหน"])
+def test_text_without_spaces(item):
+    docs = [f"問題：{item}。答え", item, item[:6], "何か別の文章です"]
+    index = D.Index([(1, D.Tokens()(item))], D.LeakOptions())
+    assert {x[0] for x in index.leaks([D.Tokens()(t) for t in docs])} == {0, 1}
+
+
 def test_short_items_and_portions(spark, monkeypatch):
     items = [(1, "one two three four five six seven eight nine"), (2, "too short"), (3, prose(40, 2)), (3, prose(40, 2)), (4, None), (None, prose(30, 11))]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id")
