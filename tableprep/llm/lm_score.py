@@ -3,7 +3,8 @@
 The model is a trie of levels. A level holds, under each context (a node of the level above), the words that follow it, as
 one monotone Elias-Fano sequence of context rank * words + word; where a context's successors begin is a second one.
 Each entry has a quantised probability, each context a quantised back-off weight. Levels are binary files that
-are read memory-mapped; an n-gram is found by the successor search of its word within its context's range. With counts
+are read memory-mapped; ``Level.find`` finds an n-gram by the successor search of its word within its context's range. The
+query answers many n-grams at once from the decoded sequences (``Level.find_all``) and reads no pointers or weights. With counts
 c, the probability is interpolated: p(w | ctx) = c(ctx w) / (c(ctx) + mu) + mu / (c(ctx) + mu) * p(w | shorter ctx), and
 p(w) = (c(w) + 1) / (N + V + 1).
 
