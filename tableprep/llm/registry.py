@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality_rules", "chat", "secrets", "warc", "packing", "near_dedup", "decontaminate", "suffix_dedup", "lm_score", "token_counts"]
+MODULES = ["quality_rules", "chat", "secrets", "warc", "packing", "near_dedup", "decontaminate", "suffix_dedup", "lm_score", "token_counts",
+           "importance"]
 
 
 def queries():
