@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["quality_rules", "chat", "secrets", "warc", "packing", "near_dedup", "decontaminate", "suffix_dedup", "lm_score", "token_counts",
-           "importance", "periodic"]
+           "importance", "periodic", "html_text"]
 
 
 def queries():
