@@ -2,10 +2,9 @@
 
 A window over the whole table puts every row into one task. Instead (two phases):
 
-1. The order key is turned into numbers that sort as it does (``key_images``: one for a number or time, two for a text,
-   further keys after the first). ``percentile_approx`` of the first gives boundaries; where one value of it holds
-   several quantiles (a date that many rows share), quantiles of the second split that value's rows. ``bucket`` is
-   found by binary search. Boundaries belong to the table that is filled and are found anew for each.
+1. Splitters, quantiles of a sample of whole keys, cut the table into buckets in key order (``splitters``), whatever the
+   key: numbers, times, texts with a long common beginning, composite keys with constant or hot first parts. They belong to the
+   table that is filled and are found anew for each.
 2. Per ``(partition keys, bucket)`` the last (first) non-missing value and its key, via
    ``max_by``/``min_by`` (partially aggregated: one row per task and bucket).
 3. Carry across buckets on that small frame with a window ordered by bucket.
@@ -17,15 +16,13 @@ window shuffles on, so the big side is shuffled once. A hot partition key is spl
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.columns import FRACTIONAL_TYPES, INTEGRAL_TYPES, TEMPORAL_TYPES, col, field_type, is_missing
+from ..functions.columns import col, field_type, is_missing
+from .splitters import range_number, splitters
 
 
 def _keys(order_by) -> list[str]:
@@ -44,91 +41,14 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, shuffle)
 
 
-def key_as_double(c: F.Column, dt: T.DataType) -> F.Column:
-    """A monotone double image of the order key (ties may merge; order inside a bucket uses the real key)."""
-    if isinstance(dt, T.TimestampNTZType):
-        # zone-free: wall-clock microseconds since the epoch from the fields (no DST gaps or overlaps,
-        # whatever the session time zone)
-        minutes = F.unix_date(c.cast("date")).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
-        return (minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")).cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
+def boundaries(df: DataFrame, order_by, buckets: int, rows: int | None = None) -> list[tuple]:
+    """Keys that cut ``df`` into about ``buckets`` even parts in the order of the whole key."""
+    return splitters(df, _keys(order_by), buckets, rows)
 
 
-TEXT_BYTES = 6      # of a text that one number holds exactly
-
-
-def key_images(df: DataFrame, keys: list[str]) -> list[F.Column]:
-    """Numbers that sort, taken one after another, as the order key does as far as they go (rows with equal numbers are
-    ordered by the key itself, within their bucket). Nulls come first."""
-    out = []
-    for k in keys:
-        dt = field_type(df, k)
-        if isinstance(dt, T.StringType):
-            raw = F.hex(F.encode(col(k), "UTF-8"))
-            parts = [F.rpad(F.substring(raw, 2 * TEXT_BYTES * i + 1, 2 * TEXT_BYTES), 2 * TEXT_BYTES, "0") for i in range(2)]
-            out += [F.conv(p, 16, 10).cast("double") for p in parts]
-        elif isinstance(dt, INTEGRAL_TYPES + FRACTIONAL_TYPES + TEMPORAL_TYPES + (T.DecimalType,)):
-            out.append(key_as_double(col(k), dt))
-        else:
-            raise ValueError(f"order key {k!r} can't be ordered: {dt.simpleString()}")
-    return [F.coalesce(x, F.lit(float("-inf"))) for x in out]
-
-
-@dataclass(frozen=True)
-class Bounds:
-    """Boundaries of the first image, and of the second within values of the first that hold several quantiles."""
-    first: tuple[float, ...]
-    within: dict[float, tuple[float, ...]]
-
-
-def boundaries(df: DataFrame, order_by, buckets: int) -> Bounds:
-    """Approximate quantiles of the order key that cut ``df`` into about ``buckets`` even parts (one or two small jobs)."""
-    keys = _keys(order_by)
-    if buckets <= 1:
-        return Bounds((), {})
-    images = key_images(df, keys)
-    inf = float("inf")
-    accuracy = max(10_000, 10 * buckets)
-    r = df.agg(F.percentile_approx(images[0], [i / buckets for i in range(1, buckets)], accuracy).alias("b")).first()["b"]
-    found = [x for x in (r or []) if x == x]
-    times = Counter(found)
-    hot = {x: n for x, n in times.items() if n > 1}
-    within = {}
-    if hot and len(images) > 1:
-        parts = max(hot.values()) + 1
-        x = df.select(images[0].alias("a"), images[1].alias("b")).where(F.col("a").isin(list(hot)))
-        for r in x.groupBy("a").agg(F.percentile_approx("b", [i / parts for i in range(1, parts)], accuracy).alias("q")).collect():
-            cuts = r["q"][:: max(1, len(r["q"]) // hot[r["a"]])]
-            within[r["a"]] = tuple(sorted({c for c in cuts if c == c and -inf < c < inf}))
-    return Bounds(tuple(sorted(x for x in times if -inf < x < inf)), within)
-
-
-def with_bucket(df: DataFrame, order_by, bounds: Bounds, out: str) -> DataFrame:
-    """Bucket = number of boundaries of the first image <= its value, by a JVM-side binary search (``Bucketizer``), times a
-    stride, plus the part within a hot value; rows above the hot value come after its parts."""
-    from pyspark.ml.feature import Bucketizer
-
-    inf = float("inf")
-    images = key_images(df, _keys(order_by))
-    if not bounds.first and not bounds.within:
-        return df.withColumn(out, F.lit(0))
-    x = df.withColumn("__k1", images[0])
-    if bounds.first:
-        bz = Bucketizer(splits=[-inf, *bounds.first, inf], inputCol="__k1", outputCol="__b1", handleInvalid="keep")
-        x = bz.transform(x)
-    else:
-        x = x.withColumn("__b1", F.lit(0.0))
-    stride = max([0, *map(len, bounds.within.values())]) + 2
-    part = F.lit(stride - 1)
-    if bounds.within:
-        cuts = F.create_map(*[e for v, q in bounds.within.items() for e in (F.lit(v), F.array(*map(F.lit, q)).cast("array<double>"))])
-        x = x.withColumn("__q", F.try_element_at(cuts, F.col("__k1"))).withColumn("__k2", images[1])
-        part = F.when(F.col("__q").isNull(), part).otherwise(F.size(F.filter("__q", lambda q: q <= F.col("__k2"))))
-    return x.withColumn(out, (F.col("__b1") * stride + part).cast("int")).drop("__k1", "__b1", "__q", "__k2")
+def with_bucket(df: DataFrame, order_by, bounds: list[tuple], out: str) -> DataFrame:
+    """``df`` with its bucket: the number of boundaries that are at most the row's key."""
+    return range_number(df, _keys(order_by), bounds, out)
 
 
 def ordered_fill(
@@ -138,7 +58,7 @@ def ordered_fill(
     direction: str = "forward",
     partition_by: list[str] | None = None,
     buckets: int | None = None,
-    bounds: Bounds | None = None,
+    bounds: list[tuple] | None = None,
 ) -> DataFrame:
     """Fill missing cells of ``columns`` from the previous (forward) or next (backward) non-missing
     value in ``order_by`` order, within ``partition_by`` groups if given. Leading (trailing) gaps stay.

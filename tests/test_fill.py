@@ -140,7 +140,7 @@ def _days(spark, n=8000, days=1, at=0):
     return spark.range(at, at + n).selectExpr(f"cast(date_add(date'2024-01-01', cast(id % {days} AS int)) AS date) AS day", "id", "concat('k', lpad(cast(id AS string), 9, '0')) AS name", "CASE WHEN id % 7 = 3 THEN id END AS v")
 
 
-@pytest.mark.parametrize("keys, days", [(["day", "id"], 1), (["day", "id"], 3), (["name"], 1), (["day", "name"], 2), (["id"], 1)])
+@pytest.mark.parametrize("keys, days", [(["day", "id"], 1), (["day", "id"], 3), (["name"], 1), (["day", "name"], 2), (["id"], 1), (["v", "id"], 1)])
 @pytest.mark.parametrize("direction", ["forward", "backward"])
 def test_ordered_fill_over_composite_and_text_keys(spark, keys, days, direction):
     df = _days(spark, 3000, days)
@@ -149,10 +149,12 @@ def test_ordered_fill_over_composite_and_text_keys(spark, keys, days, direction)
     assert a.exceptAll(b).count() == 0 and a.count() == 3000
 
 
-@pytest.mark.parametrize("keys, days", [(["day", "id"], 1), (["day", "id"], 5), (["id"], 1)])
+@pytest.mark.parametrize("keys, days", [(["day", "id"], 1), (["day", "id"], 5), (["id"], 1), (["long_name"], 1), (["day", "long_name"], 2),
+                                        (["day", "same", "id"], 1), (["same", "name"], 1), (["half", "id"], 1), (["amount"], 1)])
 def test_no_bucket_holds_much_more_than_its_share(spark, keys, days):
     for at in (0, 80_000):      # another table gets boundaries of its own
-        df = _days(spark, 8000, days, at)
+        df = _days(spark, 8000, days, at).selectExpr("*", "concat('customer-2024-', name) AS long_name", "'x' AS same",
+                                                     "CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS half", "cast(id * 1.5 AS decimal(20, 2)) AS amount")
         sizes = [r["count"] for r in with_bucket(df, keys, boundaries(df, keys, 16), "b").groupBy("b").count().collect()]
         assert sum(sizes) == 8000 and max(sizes) < 3 * 8000 / 16
 
