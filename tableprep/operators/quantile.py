@@ -1,208 +1,111 @@
-"""Exact median without gathering a column in one task (M4).
-
-Spark's exact ``median`` keeps every distinct value of a group in one aggregation buffer; for a
-whole-table median that is one task holding the column. Here the target ranks are narrowed
-instead: ``percentile_approx`` on the current bracket gives two bounds around the ranks, one
-count job checks them, and the bracket shrinks by about ``accuracy / 4`` per round. When at most
-``max_collect`` values remain (a fixed bound, independent of table size) they are sorted on the
-driver. Interpolates between the two middle values like pandas and DuckDB.
+"""Exact medians without gathering a column in one task (M4): radix selection.
+
+Spark's exact ``median`` keeps every distinct value of a group in one aggregation buffer; for a whole-table median that is one
+task holding the column. Here a double is seen as a 64-bit integer that orders as the double does, and the two middle ranks
+are found digit by digit, 16 bits a round: of all values that begin with the digits found so far, the next digits are
+counted (partial aggregation: at most 65,536 rows for each column, rank and task), and the digit in which the rank falls is
+picked on the cluster. All columns share each round's job, so the whole table takes a count job and at most four rounds, whatever
+the values: heavy values, long tails, subnormal numbers and infinities alike. A rank whose values are all equal is done early.
+
+Interpolates between the two middle values like pandas and DuckDB.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import struct
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DIGIT = 16      # bits of a round
+ROUNDS = 64 // DIGIT
+LEAST_EXPONENT, LARGEST_EXPONENT = -1022, 1023
+
+
+def ordered_bits(d: Column) -> Column:
+    """The bits of a double as a long that orders as the doubles do; -0.0 and 0.0 are equal. Null and NaN give null.
+
+    Built from arithmetic that is exact in doubles: scalings by powers of two."""
+    x = F.abs(d)
+    about = F.floor(F.log2(x))
+    e = F.when(F.pow(F.lit(2.0), F.greatest(about, F.lit(LEAST_EXPONENT)).cast("double")) > x, about - 1).when(      # log2 may be off by one
+        F.pow(F.lit(2.0), F.least(about + 1, F.lit(LARGEST_EXPONENT)).cast("double")) <= x, about + 1).otherwise(about)
+    e = F.least(F.greatest(e, F.lit(LEAST_EXPONENT)), F.lit(LARGEST_EXPONENT))
+    # the significand as an integer below 2^53: in two steps, as 2^-e alone may not be a double
+    whole = ((x * F.pow(F.lit(2.0), (-F.floor(e / 2)).cast("double"))) * F.pow(F.lit(2.0), (52 - (e - F.floor(e / 2))).cast("double"))).cast("long")
+    normal = (e - LEAST_EXPONENT).cast("long") * F.lit(1 << 52) + whole
+    bits = F.when(x == 0, F.lit(0).cast("long")).when(x == float("inf"), F.lit(0x7FF << 52)).otherwise(normal)
+    return F.when(d.isNotNull() & ~F.isnan(d), F.when(d < 0, -bits).otherwise(bits))
+
+
+def value_of(bits: int) -> float:
+    """The double of ``ordered_bits``."""
+    x = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
+    return -x if bits < 0 else x
 
-def exact_median(df: DataFrame, value: Column, *, n: int | None = None, accuracy: int = 10000,
-                 max_collect: int = 20000, max_rounds: int = 12) -> float | None:
-    v = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    if n is None:
-        n = v.count()
-    if n == 0:
-        return None
-    ranks = ((n - 1) // 2, n // 2)
-    lo = hi = None
-    below, m = 0, n
-    eps = 2.0 / accuracy
-    prev_m = None
-    for _ in range(max_rounds):
-        sub = v
-        if lo is not None:
-            sub = v.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-        if m <= max_collect:
-            vals = sorted(r["v"] for r in sub.collect())
-            a, b = vals[ranks[0] - below], vals[ranks[1] - below]
-            return (a + b) / 2.0
-        if prev_m is not None and m > prev_m / 2:
-            # no progress: the bracket is mostly repeats of a few values. Their (value, count) pairs are
-            # few, so walk the ranks over them (a bounded top-k of the grouped bracket).
-            groups = sub.groupBy("v").count().orderBy("v").limit(max_collect + 1).collect()
-            if len(groups) <= max_collect:
-                picked, cum = [], 0
-                for r in groups:
-                    cum += r["count"]
-                    while len(picked) < 2 and cum > ranks[len(picked)] - below:
-                        picked.append(r["v"])
-                return (picked[0] + picked[1]) / 2.0
-            # many distinct values but no progress: sharpen the sketch (exact once m < accuracy)
-            accuracy = min(accuracy * 10, 2**31 - 1)
-            eps = 2.0 / accuracy
-        prev_m = m
-        # percentile_approx(p) returns the value of 1-based rank ceil(p * m); aim at the middle of each target
-        p_lo = max(0.0, (ranks[0] - below + 0.5) / m - eps)
-        p_hi = min(1.0, (ranks[1] - below + 0.5) / m + eps)
-        qa, qb = sub.agg(F.percentile_approx("v", [p_lo, p_hi], accuracy).alias("q")).collect()[0]["q"]
-        c = sub.agg(F.count(F.when(F.col("v") < qa, 1)).alias("lt"),
-                    F.count(F.when(F.col("v") <= qb, 1)).alias("le")).collect()[0]
-        lt, le = c["lt"], c["le"]
-        if not (lt <= ranks[0] - below and le > ranks[1] - below):
-            eps *= 4  # the estimate missed; widen and retry on the same bracket
-            continue
-        if qa == qb:
-            return float(qa)
-        lo, hi = qa, qb
-        below += lt
-        m = le - lt
-    raise RuntimeError("median did not converge")
-
-
-def exact_medians(df: DataFrame, specs: dict, *, accuracy: int = 10000, max_bracket: int = 20000,
-                  max_rounds: int = 12) -> dict:
-    """Exact medians of many columns in lockstep: per round one ``percentile_approx`` job and one count
-    job for all unresolved columns, so a wide table costs a handful of scans instead of several per column.
-
-    ``specs`` maps a name to ``(value, condition)``: the value column (cast to double) and an optional row
-    condition. Columns whose bracket holds at most ``max_bracket`` values are finished together in one
-    long-form window job (``row_number`` per column over the bracket: bounded, distributed); columns whose
-    ranks straddle two heavy values walk their grouped counts.
-    """
+
+def exact_medians(df: DataFrame, specs: dict, columns_a_job: int = 100) -> dict:
+    """Exact medians of many columns: ``specs`` maps a name to ``(value, condition)``, the value column (cast to double) and
+    an optional row condition. None where no value is left. ``columns_a_job`` bounds the width of one plan."""
     names = list(specs)
-    vals, live = {}, {}
+    out: dict = {}
+    for k in range(0, len(names), columns_a_job):
+        out |= _medians(df, {c: specs[c] for c in names[k:k + columns_a_job]})
+    return out
+
+
+def _medians(df: DataFrame, specs: dict) -> dict:
+    names = list(specs)
+    images = []
     for i, c in enumerate(names):
         v, cond = specs[c]
         v = v.cast("double")
-        ok = v.isNotNull() & ~F.isnan(v)
-        if cond is not None:
-            ok = ok & cond
-        vals[c] = v
-        live[c] = ok
-    counts = df.agg(*[F.count(F.when(live[c], 1)).alias(f"n{i}") for i, c in enumerate(names)]).collect()[0]
-    st = {}
-    out = {}
+        images.append(ordered_bits(v if cond is None else F.when(cond, v)).alias(f"v{i}"))
+    counts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(images)]).first()
+    out = {c: None for i, c in enumerate(names) if not counts[f"n{i}"]}
+    # a target: column number, which of the two middle ranks; its digits so far and its rank among the values that begin with them
+    targets, ends = {}, {}
     for i, c in enumerate(names):
         n = counts[f"n{i}"]
-        if n == 0:
-            out[c] = None
-            continue
-        st[c] = {"ranks": ((n - 1) // 2, n // 2), "lo": None, "hi": None, "below": 0, "m": n,
-                 "eps": 2.0 / accuracy, "acc": accuracy, "prev": None}
-
-    def in_bracket(c):
-        s = st[c]
-        e = live[c]
-        if s["lo"] is not None:
-            e = e & (vals[c] >= F.lit(s["lo"])) & (vals[c] <= F.lit(s["hi"]))
-        return e
-
-    for _ in range(max_rounds):
-        if not st:
-            break
-        small = [c for c in st if st[c]["m"] <= max_bracket]
-        if small:
-            _finish_by_rank(df, small, vals, in_bracket, st, out)
-        stalled = [c for c in st if st[c]["prev"] is not None and st[c]["m"] > st[c]["prev"] / 2]
-        if stalled:
-            _finish_by_counts(df, stalled, vals, in_bracket, st, out, max_bracket)
-        big = list(st)
-        if not big:
+        for side, rank in ((0, (n - 1) // 2), (1, n // 2)):
+            if n and (side == 0 or n % 2 == 0):
+                targets[(i, side)] = (0, rank)
+    for round_ in range(ROUNDS):
+        if not targets:
             break
-        qs = []
-        for c in big:
-            s = st[c]
-            s["prev"] = s["m"]
-            p_lo = max(0.0, (s["ranks"][0] - s["below"] + 0.5) / s["m"] - s["eps"])
-            p_hi = min(1.0, (s["ranks"][1] - s["below"] + 0.5) / s["m"] + s["eps"])
-            qs.append(F.percentile_approx(F.when(in_bracket(c), vals[c]), [p_lo, p_hi], s["acc"]))
-        qrow = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(qs)]).collect()[0]
-        bounds = {c: qrow[f"q{i}"] for i, c in enumerate(big)}
-        cnt = []
-        for c in big:
-            qa, qb = bounds[c]
-            cnt += [F.count(F.when(in_bracket(c) & (vals[c] < F.lit(qa)), 1)),
-                    F.count(F.when(in_bracket(c) & (vals[c] <= F.lit(qb)), 1))]
-        crow = df.agg(*[x.alias(f"c{i}") for i, x in enumerate(cnt)]).collect()[0]
-        for i, c in enumerate(big):
-            s = st[c]
-            qa, qb = bounds[c]
-            lt, le = crow[f"c{2 * i}"], crow[f"c{2 * i + 1}"]
-            r0, r1 = s["ranks"][0] - s["below"], s["ranks"][1] - s["below"]
-            if not (lt <= r0 and le > r1):
-                s["eps"] *= 4
-                s["prev"] = None
-                continue
-            if qa == qb:
-                out[c] = float(qa)
-                del st[c]
-                continue
-            s["lo"], s["hi"] = qa, qb
-            s["below"] += lt
-            s["m"] = le - lt
-    if st:
-        raise RuntimeError(f"median did not converge for {sorted(st)}")
+        found = _round(df, images, targets, round_)
+        for t, (digits, rank, least, largest) in found.items():
+            if least == largest or round_ == ROUNDS - 1:
+                ends[t] = value_of(least)
+                del targets[t]
+            else:
+                targets[t] = (digits, rank)
+    for i, c in enumerate(names):
+        if (i, 0) in ends:
+            a = ends[(i, 0)]
+            b = ends.get((i, 1), a)
+            out[c] = a if a == b else (a + b) / 2.0
     return out
 
 
-def _finish_by_rank(df, cols, vals, in_bracket, st, out):
-    """Middle values of small brackets: long form (column, value) + row_number per column (one job)."""
-    from pyspark.sql import Window
-
-    parts = []
-    for i, c in enumerate(cols):
-        parts.append(df.where(in_bracket(c)).select(F.lit(i).alias("ci"), vals[c].alias("v")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    w = Window.partitionBy("ci").orderBy("v")
-    want = F.lit(False)
-    for i, c in enumerate(cols):
-        s = st[c]
-        r0, r1 = s["ranks"][0] - s["below"] + 1, s["ranks"][1] - s["below"] + 1
-        want = want | ((F.col("ci") == i) & F.col("rn").isin(r0, r1))
-    got: dict = {}
-    for r in u.withColumn("rn", F.row_number().over(w)).where(want).collect():
-        got.setdefault(r["ci"], {})[r["rn"]] = r["v"]
-    for i, c in enumerate(cols):
-        s = st[c]
-        r0, r1 = s["ranks"][0] - s["below"] + 1, s["ranks"][1] - s["below"] + 1
-        out[c] = (got[i][r0] + got[i][r1]) / 2.0
-        del st[c]
-
-
-def _finish_by_counts(df, cols, vals, in_bracket, st, out, max_bracket):
-    """Brackets that stopped shrinking hold few distinct values: walk their (value, count) pairs."""
-    parts = [df.where(in_bracket(c)).select(F.lit(i).alias("ci"), vals[c].alias("v")) for i, c in enumerate(cols)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    g = u.groupBy("ci", "v").count()
-    nd = {r["ci"]: r["k"] for r in g.groupBy("ci").agg(F.count(F.lit(1)).alias("k")).collect()}
-    few = [i for i, c in enumerate(cols) if nd.get(i, 0) <= max_bracket]
-    if few:
-        rows: dict = {}
-        for r in g.where(F.col("ci").isin(few)).collect():   # at most max_bracket rows per column
-            rows.setdefault(r["ci"], []).append((r["v"], r["count"]))
-        for i in few:
-            c = cols[i]
-            s = st[c]
-            picked, cum = [], 0
-            for v, k in sorted(rows[i]):
-                cum += k
-                while len(picked) < 2 and cum > s["ranks"][len(picked)] - s["below"]:
-                    picked.append(v)
-            out[c] = (picked[0] + picked[1]) / 2.0
-            del st[c]
-    for i, c in enumerate(cols):
-        if c in st:   # many distinct values but no progress: sharpen the sketch (exact once m < accuracy)
-            st[c]["acc"] = min(st[c]["acc"] * 10, 2**31 - 1)
-            st[c]["eps"] = 2.0 / st[c]["acc"]
+def _round(df: DataFrame, images: list[Column], targets: dict, round_: int) -> dict:
+    """For each target the digits found now, its rank among them, and the least and the largest image with these digits."""
+    shift = 64 - DIGIT * (round_ + 1)
+    live = sorted({i for i, _ in targets})
+    wide = df.select(*[images[i] for i in live])
+    rows = wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("x")) for i in live])).alias("r")).select("r.*")
+    rows = rows.where(F.col("x").isNotNull())
+    if round_:
+        begins = F.create_map(*[e for i in live for e in (F.lit(i), F.array(*[F.lit(targets[t][0]).cast("long") for t in sorted(targets) if t[0] == i]))])
+        rows = rows.where(F.array_contains(F.element_at(begins, F.col("c")), F.shiftright("x", shift + DIGIT)))
+    counts = rows.groupBy("c", F.shiftright("x", shift).alias("digits")).agg(
+        F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("largest"))
+    want = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(side).alias("side"), F.lit(begin).cast("long").alias("begin"), F.lit(rank).cast("long").alias("rank"))
+                     for (i, side), (begin, rank) in sorted(targets.items())])
+    counts = counts.withColumn("t", F.explode(F.filter(want, lambda t: (t["c"] == F.col("c")) & (
+        F.lit(round_ == 0) | (t["begin"] == F.shiftright("digits", DIGIT))))))
+    # at most 2^DIGIT rows for each target
+    by = Window.partitionBy("c", "t.side").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("below", F.coalesce(F.sum("n").over(by), F.lit(0)))
+    hit = counts.where((F.col("below") <= F.col("t.rank")) & (F.col("t.rank") < F.col("below") + F.col("n")))
+    return {(r["c"], r["t"]["side"]): (r["digits"], r["t"]["rank"] - r["below"], r["least"], r["largest"]) for r in hit.collect()}

@@ -9,7 +9,7 @@ from tableprep.operators import impute as I
 from tableprep.operators.ordered_fill import boundaries, ordered_fill, with_bucket
 
 from .window_fill import ordered_fill_window
-from tableprep.operators.quantile import exact_median
+from tableprep.operators.quantile import exact_medians, ordered_bits, value_of
 
 from .conftest import SF_MID
 
@@ -53,14 +53,24 @@ def test_big_side_not_single_partition(spark):
     assert "hashpartitioning(__bucket" in plan
 
 
-def test_exact_median_matches_numpy(spark):
-    rnd = np.random.default_rng(0)
-    vals = np.concatenate([rnd.normal(size=5001), np.full(3000, 0.25)])
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    got = exact_median(df, F.col("v"), max_collect=50, accuracy=100)   # force several narrowing rounds
-    assert got == pytest.approx(float(np.median(vals)), abs=0)
-    even = spark.createDataFrame([(float(v),) for v in range(10)], "v double")
-    assert exact_median(even, F.col("v"), max_collect=3, accuracy=100) == 4.5
+def test_exact_median_of_few_values(spark):
+    for values, want in (([1.0], 1.0), ([], None), ([2.0, 1.0], 1.5), ([float(v) for v in range(10)], 4.5), ([-0.0, 0.0, 5.0], 0.0),
+                         ([float("-inf"), float("-inf"), 1.0], float("-inf")), ([float("nan"), 3.0], 3.0)):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert exact_medians(df, {"v": (F.col("v"), None)}) == {"v": want}
+
+
+def test_bits_order_as_doubles(spark):
+    rnd = np.random.default_rng(9)
+    raw = np.frombuffer(rnd.bytes(8 * 4000), np.float64)
+    values = [float(x) for x in raw[np.isfinite(raw)]]
+    edges = [2.0 ** e for e in range(-1074, 1024, 7)]
+    edges += [np.nextafter(x, 0) for x in edges] + [np.nextafter(x, np.inf) for x in edges] + [0.0, 5e-324, 1.7976931348623157e308, float("inf"), 2.0 ** -1022]
+    values += [float(x) for x in edges] + [-float(x) for x in edges]
+    df = spark.createDataFrame([(x,) for x in values], "v double")
+    for r in df.select("v", ordered_bits(F.col("v")).alias("b")).collect():
+        assert value_of(r["b"]) == r["v"]
+    assert df.select(ordered_bits(F.lit(float("nan"))).alias("b")).first()["b"] is None
 
 
 def test_mode_ties_to_smallest(spark):
@@ -109,22 +119,34 @@ def test_ordered_fill_wall_clock_keys_under_dst_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
-def test_exact_medians_in_lockstep_match_numpy(spark):
-    from tableprep.operators.quantile import exact_medians
-
+def test_exact_medians_match_numpy(spark):
     rnd = np.random.default_rng(3)
     n = 6001
-    a = rnd.normal(size=n)
-    b = np.where(rnd.random(n) < 0.5, 1.0, 2.0)            # ranks straddle two heavy values
-    c = np.concatenate([rnd.exponential(size=n - 3000), np.full(3000, 7.0)])
-    d = rnd.integers(0, 10, size=n).astype(float)
-    rows = [(i, float(a[i]), float(b[i]), float(c[i]), float(d[i])) for i in range(n)]
-    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double")
-    got = exact_medians(df, {x: (F.col(x), None) for x in "abcd"} | {"a_even": (F.col("a"), F.col("k") > 0)},
-                        accuracy=100, max_bracket=40)
-    for x, arr in zip("abcd", (a, b, c, d)):
+    cols = {"a": rnd.normal(size=n), "b": np.where(rnd.random(n) < 0.5, 1.0, 2.0),           # ranks straddle two heavy values
+            "c": np.concatenate([rnd.exponential(size=n - 3000), np.full(3000, 7.0)]),      # a heavy value and a long tail
+            "d": rnd.integers(0, 10, size=n).astype(float), "e": rnd.standard_cauchy(size=n) * 10.0 ** rnd.integers(-300, 300, size=n),
+            "f": 1.0 + rnd.integers(0, 40_000, size=n) * 2.0 ** -52}                          # equal but for the last bits
+    rows = [(i, *(float(x[i]) for x in cols.values())) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"{c} double" for c in cols))
+    specs = {x: (F.col(x), None) for x in cols} | {"even": (F.col("e"), F.col("k") > 0), "none": (F.col("a"), F.lit(False))}
+    got = exact_medians(df, specs)
+    assert got == exact_medians(df.repartition(7), specs, columns_a_job=2)
+    for x, arr in cols.items():
         assert got[x] == float(np.median(arr)), x
-    assert got["a_even"] == float(np.median(a[1:]))
+    assert got["even"] == float(np.median(cols["e"][1:])) and got["none"] is None
+
+
+def test_medians_take_at_most_five_jobs(spark):
+    """A count and four rounds, also where half of all values are equal and the rest has a long tail."""
+    df = spark.range(50_000).selectExpr("CASE WHEN id % 2 = 0 THEN 1.0D WHEN id % 4 = 1 THEN exp(id / 100.0) ELSE -id / 7.0 END AS v")
+    tracker, group = spark.sparkContext.statusTracker(), "medians"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = exact_medians(df, {"v": (F.col("v"), None)})["v"]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == df.selectExpr("median(v) AS m").first()["m"]
+    assert len(tracker.getJobIdsForGroup(group)) <= 5 * 4     # adaptive execution runs a stage as a job
 
 
 def test_approx_median_option_close_to_exact(spark):
