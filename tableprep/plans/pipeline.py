@@ -273,10 +273,8 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
     rules = {c: r for c, r in mo.column_rules.items() if c in cols}
     need_detect = [c for c in cols if c not in rules] if mo.enable_auto_detection else []
     if order_by is not None:
-        # the key cut-off costs a few aggregate passes; over an unwritten ordered fill each pass would redo the
-        # fill's shuffle and window, so then one pass with the partial group limit is cheaper
-        ordered = any(st.kind in ("forward_fill", "backward_fill") for st in fitted.fill_plan.steps)
-        samples = first_values(filled, cols, order_by, SAMPLE_SIZE, cutoff=not ordered)
+        counts, rows = _filled_counts(std_prof, fitted.fill_plan, cols)
+        samples = first_values(filled, cols, order_by, SAMPLE_SIZE, counts=counts, rows=rows)
         rates = sample_rates(samples)
         det = classify(rates, name_candidates(spark, cols))
         dec = mask_decision(det, threshold=mo.sensitivity_threshold, column_rules=rules, verdicts=verdicts,
@@ -306,6 +304,15 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
     return fitted
 
 
+def _filled_counts(p: Profile, plan: FillPlan, cols: list[str]):
+    """Non-missing counts and rows after the fills, where the profile before them tells: no row dropped, and constants or nothing
+    filled (an ordered fill may leave the first gaps)."""
+    kinds = {st.column: st.kind for st in plan.steps}
+    if set(kinds.values()) & {"drop", "forward_fill", "backward_fill"} or any(st.value is None for st in plan.steps):
+        return None, None
+    return {c: p.rows if c in kinds else p.non_missing(c) for c in cols}, p.rows
+
+
 def _without_loss(x: DataFrame, casts: list[Cast], most: float, lost: dict[str, int]) -> list[Cast]:
     """The casts without those to datetime by which more than the share ``most`` of a text column's values would become
     null; ``lost`` gets the number of values that don't parse, by column (one job for all)."""

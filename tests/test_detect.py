@@ -50,19 +50,35 @@ def test_sample_is_first_values_in_order(spark):
     assert got == ["100", "98", "96", "94", "92"]
 
 
-def test_sample_prefilter_is_exact(spark):
+def window_first_values(df, columns, keys, n):
+    """The same by a window over all cells."""
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    from tableprep.operators.sample import first_values, key_cutoff
+    x = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(keys, columns, "column", "value").where("value IS NOT NULL")
+    w = Window.partitionBy("column").orderBy(*keys)
+    return x.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= n).select("column", "pos", "value")
 
-    df = spark.range(0, 200000).select(
-        (F.col("id") * 7 % 200000).alias("k"),
-        F.when(F.col("id") % 1000 == 3, F.col("id").cast("string")).alias("sparse"),
-        F.col("id").cast("string").alias("dense"))
-    assert key_cutoff(df, ["sparse", "dense"], "k", 20) is not None
-    a = first_values(df, ["sparse", "dense"], "k", 20, cutoff=True)
-    b = first_values(df, ["sparse", "dense"], "k", 20, cutoff=False)
-    assert a.count() == 40 and a.exceptAll(b).count() == 0
+
+@pytest.mark.parametrize("key", ["k", "name", "amount"])
+@pytest.mark.parametrize("told", [False, True])
+def test_sample_of_dense_sparse_and_empty_columns(spark, key, told):
+    """Any key type, with and without the caller's counts; some columns have few values, some none, some only late ones."""
+    from pyspark.sql import functions as F
+
+    from tableprep.operators.sample import first_values
+
+    df = spark.range(0, 20000).select((F.col("id") * 7 % 20000).alias("k"), "id").select(
+        "k", F.concat(F.lit("customer-2024-"), F.lpad(F.col("k").cast("string"), 9, "0")).alias("name"), F.col("k").cast("decimal(20,2)").alias("amount"),
+        F.when(F.col("id") % 1000 == 3, F.col("id").cast("string")).alias("sparse"), F.col("id").cast("string").alias("dense"),
+        F.lit(None).cast("string").alias("none"), F.when(F.col("k") > 19990, "late").alias("late"),
+        F.when(F.col("k") % 150 == 149, F.col("id").cast("string")).alias("some"), F.when(F.col("k") == 19999, "one").alias("one"))
+    cols = ["sparse", "dense", "none", "late", "some", "one"]
+    counts = {c: df.where(F.col(c).isNotNull()).count() for c in cols} if told else None
+    a = first_values(df, cols, key, 20, counts=counts, rows=20000 if told else None)
+    b = window_first_values(df, cols, [key], 20)
+    assert a.count() == 70 and a.exceptAll(b).count() == 0
+    assert first_values(df.limit(0), cols, key, 20).count() == 0 and first_values(df, [], key, 20).count() == 0
 
 
 def test_sample_text_of_numbers_and_composite_key(spark):
@@ -70,15 +86,15 @@ def test_sample_text_of_numbers_and_composite_key(spark):
 
     rows = [(i // 3, i % 3, [13812345678.0, 0.1, 1e-05, 1.5e16, float("nan"), -2.5][i % 6], i % 2 == 0) for i in range(3000)]
     df = spark.createDataFrame(rows, "a long, b int, d double, f boolean")
-    a = first_values(df, ["d", "f"], ["a", "b"], 7, cutoff=True)
-    b = first_values(df, ["d", "f"], ["a", "b"], 7, cutoff=False)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    a = first_values(df, ["d", "f"], ["a", "b"], 7)
     got = {(r.column, r.pos): r.value for r in a.collect()}
     assert [got[("d", p)] for p in range(1, 7)] == ["13812345678.0", "0.1", "1e-05", "1.5e+16", "-2.5", "13812345678.0"]
     assert [got[("f", p)] for p in range(1, 4)] == ["True", "False", "True"]
 
 
-def test_sample_cutoff_on_wall_clock_key_in_other_zone(spark):
+def test_sample_on_wall_clock_key_in_other_zone(spark):
+    from pyspark.sql import functions as F
+
     from tableprep.operators.sample import first_values
 
     from .conftest import SF_MID
@@ -86,9 +102,9 @@ def test_sample_cutoff_on_wall_clock_key_in_other_zone(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        ev = spark.read.parquet(f"{SF_MID}/events.parquet").select("ts", "event_type", "value")
-        a = first_values(ev, ["event_type", "value"], "ts", 20, cutoff=True)
-        b = first_values(ev, ["event_type", "value"], "ts", 20, cutoff=False)
+        ev = spark.read.parquet(f"{SF_MID}/events.parquet").select("ts", "event_type", F.col("value").cast("decimal(18,4)").alias("value"))
+        a = first_values(ev, ["event_type", "value"], "ts", 20)
+        b = window_first_values(ev, ["event_type", "value"], ["ts"], 20)
         assert a.count() == 40 and a.exceptAll(b).count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)

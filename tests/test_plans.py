@@ -31,10 +31,14 @@ def test_fitted_transform_is_native(spark):
     assert "WholeStageCodegen" in plan or "*(" in plan
 
 
-def test_sample_uses_partial_group_limit(spark):
-    pii = fixture(spark, SF_SMALL, "customer_pii")
-    plan = _plan(first_values(pii, ["phone", "email"], "c_custkey", 20, cutoff=False))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_sample_keeps_heaps_only(spark):
+    """Whatever the key's type: cells are expanded and sorted above the top-k of rows, never below it."""
+    pii = fixture(spark, SF_SMALL, "customer_pii").selectExpr("*", "concat('c-', c_custkey) AS name")
+    for key in ("c_custkey", "name", ["c_mktsegment", "name"]):
+        plan = _plan(first_values(pii, ["phone", "email", "real_name"], key, 20))
+        assert "TakeOrderedAndProject" in plan
+        below = plan[plan.index("TakeOrderedAndProject"):]
+        assert not any(x in below for x in ("Expand", "Sort", "Window", "Exchange"))
 
 
 def test_distinct_counts_aggregate_before_shuffle(spark):
