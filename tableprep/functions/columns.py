@@ -47,10 +47,6 @@ def is_missing(c: Column, dt: T.DataType) -> Column:
     return c.isNull()
 
 
-def not_missing(c: Column, dt: T.DataType) -> Column:
-    return ~is_missing(c, dt)
-
-
 def is_blank(c: Column) -> Column:
     """Text that is empty after stripping whitespace (an anchored match: stops at the first visible char)."""
     return c.rlike("^" + WS + "*$")

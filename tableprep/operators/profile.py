@@ -58,7 +58,14 @@ class Profile:
         return [c for c in self.columns if self.missing[c] == self.rows]
 
 
-def _column_exprs(name: str, dt: T.DataType, text_evidence: bool, approx_distinct: bool):
+def at_least_distinct(c) -> F.Column:
+    """A number of distinct values that ``c`` has at least: marked places of a bitmap of 32,768 hash values. A state of 4 KB a
+    column whatever its values, merged by OR; two values may share a place, so it never counts too many."""
+    place = F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(32768)))
+    return F.bitmap_count(F.bitmap_construct_agg(place))
+
+
+def _column_exprs(name: str, dt: T.DataType, text_evidence: bool, distinct_floor: bool):
     c = col(name)
     out = [("missing", F.count(F.when(is_missing(c, dt), 1)))]
     if text_evidence and isinstance(dt, T.StringType):
@@ -74,8 +81,8 @@ def _column_exprs(name: str, dt: T.DataType, text_evidence: bool, approx_distinc
         for i, pair in enumerate(BOOLEAN_PAIRS):
             hit = F.when(short, low.isin(list(pair))).otherwise(F.lit(False))
             out.append((f"bool_{i}", F.min(F.when(c.isNotNull(), hit.cast("int")))))
-        if approx_distinct:
-            out.append(("approx_distinct", F.approx_count_distinct(c)))
+        if distinct_floor:
+            out.append(("distinct_floor", at_least_distinct(c)))
     elif text_evidence and isinstance(dt, INTEGRAL_TYPES):
         out += [("min", F.min(c)), ("max", F.max(c))]
     return out
@@ -85,14 +92,14 @@ def profile(
     df: DataFrame,
     *,
     text_evidence: bool = False,
-    approx_distinct: bool = False,
+    distinct_floor: bool = False,
     max_exprs: int = MAX_EXPRS_PER_JOB,
 ) -> Profile:
     """Row count and missing counts of every column; optional type evidence for text columns."""
     fields = [(f.name, f.dataType) for f in df.schema.fields]
     specs = []  # (column index, stat key, expr)
     for i, (name, dt) in enumerate(fields):
-        for key, e in _column_exprs(name, dt, text_evidence, approx_distinct):
+        for key, e in _column_exprs(name, dt, text_evidence, distinct_floor):
             specs.append((i, key, e))
     rows = None
     missing: dict[str, int] = {}

@@ -43,7 +43,8 @@ def _score(detected: F.Column) -> F.Column:
 
 
 def classify(rates: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Confirmed name hit, else the first value type above 70 %, and its score."""
+    """Confirmed name hit, else the first value type above 70 %, and its score; with the two findings apart
+    (``confirmed``, ``value_type``)."""
     j = candidates.join(F.broadcast(rates), "column", "left")
     confirm = F.lit(False)
     for t in SENSITIVE_TYPES:
@@ -59,9 +60,10 @@ def classify(rates: DataFrame, candidates: DataFrame) -> DataFrame:
     out = j.withColumn("detected_type", detected).withColumn(
         "score", F.when(F.col("detected_type").isNotNull(), _score(F.col("detected_type")))
     )
+    out = out.withColumn("confirmed", confirm).withColumn("value_type", by_value)
     return out.select(
         "position", "column", "name_type", F.coalesce("n_samples", F.lit(0)).cast("bigint").alias("n_samples"),
-        *[f"{t}_rate" for t in SENSITIVE_TYPES], "detected_type", "score",
+        *[f"{t}_rate" for t in SENSITIVE_TYPES], "detected_type", "score", "confirmed", "value_type",
     )
 
 

@@ -131,6 +131,20 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         "column", F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"))
 
 
+SKETCH_BITS = 14        # log2 of a sketch's buckets: a standard error of 0.8 %, 8 KB a column
+
+
+def distinct_sketch(df: DataFrame, name: str):
+    """Q9 as a mergeable sketch of a column's values (HyperLogLog, a few KB), nulls and NaN not counted: one more
+    aggregate of a pass that is made anyway, and sketches of several tables or runs can be united."""
+    from ..functions.columns import field_type, is_missing
+
+    dt = field_type(df, name)
+    c = col(name)
+    v = c.cast("long") if isinstance(dt, INTEGRAL_TYPES) else (c + F.lit(0.0)).cast("string") if isinstance(dt, FRACTIONAL_TYPES) else c.cast("string")
+    return F.hll_sketch_agg(F.when(~is_missing(c, dt), v), F.lit(SKETCH_BITS))
+
+
 def infer_types(
     df: DataFrame,
     order_by=None,
@@ -143,11 +157,11 @@ def infer_types(
 
     ``datetime_formats`` may carry formats already found on a shared sample (then no sample job runs here).
     """
-    prof = prof or profile(df, text_evidence=True, approx_distinct=categorical)
+    prof = prof or profile(df, text_evidence=True, distinct_floor=categorical)
     lacks = any(isinstance(dt, T.StringType) and "bad_number" not in prof.stats.get(c, {})
                 for c, dt in prof.dtypes.items())
     if lacks:
-        prof = profile(df, text_evidence=True, approx_distinct=categorical)
+        prof = profile(df, text_evidence=True, distinct_floor=categorical)
     decisions: dict[str, TypeDecision] = {}
     need_dt, need_cat = [], []
     for c in prof.columns:
@@ -191,9 +205,9 @@ def infer_types(
         else:
             need_cat.append(c)
     if need_cat and categorical:
-        approx = {c: prof.stats[c].get("approx_distinct") for c in need_cat}
-        # exact counts only for columns that can still pass; the estimate has to be off by half to drop one that could
-        check = [c for c in need_cat if approx[c] is None or approx[c] < CATEGORICAL_MAX * 2]
+        floor = {c: prof.stats[c].get("distinct_floor") or 0 for c in need_cat}
+        # a column that has too many values at least is decided; the others' distinct values are few, and counted exactly
+        check = [c for c in need_cat if floor[c] < CATEGORICAL_MAX and floor[c] < CATEGORICAL_RATIO * prof.non_missing(c)]
         exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, check).collect()} if check else {}
         for c in need_cat:
             nd = exact.get(c)
@@ -208,12 +222,6 @@ def infer_types(
     return [decisions[c] for c in prof.columns]
 
 
-def decisions_frame(spark, decisions: list[TypeDecision]) -> DataFrame:
-    rows = [(i, d.column, d.detected, d.physical, d.target, d.fmt, d.evidence) for i, d in enumerate(decisions)]
-    return spark.createDataFrame(
-        rows, "position int, column string, detected string, physical string, target string, fmt string, evidence string")
-
-
 # --- S12-S20 -------------------------------------------------------------------------------
 
 def cast_expr(df: DataFrame, name: str, logical: str, fmt: str | None = None, integral: bool | None = None,

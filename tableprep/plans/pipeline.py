@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import secrets
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import DATETIME_FORMATS, INTEGRAL_TYPES, col, is_blank, is_missing, to_datetime
+from ..functions.columns import DATETIME_FORMATS, INTEGRAL_TYPES, col, is_blank, is_missing, parses_as_number, to_datetime
 from ..operators.features import extract_features, feature_columns
 from ..operators.impute import FillPlan, apply_fills, fit_fills
 from ..operators.masking import MaskOptions, MaskSpec, mask_columns, mask_summary
 from ..operators.profile import Profile, profile
-from ..operators.quality import QualityReport, quality_report
+from ..operators.quality import CHECK_SAMPLE, QualityReport, consistency_gain, quality_report, sketch_estimates, sketch_frame
 from ..operators.sample import first_values
 from ..operators.sensitive import SAMPLE_SIZE, VALUE_RATE, classify, mask_decision, name_candidates, sample_rates
 from ..operators.standardize import (
@@ -77,6 +78,7 @@ class FittedPrep:
     detections: list[dict] = field(default_factory=list)
     validation: Validation | None = None
     cast_loss: dict[str, int] = field(default_factory=dict)     # text values that don't parse, by column
+    consistency: dict | None = None     # Q20: of the raw and of the converted table, and the gain, in percent
 
     # -- transform pieces (each a lazy projection / filter) --
     def standardize(self, df: DataFrame) -> DataFrame:
@@ -196,13 +198,13 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
     x = x.drop(*dropped_empty) if dropped_empty else x
     x = x.toDF(*[renames.get(c, c) for c in x.columns]) if renames else x
     auto_casts, decisions, lost = [], [], {}
+    # reuse the raw profile (same rows; columns renamed)
+    p = Profile(raw_prof.rows, [renames.get(c, c) for c in kept],
+                {renames.get(c, c): raw_prof.dtypes[c] for c in kept},
+                {renames.get(c, c): raw_prof.missing[c] for c in kept},
+                {renames.get(c, c): raw_prof.stats.get(c, {}) for c in kept})
+    fmts, rates, checks = _shared_sample(x, p, order_by)
     if so.auto_detect_types:
-        # reuse the raw profile (same rows; columns renamed)
-        p = Profile(raw_prof.rows, [renames.get(c, c) for c in kept],
-                    {renames.get(c, c): raw_prof.dtypes[c] for c in kept},
-                    {renames.get(c, c): raw_prof.missing[c] for c in kept},
-                    {renames.get(c, c): raw_prof.stats.get(c, {}) for c in kept})
-        fmts, rates = _shared_sample(x, p, order_by)
         decisions = infer_types(x, order_by, p, categorical=False,
                                 datetime_formats=fmts if order_by is not None else None)
         for d in decisions:
@@ -242,10 +244,9 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
         std = fitted._casts(std, custom)
     changes = {f0.name: (f0.dataType.simpleString(), f1.dataType.simpleString())
                for f0, f1 in zip(x.schema.fields, std.schema.fields) if f0.dataType != f1.dataType}
-    log.append(("table_standardization", "success", "table standardized",
-                {"dropped_empty": str(dropped_empty), "renamed": str(renames), "type_changes": str(changes),
-                 "values_not_parsed": str({c: n for c, n in lost.items() if n})},
-                time.time() - t0))
+    details = {"dropped_empty": str(dropped_empty), "renamed": str(renames), "type_changes": str(changes),
+               "values_not_parsed": str({c: n for c, n in lost.items() if n})}
+    log.append(("table_standardization", "success", "table standardized", details, time.time() - t0))
 
     # 3. missing values (one statistics job, plus mode / median jobs when used)
     t0 = time.time()
@@ -259,6 +260,9 @@ def fit(df: DataFrame, opts: PrepOptions = PrepOptions(), log: list | None = Non
                 miss[c.column] += int(st.get("blank", 0) or 0) + (0 if c.integral else int(st.get("nan_text", 0) or 0))
         std_prof = Profile(raw_prof.rows, list(std.columns), {f.name: f.dataType for f in std.schema.fields}, miss)
     std_prof = std_prof or profile(std)
+    if order_by is not None:
+        fitted.consistency = consistency_gain(raw_prof, std_prof, checks, renames)
+        details["consistency"] = f"{fitted.consistency['original']} -> {fitted.consistency['processed']}, gain {fitted.consistency['gain']}"
     ids = set(ruled)
     if so.protect_identifiers and order_by is not None:
         ids |= _number_identifiers(std, std_prof, opts.missing_handling, order_by)
@@ -345,34 +349,56 @@ def _number_identifiers(std: DataFrame, p: Profile, fo, order_by) -> set[str]:
 
 
 def _shared_sample(x: DataFrame, p: Profile, order_by):
-    """One sample job for the text columns that may convert: datetime formats (first 10 values, S9) and
-    phone / ID rates (first 20 values, A6) of number-like columns."""
+    """One sample for all text columns: datetime formats (first 10 values, S9) of those that may convert, phone / ID rates
+    (first 20 values, A6) of number-like ones, and the checks of consistency (first 10 values, Q12, Q13) of all."""
     from ..operators.standardize import DATETIME_SAMPLE
 
-    if order_by is None:
-        return {}, {}
-    cands = []
-    for c in p.columns:
-        st = p.stats.get(c, {})
-        if p.dtypes[c] == T.StringType() and p.non_missing(c) > 0 and "bad_number" in st:
-            if not any(st.get(f"bool_{i}") == 1 for i in range(5)):
-                cands.append(c)
-    if not cands:
-        return {}, {}
+    cands = [c for c in p.columns if p.dtypes[c] == T.StringType() and p.non_missing(c) > 0]
+    if order_by is None or not cands:
+        return {}, {}, {}
     s = first_values(x, cands, order_by, SAMPLE_SIZE, counts={c: p.non_missing(c) for c in cands}, rows=p.rows)
     v = F.col("value")
     head = F.col("pos") <= DATETIME_SAMPLE
     aggs = [F.min(F.when(head, to_datetime(v, f).isNotNull().cast("int"))).alias(f"f{i}") for i, f in enumerate(DATETIME_FORMATS)]
     aggs += [F.avg(is_phone(v).cast("double")).alias("ph"), F.avg(is_id_card(v).cast("double")).alias("idc")]
-    fmts, rates = {}, {}
+    few = F.col("pos") <= CHECK_SAMPLE
+    aggs += [F.min(F.when(few, F.coalesce(parses_as_number(v), F.lit(True)).cast("int"))).alias("number"),
+             *(F.min(F.when(few, to_datetime(v, f).isNotNull().cast("int"))).alias(f"c{i}") for i, f in enumerate(DATETIME_FORMATS))]
+    fmts, rates, checks = {}, {}, {}
     for r in s.groupBy("column").agg(*aggs).collect():
+        c = r["column"]
+        st = p.stats.get(c, {})
+        checks[c] = (r["number"] == 1, any(r[f"c{i}"] == 1 for i in range(len(DATETIME_FORMATS))))
+        if any(st.get(f"bool_{i}") == 1 for i in range(5)):
+            continue
         for i, f in enumerate(DATETIME_FORMATS):
             if r[f"f{i}"] == 1:
-                fmts[r["column"]] = f
+                fmts[c] = f
                 break
-        if p.stats[r["column"]].get("bad_number", 1) == 0:
-            rates[r["column"]] = (r["ph"], r["idc"])
-    return fmts, rates
+        if st.get("bad_number", 1) == 0:
+            rates[c] = (r["ph"], r["idc"])
+    return fmts, rates, checks
+
+
+def log_frame(spark, log: list[tuple]) -> DataFrame:
+    """A run's log, one row per step; also of a failed run (``PrepError.log``)."""
+    return spark.createDataFrame([(s, st, m, {k: str(v) for k, v in d.items()}, float(t)) for s, st, m, d, t in log], LOG_SCHEMA)
+
+
+def log_summary(log: DataFrame, masked: int = 0, features: int = 0) -> DataFrame:
+    """Q19: steps of a log by status, beside the numbers of masked columns and of features."""
+    return log.agg(
+        F.count(F.lit(1)).alias("total_steps"),
+        F.count(F.when(F.col("status") == "success", 1)).alias("successful_steps"),
+        F.count(F.when(F.col("status") == "failed", 1)).alias("failed_steps"),
+    ).withColumn("masked_columns_count", F.lit(masked).cast("bigint")).withColumn("extracted_features_count", F.lit(features).cast("bigint"))
+
+
+def united_distinct(spark, path: str, run_ids: list[str] | None = None) -> DataFrame:
+    """Distinct values of each column over several runs whose logs are at ``path`` (all of them without ``run_ids``): rows
+    (side, column, n_distinct), estimated from the united sketches; no run's table is read again."""
+    s = spark.read.parquet(path.rstrip("/") + "_sketches")
+    return sketch_estimates(s if run_ids is None else s.where(F.col("run_id").isin(list(run_ids))))
 
 
 @dataclass
@@ -386,6 +412,9 @@ class RunResult:
     source: DataFrame | None = None      # the input, for previews
     opts: PrepOptions = PrepOptions()
     written: str | None = None           # folder of the written (masked) table, if there is one
+    run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    malformed: DataFrame | None = None   # rows (record, problem) of the input that aren't in the table, where a file was read
+    n_malformed: int = 0
 
     def cleanup(self) -> None:
         """Removes the written table below the checkpoint folder; ``data`` can't be read afterwards."""
@@ -394,25 +423,24 @@ class RunResult:
             self.written = None
 
     def log_frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(
-            [(s, st, m, {k: str(v) for k, v in d.items()}, float(t)) for s, st, m, d, t in self.log], LOG_SCHEMA)
-
-    def append_log(self, spark, path: str, run_id: str | None = None) -> None:
-        """Append this run's log to a Parquet table (one row per step), e.g. a job history."""
-        import uuid
-
-        rid = run_id or uuid.uuid4().hex
-        self.log_frame(spark).withColumn("run_id", F.lit(rid)).write.mode("append").parquet(path)
+        return log_frame(spark, self.log)
+
+    def append_log(self, spark, path: str, run_id: str | None = None) -> str:
+        """Put this run's log into a Parquet table, one row per step, in the run's own folder: written again (a retried job)
+        it replaces itself and no other run. The distinct-count sketches of the report go beside it (see ``united_distinct``).
+        Returns the run id."""
+        rid = run_id or self.run_id
+        frames = {path: self.log_frame(spark)}
+        if self.report is not None and self.report.sketches:
+            frames[path.rstrip("/") + "_sketches"] = sketch_frame(spark, self.report.sketches)
+        for where, frame in frames.items():
+            (frame.withColumn("run_id", F.lit(rid)).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("run_id").parquet(where))
+        return rid
 
     def run_summary(self, spark) -> DataFrame:
         """Q19: step counts by status, masked columns, features."""
-        lf = self.log_frame(spark)
-        return lf.agg(
-            F.count(F.lit(1)).alias("total_steps"),
-            F.count(F.when(F.col("status") == "success", 1)).alias("successful_steps"),
-            F.count(F.when(F.col("status") == "failed", 1)).alias("failed_steps"),
-        ).withColumn("masked_columns_count", F.lit(len(self.fitted.masks)).cast("bigint")) \
-         .withColumn("extracted_features_count", F.lit(len(self.fitted.features)).cast("bigint"))
+        return log_summary(self.log_frame(spark), len(self.fitted.masks), len(self.fitted.features))
 
     def masking_summary(self, spark, n: int = 3) -> DataFrame:
         """Column, type, strategy and the first ``n`` masked values, with the clear ones beside them only where
@@ -446,7 +474,7 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
             t0 = time.time()
             ob = opts.order_by if opts.order_by is not None else None
             ob_after = fitted.order_by
-            rep = _report(df, data, ob, ob_after, opts.report_approx_distinct, fitted.unchanged_columns())
+            rep = _report(df, data, ob, ob_after, opts.report_exact_distinct, fitted.unchanged_columns())
             log.append(("quality_report", "success", "quality report done",
                         {"scores": str(rep.scores())}, time.time() - t0))
         return RunResult(data, fitted, fitted.validation, rep, log, df, opts, folder)
@@ -457,26 +485,39 @@ def run(df: DataFrame, opts: PrepOptions = PrepOptions(), *, report: bool = True
         raise PrepError(f"processing failed: {e}", log) from e
 
 
-def _report(before: DataFrame, after: DataFrame, ob_before, ob_after, approx_distinct: bool = False,
+def _report(before: DataFrame, after: DataFrame, ob_before, ob_after, exact_distinct: bool = False,
             unchanged: frozenset = frozenset()) -> QualityReport:
     if ob_before is None or ob_after is None:
         raise ValueError("the quality report checks first values in row order: pass order_by")
-    return quality_report(before, after, ob_before, order_by_after=ob_after, approx_distinct=approx_distinct,
+    return quality_report(before, after, ob_before, order_by_after=ob_after, exact_distinct=exact_distinct,
                           unchanged=unchanged)
 
 
 def run_path(spark, src: str, dst: str, opts: PrepOptions = PrepOptions(), fmt: str | None = None,
-             out_fmt: str = "parquet", verdicts: DataFrame | None = None) -> RunResult:
+             out_fmt: str = "parquet", verdicts: DataFrame | None = None, on_malformed: str = "split") -> RunResult:
     """Read a file or folder, run, write the result (overwrite) to ``dst`` and remove what the run wrote
-    below the checkpoint folder: afterwards read ``dst``, not ``data``."""
-    from ..sources.io import read_table, write_table
-
-    df = read_table(spark, src, fmt)
-    res = run(df, opts, verdicts=verdicts)
+    below the checkpoint folder: afterwards read ``dst``, not ``data``.
+
+    Records that don't fit the table (see ``sources.io.read_checked``) aren't in it; the result has them and their number, the log
+    a step for them. With ``on_malformed="error"`` one such record fails the run."""
+    from ..sources.io import check_export_format, read_checked, write_table
+
+    check_export_format(out_fmt)
+    if on_malformed not in ("split", "error"):
+        raise ValueError("on_malformed is split or error")
+    source = read_checked(spark, src, fmt)
+    bad = source.count_malformed()
+    step = ("reading", "failed" if bad and on_malformed == "error" else "success", f"{bad} malformed records", {"malformed": str(bad)}, 0.0)
+    if bad and on_malformed == "error":
+        raise PrepError(f"{bad} malformed records in {src}", [step])
+    res = run(source.data, opts, verdicts=verdicts)
+    if bad:
+        res.log.insert(0, step)
+    res.malformed, res.n_malformed = source.malformed, bad
     write_table(res.data, dst, out_fmt)
     res.cleanup()
     return res
 
 
-__all__ = ["fit", "run", "run_path", "FittedPrep", "RunResult", "PrepError", "PrepOptions", "mask_summary",
+__all__ = ["fit", "run", "run_path", "log_frame", "log_summary", "united_distinct", "FittedPrep", "RunResult", "PrepError", "PrepOptions", "mask_summary",
            "extract_features", "quality_report"]

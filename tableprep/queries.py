@@ -25,7 +25,7 @@ from .operators.features import FeatureOptions, extract_features
 from .operators.masking import MaskSpec, mask_columns, mask_preview, mask_summary
 from .operators.ordered_fill import ordered_fill
 from .operators.profile import profile
-from .operators.quality import consistency, data_size, text_checks
+from .operators.quality import data_size, text_checks
 from .operators.sample import first_values
 from .operators.sensitive import detect_sensitive, mask_decision
 from .operators.standardize import (
@@ -152,19 +152,31 @@ def q_basic_stats(spark, sf):
     f"({_gaps_missing}) / (count(*) * 6.0)::DOUBLE AS missing_rate, ({_gaps_missing}) / (count(*) * 6.0)::DOUBLE > 0.8 AS too_sparse "
     f"FROM orders_gaps", GAPS))
 def q_missing_rate(spark, sf):
-    b = basic_stats(fxt(spark, sf, GAPS))
-    return b.select("missing_cells", (F.col("rows") * F.col("columns")).alias("cells"), "missing_rate",
-                    (F.col("missing_rate") > 0.8).alias("too_sparse"))
+    v = validate(fxt(spark, sf, GAPS))
+    p = v.prof
+    return spark.createDataFrame([(p.total_missing, p.cells, p.missing_rate, any(e[0] == "missing_rate" for e in v.errors))],
+                                 "missing_cells bigint, cells bigint, missing_rate double, too_sparse boolean")
 
 
-@query("validate_table", with_fixtures(
-    f"SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, count(*) = 0 AS is_empty, count(*) > 1000000 AS over_row_limit, "
-    f"({_gaps_missing}) / (count(*) * 6.0)::DOUBLE > 0.8 AS over_missing_limit FROM orders_gaps", GAPS))
+def _validate_sql(part, where):
+    return (f"SELECT '{part}' AS part, count(*) AS rows, CAST(6 AS BIGINT) AS columns, count(*) = 0 AS is_empty, count(*) > 10000 AS over_row_limit, "
+            f"coalesce(({_gaps_missing}) / nullif(count(*) * 6.0, 0) > 0.3, false) AS over_missing_limit, "
+            f"count(*) BETWEEN 1 AND 10000 AND ({_gaps_missing}) / nullif(count(*) * 6.0, 0) <= 0.3 AS valid FROM orders_gaps WHERE {where}")
+
+
+VALIDATED = {"all": "true", "none": "o_orderkey < 0", "some": "o_orderkey % 20 = 0 AND o_orderkey % 7 <> 0"}
+
+
+@query("validate_table", with_fixtures(" UNION ALL ".join(_validate_sql(p, w) for p, w in VALIDATED.items()), GAPS))
 def q_validate_table(spark, sf):
-    b = basic_stats(fxt(spark, sf, GAPS))
-    return b.select("rows", "columns", (F.col("rows") == 0).alias("is_empty"),
-                    (F.col("rows") > 1_000_000).alias("over_row_limit"),
-                    (F.col("missing_rate") > 0.8).alias("over_missing_limit"))
+    """V1, V2, V6 by ``validate``: the whole table, no row of it, and a part without many gaps."""
+    rows = []
+    for part, where in VALIDATED.items():
+        v = validate(fxt(spark, sf, GAPS).where(where), max_rows=10_000, max_missing_rate=0.3)
+        codes = {e[0] for e in v.errors}
+        rows.append((part, v.stats["rows"], v.stats["columns"], "empty_table" in codes, "too_many_rows" in codes, "missing_rate" in codes, v.valid))
+    return spark.createDataFrame(rows, "part string, rows bigint, columns bigint, is_empty boolean, over_row_limit boolean, "
+                                       "over_missing_limit boolean, valid boolean")
 
 
 _empty_cols_sql = " UNION ALL ".join(f"SELECT {S.lit(c)} AS column, count({c}) AS n FROM orders_gaps" for c in GAPS_COLS)
@@ -271,13 +283,6 @@ def _dt_first10_sql(src, c, fmt_sql="%Y-%m-%d"):
             f"WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 10) s)")
 
 
-def _evidence_frame(spark, sf, key):
-    df = fxt(spark, sf, EVT)
-    decisions = {d.column: d for d in infer_types(df, "event_id")}
-    p = profile(df.select(*EVT_TEXT), text_evidence=True, approx_distinct=True)
-    return df, decisions, p
-
-
 @query("infer_boolean", with_fixtures(
     " UNION ALL ".join(f"SELECT {S.lit(c)} AS column, {_bool_sql(c)} AS is_boolean FROM events_text" for c in EVT_TEXT), EVT))
 def q_infer_boolean(spark, sf):
@@ -308,13 +313,16 @@ def _cat_sql(c):
     return f"(count(DISTINCT {c}) / count({c}) < 0.1 AND count(DISTINCT {c}) < 50)"
 
 
-@query("infer_categorical", with_fixtures(
-    " UNION ALL ".join(f"SELECT {S.lit(c)} AS column, {_cat_sql(c)} AS is_categorical FROM events_text" for c in EVT_TEXT), EVT))
+CATEGORIES = {"event_type": "event_type", "c49": "'v' || event_id % 49", "c50": "'v' || event_id % 50", "c51": "'v' || event_id % 51",
+              "many": "'v' || event_id", "rare": "CASE WHEN event_id % 500 = 0 THEN 'v' || event_id % 1500 END"}
+
+
+@query("infer_categorical", with_fixtures(" UNION ALL ".join(
+    f"SELECT {S.lit(c)} AS column, {_cat_sql(e)} AS is_categorical FROM events_text" for c, e in CATEGORIES.items()), EVT))
 def q_infer_categorical(spark, sf):
-    df = fxt(spark, sf, EVT)
-    d = {r["column"]: r["n_distinct"] for r in distinct_counts(df, EVT_TEXT).collect()}
-    p = profile(df.select(*EVT_TEXT))
-    rows = [(c, d[c] / p.non_missing(c) < 0.1 and d[c] < 50) for c in EVT_TEXT]
+    """S10 by ``infer_types``, on both sides of its two limits."""
+    df = fxt(spark, sf, EVT).selectExpr("event_id", *(f"{e} AS {c}" for c, e in CATEGORIES.items()))
+    rows = [(d.column, d.detected == "categorical") for d in infer_types(df, "event_id") if d.column in CATEGORIES]
     return spark.createDataFrame(rows, "column string, is_categorical boolean")
 
 
@@ -519,8 +527,8 @@ def q_fill_after_drop(spark, sf):
 def q_missing_reduction(spark, sf):
     df = fxt(spark, sf, GAPS)
     out, plan = I.fill_missing(df, I.FillOptions())
-    after = profile(out).total_missing
-    return spark.createDataFrame([(plan.missing_before, after, plan.missing_before - after)],
+    less = I.missing_reduction(plan, out)
+    return spark.createDataFrame([(plan.missing_before, plan.missing_before - less, less)],
                                  "missing_before bigint, missing_after bigint, missing_reduction bigint")
 
 
@@ -587,7 +595,7 @@ def _detect(spark, sf):
     f"SELECT position, column, name_type, CAST(n_samples AS BIGINT) AS n_samples, phone_rate, id_card_rate, email_rate, "
     f"name_rate, address_rate, detected_type, score FROM ({DETECT_SQL}) x", PII))
 def q_detect_sensitive(spark, sf):
-    return _detect(spark, sf)
+    return _detect(spark, sf).drop("confirmed", "value_type")
 
 
 @query("sensitivity_score", with_fixtures(f"SELECT column, score FROM ({DETECT_SQL}) x", PII))
@@ -597,20 +605,12 @@ def q_sensitivity_score(spark, sf):
 
 @query("confirm_type", with_fixtures(f"SELECT column, name_type, confirmed FROM ({DETECT_SQL}) x", PII))
 def q_confirm_type(spark, sf):
-    d = _detect(spark, sf)
-    confirm = F.lit(False)
-    for t in P.SENSITIVE_TYPES:
-        confirm = F.when(F.col("name_type") == t, F.col(f"{t}_rate") >= 0.5).otherwise(confirm)
-    return d.select("column", "name_type", confirm.alias("confirmed"))
+    return _detect(spark, sf).select("column", "name_type", "confirmed")
 
 
 @query("detect_by_values", with_fixtures(f"SELECT column, value_type FROM ({DETECT_SQL}) x", PII))
 def q_detect_by_values(spark, sf):
-    d = _detect(spark, sf)
-    e = F.lit("none")
-    for t in reversed(("phone", "id_card", "email", "name")):
-        e = F.when(F.col(f"{t}_rate") > 0.7, F.lit(t)).otherwise(e)
-    return d.select("column", e.alias("value_type"))
+    return _detect(spark, sf).select("column", "value_type")
 
 
 def _decision_sql(threshold=0.7, verdict_cols=(), rules=None):
@@ -918,7 +918,7 @@ def _report(spark, sf):
     from .operators.quality import quality_report
 
     b, a = _pair(spark, sf)
-    return quality_report(b, a, "o_orderkey", with_size=False)
+    return quality_report(b, a, "o_orderkey", with_size=False, exact_distinct=True)
 
 
 MB = _missing_sum(GAPS_COLS, "orders_gaps")
@@ -1164,14 +1164,42 @@ def q_pipeline_file(spark, sf):
     return read_table(spark, dst, "parquet")
 
 
-@query("run_summary", "SELECT CAST(5 AS BIGINT) AS total_steps, CAST(5 AS BIGINT) AS successful_steps, "
-                      "CAST(0 AS BIGINT) AS failed_steps, CAST(4 AS BIGINT) AS masked_columns_count, "
-                      "CAST(0 AS BIGINT) AS extracted_features_count")
+def _steps_sql(name, source, limit):
+    ok = f"(SELECT count(*) <= {limit} FROM {source})"
+    return (f"SELECT '{name}' AS run, CAST(CASE WHEN {ok} THEN 5 ELSE 1 END AS BIGINT) AS total_steps, CAST(CASE WHEN {ok} THEN 5 ELSE 0 END AS BIGINT) "
+            f"AS successful_steps, CAST(CASE WHEN {ok} THEN 0 ELSE 1 END AS BIGINT) AS failed_steps, CASE WHEN {ok} THEN (SELECT count(*) FROM "
+            f"({_decision_sql()}) d WHERE should_mask) ELSE 0 END AS masked_columns_count, CAST(0 AS BIGINT) AS extracted_features_count")
+
+
+RUN_LIMITS = {"wide": 1_000_000_000, "tight": 10}      # rows that a run of customer_pii accepts
+
+
+@query("run_summary", with_fixtures(" UNION ALL ".join(_steps_sql(n, "customer_pii", k) for n, k in RUN_LIMITS.items()), PII))
 def q_run_summary(spark, sf):
-    from .plans.pipeline import run
+    """Q19 of a run that succeeds and of one that its row limit stops at the first step."""
+    from .plans.pipeline import PrepError, log_frame, log_summary, run
 
-    res = run(fxt(spark, sf, PII), PrepOptions(order_by="c_custkey"), materialize=False)
-    return res.run_summary(spark)
+    parts = []
+    for name, limit in RUN_LIMITS.items():
+        try:
+            s = run(fxt(spark, sf, PII), PrepOptions(order_by="c_custkey", max_rows=limit), materialize=False).run_summary(spark)
+        except PrepError as e:
+            s = log_summary(log_frame(spark, e.log))
+        parts.append(s.select(F.lit(name).alias("run"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("failed_run", "SELECT 'data_validation' AS step, 'failed' AS status, 'too_many_rows ' || count(*) || ' > 10' AS error FROM customer HAVING count(*) > 10")
+def q_failed_run(spark, sf):
+    """A failed run raises with its log and gives no rows."""
+    from .plans.pipeline import PrepError, log_frame, run
+
+    try:
+        run(table(spark, sf, "customer"), PrepOptions(order_by="c_custkey", max_rows=10))
+    except PrepError as e:
+        error = F.regexp_replace(F.regexp_extract(F.col("details")["errors"], r"\(([^)]*)\)", 1), "[',]", "")
+        return log_frame(spark, e.log).select("step", "status", F.regexp_replace(error, " +", " ").alias("error"))
+    raise AssertionError("the run did not fail")
 
 
 def _gain_sql():
@@ -1186,24 +1214,60 @@ def _gain_sql():
                          f"round({after} * 100, 2) - round({before} * 100, 2) AS gain", EVT, ctes=(("nb", norm),))
 
 
-@query("run_log", "SELECT * FROM (VALUES ('data_validation', 'success'), ('table_standardization', 'success'), "
+@query("run_log", "SELECT run_id, step, status FROM (VALUES ('data_validation', 'success'), ('table_standardization', 'success'), "
                   "('missing_data_handling', 'success'), ('data_masking', 'success'), ('quality_report', 'success')) "
-                  "t(step, status) WHERE (SELECT count(*) FROM customer) > 0")
+                  "t(step, status), (VALUES ('first'), ('second')) r(run_id) WHERE (SELECT count(*) FROM customer) > 0")
 def q_run_log(spark, sf):
+    """The log of a job that is retried is there once, and doesn't touch another run's."""
     from .plans.pipeline import run
 
     res = run(fxt(spark, sf, PII), PrepOptions(order_by="c_custkey"), materialize=False)
-    return res.log_frame(spark).select("step", "status")
+    path = scratch(spark, "run-log")
+    for run_id in ("first", "second", "first"):
+        res.append_log(spark, path, run_id)
+    return spark.read.parquet(path).select(F.col("run_id").cast("string").alias("run_id"), "step", "status")
+
+
+@query("united_distinct", "SELECT 'c_custkey' AS column, true AS within_3_percent FROM customer HAVING count(DISTINCT c_custkey) > 0")
+def q_united_distinct(spark, sf):
+    """Q9 over two runs of overlapping parts of a table, from the sketches kept with the run log."""
+    from .plans.pipeline import run, united_distinct
+
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    path = scratch(spark, "run-log")
+    for run_id, part in (("low", "c_custkey % 3 <> 0"), ("high", "c_custkey % 3 <> 1")):
+        run(c.where(part), PrepOptions(order_by="c_custkey"), materialize=False).append_log(spark, path, run_id)
+    n = c.select(F.count_distinct("c_custkey").alias("n"))
+    u = united_distinct(spark, path).where("side = 'original' AND column = 'c_custkey'")
+    return u.join(F.broadcast(n)).select("column", (F.abs(F.col("n_distinct") - F.col("n")) <= 0.03 * F.col("n")).alias("within_3_percent"))
 
 
 @query("consistency_gain", _gain_sql())
 def q_consistency_gain(spark, sf):
-    b = normalize_na(fxt(spark, sf, EVT))
-    a = convert_types(b, infer_types(b, "event_id"))[0]
-    cb, _ = consistency(b, profile(b), "event_id")
-    ca, _ = consistency(a, profile(a), "event_id")
-    return spark.createDataFrame([(round(cb * 100, 2), round(ca * 100, 2), round(ca * 100, 2) - round(cb * 100, 2))],
-                                 "original double, processed double, gain double")
+    """Q20 as the standardization step logs it: one evidence pass for both scores."""
+    from .plans.pipeline import fit
+
+    log: list = []
+    found = fit(normalize_na(fxt(spark, sf, EVT)), PrepOptions(order_by="event_id"), log).consistency
+    told = next(details["consistency"] for step, _, _, details, _ in log if step == "table_standardization")
+    assert told == f"{found['original']} -> {found['processed']}, gain {found['gain']}"
+    return spark.createDataFrame([(found["original"], found["processed"], found["gain"])], "original double, processed double, gain double")
+
+
+def _text_report_sql():
+    """The report's lines from the metrics' SQL."""
+    shown = "coalesce(format('{:.10g}', value), '-')"
+    by = lambda side: f"max(CASE WHEN side = '{side}' THEN {shown} END)"
+    line = (f"rpad(section, 8, ' ') || rpad(metric, 20, ' ') || concat_ws(', ', concat_ws(' -> ', {by('original')}, {by('processed')}), "
+            f"'improvement ' || {by('improvement')})")
+    line = line.replace("concat_ws(', ', concat_ws", "concat_ws(', ', nullif(concat_ws").replace(f"{by('processed')}), ", f"{by('processed')}), ''), ")
+    return (f"SELECT 'Data quality report' AS line UNION ALL SELECT {line} FROM ({ORACLE['quality_report']}) m WHERE column IS NULL GROUP BY section, metric")
+
+
+@query("text_report", _text_report_sql())
+def q_text_report(spark, sf):
+    """Q16, line by line."""
+    return spark.createDataFrame([(x,) for x in _report(spark, sf).text().split("\n")], "line string")
 
 
 # ------------------------------------------------------------------------------------------------
@@ -1287,6 +1351,80 @@ def q_run_validation(spark, sf):
     return spark.createDataFrame([(v.stats["rows"], v.stats["columns"], v.valid)], "rows long, columns long, valid boolean")
 
 
+FORMATS = ["csv", "json", "parquet", "orc", "xlsx", "txt"]
+
+
+@query("export_formats", "SELECT format, CASE WHEN format IN ('csv', 'json', 'parquet', 'orc') THEN (SELECT count(*) FROM nation) END AS rows FROM (VALUES "
+                         + ", ".join(f"('{f}')" for f in FORMATS) + ") t(format)")
+def q_export_formats(spark, sf):
+    """IO5-IO7: rows read back from each format; an unknown one is refused before anything is written."""
+    rows = []
+    for f in FORMATS:
+        path = scratch(spark, "format")
+        try:
+            write_table(table(spark, sf, "nation"), path, f)
+            rows.append((f, read_table(spark, path, f).count()))
+        except ValueError:
+            rows.append((f, None))
+    return spark.createDataFrame(rows, "format string, rows bigint")
+
+
+@query("failed_conversion", "SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority, CAST(o_custkey AS DOUBLE) AS o_custkey FROM "
+                            "(SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority, o_custkey FROM orders)")
+def q_failed_conversion(spark, sf):
+    """A conversion that doesn't apply to a column's type leaves the column as it is."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority", F.col("o_custkey").cast("double").alias("o_custkey"))
+    return apply_type_mapping(o, {"o_orderdate": "numeric", "o_totalprice": "datetime", "o_custkey": "boolean", "nothing": "text"})[0]
+
+
+_NAME_ENDS = ["_phone", "Tel", " identity", "_mail_to", "Name", "_location", "_no", "电话", "_nationkey"]
+
+
+def _by_name_sql():
+    e = "'none'"
+    for t in reversed(P.SENSITIVE_TYPES):
+        e = f"CASE WHEN {' OR '.join(f'contains(lower(n), {S.lit(k)})' for k in P.NAME_KEYWORDS[t])} THEN '{t}' ELSE {e} END"
+    ends = ", ".join(f"({S.lit(x)})" for x in _NAME_ENDS)
+    return f"SELECT n AS column, {e} AS name_type FROM (SELECT DISTINCT c_mktsegment || x AS n FROM customer, (VALUES {ends}) v(x)) t"
+
+
+@query("detect_by_name", _by_name_sql())
+def q_detect_by_name(spark, sf):
+    """D2 for names made of the market segments (one of which holds a keyword)."""
+    from .operators.sensitive import name_candidates
+
+    segments = [r[0] for r in table(spark, sf, "customer").select("c_mktsegment").distinct().collect()]
+    return name_candidates(spark, [s + x for s in segments for x in _NAME_ENDS]).select("column", "name_type")
+
+
+@query("malformed_rows", "SELECT format, good, malformed, records FROM (SELECT 'csv' AS format, count(*) FILTER (c_custkey % 10 <> 0) AS good, "
+                         "count(*) FILTER (c_custkey % 10 = 0) AS malformed, string_agg(CASE WHEN c_custkey % 10 = 0 THEN c_custkey || ',' || c_name || ',extra,' END, "
+                         "'|' ORDER BY c_custkey) AS records FROM customer UNION ALL SELECT 'json', count(*) FILTER (c_custkey % 15 <> 0), "
+                         "count(*) FILTER (c_custkey % 15 = 0), string_agg(CASE WHEN c_custkey % 15 = 0 THEN '{\"k\":' || c_custkey || ',' END, '|' ORDER BY c_custkey) "
+                         "FROM customer) t")
+def q_malformed_rows(spark, sf):
+    """IO1, IO2: rows with cells beyond the header, and broken JSON lines, are handed over whole; short rows are rows."""
+    from .sources.io import read_checked
+
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    lines = {"csv": F.concat_ws(",", k, F.when(k % 7 != 0, F.col("c_name")).when(k % 10 == 0, F.col("c_name")), F.when(k % 10 == 0, "extra,")),
+             "json": F.when(k % 15 == 0, F.concat(F.lit('{"k":'), k, F.lit(","))).otherwise(F.to_json(F.struct(k.alias("k"), "c_name")))}
+    out = []
+    for fmt, line in lines.items():
+        path = scratch(spark, "malformed")
+        text = c.select(k.alias("i"), line.alias("value"))
+        if fmt == "csv":
+            text = text.unionByName(spark.createDataFrame([(-1, "k,name")], "i long, value string"))
+        text.repartition(1).sortWithinPartitions("i").select("value").write.text(path)
+        got = read_checked(spark, path, fmt)
+        number = F.regexp_extract("record", "([0-9]+)", 1).cast("long")
+        bad = got.malformed.agg(F.count("*").alias("malformed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), "record"))),
+                                                                                         lambda x: x["record"]), "|").alias("records"))
+        out.append(got.data.agg(F.count("*").alias("good")).join(F.broadcast(bad)).select(F.lit(fmt).alias("format"), "good", "malformed", "records"))
+    return out[0].unionByName(out[1])
+
+
 @query("preview_counts", with_fixtures(f"SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, CAST({_gaps_missing} AS BIGINT) AS missing_cells FROM orders_gaps", GAPS))
 def q_preview_counts(spark, sf):
     return preview_counts(fxt(spark, sf, GAPS))

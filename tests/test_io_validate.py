@@ -95,3 +95,24 @@ def test_csv_multiline_and_custom_tokens(spark, tmp_path):
     df = read_csv(spark, str(p), multiline=True, na_tokens=["-"])
     rows = {r.k: r.note for r in df.collect()}
     assert rows == {"1": "two\nlines", "2": None, "3": "plain"}
+
+
+def test_malformed_records(spark, tmp_path):
+    from tableprep.sources.io import read_checked, read_csv
+
+    p = tmp_path / "a.csv"
+    p.write_text('k,a b.c\n1,x\n2,y,EXTRA\n3\n4,z,\n5,"q,r"\n6,w,1,2,3\n', encoding="utf-8")
+    c = read_checked(spark, str(p))
+    assert [tuple(r) for r in c.data.orderBy("k").collect()] == [("1", "x"), ("3", None), ("4", "z"), ("5", "q,r")]
+    assert sorted(r["record"] for r in c.malformed.collect()) == ["2,y,EXTRA", "6,w,1,2,3"] and c.count_malformed() == 2
+    with pytest.raises(Exception, match="malformed record"):
+        read_csv(spark, str(p)).select("k").collect()
+    j = tmp_path / "b.json"
+    j.write_text('{"a":1,"b":"x"}\n{"a":2,"b":\n5\n{"a":3}\n', encoding="utf-8")
+    c = read_checked(spark, str(j))
+    assert c.data.columns == ["a", "b"] and c.data.count() == 2 and sorted(r["record"] for r in c.malformed.collect()) == ["5", '{"a":2,"b":']
+    with pytest.raises(Exception, match="malformed record"):
+        read_table(spark, str(j)).count()
+    j = tmp_path / "c.json"
+    j.write_text('[{"a":1},{"a":2}', encoding="utf-8")
+    assert read_checked(spark, str(j)).count_malformed() == 1

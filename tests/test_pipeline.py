@@ -67,15 +67,54 @@ def test_quality4_scores(spark):
     assert "75 -> 100" in next(x for x in r.text().split("\n") if "completeness" in x)
 
 
-def test_quality_report_approx_distinct_close(spark):
+def test_distinct_counts_are_sketches_unless_exact_ones_are_asked_for(spark):
     from pyspark.sql import functions as F
 
     df = spark.range(0, 20000).select("id", (F.col("id") % 997).alias("m"), (F.col("id") * 0.5).alias("h"))
-    exact = quality_report(df, df, "id")
-    approx = quality_report(df, df, "id", approx_distinct=True)
+    exact = quality_report(df, df, "id", exact_distinct=True)
+    approx = quality_report(df, df, "id")
     for c in ("m", "h"):
-        assert abs(approx.unique_before[c] - exact.unique_before[c]) <= 0.05 * exact.unique_before[c]
-    assert exact.unique_before["m"] == 997
+        assert abs(approx.unique_before[c] - exact.unique_before[c]) <= 0.03 * exact.unique_before[c]
+    assert exact.unique_before["m"] == 997 and not exact.sketches and set(approx.sketches) == {(s, c) for s in ("original", "processed") for c in ("id", "m", "h")}
+    told = {r["metric"] for r in approx.metrics_frame(spark).collect()}
+    assert "unique_estimate" in told and "unique_count" not in told
+
+
+def test_sketches_of_runs_are_united(spark, tmp_path):
+    from tableprep.plans.pipeline import united_distinct
+
+    path = str(tmp_path / "log")
+    for run_id, at in (("a", 0), ("b", 600), ("a", 0)):
+        df = spark.range(at, at + 1000).selectExpr("id", "cast(id % 50 AS double) AS v")
+        run(df, PrepOptions(order_by="id"), materialize=False).append_log(spark, path, run_id)
+    got = {(r["side"], r["column"]): r["n_distinct"] for r in united_distinct(spark, path).collect()}
+    assert abs(got[("original", "id")] - 1600) < 50 and abs(got[("processed", "v")] - 50) <= 1
+    one = {(r["side"], r["column"]): r["n_distinct"] for r in united_distinct(spark, path, ["a"]).collect()}
+    assert abs(one[("original", "id")] - 1000) < 30
+
+
+def test_malformed_rows_of_a_run(spark, tmp_path):
+    from tableprep.plans.pipeline import run_path
+
+    src = tmp_path / "in.csv"
+    src.write_text("k,phone\n1,13800000001\n2,13800000002,lost?\n3\n4,13800000004,\n", encoding="utf-8")
+    res = run_path(spark, str(src), str(tmp_path / "out"), PrepOptions(order_by="k"))
+    assert res.n_malformed == 1 and res.malformed.first()["record"] == "2,13800000002,lost?"
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 4]
+    assert res.log[0][0] == "reading"
+    with pytest.raises(PrepError):
+        run_path(spark, str(src), str(tmp_path / "out2"), PrepOptions(order_by="k"), on_malformed="error")
+    assert not (tmp_path / "out2").exists()
+    with pytest.raises(ValueError):
+        run_path(spark, str(src), str(tmp_path / "out3"), PrepOptions(order_by="k"), out_fmt="xlsx")
+
+
+def test_consistency_gain_in_the_log(spark):
+    df = spark.createDataFrame([(1, "5", "x", None), (2, "6", "y", None)], "id int, n string, t string, e string")
+    res = run(df, PrepOptions(order_by="id"), materialize=False)
+    # id 1, n 0.3 -> 1, t 0.8, e 0.5 and dropped
+    assert res.fitted.consistency == {"original": 65.0, "processed": 93.33, "gain": 28.33}
+    assert any("gain 28.33" in d.get("consistency", "") for _, _, _, d, _ in res.log)
 
 
 def test_verdicts_mark_more_columns(spark):

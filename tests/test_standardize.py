@@ -81,3 +81,17 @@ def test_zoned_and_month_name_dates(spark):
         assert m.first().t == dt.datetime(2024, 1, 5)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_lower_bound_of_distinct_values_never_counts_too_many(spark):
+    """Columns near the limit of the categorical test: decided exactly, whatever their hashes."""
+    from pyspark.sql import functions as F
+
+    from tableprep.operators.profile import at_least_distinct
+    from tableprep.operators.standardize import infer_types
+
+    df = spark.range(0, 2000).select("id", *[F.concat(F.lit(f"c{k}-"), (F.col("id") % k).cast("string")).alias(f"c{k}") for k in (1, 2, 48, 49, 50, 51, 199, 1999)])
+    floor = df.agg(*[at_least_distinct(F.col(f"c{k}")).alias(f"c{k}") for k in (1, 2, 48, 49, 50, 51, 199, 1999)]).first()
+    assert all(0.9 * k <= floor[f"c{k}"] <= k for k in (1, 2, 48, 49, 50, 51, 199, 1999))
+    got = {d.column: d.detected for d in infer_types(df, "id")}
+    assert [got[f"c{k}"] for k in (1, 2, 48, 49, 50, 51, 199)] == ["categorical"] * 4 + ["text"] * 3
