@@ -3,8 +3,8 @@
 The model is a trie of levels. A level holds, under each context (a node of the level above), the words that follow it, as
 one monotone Elias-Fano sequence of context rank * words + word; where a context's successors begin is a second one.
 Each entry has a quantised probability, each context a quantised back-off weight. Levels are binary files that
-are read memory-mapped; ``Level.find`` finds an n-gram by the successor search of its word within its context's range. The
-query answers many n-grams at once from the decoded sequences (``Level.find_all``) and reads no pointers or weights. With counts
+are read memory-mapped; ``Level.find`` takes many n-grams at once: each context's range is read from the pointers, and
+the word's successor is searched within it, in the packed sequence. With counts
 c, the probability is interpolated: p(w | ctx) = c(ctx w) / (c(ctx) + mu) + mu / (c(ctx) + mu) * p(w | shorter ctx), and
 p(w) = (c(w) + 1) / (N + V + 1).
 
@@ -21,8 +21,8 @@ documents N = V = 0 and every token has probability 1; further columns are ignor
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .common import table, written
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -41,7 +42,7 @@ class LmOptions:
     order: int = 3
     mu: tuple[float, ...] = (0.0, 400.0, 20.0)      # by level, from the first
     block_tokens: int = 1_000_000
-    shard_items: int = 1_000_000
+    shard_items: int = 250_000
     split_count: int = 250_000
     steps: int = 255            # levels of a quantised value, over 12 decades
 
@@ -53,50 +54,72 @@ class LmOptions:
 # ------------------------------------------------------------------------------------------- Elias-Fano
 
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary. All parts are arrays, so they can be memory-mapped."""
+    """A monotone sequence: low bits packed into 64-bit words, high bits in unary. All parts are arrays, so they can be
+    memory-mapped."""
 
     def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, ranks: np.ndarray):
         self.n, self.low_bits, self.lows, self.highs, self.ranks = n, low_bits, lows, highs, ranks
+        self.places = None      # of the ones in the unary part, once many values are asked for
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
         bits = max(0, (int(v[-1]) // n).bit_length() - 1) if n else 0
-        lows = np.packbits(np.unpackbits(v.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - bits:].ravel(), bitorder="little")
+        lows = np.zeros((n * bits >> 6) + 2, np.uint64)
+        if bits:
+            low = v & np.uint64((1 << bits) - 1)
+            at = np.arange(n) * bits
+            word, shift = at >> 6, (at & 63).astype(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            lows[word[first]] = np.add.reduceat(low << shift, first)
+            over = np.flatnonzero((at & 63) + bits > 64)        # at most one value for each word end
+            lows[word[over] + 1] |= low[over] >> (np.uint64(64) - shift[over])
         unary = np.zeros((int(v[-1] >> np.uint64(bits)) + n + 1) if n else 1, np.uint8)
         unary[(v >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
         highs = np.packbits(unary)
-        ones = np.unpackbits(highs).reshape(-1, 8).sum(1)
-        ones = np.pad(ones, (0, -len(ones) % 64)).reshape(-1, 64).sum(1)
+        ones = np.bitwise_count(np.pad(highs, (0, -len(highs) % 64))).reshape(-1, 64).sum(1, dtype=np.int64)
         return cls(n, bits, lows, highs, np.concatenate([[0], np.cumsum(ones)]).astype(np.int64))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for b in range(self.low_bits):
-            at = i * self.low_bits + b
-            out = out << np.uint64(1) | ((self.lows[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64)
-        return out
+        if not self.low_bits:
+            return np.zeros(len(i), np.uint64)
+        at = i * self.low_bits
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        out = self.lows[word] >> shift
+        over = np.flatnonzero((at & 63) + self.low_bits > 64)
+        out[over] |= self.lows[word[over] + 1] << (np.uint64(64) - shift[over])
+        return out & np.uint64((1 << self.low_bits) - 1)
+
+    def _select(self, i: np.ndarray) -> np.ndarray:
+        """The places of the i-th ones: by ranks of 512-bit parts for a few, by one pass over the unary part for many."""
+        if self.places is None and len(i) > 64:
+            self.places = np.flatnonzero(np.unpackbits(self.highs))
+        if self.places is not None:
+            return self.places[i]
+        part = np.searchsorted(self.ranks, i, "right") - 1
+        return np.array([p * 512 + np.flatnonzero(np.unpackbits(self.highs[p * 64:p * 64 + 64]))[x - self.ranks[p]] for p, x in zip(part.tolist(), i.tolist(), strict=True)], np.int64)
 
     def get(self, i) -> np.ndarray:
-        """The values at positions ``i``: select in the unary part, by ranks of 512-bit parts."""
+        """The values at positions ``i``."""
         i = np.atleast_1d(np.asarray(i, np.int64))
-        part = np.searchsorted(self.ranks, i, "right") - 1
-        at = np.empty(len(i), np.int64)
-        for j, (p, x) in enumerate(zip(part.tolist(), i.tolist(), strict=True)):
-            at[j] = p * 512 + np.flatnonzero(np.unpackbits(self.highs[p * 64:p * 64 + 64]))[x - self.ranks[p]]
-        return (at - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+        return (self._select(i) - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+
+    def at_least(self, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """Successor search, many at once: the first position in [lo, hi) whose value isn't below ``want``, else hi. Each step
+        halves the ranges that are left."""
+        lo, hi = lo.copy(), hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            below = self.get(mid) < want[open_]
+            lo[open_[below]] = mid[below] + 1
+            hi[open_[~below]] = mid[~below]
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo
 
     def all(self) -> np.ndarray:
-        """All values, decoded in one pass."""
-        i = np.arange(self.n)
-        at = np.flatnonzero(np.unpackbits(self.highs))[:self.n]
-        if not self.low_bits:
-            return (at - i).astype(np.uint64)
-        bits = np.zeros((self.n, 64), np.uint8)
-        bits[:, 64 - self.low_bits:] = np.unpackbits(self.lows, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        low = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
-        return (at - i).astype(np.uint64) << np.uint64(self.low_bits) | low
+        return self.get(np.arange(self.n))
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], np.int64), self.lows, self.highs, self.ranks]
@@ -112,7 +135,8 @@ def quantised(p: np.ndarray, steps: int) -> np.ndarray:
 
 
 def restored(code: np.ndarray, steps: int) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** (12 * ((code.astype(np.float64) - 1) / (steps - 1) - 1)), 0.0)
+    every = np.arange(steps + 1, dtype=np.float64)
+    return np.where(every > 0, 10.0 ** (12 * ((every - 1) / (steps - 1) - 1)), 0.0)[code]
 
 
 class Level:
@@ -133,7 +157,7 @@ class Level:
         rank = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(ctx)]]).astype(np.int64)))
         words = int(word.max()) + 1 if len(word) else 1
         return cls(EliasFano.of(names), EliasFano.of(first), EliasFano.of(rank.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64)), words,
-                   quantised(count / (total[rank] + mu), steps), quantised(mu / (total + mu), steps), count)
+                   quantised(count / (total[rank] + mu), steps), quantised(mu / (total + mu), steps), _narrow(count))
 
     def write(self, f) -> None:
         arrays = [x for e in (self.contexts, self.pointers, self.successors) for x in e.parts()]
@@ -155,32 +179,28 @@ class Level:
         e = [EliasFano(int(got[i][0]), int(got[i][1]), *got[i + 1:i + 4]) for i in (0, 4, 8)]
         return cls(*e, int(got[12][0]), *got[13:16])
 
-    def find(self, ctx: int, word: int) -> int:
-        """The place of one n-gram or -1, by random access only: the context by bisection, then the first successor in its
-        range that isn't smaller than the word, relative to the context."""
-        lo, hi = 0, self.contexts.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if int(self.contexts.get(mid)[0]) < ctx else (lo, mid)
-        if lo == self.contexts.n or int(self.contexts.get(lo)[0]) != ctx or word >= self.words:
-            return -1
-        a = int(self.pointers.get(lo)[0])
-        z = int(self.pointers.get(lo + 1)[0]) if lo + 1 < self.pointers.n else self.successors.n
-        base = lo * self.words
-        while a < z:
-            mid = (a + z) // 2
-            a, z = (mid + 1, z) if int(self.successors.get(mid)[0]) - base < word else (a, mid)
-        return a if a < self.successors.n and int(self.successors.get(a)[0]) == base + word else -1
-
-    def find_all(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The places of many n-grams, -1 where there is none; the sequences are decoded once."""
-        names, seq = self.contexts.all(), self.successors.all()
-        if not len(seq):
+    def find(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The places of n-grams, -1 where there is none: a context by bisection; its range by the pointers; in the range the
+        first successor that isn't smaller than the word, relative to the context. Runs of equal contexts are looked up once."""
+        if not len(ctx) or not self.contexts.n:
             return np.full(len(ctx), -1)
-        rank = np.minimum(np.searchsorted(names, ctx.astype(np.uint64)), len(names) - 1)
-        want = rank.astype(np.uint64) * np.uint64(self.words) + word.astype(np.uint64)
-        at = np.minimum(np.searchsorted(seq, want), len(seq) - 1)
-        return np.where((names[rank] == ctx.astype(np.uint64)) & (word < self.words) & (seq[at] == want), at, -1)
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        names = ctx[first].astype(np.uint64)
+        n = self.contexts.n
+        rank = np.searchsorted(self.contexts.all(), names)
+        inside = np.minimum(rank, n - 1)
+        known = (rank < n) & (self.contexts.get(inside) == names)
+        begin = self.pointers.get(inside).astype(np.int64)
+        after = np.where(inside + 1 < n, self.pointers.get(np.minimum(inside + 1, n - 1)).astype(np.int64), self.successors.n)
+        own = np.cumsum(np.concatenate([[0], (ctx[1:] != ctx[:-1]).astype(np.int64)]))
+        ok = known[own] & (word < self.words)
+        own = own[ok]
+        want = inside[own].astype(np.uint64) * np.uint64(self.words) + word[ok].astype(np.uint64)
+        at = self.successors.at_least(begin[own], after[own], want)
+        hit = np.minimum(at, self.successors.n - 1)
+        out = np.full(len(ctx), -1)
+        out[ok] = np.where((at < after[own]) & (self.successors.get(hit) == want), at, -1)
+        return out
 
 
 # ------------------------------------------------------------------------------------------- blocks
@@ -278,7 +298,8 @@ class Block:
         self.level, self.gram = 0, None
 
     def items(self):
-        """Sorts the next level's distinct n-grams by (shard, context, word): (shard, context, word, count, total)."""
+        """The next level's distinct n-grams by (shard, context, word): (shard, context, word, count, total). Words and n-grams
+        are numbered here as their global names order, so equal ones are found, and sorted, by one sort of (context, word)."""
         opt, n = self.opt, len(self.hashes)
         self.level += 1
         if self.level == 1:
@@ -286,25 +307,24 @@ class Block:
             ctx, word, total = np.zeros(n, np.int64), self.hashes, np.zeros(n, np.int64)
             shard = (self.hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % self.shards[0]
             self.own = np.arange(n)
+            self.order = np.lexsort((word, shard))
         else:
             ok = self.place >= self.level - 1
             before = np.concatenate([[0], self.gram[:-1]])      # the n-gram that ends one token earlier
             ok &= before >= 0
-            key = before[ok] * n + self.tok[ok]
-            keys, inverse = np.unique(key, return_inverse=True)
+            keys, inverse = np.unique(before[ok] * n + self.tok[ok], return_inverse=True)
             uses = np.bincount(inverse[self.learn[ok]], minlength=len(keys))
             self.gram = np.full(len(self.tok), -1)
             self.gram[ok] = inverse
-            parent, local = keys // n, keys % n
-            self.parent = parent
-            ctx, word, total = self.node[parent], self.word[local], self.count[parent]
+            self.parent, local = keys // n, keys % n
+            ctx, word, total = self.node[self.parent], self.word[local], self.count[self.parent]
             self.own = np.flatnonzero((ctx > 0) & (word > 0))
             ctx, word, total, uses = ctx[self.own], word[self.own], total[self.own], uses[self.own]
             parts = 1 + total // opt.split_count
             h = ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (word % parts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             shard = ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)).astype(np.int64) % self.shards[self.level - 1]
             total = np.where(parts > 1, total, 0)
-        self.order = np.lexsort((word, ctx, shard))
+            self.order = np.argsort(_narrow(shard), kind="stable")      # within a shard they are sorted already
         self.sent = [x[self.order] for x in (shard, ctx, word, uses.astype(np.int64), total)]
         return self.sent
 
@@ -333,9 +353,13 @@ class Block:
             if len(x):
                 f[self.own[self.order]] = x
         if self.level == 1:
-            self.word, self.c, self.node, self.count = full[0], full[1], full[0], full[1]
-            self.p1 = (full[1] + 1) / (n + types + 1)
-            self.p = self.p1[self.tok]
+            by = np.argsort(full[0])     # from here on words are numbered by their global names
+            rank = np.empty(size, np.int64)
+            rank[by] = np.arange(size)
+            self.tok = self.gram = rank[self.tok]
+            self.word, self.c = full[0][by], full[1][by]
+            self.node, self.count = self.word, self.c
+            self.p = ((self.c + 1) / (n + types + 1))[self.tok]
         else:
             # weight of the context; a context that training doesn't have leaves the shorter one's probability
             has = self.gram >= 0
@@ -344,7 +368,12 @@ class Block:
             total = self.count[self.parent]
             weight = np.where(total > 0, restored(quantised(mu / (total + mu), opt.steps), opt.steps), 1.0)
             self.p[has] = restored(full[2], opt.steps)[g] + weight[g] * self.p[has]
-            self.node, self.count = full[0], full[1]
+            if not last:
+                by = np.argsort(full[0])
+                rank = np.empty(size, np.int64)
+                rank[by] = np.arange(size)
+                self.gram[has] = rank[g]
+                self.node, self.count = full[0][by], full[1][by]
 
 
 def _block_of(rows, opt: LmOptions, shards: list[int], n: int, types: int):
@@ -373,7 +402,8 @@ def _answer(key, group: pa.Table, level: int, opt: LmOptions) -> pa.Table:
     else:
         keep = uses > 0
         ctx, word, uses = ctx[keep], word[keep], uses[keep]
-        order = np.lexsort((word, ctx))
+        high = int(word.max()) + 1 if len(word) else 1
+        order = np.argsort(ctx * high + word) if len(ctx) and int(ctx.max()) < (1 << 62) // high else np.lexsort((word, ctx))
         ctx, word, uses = ctx[order], word[order], uses[order]
         first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])])) if len(ctx) else np.empty(0, np.int64)
         count = np.add.reduceat(uses, first) if len(first) else np.empty(0, np.int64)
@@ -384,7 +414,7 @@ def _answer(key, group: pa.Table, level: int, opt: LmOptions) -> pa.Table:
         part.write(f)
         part = Level.mapped(f)
         queries = [look(e) for e in every]
-        places = part.find_all(np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries]))
+        places = part.find(np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries]))
         codes, counts = np.asarray(part.codes), np.asarray(part.counts)
         cuts = np.cumsum([0, *(len(q[0]) for q in queries)])
         for (b, _, _), a, z in zip(raws, cuts[:-1], cuts[1:], strict=True):
@@ -404,10 +434,16 @@ def _answer(key, group: pa.Table, level: int, opt: LmOptions) -> pa.Table:
                      "n_types": pa.array([0] * m + [n_types], pa.int64())})
 
 
-def _release(spark) -> None:
-    """Lets Spark remove the shuffle files of the levels that are done: they go once the driver has no plan that uses them."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _by_block(df: DataFrame) -> DataFrame:
+    """``df`` written once below the checkpoint folder, in buckets by block: what is joined to it by block later is shuffled, the
+    blocks themselves never are."""
+    spark = df.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    df.write.bucketBy(n, "block").option("path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")     # the name only: the files are outside of the warehouse
+    return out
 
 
 def _two(f):
@@ -420,7 +456,7 @@ def score(docs: DataFrame, train_on: Column, opt: LmOptions = LmOptions(), id_co
     from the rows where ``train_on`` holds and scores all."""
     df = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), train_on.alias("learn"))
     kind = df.schema["id"].dataType.simpleString()
-    blocks = written(df.mapInArrow(lambda b: _blocks(b, opt.block_tokens),
+    blocks = _by_block(df.mapInArrow(lambda b: _blocks(b, opt.block_tokens),
                      f"block long, ids array<{kind}>, lens array<long>, train array<boolean>, data binary, n_words long, n_tokens long, n_train long"))
     size = blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_train")).first()
     n_words, n_tokens, n_train = (x or 0 for x in size)
@@ -447,9 +483,6 @@ def score(docs: DataFrame, train_on: Column, opt: LmOptions = LmOptions(), id_co
         if level == 1:
             types = new.agg(F.sum("n_types")).first()[0] or 0
         new = new.where("block >= 0").select("block", "level", "shard", "data")
-        del sent
-        rows = None
-        _release(docs.sparkSession)
         answers = new if answers is None else answers.unionByName(new)
         of_block = answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "data")).alias("answers"))
         rows = blocks.join(of_block, "block", "left")

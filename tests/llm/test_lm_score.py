@@ -81,6 +81,12 @@ def test_elias_fano_and_a_mapped_level():
         if len(values):
             at = rng.integers(0, len(values), 40)
             assert e.get(at).tolist() == [int(values[i]) for i in at]
+            few = L.EliasFano.of(np.array(values, np.uint64))
+            assert few.get(at[:9]).tolist() == [int(values[i]) for i in at[:9]] and few.places is None
+            lo = rng.integers(0, len(values), 30)
+            hi = np.maximum(lo, rng.integers(0, len(values) + 1, 30))
+            want = np.array(values, np.uint64)[rng.integers(0, len(values), 30)]
+            assert e.at_least(lo, hi, want).tolist() == [next((i for i in range(a, z) if int(values[i]) >= int(w)), z) for a, z, w in zip(lo, hi, want)]
     pairs = sorted({(int(a) * 3, int(b)) for a, b in rng.integers(0, 60, (700, 2))})
     ctx, word = (np.array(x) for x in zip(*pairs, strict=True))
     level = L.Level.build(ctx, word, rng.integers(1, 9, len(pairs)), {}, 5.0, 255)
@@ -90,8 +96,8 @@ def test_elias_fano_and_a_mapped_level():
         assert isinstance(got.successors.highs, np.memmap)
         ask = [(a, b) for a in range(0, 190, 7) for b in range(0, 62, 5)] + pairs[:50]
         want = [pairs.index(p) if p in pairs else -1 for p in ask]
-        assert [got.find(a, b) for a, b in ask] == want
-        assert got.find_all(*(np.array(x) for x in zip(*ask, strict=True))).tolist() == want
+        assert [got.find(np.array([a]), np.array([b]))[0] for a, b in ask] == want
+        assert got.find(*(np.array(x) for x in zip(*ask, strict=True))).tolist() == want
 
 
 def test_quantised_values_are_close():
