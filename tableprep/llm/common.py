@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir, remove_folder, write_and_read
 
 WS = " \t\n\x0b\x0c\r"          # \x20 and \x09-\x0D, the white space of every word rule here
 WS_RUN = r"[\x20\x09-\x0D]+"
@@ -21,6 +21,29 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+class Scratch:
+    """Tables written below ``spark.checkpoint.dir`` on the way to a result. Each is removed once nothing reads it any more;
+    those that the lazy result still reads stay."""
+
+    def __init__(self):
+        self.folders: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        out, folder = write_and_read(df)
+        if folder:
+            self.folders[id(out)] = (out, folder)
+        return out
+
+    def remove(self, *tables: DataFrame) -> None:
+        for t in tables:
+            kept = self.folders.pop(id(t), None)
+            if kept:
+                remove_folder(t.sparkSession, kept[1])
+
+    def remove_but(self, *tables: DataFrame) -> None:
+        self.remove(*(t for t, _ in list(self.folders.values()) if all(t is not x for x in tables)))
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null or blank text has none."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))

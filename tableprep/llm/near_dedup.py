@@ -19,7 +19,9 @@ the components are those of all links within the radius.
 
 Defined results: a null or blank text has an empty set and links with nothing; a document with fewer words than a
 shingle has its whole word sequence as one shingle; repeated rows are a row each; rows with a null id form
-components by the ids they are linked with (a null is never the smallest); further columns are ignored or kept as asked.
+components by the ids they are linked with (a null is never the smallest; a component of null ids alone has a null
+name); rows that share an id but not a text are documents of their own, linked each by its text; further columns are
+ignored or kept as asked.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import Scratch, table, words
 
 PLANES = 8      # bits of a symbol that the distance looks at
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -96,9 +98,9 @@ class Shingler:
 
 
 def signatures(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, sig, planes): digest names the whole set, sig holds k 16-bit symbols, planes their
-    low PLANES bits, bit by bit, in longs of 64 symbols."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    """Rows (doc_id, text_hash, n_shingles, digest, sig, planes): digest names the whole set, sig holds k 16-bit symbols, planes
+    their low PLANES bits, bit by bit, in longs of 64 symbols."""
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     rng = np.random.default_rng(20011)
     mult = (rng.integers(0, 1 << 63, opt.k, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     add = rng.integers(0, 1 << 63, opt.k, dtype=np.uint64)
@@ -120,10 +122,10 @@ def signatures(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> Dat
                 bits = (low[None, :] >> np.arange(PLANES, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.uint8)
                 bits = np.pad(bits, ((0, 0), (0, -opt.k % 64)))
                 planes.append(np.packbits(bits, axis=1).view(np.int64).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(planes, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n_shingles", "digest", "sig", "planes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary()), pa.array(planes, pa.list_(pa.int64()))],
+                                             names=["doc_id", "text_hash", "n_shingles", "digest", "sig", "planes"])
 
-    schema = T.StructType([df.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, digest binary, sig binary, planes array<long>").fields])
+    schema = T.StructType([df.schema["doc_id"], *T.StructType.fromDDL("text_hash long, n_shingles long, digest binary, sig binary, planes array<long>").fields])
     return df.mapInArrow(run, schema)
 
 
@@ -236,18 +238,24 @@ def _compared(group: pa.Table, opt: NearOptions) -> pa.Table:
     return pa.table({"a": pa.array([max(p) for p in out], kind), "b": pa.array([min(p) for p in out], kind)})
 
 
-def _across(m: DataFrame, about: DataFrame, texts: DataFrame, opt: NearOptions) -> DataFrame:
+def _across(m: DataFrame, about: DataFrame, texts: DataFrame, opt: NearOptions, scratch: Scratch) -> DataFrame:
     """Links between different components that share a key and size step; m: rows (key, step, cls, c).
 
-    Components that share one are a group. Its classes are dealt into blocks of ``opt.block``, sorted by component, and each
-    pair of blocks that holds different components is compared in one task: a pair of classes is never a row, a
-    task holds two blocks whatever the group's size, and only links leave it."""
-    lo = F.min("c").over(Window.partitionBy("key", "step"))
-    edges = m.select(F.col("c").alias("a"), lo.alias("b")).where("a <> b").distinct()
-    groups = components(edges).withColumnsRenamed({"id": "c", "component": "g"})
+    Components that share one are a group. Its classes are dealt by hashes into blocks of about ``opt.block``, those of a large
+    component into blocks of their own, and each pair of blocks that holds different components is compared in one task: a
+    pair of classes is never a row, a task holds two blocks whatever the group's size, and only links leave it."""
+    lo = m.groupBy("key", "step").agg(F.min("c").alias("b"))
+    edges = m.join(lo, ["key", "step"]).select(F.col("c").alias("a"), "b").where("a <> b").distinct()
+    groups = components(edges, scratch).withColumnsRenamed({"id": "c", "component": "g"})
     one = m.select("cls", "c").distinct().join(groups, "c")
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("c", "cls"))
-    one = written(one.withColumn("block", F.floor((rank - 1) / opt.block).cast("int")))
+    sizes = one.groupBy("g", "c").agg(F.count("*").alias("size"))
+    large = F.col("size") > opt.block
+    small = sizes.where(~large).groupBy("g").agg(F.sum("size").alias("others"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / opt.block)).cast("long")
+    of_large = F.concat_ws(":", "c", F.pmod(F.xxhash64("cls"), parts("size")))
+    of_small = F.concat(F.lit("-:"), F.pmod(F.xxhash64("c"), parts("others")))
+    one = one.join(sizes, ["g", "c"]).join(small, "g", "left").withColumn("block", F.when(large, of_large).otherwise(of_small)).select("g", "c", "cls", "block")
+    one = scratch.write(one)
     blocks = one.groupBy("g", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     pairs = blocks.join(blocks.toDF("g", "block2", "lo2", "hi2"), "g").where("block <= block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("g", "block", "block2")
     left = pairs.join(one, ["g", "block"]).withColumn("side", F.lit(0))
@@ -257,75 +265,102 @@ def _across(m: DataFrame, about: DataFrame, texts: DataFrame, opt: NearOptions)
     return rows.groupBy("g", "block", "block2").applyInArrow(lambda t: _compared(t, opt), f"a {kind}, b {kind}")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Rows (id, component): the smallest id reachable over ``links`` (a, b).
 
-    Alternates hooking every id to its smallest neighbour and following labels twice; each round is a written table, and
-    a component of diameter d needs about log d rounds."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("u", "v"))
-    label = written(both.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("id"), F.least("u", "l").alias("l")))
+    Alternates hooking every id to its smallest neighbour and following labels twice, until nothing changes (labels only
+    fall); each round is a written table that takes the place of the one before, and a component of diameter d needs about
+    log d rounds."""
+    scratch = scratch or Scratch()
+    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("u", "v"))
+    label = scratch.write(both.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("id"), F.least("u", "l").alias("l")))
     before = None
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnsRenamed({"id": "v", "l": "lv"}), "v").groupBy("u").agg(F.min("lv").alias("m"))
         one = label.join(near.withColumnRenamed("u", "id"), "id").select("id", F.least("l", "m").alias("m"), "l")
         # the smallest label any member of a label has seen is taken over by all its members
         root = one.groupBy("l").agg(F.min("m").alias("r"))
-        label = one.join(root, "l").select("id", F.least("m", "r").alias("l"))
-        jump = label.select(F.col("id").alias("l"), F.col("l").alias("l2"))
-        label = written(label.join(jump, "l", "left").select("id", F.least("l", F.coalesce("l2", "l")).alias("l")))
+        hooked = one.join(root, "l").select("id", F.least("m", "r").alias("l"))
+        jump = hooked.select(F.col("id").alias("l"), F.col("l").alias("l2"))
+        last, label = label, scratch.write(hooked.join(jump, "l", "left").select("id", F.least("l", F.coalesce("l2", "l")).alias("l")))
         now = label.agg(F.sum(F.xxhash64("id", "l").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
+        scratch.remove(last)
         if now == before:
+            scratch.remove(both)
             return label.select("id", F.col("l").alias("component"))
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_components(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, n_links, kept), one for each row of ``docs``.
-
-    n_links counts the confirmed links found for the document's class (a spanning part of all links)."""
-    sig = written(signatures(docs, opt, id_col, text))
-    full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.min("sig").alias("sig"), F.min("planes").alias("planes"), F.min("n_shingles").alias("n")))
-    keys = chunk_keys(classes, opt).withColumn("c", F.count("*").over(Window.partitionBy("key")))
-    members = written(keys.where("c > 1").select("key", "cls"))
-    texts = docs.select(F.col(id_col).alias("cls"), F.col(text).alias("t")).join(members.select("cls").distinct(), "cls", "leftsemi")
-    texts = written(texts.dropDuplicates(["cls"]))
+def _classified(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): for each row of ``docs`` (doc_id, text_hash, n_shingles, digest), and for each set of shingles (digest,
+    component, its smallest id ``component_id``, ``n_links``, whether the component's chosen row is one of this class, and
+    the id and text hash of that row). Both are written."""
+    scratch = Scratch()
+    sig = scratch.write(signatures(docs, opt, id_col, text))
+    # a class is a set of shingles; it has a number of its own, as ids may be null or stand for several texts
+    found = sig.where("n_shingles > 0").groupBy("digest").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one"), F.min("sig").alias("sig"), F.min("planes").alias("planes"), F.min("n_shingles").alias("n"))
+    classes = scratch.write(found.select("digest", F.monotonically_increasing_id().alias("cls"), F.col("one.doc_id").alias("rep_id"), F.col("one.text_hash").alias("rep_hash"), "sig", "planes", "n"))
+    keys = chunk_keys(classes, opt)
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = scratch.write(keys.join(shared, "key", "leftsemi"))
+    wanted = classes.join(members.select("cls").distinct(), "cls", "leftsemi").select("cls", "rep_id", "rep_hash")
+    source = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text).alias("_h"), F.col(text).alias("t"))
+    texts = source.join(wanted, F.col("_i").eqNullSafe(F.col("rep_id")) & (F.col("_h") == F.col("rep_hash"))).select("cls", "t")
+    texts = scratch.write(texts.dropDuplicates(["cls"]))
     about = classes.select("cls", "n", "planes").join(texts.select("cls"), "cls", "leftsemi").join(lone_shingles(texts, opt), "cls", "left")
-    about = written(about.withColumn("u", F.coalesce("u", F.lit(0).cast("long"))).where(100 * (F.col("n") - F.col("u")) >= opt.percent * F.col("n")))
+    about = scratch.write(about.withColumn("u", F.coalesce("u", F.lit(0).cast("long"))).where(100 * (F.col("n") - F.col("u")) >= opt.percent * F.col("n")))
     # a set that is more than 100 / percent times as large as another is no link of it: by size, in steps of that ratio,
     # a link lies in one step or in two that adjoin
     step = F.floor(F.log("n") / math.log(100.0001 / opt.percent)).cast("int")
     m = members.join(about, "cls").withColumn("step", F.explode(F.array(step, step + 1)))
     m = m.select("key", "step", "cls", F.struct("n", "u", "planes").alias("x"))
-    first = F.first(F.struct("cls", "x")).over(Window.partitionBy("key", "step").orderBy("cls"))
-    star = m.withColumn("rep", first).where(F.col("cls") != F.col("rep.cls"))
-    star = star.where(_near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"rep.x.{c}"), opt))
-    star = written(star.select(F.col("cls").alias("a"), F.col("rep.cls").alias("b")).distinct())
-    links = written(confirmed(star, texts, opt))
-    comp = components(links)
+    # the smallest class of a key and step, by partial aggregation: a key that a third of all classes share is a row a task
+    rep = m.groupBy("key", "step").agg(F.min("cls").alias("rep"))
+    star = m.join(rep, ["key", "step"]).where("cls <> rep").select("cls", "rep", "x").dropDuplicates(["cls", "rep"])
+    star = star.join(about.select(F.col("cls").alias("rep"), F.struct("n", "u", "planes").alias("y")), "rep")
+    star = star.where(_near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), opt))
+    star = scratch.write(star.select(F.col("cls").alias("a"), F.col("rep").alias("b")))
+    links = scratch.write(confirmed(star, texts, opt))
+    comp = components(links, scratch)
     # members of different components under one key and size step
-    m = m.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).drop("component")
-    every = Window.partitionBy("key", "step")
-    m = m.withColumn("lo", F.min("c").over(every)).withColumn("hi", F.max("c").over(every)).where("lo <> hi").drop("lo", "hi")
-    links = written(links.union(_across(written(m), about, texts, opt)))
-    comp = components(links)
+    m = m.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).drop("component", "x")
+    mixed = m.groupBy("key", "step").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "step")
+    m = scratch.write(m.join(mixed, ["key", "step"], "leftsemi"))
+    links = scratch.write(links.union(_across(m, about, texts, opt, scratch)))
+    comp = components(links, scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    named = classes.select("digest", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").join(degree, "cls", "left")
-    named = named.select("digest", F.coalesce("component", "cls").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    own = F.col("n_shingles") == 0
-    out = out.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")))
+    named = classes.select("digest", "cls", "rep_id", "rep_hash").join(comp.withColumnRenamed("id", "cls"), "cls", "left").join(degree, "cls", "left")
+    named = named.withColumn("component", F.coalesce("component", "cls"))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), "rep_id", "rep_hash", "digest")).alias("first"))
+    named = named.join(first, "component").select("digest", "component", F.col("first.rep_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+                                                  (F.col("digest") == F.col("first.digest")).alias("chosen"), "rep_id", "rep_hash")
+    named = scratch.write(named)
+    scratch.remove_but(sig, named)
+    return sig.select("doc_id", "text_hash", "n_shingles", "digest"), named
+
+
+def near_components(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, n_links, kept), one for each row of ``docs``.
+
+    n_links counts the confirmed links found for the document's class (a spanning part of all links). component_id is the smallest
+    id of the component (null if none has one); a row is kept if its id is that."""
+    sig, named = _classified(docs, opt, id_col, text)
+    out = sig.join(named.select("digest", "component_id", "n_links"), "digest", "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, with all their columns; rows that share an id count as
-    one document, of which one row stays; rows with a null id stay."""
-    keep = near_components(docs, opt, id_col, text).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_keep"), "leftsemi").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` with one row of each component, with all their columns: the text with the smallest id (without any id,
+    of the first class by digest), one of equal rows. Rows that share an id but are unlike stay; so do all rows without words."""
+    _, named = _classified(docs, opt, id_col, text)
+    keep = named.where("chosen").select("rep_id", "rep_hash").distinct()
+    rows = docs.withColumn("_hash_of_text", F.xxhash64(text))
+    on = F.col(id_col).eqNullSafe(F.col("rep_id")) & (F.col("_hash_of_text") == F.col("rep_hash"))
+    some = rows.join(keep, on, "leftsemi").dropDuplicates([id_col, "_hash_of_text"]).drop("_hash_of_text")
+    return some.unionByName(docs.where(F.size(words(F.col(text))) == 0))
 
 
 def op6_hamming_join(spark, sf_dir):

@@ -98,3 +98,37 @@ def test_awkward_rows(spark):
     assert left.columns == df.columns
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 7] and left.where("doc_id IS NULL").count() == 2
     assert N.near_components(df.limit(0)).count() == 0 and N.one_of_each(df.limit(0)).count() == 0
+
+
+def test_ids_that_clash_and_null_ids(spark):
+    """Links are found by text: an id that stands for two texts links both, and rows without an id are linked as well."""
+    a, b = prose(80), prose(80, 41, 5)
+    near = lambda t, w: t.replace(" ", f" {w} ", 1)
+    df = documents(spark, [(1, a), (1, b), (2, near(a, "x")), (3, near(b, "y"))])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in N.near_components(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    assert sorted(r["text"] for r in N.one_of_each(df).collect()) == sorted([a, b])
+    df = documents(spark, [(None, a), (None, near(a, "x")), (7, near(a, "y")), (None, b), (None, near(b, "z")), (None, b), (None, None), (8, " ")])
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in N.near_components(df).collect()))
+    assert got == [(0, 0, True)] * 4 + [(0, 7, False)] * 2 + [(7, 7, True), (8, 8, True)]
+    left = N.one_of_each(df).collect()
+    assert sum(r["doc_id"] == 7 for r in left) == 1 and sum(bool(r["text"]) and r["text"].startswith(b.split()[0] + " ") for r in left) == 1 and len(left) == 4
+
+
+def test_large_components_are_blocks_of_their_own(spark):
+    rows = made(11) + made(12)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute(rows, 5, 80)
+    for block in (2, 3, 1000):
+        got = N.near_components(documents(spark, rows), N.NearOptions(5, 80, block=block)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_what_stays_on_disk(spark):
+    """Only the tables that the lazy result reads are left below the checkpoint folder."""
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = N.near_components(documents(spark, made(3)), N.NearOptions(3, 85))
+    assert len(set(os.listdir(folder)) - before) == 2 and out.count() > 0
