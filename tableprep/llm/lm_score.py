@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .common import table, written
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
 @dataclass(frozen=True)
 class LmOptions:
     order: int = 3
@@ -246,40 +244,71 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def _coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, the words of all texts as places among them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    # white space at either end of a text makes an empty word
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    real = codes != empty
+    lens = np.diff(np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]])
+    return coded.dictionary.to_pylist(), codes[real], lens
+
+
 def _blocks(batches, size: int):
     """Rows (block, ids, lens, train, data): lens and train for each document; data: word hashes and local tokens."""
     import xxhash
 
     base, number = TaskContext.get().partitionId() << 32, 0
-    ids, lens, train, tokens, words, n = [], [], [], [], _Ids({b"": 0}), 0
+    ids, lens, train, tokens, words, n = [], [], [], [], _Ids({"": 0}), 0
 
     def done(kind):
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
         tok = np.concatenate(tokens)
         uses = np.bincount(tok, minlength=len(h))
         order = np.argsort(-uses, kind="stable")        # frequent words get small numbers
         new = np.empty(len(h), np.int64)
         new[order] = np.arange(len(h))
-        return pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([ids], pa.list_(kind)), pa.array([lens], pa.list_(pa.int64())),
+        many = np.concatenate(lens)
+        learn = np.array(train, bool)
+        return pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([ids], pa.list_(kind)), pa.array([many], pa.list_(pa.int64())),
                                            pa.array([train], pa.list_(pa.bool_())), pa.array([_zip(h[order].view(np.int64), _narrow(new[tok]))], pa.binary()),
-                                           pa.array([len(h)]), pa.array([n]), pa.array([sum(x for x, t in zip(lens, train, strict=True) if t)])],
+                                           pa.array([len(h)]), pa.array([n]), pa.array([int(many[learn].sum())])],
                                           names=["block", "ids", "lens", "train", "data", "n_words", "n_tokens", "n_train"])
 
     kind = pa.int64()
     for b in batches:
         kind = b.schema.field(0).type
-        for key, t, learn in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            w = (t.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-            w.append(b"")
-            tokens.append(np.fromiter(map(words.__getitem__, w), np.int64, len(w)))
-            ids.append(key)
-            lens.append(len(w))
-            train.append(bool(learn))
-            n += len(w)
+        if not b.num_rows:
+            continue
+        distinct, codes, sizes = _coded(b.column(1))
+        keys, learns = b.column(0).to_pylist(), b.column(2).to_pylist()
+        upto = np.cumsum(sizes + 1)         # with the end token of each text
+        begins = np.cumsum(sizes) - sizes
+        at = 0
+        while at < b.num_rows:      # texts until the block is full
+            to = min(b.num_rows, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size - n)) + 1)
+            mine, count = codes[begins[at]:begins[to - 1] + sizes[to - 1]], sizes[at:to]
+            used = np.zeros(len(distinct), bool)
+            used[mine] = True
+            local = np.zeros(len(distinct), np.int64)
+            local[used] = [words[distinct[i]] for i in np.flatnonzero(used).tolist()]
+            out = np.zeros(len(mine) + to - at, np.int64)       # the end token is 0
+            is_end = np.zeros(len(out), bool)
+            is_end[np.cumsum(count + 1) - 1] = True
+            out[~is_end] = local[mine]
+            tokens.append(out)
+            ids += keys[at:to]
+            lens.append(count + 1)
+            train += map(bool, learns[at:to])
+            n += len(out)
+            at = to
             if n >= size:
                 yield done(kind)
                 number += 1
-                ids, lens, train, tokens, words, n = [], [], [], [], _Ids({b"": 0}), 0
+                ids, lens, train, tokens, words, n = [], [], [], [], _Ids({"": 0}), 0
     if ids:
         yield done(kind)
 
@@ -297,9 +326,10 @@ class Block:
         self.place = np.arange(len(self.tok)) - np.repeat(self.ends - self.lens, self.lens)     # within the document
         self.level, self.gram = 0, None
 
-    def items(self):
+    def items(self, send: bool = True):
         """The next level's distinct n-grams by (shard, context, word): (shard, context, word, count, total). Words and n-grams
-        are numbered here as their global names order, so equal ones are found, and sorted, by one sort of (context, word)."""
+        are numbered here as their global names order, so equal ones are found, and sorted, by one sort of (context, word).
+        Without ``send`` only what taking the answers needs: which n-grams were sent, in which order, to which shards."""
         opt, n = self.opt, len(self.hashes)
         self.level += 1
         if self.level == 1:
@@ -313,18 +343,22 @@ class Block:
             before = np.concatenate([[0], self.gram[:-1]])      # the n-gram that ends one token earlier
             ok &= before >= 0
             keys, inverse = np.unique(before[ok] * n + self.tok[ok], return_inverse=True)
-            uses = np.bincount(inverse[self.learn[ok]], minlength=len(keys))
             self.gram = np.full(len(self.tok), -1)
             self.gram[ok] = inverse
             self.parent, local = keys // n, keys % n
             ctx, word, total = self.node[self.parent], self.word[local], self.count[self.parent]
             self.own = np.flatnonzero((ctx > 0) & (word > 0))
-            ctx, word, total, uses = ctx[self.own], word[self.own], total[self.own], uses[self.own]
+            ctx, word, total = ctx[self.own], word[self.own], total[self.own]
             parts = 1 + total // opt.split_count
             h = ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (word % parts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             shard = ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)).astype(np.int64) % self.shards[self.level - 1]
-            total = np.where(parts > 1, total, 0)
             self.order = np.argsort(_narrow(shard), kind="stable")      # within a shard they are sorted already
+            if send:
+                total = np.where(parts > 1, total, 0)
+                uses = np.bincount(inverse[self.learn[ok]], minlength=len(keys))[self.own]
+        self.at = shard[self.order]
+        if not send:
+            return None
         self.sent = [x[self.order] for x in (shard, ctx, word, uses.astype(np.int64), total)]
         return self.sent
 
@@ -340,13 +374,12 @@ class Block:
         """The shards' answers for the level whose ``items`` were made last; n, types: N and V."""
         opt, last = self.opt, self.level == self.opt.order
         got = {s: _unzip(raw, 3) for s, raw in answers}
-        cuts = np.unique(self.sent[0])
+        cuts = self.at[np.concatenate([[True], self.at[1:] != self.at[:-1]])] if len(self.at) else self.at
         node, count, code = (np.concatenate([np.empty(0, np.int64), *(got[s][i].astype(np.int64) for s in cuts.tolist())]) for i in range(3))
         if not last:    # places come as steps
             node = np.concatenate([np.empty(0, np.int64), *(np.cumsum(got[s][0].astype(np.int64)) for s in cuts.tolist())])
-            shard = self.sent[0]
             found = count > 0
-            node = np.where(found, (node * self.shards[self.level - 1] + shard) + 1, 0)
+            node = np.where(found, (node * self.shards[self.level - 1] + self.at) + 1, 0)
         size = len(self.hashes) if self.level == 1 else int(self.gram.max()) + 1 if len(self.gram) else 0
         full = [np.zeros(size, np.int64) for _ in range(3)]
         for f, x in zip(full, (node, count, code), strict=True):
@@ -380,7 +413,7 @@ def _block_of(rows, opt: LmOptions, shards: list[int], n: int, types: int):
     """The block of one row (its columns, and answers: level, shard, data), with all answers taken."""
     block = Block(rows, opt, shards)
     for level in range(1, len(shards)):
-        block.items()
+        block.items(send=False)
         block.take([(a["shard"], a["data"]) for a in rows["answers"] if a["level"] == level], n, types)
     return block
 
