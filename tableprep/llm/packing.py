@@ -5,21 +5,21 @@ what it reads: whole sequences are cut off long examples, the rests go into a po
 sequence is filled by taking, again and again, the pool's example with the largest dot product between its vector and
 the room left (both as shares of the limits) among those that fit. Where examples may be cut, the room that is left
 in the end is filled with the head of the pool's largest example, so a task pads at most its last few sequences.
-No shuffle; the pool bounds the memory of a task whatever its input.
+No shuffle; the pool keeps no token that is placed, so it holds less than a sequence for each of its examples.
 
 Token ids are those of the ``tokenizers`` file given by its path. Words between spaces are looked up in a cache of
 bounded size; a word not in it goes to a byte-pair encoder built from the same file, and texts where spaces meet other
 white space or special tokens go to the full tokenizer.
 
 Defined results: null text is an empty text (one piece, its end id); null ids stay null and repeated rows are packed each for
-itself; further columns are ignored; an empty table gives no sequence.
+itself; null or empty loss spans are none; further columns are ignored; an empty table gives no sequence.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,7 +133,9 @@ def default_path() -> str:
 class Packer:
     """Places examples (key, ids, loss flags or None for all) into sequences; yields (key, start, length, sequence, offset)."""
 
-    def __init__(self, limits: Limits):
+    def __init__(self, limits: Limits, trim: Callable | None = None):
+        """``trim(key, start)``: the key of what an example has from ``start`` on, so that the pool holds no placed tokens."""
+        self.trim = trim or (lambda key, start: key)
         self.lim, self.caps = limits, np.array([limits.tokens, limits.segments, limits.loss], dtype=np.float64)
         self.items: list[tuple] = []                    # key, start, length, loss positions or None
         self.need = np.zeros((max(2, 2 * limits.pool), 3))
@@ -172,7 +174,9 @@ class Packer:
 
     def _keep(self, key, start, length, loss):
         i = len(self.items)
-        self.items.append((key, start, length, loss))
+        if start and loss is not None:
+            loss = loss[np.searchsorted(loss, start):].copy()
+        self.items.append((self.trim(key, start) if start else key, start, length, loss))
         self.need[i] = length, 1, self._losses(start, length, loss)
 
     def _drop(self, i: int):
@@ -199,7 +203,7 @@ class Packer:
                 if n < 1:
                     break
                 used = np.array([n, 1, self._losses(start, n, loss)])
-                self.items[i] = (key, start + n, length - n, loss)
+                self.items[i] = (self.trim(key, start + n), start + n, length - n, loss)
                 self.need[i] = length - n, 1, self._losses(start + n, length - n, loss)
             else:
                 break
@@ -229,29 +233,57 @@ def _encoded(b: pa.RecordBatch, enc: Encoder, most: int = 4 << 20) -> Iterator[t
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, path: str, limits: Limits = Limits(), id_col: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Rows (id, start, length, doc_tokens, sequence_id, offset, ids): the pieces of every sequence, with their ids."""
-    df = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+def loss_positions(enc: Encoder, text: str, spans: list[dict], n: int) -> np.ndarray:
+    """The places, among ``n`` tokens, of those that hold a character of a span (start, length in code points); the end token bears loss
+    if the text's last character does."""
+    bears = np.zeros(len(text) + 1, bool)
+    for x in spans:
+        bears[x["start"]:x["start"] + x["length"]] = True
+    bears[-1] = len(text) > 0 and bears[len(text) - 1]
+    upto = np.concatenate([[0], np.cumsum(bears[:-1])])
+    at = np.array(enc.full.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+    own = upto[at[:, 1]] > upto[at[:, 0]]
+    return np.flatnonzero(np.concatenate([own, [bears[-1]]])[:n])
+
+
+def pack(docs: DataFrame, path: str, limits: Limits = Limits(), id_col: str = "doc_id", text: str = "text", end_id: int = 0,
+         loss: str | None = None) -> DataFrame:
+    """Rows (id, start, length, doc_tokens, sequence_id, offset, ids): the pieces of every sequence, with their ids.
+
+    ``loss`` names a column of loss-bearing spans of the text, as ``chat.format_windows`` writes them (null: none); then
+    ``limits.loss`` counts their tokens, and each piece has ``loss_tokens``. Without it all tokens bear loss."""
+    spans = F.lit(None).cast("string") if loss is None else F.coalesce(F.col(loss), F.array())
+    df = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), spans.alias("_loss"))
     kind = df.schema["_id"].dataType
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        enc, packer = encoder(path), Packer(limits)
+        def trim(key, start):
+            doc, tokens, begin, ids, bear = key
+            return doc, tokens, start, ids[4 * (start - begin):], bear if bear is None else bear[np.searchsorted(bear, start):].copy()
+
+        enc, packer = encoder(path), Packer(limits, trim)
         base = TaskContext.get().partitionId() << 40
-        names = ["_id", *(x.split()[0] for x in PIECE.split(", "))]
+        names = ["_id", *(x.split()[0] for x in piece.split(", "))]
 
         def rows(pieces):
-            got = [(k[0], s, n, len(k[1]) // 4, base + q, at, k[1][4 * s:4 * (s + n)]) for k, s, n, q, at in pieces]
-            cols = list(zip(*got, strict=True)) if got else [[]] * 7
-            kinds = [ids_type, *[pa.int64()] * 5, pa.binary()]
+            pieces = list(pieces)
+            got = [(k[0], s, n, k[1], base + q, at, k[3][4 * (s - k[2]):4 * (s - k[2] + n)]) for k, s, n, q, at in pieces]
+            if loss is not None:
+                bear = [int(np.searchsorted(k[4], s + n) - np.searchsorted(k[4], s)) for k, s, n, _, _ in pieces]
+                got = [(*x, y) for x, y in zip(got, bear, strict=True)]
+            cols = list(zip(*got, strict=True)) if got else [[]] * len(names)
+            kinds = [ids_type, *[pa.int64()] * 5, pa.binary(), pa.int64()][:len(names)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         ids_type = pa.int64()
         for b in batches:
             ids_type, out, size = b.schema.field(0).type, [], 0
-            for key, ids in _encoded(b, enc):
+            for i, (key, ids) in enumerate(_encoded(b, enc)):
                 ids += end
-                out += packer.add((key.as_py(), ids), len(ids) // 4)
+                n = len(ids) // 4
+                bear = None if loss is None else loss_positions(enc, b.column(1)[i].as_py() or "", b.column(2)[i].as_py() or [], n)
+                out += packer.add((key.as_py(), n, 0, ids, bear), n, bear)
                 size += len(ids)
                 if size > 16 << 20:
                     yield rows(out)
@@ -259,7 +291,8 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), id_col: str = "d
             yield rows(out)
         yield rows(packer.flush())
 
-    schema = T.StructType([T.StructField("_id", kind), *T.StructType.fromDDL(PIECE).fields])
+    piece = PIECE if loss is None else f"{PIECE}, loss_tokens long"
+    schema = T.StructType([T.StructField("_id", kind), *T.StructType.fromDDL(piece).fields])
     return df.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tableprep.llm import packing as P
 from tableprep.llm.common import table
@@ -80,3 +81,38 @@ def test_awkward_rows(spark):
     assert [(r["length"], r["doc_tokens"]) for r in got if r["doc_id"] in (1, 2)] == [(1, 1)] * 2
     assert sum(r["start"] == 0 for r in got) == df.count()
     assert P.pack(df.limit(0), P.default_path()).count() == 0
+
+
+def test_the_pool_holds_no_placed_tokens():
+    """2,000 texts of 100,100 tokens: what waits is what is left of each."""
+    trim = lambda k, start: (k[0], start, k[2][4 * (start - k[1]):])
+    packer, most = P.Packer(P.Limits(), trim), 0
+    for i in range(2000):
+        for k, start, n, _, _ in packer.add((i, 0, bytes(4 * 100_100)), 100_100):
+            assert len(k[2]) // 4 >= start - k[1] + n
+        most = max(most, sum(len(x[0][2]) for x in packer.items))
+    assert 0 < most < 50_000_000 and all(len(x[0][2]) == 4 * x[2] and x[0][1] == x[1] for x in packer.items)
+
+
+def test_loss_spans_of_chat_windows(spark):
+    """The third limit counts the tokens of the spans that operator 9 writes."""
+    from tableprep.llm import chat
+
+    windows = chat.format_windows(table(spark, SF, "conversations").select("conv_id", "turn", "role", "text"))
+    windows = windows.select("conv_id", "formatted", "loss").limit(300)
+    limits = P.Limits(tokens=512, segments=8, loss=60)
+    got = P.pack(windows, P.default_path(), limits, id_col="conv_id", text="formatted", loss="loss").collect()
+    full, want = P.encoder(P.default_path()).full, 0
+    for r in windows.collect():
+        e = full.encode(r["formatted"], add_special_tokens=False)
+        spans = [(x["start"], x["start"] + x["length"]) for x in r["loss"]]
+        want += sum(any(max(a, s) < min(z, t) for s, t in spans) for a, z in e.offsets)
+        want += any(t == len(r["formatted"]) for _, t in spans)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append(r)
+    assert sum(r["loss_tokens"] for r in got) == want > 0
+    for x in by.values():
+        assert sum(r["length"] for r in x) <= 512 and len(x) <= 8 and sum(r["loss_tokens"] for r in x) <= 60
+    plain = P.pack(windows.withColumn("loss", F.lit(None).cast("array<struct<start:int,length:int>>")), P.default_path(), limits, id_col="conv_id", text="formatted", loss="loss")
+    assert plain.agg(F.sum("loss_tokens")).first()[0] == 0
