@@ -57,3 +57,14 @@ def test_query_equals_sql(spark):
     says = "</s>[INST] ok [/INST]"
     assert extra.turns_sha256 == hashlib.sha256(f"user\n{says}\nassistant\n{says}\n".encode()).hexdigest()
     assert (extra.loss_chars, extra.loss_sha256) == (len(says), hashlib.sha256(says.encode()).hexdigest())
+
+
+def test_long_conversation(spark):
+    """Thousands of turns make many windows, each within the budget; every turn is read back once, in order."""
+    rows = [(9, 0, "system", "be brief")] + [(9, i, "assistant" if i % 2 == 0 else "user", f"turn {i} " + "word " * (i % 37)) for i in range(1, 4000)]
+    windows = C.format_windows(spark.createDataFrame(rows, TURN))
+    back = C.read_back(windows).first()
+    assert [(t["role"], t["text"]) for t in back["turns"]] == [(r[2], r[3]) for r in rows]
+    assert back["loss_texts"] == [r[3] for r in rows if r[2] == "assistant"]
+    got = windows.collect()
+    assert len(got) > 300 and all(w["formatted"].startswith("[system]be brief") for w in got)

@@ -124,3 +124,16 @@ def test_stages_keep_rows_that_nothing_speaks_against(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = {r["doc_id"]: r["text"] for r in stage(spark, docs, str(tmp_path)).collect()}
         assert got == {i: stay[i] for i in range(12)}, name
+
+
+def test_empty_documents_and_null_ids(spark, tmp_path):
+    """An empty table gives no sequences; rows without an id, or with one that stands for two texts, go through as documents."""
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [" ".join(own(300 + i)) for i in range(3)]
+    df = documents(spark, [(None, texts[0], "a"), (None, texts[0], "a"), (None, texts[1], None), (5, texts[2], "c"), (5, " ".join(own(310)), "c")])
+    for name, rows, want in (("none", df.limit(0), []), ("some", df, [None, None, 5, 5])):
+        path = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{path}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, path)
+        assert sorted((r["doc_id"] for r in got.where("start = 0").collect()), key=lambda x: x or 0) == want

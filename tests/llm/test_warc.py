@@ -42,3 +42,14 @@ def test_empty_table(spark):
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     W.write_archives(W.record_chunks(spark.createDataFrame([], PAGE)), path)
     assert W.read_records(spark, path).count() == 0
+
+
+def test_payloads_over_a_default_chunk(spark):
+    """Three whole chunks and a rest, the separator across a border of chunks, and a copy of it."""
+    big = "x" * (W.CHUNK_BYTES - 5) + BREAK + "ü" * (W.CHUNK_BYTES + 77)
+    rows = [(1, "u", big), (2, "u", big), (3, "u", big + "."), (4, "u", "small")]
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    W.write_archives(W.record_chunks(spark.createDataFrame(rows, PAGE)), path)
+    got = {r["page_id"]: r for r in W.read_records(spark, path).collect()}
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got.values()), key=str) == expected(rows)
+    assert all(r["intact"] for r in got.values()) and got[1]["n_segments"] == 4 and got[2]["n_segments"] == 1
