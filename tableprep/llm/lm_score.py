@@ -313,6 +313,21 @@ def _blocks(batches, size: int):
         yield done(kind)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and, for each key, its place among them: one sort of keys with their places below, where both fit
+    into 63 bits."""
+    n = len(keys)
+    place = max(1, n.bit_length())
+    if not n or int(keys.max()).bit_length() + place > 63:
+        return np.unique(keys, return_inverse=True)
+    packed = np.sort(keys << place | np.arange(n))
+    ordered, at = packed >> place, packed & ((1 << place) - 1)
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    inverse = np.empty(n, np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return ordered[new], inverse
+
+
 class Block:
     """A block's tokens and, level by level, its n-grams and what the shards answered."""
 
@@ -342,19 +357,22 @@ class Block:
             ok = self.place >= self.level - 1
             before = np.concatenate([[0], self.gram[:-1]])      # the n-gram that ends one token earlier
             ok &= before >= 0
-            keys, inverse = np.unique(before[ok] * n + self.tok[ok], return_inverse=True)
+            bits = max(1, (n - 1).bit_length())
+            keys, inverse = _distinct(before[ok] << bits | self.tok[ok])
             self.gram = np.full(len(self.tok), -1)
             self.gram[ok] = inverse
-            self.parent, local = keys // n, keys % n
+            self.parent, local = keys >> bits, keys & ((1 << bits) - 1)
             ctx, word, total = self.node[self.parent], self.word[local], self.count[self.parent]
             self.own = np.flatnonzero((ctx > 0) & (word > 0))
             ctx, word, total = ctx[self.own], word[self.own], total[self.own]
-            parts = 1 + total // opt.split_count
-            h = ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (word % parts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            shard = ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)).astype(np.int64) % self.shards[self.level - 1]
+            h = ctx.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            hot = np.flatnonzero(total >= opt.split_count)      # dealt by the next word
+            h[hot] += (word[hot] % (1 + total[hot] // opt.split_count)).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)).view(np.int64)
+            shard = h - h // self.shards[self.level - 1] * self.shards[self.level - 1]
             self.order = np.argsort(_narrow(shard), kind="stable")      # within a shard they are sorted already
             if send:
-                total = np.where(parts > 1, total, 0)
+                total = np.where(total >= opt.split_count, total, 0)
                 uses = np.bincount(inverse[self.learn[ok]], minlength=len(keys))[self.own]
         self.at = shard[self.order]
         if not send:
@@ -526,9 +544,8 @@ def score(docs: DataFrame, train_on: Column, opt: LmOptions = LmOptions(), id_co
                 row = b.slice(i, 1).to_pylist()[0]
                 block = _block_of(row, opt, [*shards, 0], n_train, types)
                 starts = block.ends - block.lens
-                c = block.c[block.tok]
-                base = np.log10((c + 1) / (n_train + types + 1))
-                sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), base, np.log10(block.p))]
+                base = np.log10((block.c + 1) / (n_train + types + 1))
+                sums = [np.add.reduceat(x, starts) for x in ((block.c > 0).astype(np.int64)[block.tok], base[block.tok], np.log10(block.p))]
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("ids"))[i].values, pa.array([not x for x in row["train"]]), pa.array(block.lens), pa.array(sums[0]),
                                                   pa.array(np.full(len(starts), n_train, np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                                                  names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

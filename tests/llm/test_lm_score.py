@@ -103,3 +103,10 @@ def test_elias_fano_and_a_mapped_level():
 def test_quantised_values_are_close():
     p = 10.0 ** np.linspace(-11, 0, 500)
     assert np.abs(np.log10(L.restored(L.quantised(p, 255), 255) / p)).max() < 0.025
+
+
+def test_distinct_keys():
+    rng = np.random.default_rng(2)
+    for keys in (np.empty(0, np.int64), np.zeros(5, np.int64), rng.integers(0, 50, 999), rng.integers(0, 1 << 61, 999)):
+        a, b = L._distinct(keys), np.unique(keys, return_inverse=True)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
