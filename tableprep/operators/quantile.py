@@ -4,8 +4,9 @@ Spark's exact ``median`` keeps every distinct value of a group in one aggregatio
 task holding the column. Here a double is seen as a 64-bit integer that orders as the double does, and the two middle ranks
 are found digit by digit, 16 bits a round: of all values that begin with the digits found so far, the next digits are
 counted (partial aggregation: at most 65,536 rows for each column, rank and task), and the digit in which the rank falls is
-picked on the cluster. All columns share each round's job, so the whole table takes a count job and at most four rounds, whatever
-the values: heavy values, long tails, subnormal numbers and infinities alike. A rank whose values are all equal is done early.
+picked on the cluster. All columns share each round's job, so the whole table takes a count job (with the least and largest value,
+whose common bits are known) and at most four rounds, whatever the values: heavy values, long tails, subnormal numbers and infinities
+alike. A rank whose values are all equal is done early.
 
 Interpolates between the two middle values like pandas and DuckDB.
 """
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGIT = 16      # bits of a round
-ROUNDS = 64 // DIGIT
 LEAST_EXPONENT, LARGEST_EXPONENT = -1022, 1023
 
 
@@ -61,21 +61,28 @@ def _medians(df: DataFrame, specs: dict) -> dict:
         v, cond = specs[c]
         v = v.cast("double")
         images.append(ordered_bits(v if cond is None else F.when(cond, v)).alias(f"v{i}"))
-    counts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(images)]).first()
+    counts = df.agg(*[e for i, x in enumerate(images) for e in (F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))]).first()
     out = {c: None for i, c in enumerate(names) if not counts[f"n{i}"]}
-    # a target: column number, which of the two middle ranks; its digits so far and its rank among the values that begin with them
-    targets, ends = {}, {}
+    # a target: column number, which of the two middle ranks; its bits so far and its rank among the values that begin with them.
+    # The bits that a column's least and largest value share are known, so a round begins behind them.
+    targets, ends, left = {}, {}, {}
     for i, c in enumerate(names):
         n = counts[f"n{i}"]
+        if not n:
+            continue
+        lo, hi = counts[f"lo{i}"], counts[f"hi{i}"]
+        left[i] = 64 if (lo < 0) != (hi < 0) else (lo ^ hi).bit_length()
         for side, rank in ((0, (n - 1) // 2), (1, n // 2)):
-            if n and (side == 0 or n % 2 == 0):
-                targets[(i, side)] = (0, rank)
-    for round_ in range(ROUNDS):
-        if not targets:
-            break
-        found = _round(df, images, targets, round_)
+            if side == 0 or n % 2 == 0:
+                if lo == hi:
+                    ends[(i, side)] = value_of(lo)
+                else:
+                    targets[(i, side)] = (lo >> left[i], rank)
+    while targets:
+        found = _round(df, images, targets, left)
+        left = {i: max(0, b - DIGIT) for i, b in left.items()}
         for t, (digits, rank, least, largest) in found.items():
-            if least == largest or round_ == ROUNDS - 1:
+            if least == largest or not left[t[0]]:
                 ends[t] = value_of(least)
                 del targets[t]
             else:
@@ -88,22 +95,24 @@ def _medians(df: DataFrame, specs: dict) -> dict:
     return out
 
 
-def _round(df: DataFrame, images: list[Column], targets: dict, round_: int) -> dict:
-    """For each target the digits found now, its rank among them, and the least and the largest image with these digits."""
-    shift = 64 - DIGIT * (round_ + 1)
+def _round(df: DataFrame, images: list[Column], targets: dict, left: dict[int, int]) -> dict:
+    """For each target the bits found now, its rank among them, and the least and the largest image with these bits. ``left``:
+    how many bits of each column's images aren't known yet."""
     live = sorted({i for i, _ in targets})
+    by_column = lambda f: F.create_map(*[e for i in live for e in (F.lit(i), f(i))])[F.col("c")]
+    begins = by_column(lambda i: F.array(*[F.lit(targets[t][0]).cast("long") for t in sorted(targets) if t[0] == i]))
+    known = by_column(lambda i: F.lit(left[i]))
+    shift = by_column(lambda i: F.lit(max(0, left[i] - DIGIT)))
+    right = lambda x, n: F.call_function("shiftright", x, n)
     wide = df.select(*[images[i] for i in live])
     rows = wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("x")) for i in live])).alias("r")).select("r.*")
-    rows = rows.where(F.col("x").isNotNull())
-    if round_:
-        begins = F.create_map(*[e for i in live for e in (F.lit(i), F.array(*[F.lit(targets[t][0]).cast("long") for t in sorted(targets) if t[0] == i]))])
-        rows = rows.where(F.array_contains(F.element_at(begins, F.col("c")), F.shiftright("x", shift + DIGIT)))
-    counts = rows.groupBy("c", F.shiftright("x", shift).alias("digits")).agg(
+    rows = rows.where(F.col("x").isNotNull() & ((known == 64) | F.array_contains(begins, right(F.col("x"), known))))
+    counts = rows.groupBy("c", right(F.col("x"), shift).alias("digits")).agg(
         F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("largest"))
     want = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(side).alias("side"), F.lit(begin).cast("long").alias("begin"), F.lit(rank).cast("long").alias("rank"))
                      for (i, side), (begin, rank) in sorted(targets.items())])
-    counts = counts.withColumn("t", F.explode(F.filter(want, lambda t: (t["c"] == F.col("c")) & (
-        F.lit(round_ == 0) | (t["begin"] == F.shiftright("digits", DIGIT))))))
+    counts = counts.withColumn("k", known).withColumn("t", F.explode(F.filter(want, lambda t: (t["c"] == F.col("c")) & (
+        (F.col("k") == 64) | (t["begin"] == right(F.col("least"), F.col("k")))))))
     # at most 2^DIGIT rows for each target
     by = Window.partitionBy("c", "t.side").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("below", F.coalesce(F.sum("n").over(by), F.lit(0)))
