@@ -22,15 +22,15 @@ DIGIT = 16      # bits of a round
 LEAST_EXPONENT, LARGEST_EXPONENT = -1022, 1023
 
 
-def ordered_bits(d: Column) -> Column:
-    """The bits of a double as a long that orders as the doubles do; -0.0 and 0.0 are equal. Null and NaN give null.
+def _exponent(x: Column, about: Column) -> Column:
+    """The exponent of a positive double, from ``about``, the floor of its logarithm, which may be off by one."""
+    e = F.when(F.pow(F.lit(2.0), F.greatest(about, F.lit(LEAST_EXPONENT)).cast("double")) > x, about - 1).when(
+        F.pow(F.lit(2.0), F.least(about + 1, F.lit(LARGEST_EXPONENT)).cast("double")) <= x, about + 1).otherwise(about)
+    return F.least(F.greatest(e, F.lit(LEAST_EXPONENT)), F.lit(LARGEST_EXPONENT))
+
 
-    Built from arithmetic that is exact in doubles: scalings by powers of two."""
+def _bits(d: Column, e: Column) -> Column:
     x = F.abs(d)
-    about = F.floor(F.log2(x))
-    e = F.when(F.pow(F.lit(2.0), F.greatest(about, F.lit(LEAST_EXPONENT)).cast("double")) > x, about - 1).when(      # log2 may be off by one
-        F.pow(F.lit(2.0), F.least(about + 1, F.lit(LARGEST_EXPONENT)).cast("double")) <= x, about + 1).otherwise(about)
-    e = F.least(F.greatest(e, F.lit(LEAST_EXPONENT)), F.lit(LARGEST_EXPONENT))
     # the significand as an integer below 2^53: in two steps, as 2^-e alone may not be a double
     whole = ((x * F.pow(F.lit(2.0), (-F.floor(e / 2)).cast("double"))) * F.pow(F.lit(2.0), (52 - (e - F.floor(e / 2))).cast("double"))).cast("long")
     normal = (e - LEAST_EXPONENT).cast("long") * F.lit(1 << 52) + whole
@@ -38,6 +38,17 @@ def ordered_bits(d: Column) -> Column:
     return F.when(d.isNotNull() & ~F.isnan(d), F.when(d < 0, -bits).otherwise(bits))
 
 
+def ordered_bits(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """For each named double its bits as a long that orders as the doubles do; -0.0 and 0.0 are equal. Null and NaN give null.
+
+    Built from arithmetic that is exact in doubles: scalings by powers of two. Each step is a projection of its own, so
+    that a logarithm is taken once for a value."""
+    x = df.select(*[v.alias(c) for c, v in values.items()])
+    x = x.select("*", *[F.floor(F.least(F.log2(F.abs(F.col(c))), F.lit(2000.0))).alias(f"{c}_about") for c in values])
+    x = x.select(*values, *[_exponent(F.abs(F.col(c)), F.col(f"{c}_about")).alias(f"{c}_e") for c in values])
+    return x.select(*[_bits(F.col(c), F.col(f"{c}_e")).alias(c) for c in values])
+
+
 def value_of(bits: int) -> float:
     """The double of ``ordered_bits``."""
     x = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
@@ -56,12 +67,13 @@ def exact_medians(df: DataFrame, specs: dict, columns_a_job: int = 100) -> dict:
 
 def _medians(df: DataFrame, specs: dict) -> dict:
     names = list(specs)
-    images = []
+    values = {}
     for i, c in enumerate(names):
         v, cond = specs[c]
         v = v.cast("double")
-        images.append(ordered_bits(v if cond is None else F.when(cond, v)).alias(f"v{i}"))
-    counts = df.agg(*[e for i, x in enumerate(images) for e in (F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))]).first()
+        values[f"v{i}"] = v if cond is None else F.when(cond, v)
+    images = ordered_bits(df, values)
+    counts = images.agg(*[e for i in range(len(names)) for e in (F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"))]).first()
     out = {c: None for i, c in enumerate(names) if not counts[f"n{i}"]}
     # a target: column number, which of the two middle ranks; its bits so far and its rank among the values that begin with them.
     # The bits that a column's least and largest value share are known, so a round begins behind them.
@@ -79,7 +91,7 @@ def _medians(df: DataFrame, specs: dict) -> dict:
                 else:
                     targets[(i, side)] = (lo >> left[i], rank)
     while targets:
-        found = _round(df, images, targets, left)
+        found = _round(images, targets, left)
         left = {i: max(0, b - DIGIT) for i, b in left.items()}
         for t, (digits, rank, least, largest) in found.items():
             if least == largest or not left[t[0]]:
@@ -95,7 +107,7 @@ def _medians(df: DataFrame, specs: dict) -> dict:
     return out
 
 
-def _round(df: DataFrame, images: list[Column], targets: dict, left: dict[int, int]) -> dict:
+def _round(images: DataFrame, targets: dict, left: dict[int, int]) -> dict:
     """For each target the bits found now, its rank among them, and the least and the largest image with these bits. ``left``:
     how many bits of each column's images aren't known yet."""
     live = sorted({i for i, _ in targets})
@@ -104,8 +116,7 @@ def _round(df: DataFrame, images: list[Column], targets: dict, left: dict[int, i
     known = by_column(lambda i: F.lit(left[i]))
     shift = by_column(lambda i: F.lit(max(0, left[i] - DIGIT)))
     right = lambda x, n: F.call_function("shiftright", x, n)
-    wide = df.select(*[images[i] for i in live])
-    rows = wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("x")) for i in live])).alias("r")).select("r.*")
+    rows = images.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("x")) for i in live])).alias("r")).select("r.*")
     rows = rows.where(F.col("x").isNotNull() & ((known == 64) | F.array_contains(begins, right(F.col("x"), known))))
     counts = rows.groupBy("c", right(F.col("x"), shift).alias("digits")).agg(
         F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("largest"))
