@@ -21,6 +21,7 @@ documents N = V = 0 and every token has probability 1; further columns are ignor
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,12 +205,6 @@ class Level:
 
 # ------------------------------------------------------------------------------------------- blocks
 
-class _Ids(dict):
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        return n
-
-
 def _zip(*arrays: np.ndarray) -> bytes:
     import zstandard
 
@@ -244,8 +240,11 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of all texts, the words of all texts as places among them, and how many each text has."""
+END = xxhash.xxh3_64_intdigest(b"")        # the end token is the empty word
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of all texts, the words of all texts as places among them, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     offsets = lists.offsets.to_numpy()
     coded = lists.flatten().dictionary_encode()
@@ -254,19 +253,24 @@ def _coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
     real = codes != empty
     lens = np.diff(np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]])
-    return coded.dictionary.to_pylist(), codes[real], lens
+    words = coded.dictionary.cast(pa.large_binary())
+    _, begin, data = words.buffers()
+    data = memoryview(data or b"")
+    begin = np.frombuffer(begin, np.int64)[words.offset:words.offset + len(words) + 1].tolist() if len(words) else [0]
+    h = np.fromiter((xxhash.xxh3_64_intdigest(data[a:z]) for a, z in itertools.pairwise(begin)), np.uint64, len(words))
+    return h, codes[real], lens
 
 
 def _blocks(batches, size: int):
     """Rows (block, ids, lens, train, data): lens and train for each document; data: word hashes and local tokens."""
-    import xxhash
-
     base, number = TaskContext.get().partitionId() << 32, 0
-    ids, lens, train, tokens, words, n = [], [], [], [], _Ids({"": 0}), 0
+    ids, lens, train, tokens, hashes, n = [], [], [], [], [], 0
 
     def done(kind):
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-        tok = np.concatenate(tokens)
+        # each portion has words of its own, equal ones are found by hash
+        h, same = np.unique(np.concatenate(hashes), return_inverse=True)
+        upto = np.cumsum([0, *map(len, hashes)])
+        tok = np.concatenate([same[a:z][t] for t, a, z in zip(tokens, upto[:-1], upto[1:], strict=True)])
         uses = np.bincount(tok, minlength=len(h))
         order = np.argsort(-uses, kind="stable")        # frequent words get small numbers
         new = np.empty(len(h), np.int64)
@@ -283,7 +287,7 @@ def _blocks(batches, size: int):
         kind = b.schema.field(0).type
         if not b.num_rows:
             continue
-        distinct, codes, sizes = _coded(b.column(1))
+        named, codes, sizes = _coded(b.column(1))
         keys, learns = b.column(0).to_pylist(), b.column(2).to_pylist()
         upto = np.cumsum(sizes + 1)         # with the end token of each text
         begins = np.cumsum(sizes) - sizes
@@ -291,10 +295,10 @@ def _blocks(batches, size: int):
         while at < b.num_rows:      # texts until the block is full
             to = min(b.num_rows, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size - n)) + 1)
             mine, count = codes[begins[at]:begins[to - 1] + sizes[to - 1]], sizes[at:to]
-            used = np.zeros(len(distinct), bool)
+            used = np.zeros(len(named), bool)
             used[mine] = True
-            local = np.zeros(len(distinct), np.int64)
-            local[used] = [words[distinct[i]] for i in np.flatnonzero(used).tolist()]
+            local = np.cumsum(used)
+            hashes.append(np.concatenate([np.array([END], np.uint64), named[used]]))
             out = np.zeros(len(mine) + to - at, np.int64)       # the end token is 0
             is_end = np.zeros(len(out), bool)
             is_end[np.cumsum(count + 1) - 1] = True
@@ -308,7 +312,7 @@ def _blocks(batches, size: int):
             if n >= size:
                 yield done(kind)
                 number += 1
-                ids, lens, train, tokens, words, n = [], [], [], [], _Ids({"": 0}), 0
+                ids, lens, train, tokens, hashes, n = [], [], [], [], [], 0
     if ids:
         yield done(kind)
 
@@ -328,6 +332,20 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], inverse
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of numbers from 0 in order, and for each pair its place among them."""
+    bits = max(1, int(b.max()).bit_length()) if len(b) else 1
+    if not len(a) or int(a.max()).bit_length() + bits <= 63:
+        keys, same = _distinct(a << bits | b)
+        return keys >> bits, keys & ((1 << bits) - 1), same
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    same = np.empty(len(a), np.int64)
+    same[order] = np.cumsum(new) - 1
+    return x[new], y[new], same
+
+
 class Block:
     """A block's tokens and, level by level, its n-grams and what the shards answered."""
 
@@ -354,13 +372,12 @@ class Block:
             self.own = np.arange(n)
             self.order = np.lexsort((word, shard))
         else:
-            ok = self.place >= self.level - 1
-            before = np.concatenate([[0], self.gram[:-1]])      # the n-gram that ends one token earlier
-            ok &= before >= 0
+            ok = np.flatnonzero(self.place >= self.level - 1)       # the n-gram before ends one token earlier in the same text
             bits = max(1, (n - 1).bit_length())
-            keys, inverse = _distinct(before[ok] << bits | self.tok[ok])
+            keys, inverse = _distinct(self.gram[ok - 1] << bits | self.tok[ok])
             self.gram = np.full(len(self.tok), -1)
             self.gram[ok] = inverse
+            self.has = ok
             self.parent, local = keys >> bits, keys & ((1 << bits) - 1)
             ctx, word, total = self.node[self.parent], self.word[local], self.count[self.parent]
             self.own = np.flatnonzero((ctx > 0) & (word > 0))
@@ -400,9 +417,10 @@ class Block:
             node = np.where(found, (node * self.shards[self.level - 1] + self.at) + 1, 0)
         size = len(self.hashes) if self.level == 1 else int(self.gram.max()) + 1 if len(self.gram) else 0
         full = [np.zeros(size, np.int64) for _ in range(3)]
+        to = self.own[self.order]
         for f, x in zip(full, (node, count, code), strict=True):
             if len(x):
-                f[self.own[self.order]] = x
+                f[to] = x
         if self.level == 1:
             by = np.argsort(full[0])     # from here on words are numbered by their global names
             rank = np.empty(size, np.int64)
@@ -413,11 +431,11 @@ class Block:
             self.p = ((self.c + 1) / (n + types + 1))[self.tok]
         else:
             # weight of the context; a context that training doesn't have leaves the shorter one's probability
-            has = self.gram >= 0
+            has = self.has
             mu = opt.mu[self.level - 1]
             g = self.gram[has]
-            total = self.count[self.parent]
-            weight = np.where(total > 0, restored(quantised(mu / (total + mu), opt.steps), opt.steps), 1.0)
+            # once for each context, then for the n-grams under it
+            weight = np.where(self.count > 0, restored(quantised(mu / (self.count + mu), opt.steps), opt.steps), 1.0)[self.parent]
             self.p[has] = restored(full[2], opt.steps)[g] + weight[g] * self.p[has]
             if not last:
                 by = np.argsort(full[0])
@@ -444,39 +462,31 @@ def _answer(key, group: pa.Table, level: int, opt: LmOptions) -> pa.Table:
     every = [(np.cumsum(x[0].astype(np.int64)), x[1].astype(np.int64) if level > 1 else x[1], x[2].astype(np.int64)) for _, _, x in raws]
     totals = {int(c): int(t) for _, _, x in raws for c, t in zip(x[3], x[4], strict=True)}
     ctx, word, uses = (np.concatenate([e[i] for e in every]) for i in range(3))
-    if level == 1:      # hashes in the order of unsigned numbers, which the sequences need
-        keep = uses > 0
-        names, inverse = np.unique(word[keep].view(np.uint64), return_inverse=True)
-        count = np.bincount(inverse, weights=uses[keep], minlength=len(names)).astype(np.int64) if len(names) else np.empty(0, np.int64)
-        part = Level.build(names, np.zeros(len(names), np.int64), count, {}, 0.0, opt.steps)    # hashes are contexts of one entry each
-        look = lambda e: (e[1].view(np.uint64), np.zeros(len(e[1]), np.int64))
+    cuts = np.cumsum([0, *(len(e[1]) for e in every)])
+    if level == 1:      # hashes in the order of unsigned numbers, which the sequences need; contexts of one entry each
+        ctx, same = np.unique(word.view(np.uint64), return_inverse=True)
+        word = np.zeros(len(ctx), np.int64)
     else:
-        keep = uses > 0
-        ctx, word, uses = ctx[keep], word[keep], uses[keep]
-        high = int(word.max()) + 1 if len(word) else 1
-        order = np.argsort(ctx * high + word) if len(ctx) and int(ctx.max()) < (1 << 62) // high else np.lexsort((word, ctx))
-        ctx, word, uses = ctx[order], word[order], uses[order]
-        first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])])) if len(ctx) else np.empty(0, np.int64)
-        count = np.add.reduceat(uses, first) if len(first) else np.empty(0, np.int64)
-        part = Level.build(ctx[first], word[first], count, totals, opt.mu[level - 1], opt.steps)
-        look = lambda e: (e[0], e[1])
+        ctx, word, same = _distinct_pairs(ctx, word)
+    # what blocks have in common is counted, and looked up, once
+    count = np.bincount(same, weights=uses, minlength=len(ctx)).astype(np.int64)
+    learnt = count > 0
+    part = Level.build(ctx[learnt], word[learnt], count[learnt], totals, opt.mu[level - 1], opt.steps)
     out = []
     with tempfile.TemporaryFile() as f:
         part.write(f)
         part = Level.mapped(f)
-        queries = [look(e) for e in every]
-        places = part.find(np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries]))
+        places = part.find(ctx, word)
         codes, counts = np.asarray(part.codes), np.asarray(part.counts)
-        cuts = np.cumsum([0, *(len(q[0]) for q in queries)])
+        code = np.where(places >= 0, codes[places], 0) if len(codes) else np.zeros(len(places), np.int64)
+        n = np.where(places >= 0, counts[places], 0) if len(counts) else np.zeros(len(places), np.int64)
+        empty = np.empty(0, np.int8)
         for (b, _, _), a, z in zip(raws, cuts[:-1], cuts[1:], strict=True):
-            at = places[a:z]
-            code = np.where(at >= 0, codes[at], 0) if len(codes) else np.zeros(z - a, np.int64)
-            n = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(z - a, np.int64)
-            empty = np.empty(0, np.int8)
+            at = same[a:z]
             if level == opt.order and level > 1:    # nothing goes on from here: only the codes count
-                out.append((b, _zip(empty, empty, _narrow(code))))
+                out.append((b, _zip(empty, empty, _narrow(code[at]))))
             else:
-                out.append((b, _zip(_steps(at), _narrow(n), _narrow(code))))
+                out.append((b, _zip(_steps(places[at]), _narrow(n[at]), _narrow(code[at]))))
         n_types = len(codes)
         del part
     m = len(out)

@@ -110,3 +110,32 @@ def test_distinct_keys():
     for keys in (np.empty(0, np.int64), np.zeros(5, np.int64), rng.integers(0, 50, 999), rng.integers(0, 1 << 61, 999)):
         a, b = L._distinct(keys), np.unique(keys, return_inverse=True)
         assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
+def test_distinct_pairs():
+    rng = np.random.default_rng(3)
+    for top in (1, 50, 1 << 20, 1 << 40):
+        a, b = rng.integers(0, top, 700), rng.integers(0, top, 700)
+        a[300:], b[300:] = a[:400], b[:400]
+        x, y, same = L._distinct_pairs(a, b)
+        assert list(zip(x.tolist(), y.tolist())) == sorted(set(zip(a.tolist(), b.tolist())))
+        assert (x[same] == a).all() and (y[same] == b).all()
+    assert [len(x) for x in L._distinct_pairs(np.empty(0, np.int64), np.empty(0, np.int64))] == [0, 0, 0]
+
+
+def test_words_of_a_block_from_several_batches(monkeypatch):
+    """The same texts in one batch and in batches of one row make the same blocks."""
+    import pyarrow as pa
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(L, "TaskContext", Context)
+    rows = [r[:2] for r in awkward(300)] + [(i, f"Ünd a b{i % 3} c ") for i in range(40)]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([True] * len(rows))], names=["id", "text", "learn"])
+    words = []
+    for batches in ([whole], [whole.slice(i, 1) for i in range(len(rows))]):
+        got = [b.to_pylist()[0] for b in L._blocks(batches, 200)]
+        words.append([(b["ids"], b["lens"], L._unzip(b["data"], 2)[0][L._unzip(b["data"], 2)[1].astype(int)].tolist()) for b in got])
+    assert words[0] == words[1] and len(words[0]) > 2
