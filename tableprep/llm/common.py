@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,22 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, Spark removes the shuffle files of each write when the write is done, instead of some time after the driver has
+    forgotten it. For frames that are written once, and read from what was written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir`` on the way to a result. Each is removed once nothing reads it any more;
     those that the lazy result still reads stay."""

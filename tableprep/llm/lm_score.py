@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import table, written
+from .common import shuffles_removed, table, written
 
 @dataclass(frozen=True)
 class LmOptions:
@@ -539,8 +539,9 @@ def score(docs: DataFrame, train_on: Column, opt: LmOptions = LmOptions(), id_co
             return _answer(key, group, level, opt)
 
         sent = rows.select("block", "lens", "train", "data", "answers").mapInArrow(send, "shard long, block long, data binary")
-        new = written(sent.groupBy("shard").applyInArrow(_two(answer),
-                      "block long, level int, shard long, data binary, n_types long"))
+        with shuffles_removed(docs.sparkSession):
+            new = written(sent.groupBy("shard").applyInArrow(_two(answer),
+                          "block long, level int, shard long, data binary, n_types long"))
         if level == 1:
             types = new.agg(F.sum("n_types")).first()[0] or 0
         new = new.where("block >= 0").select("block", "level", "shard", "data")

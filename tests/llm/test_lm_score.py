@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprep.llm import lm_score as L
-from tableprep.llm.common import table
+from tableprep.llm.common import shuffles_removed, table
 
 from .helpers import CLASHES, awkward, documents
 
@@ -139,3 +139,14 @@ def test_words_of_a_block_from_several_batches(monkeypatch):
         got = [b.to_pylist()[0] for b in L._blocks(batches, 200)]
         words.append([(b["ids"], b["lens"], L._unzip(b["data"], 2)[0][L._unzip(b["data"], 2)[1].astype(int)].tolist()) for b in got])
     assert words[0] == words[1] and len(words[0]) > 2
+
+
+def test_setting_of_shuffle_files_is_restored(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for value in (None, "false"):
+        if value:
+            spark.conf.set(key, value)
+        with shuffles_removed(spark):
+            assert spark.conf.get(key) == "true"
+        assert spark.conf.get(key, None) == value
+    spark.conf.unset(key)
