@@ -10,6 +10,9 @@ A window over the whole table puts every row into one task. Instead (two phases)
 3. Carry across buckets on that small frame with a window ordered by bucket.
 4. Within each bucket a normal window; a missing cell takes the in-bucket value, else the carry.
 
+Both directions use running frames: a frame that ends with the partition is computed anew for each of its rows, which is the square
+of a bucket's rows. A backward fill numbers the rows of a bucket in key order and runs over the numbers from the last to the first.
+
 Without partition keys the carry frame has a row per bucket, with them one per (key, bucket); it is joined on the keys the
 window shuffles on, so the big side is shuffled once. A hot partition key is split over all buckets.
 """
@@ -94,24 +97,27 @@ def ordered_fill(
     edges = x.groupBy(*group_cols).agg(*edge_aggs)
 
     # phase 3: carry across buckets (small frame)
-    w_carry = Window.partitionBy(*[col(p) for p in parts]).orderBy(b)
-    w_carry = w_carry.rowsBetween(Window.unboundedPreceding, -1) if fwd else w_carry.rowsBetween(1, Window.unboundedFollowing)
-    take = F.last if fwd else F.first
+    w_carry = Window.partitionBy(*[col(p) for p in parts]).orderBy(F.col(b).asc() if fwd else F.col(b).desc())
+    w_carry = w_carry.rowsBetween(Window.unboundedPreceding, -1)
     carry = edges.select(*[col(p) for p in parts], F.col(b),
-                         *[take(f"__e{i}", ignorenulls=True).over(w_carry).alias(f"__c{i}") for i in range(len(columns))])
+                         *[F.last(f"__e{i}", ignorenulls=True).over(w_carry).alias(f"__c{i}") for i in range(len(columns))])
     join_keys = parts + [b]
     # null partition keys are a group of their own
     x = x.join(carry.toDF(*[f"__j{i}" if i < len(join_keys) else c for i, c in enumerate(carry.columns)]),
                reduce(lambda p, q: p & q, [F.col(f"`{k}`").eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(join_keys)]), "left")
 
     # phase 4: within-bucket window, then the carry
-    w_in = Window.partitionBy(*[col(p) for p in parts], F.col(b)).orderBy(*[col(k).asc_nulls_first() for k in keys])
-    w_in = w_in.rowsBetween(Window.unboundedPreceding, 0) if fwd else w_in.rowsBetween(0, Window.unboundedFollowing)
+    bucket = Window.partitionBy(*[col(p) for p in parts], F.col(b))
+    w_in = bucket.orderBy(*[col(k).asc_nulls_first() for k in keys])
+    if not fwd:     # rows with equal keys keep their order, too
+        x = x.withColumn("__place", F.row_number().over(w_in))
+        w_in = bucket.orderBy(F.col("__place").desc())
+    w_in = w_in.rowsBetween(Window.unboundedPreceding, 0)
     out = []
     for f in df.schema.fields:
         if f.name in columns:
             i = columns.index(f.name)
-            inside = take(vals[f.name], ignorenulls=True).over(w_in)
+            inside = F.last(vals[f.name], ignorenulls=True).over(w_in)
             filled = F.when(~is_missing(col(f.name), f.dataType), col(f.name)).otherwise(
                 F.coalesce(inside, F.col(f"__c{i}")))
             out.append(filled.cast(f.dataType).alias(f.name))
