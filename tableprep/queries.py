@@ -6,6 +6,7 @@ Keys are the names listed in SURVEY §2; ``__spark_entry__.py`` exposes them.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import uuid
@@ -26,6 +27,7 @@ from .operators.masking import MaskSpec, mask_columns, mask_preview, mask_summar
 from .operators.ordered_fill import ordered_fill
 from .operators.profile import profile
 from .operators.quality import data_size, text_checks
+from .operators.quantile import exact_medians
 from .operators.sample import first_values
 from .operators.sensitive import detect_sensitive, mask_decision
 from .operators.standardize import (
@@ -1298,8 +1300,9 @@ def q_cast_loss(spark, sf):
     from .plans.pipeline import fit
 
     o = table(spark, sf, "orders")
-    half = o.agg(F.percentile("o_orderkey", 0.5).alias("h")).select(F.floor("h").alias("h"))
-    d = o.crossJoin(F.broadcast(half)).select("o_orderkey", F.when(F.col("o_orderkey") <= F.col("h"), F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
+    half = exact_medians(o, {"h": (F.col("o_orderkey"), None)})["h"]
+    half = F.lit(None if half is None else math.floor(half)).cast("long")
+    d = o.select("o_orderkey", F.when(F.col("o_orderkey") <= half, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
         F.date_format("o_orderdate", "dd.MM.yyyy")).alias("day"))
     f = fit(d, PrepOptions(order_by="o_orderkey"))
     rows = [(c, n, any(x.column == c for x in f.auto_casts)) for c, n in f.cast_loss.items()]

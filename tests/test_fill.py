@@ -198,3 +198,19 @@ def test_null_order_and_partition_keys(spark):
     df = spark.createDataFrame(rows, "g string, k int, v int")
     got = sorted(ordered_fill(df, ["v"], "k", "forward", ["g"], buckets=3).collect(), key=str)
     assert sorted(r["v"] for r in got) == [5, 5, 7, 7, 7]
+
+
+def test_cast_loss_finds_its_middle_key_without_gathering_the_keys(spark, tmp_path, monkeypatch):
+    """The exact percentile function holds every distinct key in one task, and did so again in each job of the fit."""
+    from tableprep import queries
+    from tableprep.plans import pipeline
+
+    plans, fit = [], pipeline.fit
+    monkeypatch.setattr(pipeline, "fit", lambda d, *a: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or fit(d, *a))
+    for case, keys, lost in (("even", list(range(40)), 20), ("odd", list(range(41)), 20), ("again", [1] * 14 + [8] * 14, 14)):
+        folder = str(tmp_path / case)
+        rows = spark.createDataFrame([(k,) for k in keys], "o_orderkey long").withColumn("o_orderdate", F.lit("1995-03-17").cast("timestamp"))
+        rows.write.parquet(f"{folder}/orders.parquet")
+        got = queries.queries()["cast_loss"](spark, folder).first()
+        assert (got["column"], got["lost"], got["converted"]) == ("day", lost, False), case
+    assert len(plans) == 3 and not any("percentile" in p or "Join" in p for p in plans)
