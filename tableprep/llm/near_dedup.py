@@ -37,9 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table, words
+from .common import Scratch, batches_of, table, words
 
 PLANES = 8      # bits of a symbol that the distance looks at
+BATCH = "2m"    # of rows with texts that a task hands to Python at once
+ROWS = 1 << 17  # shingles that a task returns at once, and those of one more text
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -164,9 +166,14 @@ def _near(a, b, opt: NearOptions) -> Column:
 def _shingle_rows(batches, opt: NearOptions):
     shingles = Shingler(opt.shingle)
     for b in batches:
-        sets = [shingles(t.as_py()) for t in b.column(1)]
-        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)), b.column(0).take(pa.array(at))], names=["shingle", "cls"])
+        at, sets, size = 0, [], 0
+        for i, t in enumerate(b.column(1), 1):
+            sets.append(shingles(t.as_py()))
+            size += len(sets[-1])
+            if size >= ROWS or i == b.num_rows:
+                of = np.repeat(np.arange(at, i), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), b.column(0).take(pa.array(of))], names=["shingle", "cls"])
+                at, sets, size = i, [], 0
 
 
 def lone_shingles(texts: DataFrame, opt: NearOptions) -> DataFrame:
@@ -291,10 +298,7 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         before = now
 
 
-def _classified(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): for each row of ``docs`` (doc_id, text_hash, n_shingles, digest), and for each set of shingles (digest,
-    component, its smallest id ``component_id``, ``n_links``, whether the component's chosen row is one of this class, and
-    the id and text hash of that row). Both are written."""
+def _classify(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch()
     sig = scratch.write(signatures(docs, opt, id_col, text))
     # a class is a set of shingles; it has a number of its own, as ids may be null or stand for several texts
@@ -340,6 +344,14 @@ def _classified(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> tu
     return sig.select("doc_id", "text_hash", "n_shingles", "digest"), named
 
 
+def _classified(docs: DataFrame, opt: NearOptions, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): for each row of ``docs`` (doc_id, text_hash, n_shingles, digest), and for each set of shingles (digest,
+    component, its smallest id ``component_id``, ``n_links``, whether the component's chosen row is one of this class, and
+    the id and text hash of that row). Both are written."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _classify(docs, opt, id_col, text)
+
+
 def near_components(docs: DataFrame, opt: NearOptions = NearOptions(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, n_links, kept), one for each row of ``docs``.
 

@@ -132,3 +132,33 @@ def test_what_stays_on_disk(spark):
     before = set(os.listdir(folder))
     out = N.near_components(documents(spark, made(3)), N.NearOptions(3, 85))
     assert len(set(os.listdir(folder)) - before) == 2 and out.count() > 0
+
+
+def test_batches_are_bounded(spark):
+    """Shingles leave a task in small batches, and texts reach it in small ones, whatever the texts' lengths."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tableprep.llm.common import batches_of
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(1500)] + ["", None, "one two"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["cls", "t"])
+    opt = N.NearOptions()
+    out = list(N._shingle_rows([batch, batch.slice(0, 0)], opt))
+    assert max(b.num_rows for b in out) < N.ROWS + 300
+    shingles = N.Shingler(opt.shingle)
+    want = [(int(s.view("i8")), i) for i, t in enumerate(texts) for s in shingles(t)]
+    assert [x for b in out for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())] == want
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = spark.range(400, numPartitions=1).select("id", F.repeat(F.lit("word "), 10_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    with batches_of(spark, N.BATCH):
+        largest = docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert largest < 3 << 20
+    assert spark.conf.get(key, None) == before
